@@ -6,19 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm.mixing import MIX_SQL, mix_digest
 from siltstone.llm.near_dedup import near_duplicates
+from siltstone.llm.sharding import shard_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_shard_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(_table(spark, sf_dir, "documents"), 8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_curriculum": op1_mix_curriculum,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_shard_prefix_sums": op10_shard_prefix_sums,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_curriculum": MIX_SQL,
+}
