@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import near_dedup
+from siltstone.llm import decontaminate, language, mixing, near_dedup, sharding
 from siltstone.llm.scratch import Scratch
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of no recognised language, go."""
+    return language.with_known_language(docs)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return near_dedup.keep_one_of_each(spark, docs)
 
 
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark passages go."""
+    return decontaminate.without_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents in training order, repeated or left out as the mix of sources asks."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with size (bytes), shard and slot."""
+    out = sharding.shard(docs, N_SHARDS, sharding.text_bytes())
+    return out.withColumnsRenamed({"__size": "size", "__shard": "shard", "__slot": "slot"})
+
+
+N_SHARDS = 8
+
 STAGES = [
+    ("language", known_language),
     ("near_dedup", one_of_each),
+    ("decontaminate", no_benchmark),
+    ("mix", mixed_sources),
+    ("shard", shards),
 ]
 
 #: Not expressible in SQL: two stages learn or estimate from the texts.

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm.decontaminate import contaminated
+from siltstone.llm.language import language_digest
 from siltstone.llm.mixing import MIX_SQL, mix_digest
 from siltstone.llm.near_dedup import near_duplicates
 from siltstone.llm.sharding import shard_digest
@@ -19,6 +21,14 @@ def op1_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
@@ -29,6 +39,8 @@ def op10_shard_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
+    "op4_language_cnn": op4_language_cnn,
+    "op7_greedy_string_tiling": op7_greedy_string_tiling,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_shard_prefix_sums": op10_shard_prefix_sums,
 }

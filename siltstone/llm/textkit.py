@@ -35,8 +35,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about ``limit`` bytes; null is empty text."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of at most ``rows`` rows of about ``limit`` bytes; null is empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -45,11 +45,24 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
-        end = min(end, len(column))
+        end = min(end, len(column), row + rows)
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
 
+def hash_runs(values: np.ndarray, group: np.ndarray, n_groups: int) -> np.ndarray:
+    """A hash of the byte values of each group; group is sorted, and an empty group has the hash of 0."""
+    size = np.bincount(group, minlength=n_groups)
+    first = np.cumsum(size) - size
+    place = np.arange(len(values)) - first[group]
+    powers = np.cumprod(np.full(int(size.max(initial=1)), _BASE, np.uint64))
+    total = np.zeros(n_groups, np.uint64)
+    if len(values):
+        full = np.flatnonzero(size)
+        total[full] = np.add.reduceat(_BYTE_KEY[values] * powers[place], first[full])
+    return mix(total)
+
+
 class Words:
     """The words of a slice: ``doc`` (row), ``start``, ``end`` (bytes) and ``hash`` of each, in text order."""
 
@@ -68,12 +81,8 @@ class Words:
         self.end = self.start + size
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.bounds = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
-        if len(at):
-            powers = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
-            value = _BYTE_KEY[data[at]] * powers[at - self.start[word]]
-            self.hash = mix(np.add.reduceat(value, np.cumsum(size) - size))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.at, self.word = at, word
+        self.hash = hash_runs(data[at], word, len(self.start))
 
     def shingles(self, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words, and each document's bounds in them.
