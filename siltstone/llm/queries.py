@@ -10,7 +10,9 @@ from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.language import language_digest
 from siltstone.llm.mixing import MIX_SQL, mix_digest
 from siltstone.llm.near_dedup import near_duplicates
+from siltstone.llm.quality_model import quality_digest
 from siltstone.llm.sharding import shard_digest
+from siltstone.llm.toxicity import toxicity_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,14 @@ def op4_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +50,9 @@ def op10_shard_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
     "op4_language_cnn": op4_language_cnn,
+    "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_greedy_string_tiling": op7_greedy_string_tiling,
+    "op8_toxicity_automata": op8_toxicity_automata,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_shard_prefix_sums": op10_shard_prefix_sums,
 }
