@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.decontaminate import contaminated
+from siltstone.llm.html_text import page_texts
 from siltstone.llm.language import language_digest
+from siltstone.llm.licenses import LICENSE_SQL, licenses
 from siltstone.llm.mixing import MIX_SQL, mix_digest
 from siltstone.llm.near_dedup import near_duplicates
 from siltstone.llm.quality_model import quality_digest
+from siltstone.llm.quality_rules import quality_rules
 from siltstone.llm.sharding import shard_digest
 from siltstone.llm.toxicity import toxicity_digest
 
@@ -23,10 +26,22 @@ def op1_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
+def op3_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(spark, _table(spark, sf_dir, "documents"))
+
+
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,7 +64,10 @@ def op10_shard_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
+    "op2_html_main_text": op2_html_main_text,
+    "op3_license_sentences": op3_license_sentences,
     "op4_language_cnn": op4_language_cnn,
+    "op5_quality_rules": op5_quality_rules,
     "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_greedy_string_tiling": op7_greedy_string_tiling,
     "op8_toxicity_automata": op8_toxicity_automata,
@@ -59,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_curriculum": MIX_SQL,
+    "op3_license_sentences": LICENSE_SQL,
 }
