@@ -23,9 +23,9 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: The training sample: at most so many documents of a language, in hashed order, two windows of
-#: each, and at most so many windows in all.
+#: each, of so many most frequent languages.
 DOCS_PER_LANGUAGE = 800
-SAMPLE_WINDOWS = 40_000
+MOST_LANGUAGES = 50
 UNKNOWN = "und"
 #: The pipeline rejects documents of a lower score.
 LEAST_SCORE = 0.35
@@ -139,10 +139,16 @@ def _predict(model: ByteCNN, passed: list[str], batches: Iterator[pa.RecordBatch
 def train(docs: DataFrame) -> ByteCNN | None:
     """The network for the languages of docs that may be learned from; None without any."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     cut = lambda i: F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {i}), greatest(1, length(text) - {WINDOW})) as int), {WINDOW})")
-    sample = known.select("doc_id", "lang", "text").withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= DOCS_PER_LANGUAGE)
-    rows = sample.orderBy("__rank", "lang").limit(SAMPLE_WINDOWS // 2).select("lang", F.explode(F.array(cut(0), cut(1))).alias("text")).collect()
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    if not sizes:
+        return None
+    # twice the wanted share of each language, by hash, so that the ranking below sees few rows
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(2**20 * min(1.0, 2 * DOCS_PER_LANGUAGE / n)))))
+    drawn = known.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(2**20)) < F.try_element_at(share, F.col("lang")))
+    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "texts")
+    sample = drawn.select("doc_id", "lang", F.array(cut(0), cut(1)).alias("texts")).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= DOCS_PER_LANGUAGE)
+    rows = sample.select("lang", F.explode("texts").alias("text")).orderBy("lang", "text").collect()
     if not rows:
         return None
     classes = sorted({r["lang"] for r in rows})
