@@ -32,7 +32,7 @@ NEVER = frozenset("aside audio button canvas datalist footer form head header if
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark what is never content.
 NEVER_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies discussion disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar".split()
+    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie copyright cookies discussion disqus footer gdpr header legal links login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar trending widget widgets".split()
 )
 MARKED = frozenset(["article", "main"])
 #: Ends of elements whose end tag authors leave out: a tag of the key closes these.
@@ -119,7 +119,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Used for classes that no labelled page has.
-WORD_WEIGHT, TAG_WEIGHT = 1.0, -1.0
+WORD_WEIGHT, TAG_WEIGHT = 1.0, -0.25
 
 
 def learn_weights(pages: DataFrame) -> dict[str, float]:
@@ -177,7 +177,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     Null or empty html, or html without content, has the text "" and n_chars 0.  Each row is
     read alone and whole; repeated rows get equal answers.  Weights come from the table's own
-    pages with marked content; without any, every word weighs 1 and every tag -1.  Other columns
+    pages with marked content; without any, every word weighs 1 and every tag -0.25.  Other columns
     are ignored; an empty table gives an empty result.
     """
     pages = pages.select("page_id", "url", "html")

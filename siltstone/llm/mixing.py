@@ -61,7 +61,7 @@ def word_count() -> Column:
 
 
 def source_targets(cells: DataFrame, schedule: Schedule) -> DataFrame:
-    """__key, source_size, cls, target of each source, from (__key, z) totals.
+    """__key, __source_size, __cls, __target of each source, from (__key, z) totals.
 
     The sources, by code point with null last, take the classes of the schedule in turn and
     share the sum of all sizes by weight.  A target stops at MOST_REPEATS times its source's
@@ -85,7 +85,7 @@ def source_targets(cells: DataFrame, schedule: Schedule) -> DataFrame:
     })
     rows = rows.withColumn("share", (F.col("total") - F.col("spent")) / F.col("rest"))
     rows = rows.withColumn("level", F.min_by("share", F.when(F.col("share") <= F.col("ratio"), F.col("spent"))).over(all_rows))
-    return rows.select("__key", "source_size", "cls", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("target"))
+    return rows.select("__key", F.col("source_size").alias("__source_size"), F.col("cls").alias("__cls"), F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("__target"))
 
 
 def plan_mix(docs: DataFrame, size: Column, schedule: Schedule = Schedule(), whole: bool = False) -> DataFrame:
@@ -110,16 +110,16 @@ def plan_mix(docs: DataFrame, size: Column, schedule: Schedule = Schedule(), who
     inner = Window.partitionBy("__key", "__cell").orderBy("__u", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, 0)
     rows = marked.withColumn("__in_cell", F.sum("__size").over(inner) - F.col("__size")).join(cells, ["__key", "__cell"])
     size_, before = F.col("__size"), F.col("__cell0") + F.col("__in_cell")
-    goal = F.round("target").cast("long")
-    rows = rows.withColumns({"__goal": goal, "__before": before, "__passes": F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")})
-    rest = F.col("__goal") - F.col("__passes") * F.col("source_size")
+    goal = F.round("__target").cast("long")
+    rows = rows.withColumns({"__goal": goal, "__before": before, "__passes": F.when(F.col("__source_size") > 0, F.floor(goal / F.col("__source_size"))).otherwise(0).cast("long")})
+    rest = F.col("__goal") - F.col("__passes") * F.col("__source_size")
     part = F.when(2 * F.col("__before") + size_ < 2 * rest, size_).otherwise(0) if whole else F.greatest(F.lit(0), F.least(size_, rest - F.col("__before")))
     again = (2 * F.col("__before") + size_ < 2 * rest) if whole else part > 0
     n_draws = (F.col("__passes") + again.cast("int")).cast("int")
-    at = lambda i: schedule.time_of(F.col("cls"), (i * F.col("source_size") + F.col("__before") + size_ / 2) / F.greatest(F.col("__goal"), F.lit(1)))
+    at = lambda i: schedule.time_of(F.col("__cls"), (i * F.col("__source_size") + F.col("__before") + size_ / 2) / F.greatest(F.col("__goal"), F.lit(1)))
     draws = F.array_compact(F.array(*(F.when(n_draws > i, at(F.lit(i))) for i in range(MOST_REPEATS + 1))))
     return rows.select(
-        *docs.columns, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+        *docs.columns, "__size", "__source_size", "__target",
         (F.col("__passes") * size_ + part).cast("long").alias("__taken"), draws.alias("__draws"), F.when(n_draws > 0, at(F.lit(0))).alias("__first"),
     )
 
