@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.near_dedup import BROADCAST_IDS
 from siltstone.llm.textkit import LOWER, NOT_ALNUM, Words, slices
 
-MIN_MATCH = 5
+MIN_MATCH = 4
 #: Share of an item's words under tiles from which the document counts as contaminated.
 COVERAGE = 0.5
 #: A benchmark of up to so many bytes of text is broadcast; a larger one is joined by seed.
