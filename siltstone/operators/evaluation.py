@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,12 @@ def nearest_rank(c: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
 
 
-def rounded_index(c: str, p: float) -> Column:
-    """The value at index (n - 1) p, rounded half to even."""
-    return F.element_at(F.sort_array(F.collect_list(c)), (F.bround((F.count(c) - 1) * p) + 1).cast("int"))
+def rounded_index(rows: DataFrame, group: str, value: str, p: float, name: str) -> DataFrame:
+    """group and the value at index (n - 1) p of its sorted values, the index rounded half to even.
+
+    Equal values are counted first, so that only distinct ones are sorted.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    ahead = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"upto": F.sum("c").over(ahead), "n": F.sum("c").over(Window.partitionBy(group))})
+    return placed.where(F.col("upto") > F.bround((F.col("n") - 1) * p)).groupBy(group).agg(F.min(value).alias(name))

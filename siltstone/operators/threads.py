@@ -50,3 +50,17 @@ def merge_last_write(current: DataFrame, changes: DataFrame, key: list[str], ord
 def newest_revisions(revisions: DataFrame, key: str, version: str, keep: int) -> DataFrame:
     newest = Window.partitionBy(key).orderBy(F.desc(version))
     return revisions.withColumn("age", F.row_number().over(newest).cast("bigint")).where(F.col("age") <= keep)
+
+
+def number_rows(rows: DataFrame, key: str, width: int = 1 << 16) -> DataFrame:
+    """rows with ``place``, from 0 in the order of a whole-number key without ties.
+
+    Ranges of ``width`` keys are counted, the counts summed in order, and rows placed within
+    their range, so that no task sees more than one range of rows.
+    """
+    cut = rows.withColumn("__range", F.floor(F.col(key) / width))
+    counts = cut.groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return cut.withColumn("__in", inside).join(starts, "__range").withColumn("place", F.col("__start") + F.col("__in")).drop("__range", "__start", "__in")

@@ -41,7 +41,7 @@ SELECT batch, string_agg(k, ';' ORDER BY k) AS ids, count(*)::BIGINT AS n FROM (
 def answer_batches(t: Tables):
     """Requests of at most 100 distinct ids."""
     ids = t.orders.where("o_orderstatus = 'F' AND o_orderkey <= 6000").select("o_orderkey").distinct()
-    numbered = ids.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("o_orderkey")) - 1) / 100))
+    numbered = O.number_rows(ids, "o_orderkey").withColumn("batch", F.floor(F.col("place") / 100))
     return numbered.groupBy("batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ";").alias("ids"), F.count("*").alias("n"))
 
 
