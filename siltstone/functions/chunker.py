@@ -1,0 +1,140 @@
+"""Chunks of mixed prose and code: fenced code stays whole, small chunks merge, neighbours overlap."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+TOKEN = re.compile(r"\w+|[^\w\s]")
+CHUNK = "ordinal int, text string, n_tokens int, has_code boolean, language string"
+
+
+@dataclass(frozen=True)
+class Limits:
+    target: int = 650
+    most: int = 900
+    overlap: int = 80
+    least: int = 40
+
+
+def count(text: str) -> int:
+    return len(TOKEN.findall(text))
+
+
+def cut(text: str, size: int) -> list[str]:
+    """Pieces of at most ``size`` tokens, with what stands between the tokens."""
+    starts = [m.start() for m in TOKEN.finditer(text)]
+    edges = [starts[i] for i in range(size, len(starts), size)]
+    return [p.strip() for p in (text[a:b] for a, b in zip([0, *edges], [*edges, len(text)], strict=True)) if p.strip()]
+
+
+def tail(text: str, size: int) -> str:
+    starts = [m.start() for m in TOKEN.finditer(text)]
+    return text[starts[-size] :].strip() if len(starts) > size else text.strip()
+
+
+def split_blocks(text: str) -> list[tuple[str, bool, str | None]]:
+    """(block, whether it is code, language): fences are whole, an open one runs to the end; prose splits at blank lines."""
+    blocks: list[tuple[str, bool, str | None]] = []
+    prose: list[str] = []
+    code: list[str] | None = None
+    mark, language = "", None
+
+    def close_prose() -> None:
+        if body := "\n".join(prose).strip():
+            blocks.append((body, False, None))
+        prose.clear()
+
+    for line in text.split("\n"):
+        if code is not None:
+            code.append(line)
+            if line.strip() == mark:
+                blocks.append(("\n".join(code), True, language))
+                code = None
+        elif m := re.match(r"\s*(`{3,})\s*([\w+#.-]*)\s*$", line):
+            close_prose()
+            code, mark, language = [line], m[1], m[2].lower() or None
+        elif not line.strip():
+            close_prose()
+        else:
+            prose.append(line)
+    if code is not None:
+        blocks.append(("\n".join(code), True, language))
+    close_prose()
+    return blocks
+
+
+def split_code(block: str, language: str | None, size: int) -> list[str]:
+    """Parts of a fenced block in fences of their own, by lines and, within a long line, by tokens."""
+    lines = block.split("\n")
+    mark = re.match(r"\s*(`+)", lines[0])[1]
+    body = lines[1:-1] if lines[-1].strip() == mark else lines[1:]
+    head = mark + (language or "")
+    room = max(1, size - count(head) - count(mark))
+    parts: list[list[str]] = [[]]
+    used = 0
+    for line in body:
+        for piece in [line] if count(line) <= room else cut(line, room):
+            n = count(piece)
+            if used + n > room and parts[-1]:
+                parts.append([])
+                used = 0
+            parts[-1].append(piece)
+            used += n
+    return ["\n".join([head, *p, mark]) for p in parts if p]
+
+
+def chunks(text: str | None, limits: Limits = Limits()) -> list[dict]:
+    """ordinal, text, n_tokens, has_code, language (if only one) of each chunk."""
+    units: list[tuple[str, bool, str | None]] = []
+    for block, code, language in split_blocks(text or ""):
+        if count(block) <= limits.most:
+            units.append((block, code, language))
+        else:
+            units += [(p, code, language) for p in (split_code(block, language, limits.most) if code else cut(block, limits.most))]
+    out: list[list[tuple[str, bool, str | None]]] = []
+    now: list[tuple[str, bool, str | None]] = []
+    size = lambda group: sum(count(u[0]) for u in group)
+
+    def flush() -> None:
+        nonlocal now
+        if not now:
+            return
+        if out and size(now) < limits.least and size(out[-1]) + size(now) <= limits.most:
+            out[-1] = out[-1] + now
+        elif out and limits.overlap and not any(u[1] for u in now):
+            before = tail("\n\n".join(u[0] for u in out[-1]), limits.overlap)
+            out.append([(before, False, None), *now] if size(now) + count(before) <= limits.most else now)
+        else:
+            out.append(now)
+        now = []
+
+    for unit in units:
+        if now and size(now) + count(unit[0]) > limits.target:
+            flush()
+        now.append(unit)
+        if size(now) >= limits.target:
+            flush()
+    flush()
+    rows = []
+    for i, group in enumerate(out):
+        languages = {u[2] for u in group if u[1]}
+        rows.append({"ordinal": i, "text": "\n\n".join(u[0] for u in group), "n_tokens": size(group), "has_code": any(u[1] for u in group), "language": next(iter(languages)) if len(languages) == 1 and all(u[1] for u in group) else None})
+    return rows
+
+
+def _chunks(limits: Limits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, c) for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for c in chunks(text, limits)]
+        kinds = {"ordinal": pa.int32(), "text": pa.string(), "n_tokens": pa.int32(), "has_code": pa.bool_(), "language": pa.string()}
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), *(pa.array([c[k] for _, c in rows], t) for k, t in kinds.items())], ["id", *kinds])
+
+
+def chunked(docs: DataFrame, key: str, text: str, limits: Limits = Limits()) -> DataFrame:
+    rows = docs.selectExpr(f"cast({key} AS bigint) AS id", f"{text} AS text").mapInArrow(partial(_chunks, limits), f"id bigint, {CHUNK}")
+    return rows.withColumnRenamed("id", key)
