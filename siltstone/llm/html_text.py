@@ -120,7 +120,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Used for classes that no labelled page has.
-WORD_WEIGHT, LINK_WORD_WEIGHT, TAG_WEIGHT = 1.0, 0.3, -0.1
+WORD_WEIGHT, TAG_WEIGHT = 1.0, -0.1
+#: A link's text weighs the same in every page and however long, less than the tags around it.
+LINK_WEIGHT = 0.15
 
 
 def learn_weights(pages: DataFrame) -> dict[str, float]:
@@ -155,7 +157,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     scores = np.zeros(len(found))
     for i, (kind, text, _) in enumerate(found):
         if kind.startswith("w:"):
-            scores[i] = weights.get(kind, LINK_WORD_WEIGHT if kind == "w:a" else WORD_WEIGHT) * len(text.split())
+            n = len(text.split())
+            scores[i] = LINK_WEIGHT * min(n, 1) if kind == "w:a" else weights.get(kind, WORD_WEIGHT) * n
         else:
             scores[i] = weights.get(kind, TAG_WEIGHT)
     first, end = best_run(scores)
@@ -178,7 +181,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     Null or empty html, or html without content, has the text "" and n_chars 0.  Each row is
     read alone and whole; repeated rows get equal answers.  Weights come from the table's own
-    pages with marked content; without any, every word weighs 1 (in links 0.3) and every tag -0.1.  Other columns
+    pages with marked content; without any, every word weighs 1 and every tag -0.1.  Other columns
     are ignored; an empty table gives an empty result.
     """
     pages = pages.select("page_id", "url", "html")
