@@ -5,16 +5,17 @@ share a tree's first ``DEPTHS[0]`` values form a region of that order.  A small
 are longest-common-prefix neighbours and become candidates.  A dense region is entered one depth
 further, region by region, and gives at each depth only the links of its members to one hub (the
 member that lies in the densest leaves of all trees), so its candidates grow with its members and
-not with their square.  Every link that counts is confirmed on the full shingle sets.
+not with their square; its members that do not end in the hub's component are then searched for
+by their rarest shingles.  Every link that counts is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
@@ -105,8 +106,18 @@ def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
-def _candidates(signed: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) with a < b: neighbours in small regions and hub links of dense ones, at each depth."""
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df, all columns, whose key is not in ids (one column of that name)."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, "left_anti").select(df.columns)
+
+
+def _candidates(signed: DataFrame, reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a < b: neighbours in small regions and hub links of dense ones, at each depth.
+
+    Also (id, hub) of the members of regions that are dense at the first depth.
+    """
     zipped = F.arrays_zip(*(f"d{d}" for d in DEPTHS))
     rows = semi_join(signed.where("n_shingles > 0"), reps, "doc_id").select(F.col("doc_id").alias("id"), F.explode(zipped).alias("z")).select("id", *(F.col(f"z.d{d}").alias(f"d{d}") for d in DEPTHS))
     pairs, names, dense = [], [], None
@@ -128,7 +139,10 @@ def _candidates(signed: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFra
             names.append("central")
         members = rows.join(central, "id")
         hubs = members.groupBy(key).agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("hub"))
-        pairs.append(rows.join(hubs, key).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
+        led = rows.join(hubs, key)
+        if i == 0:
+            members_of = scratch.keep("dense", led.select("id", "hub").distinct())
+        pairs.append(led.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
         if last:
             break
     out = pairs[0]
@@ -136,12 +150,69 @@ def _candidates(signed: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFra
         out = out.unionByName(p)
     kept = scratch.keep("candidates", out.distinct())
     scratch.drop(*names)
-    return kept
+    return kept, members_of
+
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for first, end, raw, offsets in slices(batch.column("text")):
+            shingles, bounds = Words(raw, offsets).shingles(SHINGLE_WORDS)
+            own = [np.unique(shingles[bounds[d] : bounds[d + 1]]) for d in range(end - first)]
+            sizes = [len(x) for x in own]
+            columns = [np.repeat(ids[first:end], sizes), np.repeat(sizes, sizes).astype(np.int64), np.concatenate(own).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "n", "shingle"])
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
+
+def _beside_hubs(docs: DataFrame, dense: DataFrame, component: Callable[[str], DataFrame], scratch: Scratch) -> DataFrame | None:
+    """(a, b) that dense regions may have kept apart: the exact way for what hubs leave.
+
+    Two documents of one dense region are joined if both are in its hub's component.  So only
+    members that are not need a search, against all members of dense regions.  It is complete:
+    similar sets share one of their rarest shingles (a quarter of the set and one more), and
+    what is most common stands last in that order, so no posting list of a shared passage is met.
+    None if there is nothing to search.
+    """
+    apart = dense.join(component("id"), "id", "left").join(component("hub"), "hub", "left").where(F.coalesce("at_id", "id") != F.coalesce("at_hub", "hub"))
+    apart = scratch.keep("apart", apart.select("id").distinct())
+    if apart.isEmpty():
+        return None
+    members = dense.select(F.col("id").alias("doc_id")).distinct()
+    texts = semi_join(docs, members, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = scratch.keep("shingled", texts.mapInArrow(_shingled, "id bigint, n bigint, shingle bigint"))
+    spread = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("id").orderBy("df", "shingle")
+    kept = F.col("n") - F.floor((SIMILARITY_PERCENT * F.col("n") + 99) / 100) + 1
+    index = scratch.keep("index", rows.join(spread, "shingle").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= kept).select("id", "n", "shingle"))
+    asked = semi_join(index, apart, "id").select(F.col("id").alias("u"), F.col("n").alias("m"), "shingle")
+    near = (100 * F.least("n", "m") >= SIMILARITY_PERCENT * F.greatest("n", "m")) & (F.col("id") != F.col("u"))
+    pairs = asked.join(index, "shingle").where(near).select(F.least("id", "u").alias("a"), F.greatest("id", "u").alias("b")).distinct()
+    scratch.drop("shingled")
+    return pairs
+
+
+def _sketched(pairs: DataFrame, signed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """a, b and share of the pairs whose sketches do not rule out a link."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sketches = scratch.keep(name, semi_join(signed.select("doc_id", "sketch"), ends, "doc_id").groupBy("doc_id").agg(F.first("sketch").alias("sketch")))
+    side = lambda c: sketches.withColumnsRenamed({"doc_id": c, "sketch": f"sketch_{c}"})
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a bigint, b bigint, share double")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = scratch.keep(name, semi_join(docs, ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    side = lambda c: texts.withColumnsRenamed({"doc_id": c, "text": f"text_{c}"})
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
+
+
+def _joined(spark: SparkSession, found: DataFrame, links: DataFrame, scratch: Scratch, turn: str) -> DataFrame:
+    """Components (id, component) after further links."""
+    if links.isEmpty():
+        return found
+    edges = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return scratch.keep(f"components{turn}", connected_components(spark, edges, scratch, f"round{turn}"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -157,9 +228,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     doc_id is in no component (component_id null) and is kept.  Other columns are ignored.  An
     empty table gives an empty result.
 
-    Equal sets collapse to their smallest doc_id first.  Candidates are then confirmed in two
+    Equal sets collapse to their smallest doc_id first.  Candidates are then confirmed in
     rounds: first the likeliest link of each document to a smaller one, then every candidate
-    whose ends the first round has not already joined.  No candidate is left out otherwise.
+    whose ends the first round has not already joined, then what dense regions kept apart.
+    No candidate is left out otherwise.
     """
     scratch = Scratch(spark, "near")
     docs = docs.select("doc_id", "text")
@@ -167,23 +239,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
     sets = scratch.keep("sets", sets)
     reps = sets.select(F.col("rep").alias("doc_id")).distinct()
-    candidates = _candidates(signed, reps, scratch)
-    sketches = semi_join(signed.select("doc_id", "sketch"), candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
-    sketches = scratch.keep("sketches", sketches)
-    sided = candidates.join(sketches.withColumnsRenamed({"doc_id": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"doc_id": "b", "sketch": "sketch_b"}), "b")
-    likely = scratch.keep("likely", sided.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a bigint, b bigint, share double"))
+    candidates, dense = _candidates(signed, reps, scratch)
+    likely = scratch.keep("likely", _sketched(candidates, signed, scratch, "sketches"))
     scratch.drop("candidates", "sketches")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch.keep("texts", semi_join(docs, ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a"))
-    links = scratch.keep("links1", _verified(first, texts))
-    joined = scratch.keep("joined", connected_components(spark, links, scratch, "round1"))
-    at = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"at_{c}"))
-    rest = likely.join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    rest = rest.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b"))
-    links = links.unionByName(scratch.keep("links2", _verified(rest, texts)))
-    found = scratch.keep("components", connected_components(spark, links, scratch, "round2"))
-    scratch.drop("texts", "likely", "joined")
+    links = scratch.keep("links1", _verified(first, docs, scratch, "texts1"))
+    found = scratch.keep("components1", connected_components(spark, links, scratch, "round1"))
+
+    def component(c: str) -> DataFrame:
+        return found.select(F.col("id").alias(c), F.col("component").alias(f"at_{c}"))
+
+    def still_apart(pairs: DataFrame) -> DataFrame:
+        return pairs.join(component("a"), "a", "left").join(component("b"), "b", "left").where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b"))
+
+    rest = still_apart(likely.join(first, ["a", "b"], "left_anti"))
+    found = _joined(spark, found, scratch.keep("links2", _verified(rest, docs, scratch, "texts2")), scratch, "2")
+    beside = _beside_hubs(docs, dense, component, scratch)
+    if beside is not None:
+        beside = scratch.keep("beside", still_apart(beside).select("a", "b"))
+        beside = scratch.keep("likely3", _sketched(beside, signed, scratch, "sketches3"))
+        found = _joined(spark, found, scratch.keep("links3", _verified(beside, docs, scratch, "texts3")), scratch, "3")
+    scratch.drop("texts1", "texts2", "texts3", "likely", "likely3", "sketches3", "beside", "apart", "dense", "index")
     named = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
     whole = signed.select("doc_id", "n_shingles", "key1", "key2")
     if_linked = whole.where("n_shingles > 0 and doc_id is not null").join(named, ["key1", "key2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -193,6 +269,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but for near copies of a document with a smaller doc_id."""
-    dropped = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id")).distinct()
-    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = Scratch(spark, "copies").keep("dropped", near_duplicates(spark, docs).where("not kept").select("doc_id").distinct())
+    return without(docs, dropped, "doc_id")
