@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.near_dedup import BROADCAST_IDS
+from siltstone.llm.near_dedup import without
+from siltstone.llm.scratch import Scratch
 from siltstone.llm.textkit import LOWER, NOT_ALNUM, Words, slices
 
 MIN_MATCH = 4
@@ -31,7 +32,7 @@ PAIRS = "doc_id bigint, item_id bigint, item_words bigint, covered_words bigint,
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    lowered = pc.utf8_lower(column.cast(pa.large_string()))
+    lowered = pc.utf8_lower(column)
     for first, end, raw, offsets in slices(lowered):
         yield first, end, Words(raw, offsets, NOT_ALNUM, LOWER)
 
@@ -170,6 +171,5 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but for contaminated ones."""
-    found = contaminated(spark, docs, items).select("doc_id").distinct()
-    few = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(docs.columns)
+    found = Scratch(spark, "leaks").keep("found", contaminated(spark, docs, items).select("doc_id").distinct())
+    return without(docs, found, "doc_id")

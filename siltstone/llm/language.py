@@ -117,10 +117,10 @@ def text_windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return flat.reshape(-1, WINDOW), np.repeat(np.arange(len(sizes)), per_doc)
 
 
-def _predict(model: ByteCNN, passed: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predict(model: ByteCNN, passed: list[str], text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         best, score = [], []
-        for first, end, raw, offsets in slices(batch.column("__text")):
+        for first, end, raw, offsets in slices(batch.column(text)):
             windows, doc = text_windows(raw, offsets)
             letters = ((windows > 1) & (windows != 28) & (windows != 29)).sum(axis=1)
             p = model.probabilities(windows).astype(np.float64) * letters[:, None]
@@ -167,9 +167,9 @@ def predict(docs: DataFrame, model: ByteCNN | None, keep: list[str], text: str =
     """
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__has_letter"))
+    rows = docs.select(*keep, *([] if text in keep else [text]), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__has_letter"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(partial(_predict, model, keep), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(partial(_predict, model, keep, text), f"{fields}, lang_pred string, score double")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

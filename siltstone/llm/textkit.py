@@ -39,14 +39,16 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 14) -> I
     """(first row, end row, bytes, offsets) of runs of at most ``rows`` rows of about ``limit`` bytes; null is empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, kind)
     raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         end = min(end, len(column), row + rows)
-        yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1].astype(np.int64) - offsets[row]
         row = end
 
 
