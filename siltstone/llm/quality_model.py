@@ -25,6 +25,8 @@ SHAPE_FEATURES = 1 << 14
 N_FEATURES = WORD_FEATURES + SHAPE_FEATURES
 #: The training sample: so many labelled documents at most, in hashed order.
 SAMPLE_DOCS = 4000
+#: Longer texts teach nothing, which bounds the sample's size on the driver.
+SAMPLE_CHARS = 30_000
 THRESHOLD = 0.3
 
 _B = np.arange(256)
@@ -147,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame) -> NBSVM | float:
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
     # at most SAMPLE_DOCS rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
+    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    sample = short.join(F.broadcast(known), "doc_id").select("label", "text")
     rows = sample.mapInArrow(_sparse, "label int, at binary").orderBy("label", F.xxhash64("at")).limit(2 * SAMPLE_DOCS).collect()
     y = np.array([r["label"] for r in rows], np.int64)
     if len(np.unique(y)) < 2 or min(np.bincount(y)) < 5:
