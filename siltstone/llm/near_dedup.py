@@ -168,7 +168,7 @@ def _beside_hubs(docs: DataFrame, dense: DataFrame, component: Callable[[str], D
     """(a, b) that dense regions may have kept apart: the exact way for what hubs leave.
 
     Two documents of one dense region are joined if both are in its hub's component.  So only
-    members that are not need a search, against all members of dense regions.  It is complete:
+    members that are not need a search, against all members of dense regions in other components.  It is complete:
     similar sets share one of their rarest shingles (a quarter of the set and one more), and
     what is most common stands last in that order, so no posting list of a shared passage is met.
     None if there is nothing to search.
@@ -183,9 +183,10 @@ def _beside_hubs(docs: DataFrame, dense: DataFrame, component: Callable[[str], D
     spread = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("id").orderBy("df", "shingle")
     kept = F.col("n") - F.floor((SIMILARITY_PERCENT * F.col("n") + 99) / 100) + 1
-    index = scratch.keep("index", rows.join(spread, "shingle").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= kept).select("id", "n", "shingle"))
-    asked = semi_join(index, apart, "id").select(F.col("id").alias("u"), F.col("n").alias("m"), "shingle")
-    near = (100 * F.least("n", "m") >= SIMILARITY_PERCENT * F.greatest("n", "m")) & (F.col("id") != F.col("u"))
+    index = rows.join(spread, "shingle").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= kept).select("id", "n", "shingle")
+    index = scratch.keep("index", index.join(component("id"), "id", "left").withColumn("at", F.coalesce("at_id", "id")).drop("at_id"))
+    asked = semi_join(index, apart, "id").select(F.col("id").alias("u"), F.col("n").alias("m"), F.col("at").alias("at_u"), "shingle")
+    near = (100 * F.least("n", "m") >= SIMILARITY_PERCENT * F.greatest("n", "m")) & (F.col("at") != F.col("at_u"))
     pairs = asked.join(index, "shingle").where(near).select(F.least("id", "u").alias("a"), F.greatest("id", "u").alias("b")).distinct()
     scratch.drop("shingled")
     return pairs
@@ -256,7 +257,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = _joined(spark, found, scratch.keep("links2", _verified(rest, docs, scratch, "texts2")), scratch, "2")
     beside = _beside_hubs(docs, dense, component, scratch)
     if beside is not None:
-        beside = scratch.keep("beside", still_apart(beside).select("a", "b"))
+        beside = scratch.keep("beside", beside)
         beside = scratch.keep("likely3", _sketched(beside, signed, scratch, "sketches3"))
         found = _joined(spark, found, scratch.keep("links3", _verified(beside, docs, scratch, "texts3")), scratch, "3")
     scratch.drop("texts1", "texts2", "texts3", "likely", "likely3", "sketches3", "beside", "apart", "dense", "index")
