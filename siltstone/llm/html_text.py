@@ -38,9 +38,12 @@ MARKED = frozenset(["article", "main"])
 #: Ends of elements whose end tag authors leave out: a tag of the key closes these.
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: What follows a tag's name: a quote opens a value only after "=" and where it is closed again.
+#: Nothing is given back once read, and the page's end ends a tag, so that a scan is linear.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 _TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|template|iframe|svg|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    rf"<!--(?P<comment>.*?)(?:-->|\Z)|<svg(?=[\s/>]){_ATTRS}(?<=/)>|<(?P<raw>script|style|textarea|noscript|template|iframe|svg|title)(?=[\s/>]){_ATTRS}(?:>|\Z)(?:.*?)(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -69,12 +72,13 @@ def tokens(page: str) -> tuple[list[Token], list[bool]]:
     """The page's tokens without what is never content, and whether each lies in a marked element."""
     out: list[Token] = []
     marks: list[bool] = []
-    open_: list[tuple[str, bool]] = []  # tag, whether it opened a part that is never content
+    open_: list[tuple[str, bool, str]] = []  # tag, whether it opened a part that is never content, the link or block it lies in or is
+    n_open = Counter()
     hidden = marked = block = 0
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
             if not hidden:
-                where = next((t for t, _ in reversed(open_) if t in BLOCKS or t == "a"), "")
+                where = open_[-1][2] if open_ else ""
                 out.append((f"w:{where}", m["text"], block))
                 marks.append(marked > 0)
             continue
@@ -83,26 +87,31 @@ def tokens(page: str) -> tuple[list[Token], list[bool]]:
         tag = m["tag"].lower()
         if m["end"]:
             was_hidden = hidden
-            depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-            if depth is not None:
-                for t, never in open_[depth:]:
-                    hidden -= never
-                    marked -= t in MARKED
-                del open_[depth:]
+            while n_open[tag]:
+                t, never, _ = open_.pop()
+                n_open[t] -= 1
+                hidden -= never
+                marked -= t in MARKED
+                if t == tag:
+                    break
             block += tag in BLOCKS
             if not was_hidden and tag not in NEVER:
                 out.append((f"/{tag}", "", block))
                 marks.append(marked > 0)
             continue
         while open_ and open_[-1][0] in CLOSES.get(tag, ()):
-            hidden -= open_.pop()[1]
+            t, was_never, _ = open_.pop()
+            n_open[t] -= 1
+            hidden -= was_never
         block += tag in BLOCKS
         never = tag not in VOID and never_shown(tag, m["attrs"])
         if not hidden and not never and tag not in NEVER:
             out.append((tag, " " if tag == "br" else "", block))
             marks.append(marked > 0)
         if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
-            open_.append((tag, never))
+            inside = tag if tag in BLOCKS or tag == "a" else open_[-1][2] if open_ else ""
+            open_.append((tag, never, inside))
+            n_open[tag] += 1
             hidden += never
             marked += tag in MARKED
     return out, marks

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on null, empty, long, tied, repeated and clashing input."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -483,3 +484,20 @@ def test_pipeline_by_hand(spark, texts):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} <= kept and not any(item in r["text"] for r in rows for item in items)
     assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in range(8))
+
+
+def test_broken_markup_keeps_text():
+    """A quote opens a value only after "=" and where it closes; an empty svg hides nothing after it."""
+    article = "<article>{}</article>".format
+    assert html_text.extract(article('<p title=5">one "two" three</p>'), {}) == 'one "two" three'
+    assert html_text.extract(article("<p data-x=it's>one</p><p>it's two</p>"), {}) == "one\nit's two"
+    assert html_text.extract('<p class="a>one two</p><p>three</p>', {}) == "one two\nthree"
+    assert html_text.extract('<p>one</p><svg viewBox="0 0 1 1"/><p>two</p><svg><path/></svg><p>three</p>', {}) == "one\ntwo\nthree"
+
+
+@pytest.mark.parametrize("piece", ['<a x="', "<b ", "<p a='", "<!", "<div>", "<b>x ", "<div></p>"])
+def test_long_broken_markup_is_read_once(piece):
+    """Time grows with the page: 80,000 pieces would take minutes if each were scanned to the end."""
+    began = time.perf_counter()
+    html_text.extract(piece * 80_000, {})
+    assert time.perf_counter() - began < 20
