@@ -20,6 +20,19 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GRAM = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
+#: Where the rules of each fault begin to vote bad, the last at what is certainly a fault: per cent
+#: of words, lines or letters; letters a word, and in hundredths for short_words; words of a text.
+STEPS = {
+    "symbols": (12, 17, 21, 25),
+    "lines": (25, 33, 42, 50),
+    "repeats": (15, 20, 25, MOST_REPEATED_PERCENT),
+    "long_words": (12, 13, 14, 15),
+    "short_words": (300, 267, 233, 200),
+    "capitals": (25, 33, 42, 50),
+    "variety": (40, 30, 25, 20),
+    "shouts": (17, 22, 28, 33),
+    "length": (LEAST_WORDS,),
+}
 
 ITERATIONS = 15
 FIRST_ACCURACY = 0.9
@@ -82,23 +95,27 @@ def measures(text: Column) -> Column:
 def votes() -> dict[str, Column]:
     """1 (good), 0 (bad) or null (no opinion) of each rule, over the columns of measures().
 
-    Rules that find a fault vote bad or abstain.  Those that find prose vote good only where
-    no measure hints at a fault, since a text is bad by one fault however good it is otherwise.
+    A fault has a rule for each of its STEPS, so that more of them vote bad the worse it is.  The
+    rules that vote good look at words and at form alone and not at faults, so that they can be
+    outvoted, or outvote a slight fault: what the rules' estimated accuracies say decides.
     """
     c, n = F.col, F.greatest(F.col("n_words"), F.lit(1))
-    calm = (10 * c("n_symbols") < n) & (5 * c("n_capitals") < c("word_chars")) & (20 * c("n_shouts") < n) & (c("n_dup_lines") == 0)
-    varied = (20 * c("n_repeat_words") <= n) & ((5 * c("n_distinct") > 2 * n) | (n > 2000)) & (c("word_chars") >= 3 * n) & (c("word_chars") <= 12 * n)
-    return {
-        "symbols": F.when(4 * c("n_symbols") > n, 0),
-        "lines": F.when((2 * c("n_dup_lines") > c("n_lines")) & (c("n_dup_lines") > 2), 0),
-        "repeats": F.when(100 * c("n_repeat_words") > MOST_REPEATED_PERCENT * n, 0),
-        "word_length": F.when((c("word_chars") < 2 * n) | (c("word_chars") > 15 * n), 0),
-        "capitals": F.when(2 * c("n_capitals") > c("word_chars"), 0),
-        "variety": F.when((5 * c("n_distinct") < n) & (n < 2000), 0),
-        "shouts": F.when(3 * c("n_shouts") > n, 0),
-        "length": F.when(n < LEAST_WORDS, 0),
-        "calm": F.when(calm & varied, 1),
-        "prose": F.when(calm & varied & (n >= 50), 1),
+    long = n >= 2000  # the longer a text, the fewer of its words are new
+    faults = {
+        "symbols": lambda k: 100 * c("n_symbols") > k * n,
+        "lines": lambda k: (100 * c("n_dup_lines") > k * c("n_lines")) & (c("n_dup_lines") > 2),
+        "repeats": lambda k: 100 * c("n_repeat_words") > k * n,
+        "long_words": lambda k: c("word_chars") > k * n,
+        "short_words": lambda k: 100 * c("word_chars") < k * n,
+        "capitals": lambda k: 100 * c("n_capitals") > k * c("word_chars"),
+        "variety": lambda k: (100 * c("n_distinct") < k * n) & ~long,
+        "shouts": lambda k: 100 * c("n_shouts") > k * n,
+        "length": lambda k: n < k,
+    }
+    bad = {f"{fault}_{k}": F.when(rule(k), 0) for fault, rule in faults.items() for k in STEPS[fault]}
+    return bad | {
+        "words": F.when((n >= 50) & (long | (5 * c("n_distinct") > 2 * n)), 1),
+        "form": F.when((c("word_chars") >= 3 * n) & (c("word_chars") <= 12 * n) & (10 * c("n_dup_lines") <= c("n_lines")), 1),
     }
 
 
@@ -112,20 +129,23 @@ def posterior(rules: list[str], accuracy: dict[str, float]) -> Column:
 
 
 def estimate(patterns: DataFrame, rules: list[str]) -> dict[str, float]:
-    """Accuracies by expectation-maximisation over counted vote patterns (3 ** rules at most)."""
+    """Accuracies by expectation-maximisation over counted vote patterns (few, as a fault's steps nest).
+
+    Weights are the items of one literal, so that every round runs the same compiled code.
+    """
     accuracy = dict.fromkeys(rules, FIRST_ACCURACY)
+    votes = F.array(*(F.coalesce(2 * F.col(f"v_{r}") - 1, F.lit(0)) for r in rules))
+    ballots = patterns.select("n", votes.alias("votes")).coalesce(1)
     for _ in range(ITERATIONS):
-        p = patterns.withColumn("p", posterior(rules, accuracy))
-        sums = [F.sum("n").alias("n")]
-        for r in rules:
-            v = F.col(f"v_{r}")
-            right = F.when(v == 1, F.col("p")).when(v == 0, 1 - F.col("p"))
-            sums += [F.sum(F.when(v.isNotNull(), F.col("n"))).alias(f"{r}_votes"), F.sum(F.col("n") * right).alias(f"{r}_right")]
-        s = p.agg(*sums).first()
-        if not s["n"]:
+        weights = F.array(*(F.lit(math.log(accuracy[r] / (1 - accuracy[r]))) for r in rules))
+        score = F.aggregate(F.zip_with("votes", weights, lambda v, w: v * w), F.lit(0.0), lambda acc, x: acc + x)
+        each = ballots.select("n", "votes", (1 / (1 + F.exp(-score))).alias("p")).select("n", "p", F.posexplode("votes").alias("rule", "vote")).where("vote <> 0")
+        right = F.col("n") * F.when(F.col("vote") > 0, F.col("p")).otherwise(1 - F.col("p"))
+        counts = {rules[r["rule"]]: r for r in each.groupBy("rule").agg(F.sum("n").alias("votes"), F.sum(right).alias("right")).collect()}  # a row a rule
+        if not counts:
             break
         last = accuracy
-        accuracy = {r: min(max(((s[f"{r}_right"] or 0.0) + 9) / ((s[f"{r}_votes"] or 0) + 10), LEAST_ACCURACY), 0.999) for r in rules}
+        accuracy = {r: min(max(((counts[r]["right"] if r in counts else 0.0) + 9) / ((counts[r]["votes"] if r in counts else 0) + 10), LEAST_ACCURACY), 0.999) for r in rules}
         if max(abs(accuracy[r] - last[r]) for r in rules) < 1e-4:
             break
     return accuracy

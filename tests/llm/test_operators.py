@@ -246,6 +246,31 @@ def test_accuracies_by_hand(spark):
     assert all(abs(got[r] - acc[r]) < 1e-9 for r in rules)
 
 
+def prose(n, symbols=0, salt=0):
+    return " ".join([f"word{chr(97 + (i + salt) % 26)}{chr(97 + (i * 7 + salt) % 25)}{chr(97 + i // 25)}" for i in range(n - symbols)] + ["#"] * symbols)
+
+
+def test_accuracies_decide_what_is_kept(spark, monkeypatch):
+    """The same text with a fault and good votes is kept or not, as the rules are held to be right."""
+    docs = spark.createDataFrame([(1, prose(100, 30)), (2, prose(100))], "doc_id int, text string")
+    kept = []
+    for fault, good in ((0.9, 0.6), (0.6, 0.99)):
+        monkeypatch.setattr(quality_rules, "estimate", lambda patterns, rules, f=fault, g=good: {r: f if "_" in r else g for r in rules})
+        kept.append({r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark, docs).collect()})
+    assert kept == [{1: False, 2: True}, {1: True, 2: True}]
+
+
+def test_estimated_accuracies_depend_on_the_corpus(spark):
+    """A slight fault is forgiven where it comes alone, and not where it is a sign of worse; single bad faults are never kept."""
+    clean = [(i, prose(100, salt=i)) for i in range(100, 160)]
+    worse = [(i, prose(100, 30, salt=i)) for i in range(300, 330)]
+    slight = [(1, prose(100, 15)), (2, prose(100, 15, 3))]
+    alone, among = ({r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark, spark.createDataFrame(rows, "doc_id int, text string")).collect()} for rows in (clean + slight, clean + worse + slight))
+    assert alone[1] and all(alone[i] and among[i] for i, _ in clean)
+    assert not any(among[i] for i, _ in worse)
+    assert not among[1]
+
+
 # 6 and 8: learned scores
 
 
