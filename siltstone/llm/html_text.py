@@ -34,7 +34,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie copyright cookies discussion disqus footer gdpr header legal links login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar trending widget widgets".split()
 )
+#: Words of a class or id that say what a part has beside it, or lacks, and not what it is.
+RELATIONS = frozenset("has have having with without no not non".split())
 MARKED = frozenset(["article", "main"])
+#: Why a part is never content: its tag or that it is not displayed, a name that says something else too, a name that says only that.
+SURE, MIXED, NAMED = 1, 2, 3
 #: Ends of elements whose end tag authors leave out: a tag of the key closes these.
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -46,7 +50,8 @@ _TOKEN = re.compile(
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: An attribute's name and its value, which is read as a whole, so that nothing in it is a name.
+_ATTR = re.compile(r"([^\s\"'=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(\S++)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -54,28 +59,62 @@ _SPACE = re.compile(r"\s+")
 Token = tuple[str, str, int]
 
 
-def never_shown(tag: str, attrs: str) -> bool:
+def never_shown(tag: str, attrs: str) -> int:
+    """SURE, MIXED or NAMED where the element is never content, or 0."""
     if tag in NEVER:
-        return True
+        return SURE
     if tag in ("body", "html", "article", "main") or not attrs:
-        return False
-    for m in _NAMED.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in NEVER_WORDS for w in _PART.findall(value)):
-            return True
-    return False
+        return 0
+    values: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", values.get("style", ""), re.I):
+        return SURE
+    why = 0
+    for token in " ".join(values.get(name, "") for name in ("class", "id", "role")).split():
+        words = [w.lower() for w in _PART.findall(token)]
+        if not RELATIONS.isdisjoint(words) or NEVER_WORDS.isdisjoint(words):
+            continue
+        why = max(why, NAMED if NEVER_WORDS.issuperset(words) else MIXED)
+    return why
 
 
 def tokens(page: str) -> tuple[list[Token], list[bool]]:
-    """The page's tokens without what is never content, and whether each lies in a marked element."""
+    """The page's tokens without what is never content, and whether each lies in a marked element.
+
+    Where every marked element lies in parts that only a name hides, those parts are opened: any
+    with ``<main>`` or a mixed name, and if no word is left then all.
+    """
+    out, marks, hiders = _read(page, frozenset())
+    if hiders and not any(marks):
+        empty = not any(kind.startswith("w:") and not text.isspace() for kind, text, _ in out)
+        if opened := frozenset(k for k, (why, tag) in hiders.items() if empty or why == MIXED or tag == "main"):
+            out, marks, _ = _read(page, opened)
+    return out, marks
+
+
+def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], dict[int, tuple[int, str]]]:
+    """Tokens, marks, and by tag's number what a name hides though it holds a marked element: why, and which."""
     out: list[Token] = []
     marks: list[bool] = []
-    open_: list[tuple[str, bool, str]] = []  # tag, whether it opened a part that is never content, the link or block it lies in or is
+    open_: list[tuple[str, int, str]] = []  # tag, why it is never content, the link or block it lies in or is
     n_open = Counter()
-    hidden = marked = block = 0
-    for m in _TOKEN.finditer(page):
+    hidden = marked = block = sure = 0
+    hiding: list[tuple[int, int]] = []  # number and why of each open part that is never content
+    hiders: dict[int, tuple[int, str]] = {}
+
+    def close() -> str:
+        nonlocal hidden, marked, sure
+        t, why, _ = open_.pop()
+        n_open[t] -= 1
+        marked -= t in MARKED
+        if why:
+            hidden -= 1
+            sure -= why == SURE
+            hiding.pop()
+        return t
+
+    for number, m in enumerate(_TOKEN.finditer(page)):
         if m["text"] is not None:
             if not hidden:
                 where = open_[-1][2] if open_ else ""
@@ -88,11 +127,7 @@ def tokens(page: str) -> tuple[list[Token], list[bool]]:
         if m["end"]:
             was_hidden = hidden
             while n_open[tag]:
-                t, never, _ = open_.pop()
-                n_open[t] -= 1
-                hidden -= never
-                marked -= t in MARKED
-                if t == tag:
+                if close() == tag:
                     break
             block += tag in BLOCKS
             if not was_hidden and tag not in NEVER:
@@ -100,21 +135,27 @@ def tokens(page: str) -> tuple[list[Token], list[bool]]:
                 marks.append(marked > 0)
             continue
         while open_ and open_[-1][0] in CLOSES.get(tag, ()):
-            t, was_never, _ = open_.pop()
-            n_open[t] -= 1
-            hidden -= was_never
+            close()
         block += tag in BLOCKS
-        never = tag not in VOID and never_shown(tag, m["attrs"])
+        never = 0 if tag in VOID or number in opened else never_shown(tag, m["attrs"])
         if not hidden and not never and tag not in NEVER:
             out.append((tag, " " if tag == "br" else "", block))
             marks.append(marked > 0)
+        if tag in MARKED and hidden and not sure:
+            for k, why in reversed(hiding):
+                if hiders.get(k, (0, ""))[1] in (tag, "main"):
+                    break  # and so are those around it
+                hiders[k] = why, tag
         if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
             inside = tag if tag in BLOCKS or tag == "a" else open_[-1][2] if open_ else ""
             open_.append((tag, never, inside))
             n_open[tag] += 1
-            hidden += never
             marked += tag in MARKED
-    return out, marks
+            if never:
+                hidden += 1
+                sure += never == SURE
+                hiding.append((number, never))
+    return out, marks, hiders
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -526,3 +526,28 @@ def test_long_broken_markup_is_read_once(piece):
     began = time.perf_counter()
     html_text.extract(piece * 80_000, {})
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'><p>one two</p></div>",
+        "<div class='layout with-nav no-footer'><article><p>one two</p></article></div>",
+        "<div id='page-with-comments'><p>one two</p></div>",
+        "<div class='sidebar-layout'><article><p>one two</p></article></div>",
+        "<div class='banner'><div><main><p>one two</p></main></div></div>",
+        "<div class='promo'><article><p>one two</p></article></div>",
+        "<p title='the hidden cost'>one two</p>",
+        "<p><a href='/hidden-valley/x'>one two</a> </p><p data-x=\"id='nav'\"></p>",
+    ],
+)
+def test_content_is_not_hidden_by_its_wrapper(page):
+    assert html_text.extract(page, {"w:a": 1.0}) == "one two"
+
+
+def test_parts_stay_hidden():
+    article = "<article><p>one two three</p></article>{}".format
+    for part in ("<div class='comments'><article>no</article></div>", "<div class='related-posts'><article>no</article></div>", "<p hidden>no</p>", "<div class='site-header'>no</div>", "<p id=nav>no</p>", "<p style='DISPLAY: none'>no</p>"):
+        assert html_text.extract(article(part), {}) == "one two three"
+    assert html_text.extract("<div hidden class=banner><main>no</main></div>", {}) == ""
+    assert html_text.extract("<p>one two three</p><div class='comments'><article>no</article></div>", {}) == "one two three"
