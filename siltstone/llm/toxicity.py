@@ -10,6 +10,7 @@ other hits.  A logistic model over the hits' scores gives the probability.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -28,9 +29,6 @@ THRESHOLD = 0.3
 LEXICON_TERMS = 400
 LEAST_SUPPORT = 4
 LEAST_WORDS = 4
-#: Learned terms with this support are also looked for misspelled, up to so many.
-FUZZY_SUPPORT = 10
-FUZZY_TERMS = 100
 LEAST_LOG_ODDS = 1.6
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Shorter terms are matched exactly.
@@ -44,6 +42,7 @@ REPORTING = frozenset("said says wrote called quote quoted quoting word term sag
 ADDRESS = frozenset("you your you're u ur du dich dir ihr euch tu te toi vous tú ti usted ustedes".split())
 QUOTES = "\"“”„«»‘’‹›"
 EDGES = " \t\r\n.,;:!?()[]{}<>|#$%&*+=~^`'_-/\\" + QUOTES
+INSIDE = re.compile(r"(?<=[^\W_])(?:[^\w\s]|_)+(?=[^\W_])")
 SEED_WEIGHT = 3.0
 
 
@@ -125,6 +124,7 @@ class Lexicon:
         self.halves = {n: sorted({h for h, _ in ends}) for n, ends in self.ends.items()}
         self.stem_lengths = sorted({len(s) for s in stems})
         self.cache: dict[str, tuple[float, int] | None] = {}
+        self.cut: dict[str, tuple[str, ...]] = {}
 
     def look_up(self, token: str) -> tuple[float, int] | None:
         """(weight, errors) of the best entry for a lower-case token, or None."""
@@ -135,6 +135,16 @@ class Lexicon:
         self.cache[token] = found = self._find(token.strip(EDGES))
         return found
 
+    def apart(self, token: str) -> tuple[str, ...]:
+        """The token's parts between punctuation where one of them is a hit and the whole is none, else the token."""
+        if token in self.cut:
+            return self.cut[token]
+        if len(self.cut) >= CACHED_WORDS:
+            self.cut.clear()
+        parts = tuple(INSIDE.split(token))
+        self.cut[token] = parts = parts if len(parts) > 1 and self.look_up(token) is None and any(self.look_up(p) for p in parts) else (token,)
+        return parts
+
     def _find(self, word: str) -> tuple[float, int] | None:
         if len(word) < 3:
             return None
@@ -154,6 +164,9 @@ class Lexicon:
     def features(self, text: str | None) -> list[float]:
         """1, and how much, how strong, how dense and how misspelled the hits are; all 0 without any."""
         tokens = (text or "").lower().split()
+        apart = {t: parts for t in set(tokens) if not t.isalnum() and len(parts := self.apart(t)) > 1}
+        if apart:
+            tokens = [p for t in tokens for p in apart.get(t, (t,))]
         found = {t: hit for t in set(tokens) if (hit := self.look_up(t)) is not None}
         if not found:
             return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
@@ -194,7 +207,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     reach the driver, LEXICON_TERMS of either kind at most.
     """
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    words = F.filter(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES)))), lambda w: F.length(w) >= 3)
+    trimmed = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES)))
+    words = F.filter(F.array_union(trimmed, F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= 3)
     counts = sample.select("label", F.explode(words).alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
     beginnings = F.transform(F.filter(F.array(*map(F.lit, STEM_LENGTHS)), lambda k: F.length("term") > k), lambda k: F.col("term").substr(F.lit(1), k))
     stems = counts.select("n1", "n0", F.explode(beginnings).alias("term")).groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count_if(F.col("n1") > 0).alias("k")).where(F.col("k") >= LEAST_WORDS)
@@ -208,13 +222,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     for r in sorted(best(stems), key=lambda r: (len(r["term"]), r["term"])):
         if not any(kept.get(r["term"][:k], -9) >= r["odds"] - 0.7 for k in STEM_LENGTHS):
             kept[r["term"]] = float(r["odds"])
-    terms, fuzzy = dict.fromkeys(SEED_TERMS, SEED_WEIGHT), set(SEED_TERMS)
-    for r in best(counts):
-        if not any(kept.get(r["term"][:k], -9) >= r["odds"] - 0.7 for k in STEM_LENGTHS):
-            terms[r["term"]] = float(r["odds"])
-            if r["n1"] >= FUZZY_SUPPORT and len(fuzzy) < FUZZY_TERMS:
-                fuzzy.add(r["term"])
-    return Lexicon(terms, kept, fuzzy)
+    terms = {r["term"]: float(r["odds"]) for r in best(counts)} | dict.fromkeys(SEED_TERMS, SEED_WEIGHT)
+    return Lexicon(terms, kept, set(terms))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:

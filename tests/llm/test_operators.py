@@ -551,3 +551,17 @@ def test_parts_stay_hidden():
         assert html_text.extract(article(part), {}) == "one two three"
     assert html_text.extract("<div hidden class=banner><main>no</main></div>", {}) == ""
     assert html_text.extract("<p>one two three</p><div class='comments'><article>no</article></div>", {}) == "one two three"
+
+
+def test_every_lexicon_term_is_found_misspelled(spark):
+    """Rare terms, terms that a stem covers, and all of more than a hundred; and words with punctuation between them."""
+    letters = "bcdfghklmnprstvwz"
+    many = [f"{a}o{b}u{c}ax" for a in letters[:6] for b in letters[6:11] for c in letters[11:16]]
+    stemmed = [f"grumb{x}" for x in ("ling", "lers", "ledon", "lique", "latus")]
+    rows = [(1, f"{w} plain words") for w in many + stemmed for _ in range(5)] + [(0, "plain words here")] * 1000
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))
+    assert any("grumbling".startswith(s) for s in lexicon.stems)
+    for term in [*many, *stemmed]:
+        assert lexicon.look_up(term[:1] + "j" + term[2:]) is not None, term
+    for text in ("idiot,you", "you/idiot", "such idiot...moron"):
+        assert lexicon.features(text)[1] > 0
