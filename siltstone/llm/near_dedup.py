@@ -1,17 +1,17 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Each of ``TREES`` trees orders the documents by its own run of MinHash values.  Documents that
-share a tree's first ``DEPTHS[0]`` values form a region of that order.  A small region's members
-are longest-common-prefix neighbours and become candidates.  A dense region is entered one depth
-further, region by region, and gives at each depth only the links of its members to one hub (the
-member that lies in the densest leaves of all trees), so its candidates grow with its members and
-not with their square; its members that do not end in the hub's component are then searched for
-by their rarest shingles.  Every link that counts is confirmed on the full shingle sets.
+Each of ``TREES`` trees orders the documents by its own run of MinHash values.  Neighbours in
+that order are those with the longest common prefix.  Documents that share a tree's first values
+form a region: in a small one all members are candidates of each other, in a dense one only each
+member's closest neighbours, whose common prefix goes as deep as the region is dense, so that
+candidates grow with the rows.  What a dense region still holds apart is then searched for by its
+rarest shingles.  Every link that counts is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,16 @@ from siltstone.llm.textkit import Words, mix, slices
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 TREES = 24
-DEPTHS = (3, 5, 8)
+#: Signature values a tree, as 16 bits each: the first four in ``hi``, the others in ``lo``.
+DEPTH = 8
+#: Documents whose first three values in a tree are equal share a region.
+PREFIX_SHIFT = 16
 #: A region with more members is dense.
 REGION = 12
+#: Neighbours on either side that are candidates in a dense region; in others, all are.
+CLOSEST = 2
+#: Rows (40 bytes) of a range of an order.
+ROWS_A_RANGE = 1_000_000
 #: Candidates whose share of equal signature bytes is lower are dropped before their sets are
 #: compared: about five standard deviations below SIMILARITY_PERCENT.
 SKETCH_FLOOR = 0.59
@@ -35,10 +42,12 @@ SKETCH_FLOOR = 0.59
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
-_MUL = _rng.integers(0, 2**32, TREES * DEPTHS[-1], dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 2**32, TREES * DEPTHS[-1], dtype=np.uint64).astype(np.uint32)
+_MUL = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 
-_SIGNED = "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sketch binary, " + ", ".join(f"d{d} array<bigint>" for d in DEPTHS)
+_SIGNED = "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sketch binary, hi array<bigint>, lo array<bigint>"
+_FOUND = "kind int, tree bigint, hi bigint, lo bigint, a bigint, b bigint"
+PAIR, DENSE, SEAM = range(3)
 
 
 def _signature(shingles: np.ndarray) -> np.ndarray:
@@ -62,15 +71,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size[d] = len(own)
                     keys[0, d], keys[1, d] = mix(own, 1).sum(dtype=np.uint64), mix(own, 2).sum(dtype=np.uint64)
                     signature[d] = _signature(own)
-            trees = signature.reshape(n, TREES, DEPTHS[-1]).astype(np.uint64)
-            state, labels = mix(np.arange(TREES, dtype=np.uint64), 3)[None, :] + np.zeros((n, 1), np.uint64), []
-            for j in range(DEPTHS[-1]):
-                state = mix(state * np.uint64(31) + trees[:, :, j], 4)
-                if j + 1 in DEPTHS:
-                    labels.append(pa.ListArray.from_arrays(np.arange(0, (n + 1) * TREES, TREES, dtype=np.int32), pa.array(state.view(np.int64).reshape(-1))))
+            parts = (mix(signature.reshape(n, TREES, 2, 4).astype(np.uint64), 4) >> np.uint64(48)) << np.array([48, 32, 16, 0], np.uint64)
+            bounds_of = np.arange(0, (n + 1) * TREES, TREES, dtype=np.int32)
+            keys_of = [pa.ListArray.from_arrays(bounds_of, pa.array(half.view(np.int64).reshape(-1))) for half in np.ascontiguousarray(np.moveaxis(parts.sum(axis=3, dtype=np.uint64), 2, 0))]
             sketch = pa.array([row.tobytes() for row in (signature & 0xFF).astype(np.uint8)], pa.binary())
-            columns = [batch.column("doc_id").slice(first, n), pa.array(size), *(pa.array(k.view(np.int64)) for k in keys), sketch, *labels]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key1", "key2", "sketch", *(f"d{d}" for d in DEPTHS)])
+            columns = [batch.column("doc_id").slice(first, n), pa.array(size), *(pa.array(k.view(np.int64)) for k in keys), sketch, *keys_of]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key1", "key2", "sketch", "hi", "lo"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,44 +119,63 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_anti").select(df.columns)
 
 
+def _found(kind: int, tree: np.ndarray, hi: np.ndarray, lo: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = [np.full(len(a), kind, np.int32), tree, hi, lo, a, np.zeros(len(a), np.int64) if b is None else b]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "tree", "hi", "lo", "a", "b"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PAIR, DENSE and SEAM rows of one sorted run of (tree, hi, lo, id).
+
+    Rows stay at hand until REGION rows after them are known, and REGION handled rows before
+    them, so that every region of more than REGION members in the run is seen to be one.
+    """
+    held, done, opened = np.zeros((4, 0), np.int64), 0, 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+        n = held.shape[1]
+        if opened < min(n, REGION):
+            yield _found(SEAM, *held[:, opened : min(n, REGION)])
+            opened = min(n, REGION)
+        until = n if batch is None else max(done, n - REGION)
+        if until > done:
+            tree, hi, lo, own = held
+            fresh = np.ones(n, bool)
+            fresh[1:] = (tree[1:] != tree[:-1]) | (hi[1:] >> PREFIX_SHIFT != hi[:-1] >> PREFIX_SHIFT)
+            region = np.cumsum(fresh) - 1
+            dense = np.bincount(region)[region] > REGION
+            for k in range(1, REGION):
+                i = np.arange(done, min(until, n - k))
+                i = i[(region[i] == region[i + k]) & (own[i] != own[i + k]) & (~dense[i] if k > CLOSEST else True)]
+                yield _found(PAIR, tree[i], hi[i], lo[i], np.minimum(own[i], own[i + k]), np.maximum(own[i], own[i + k]))
+            i = done + np.flatnonzero(dense[done:until])
+            yield _found(DENSE, tree[i], hi[i] >> PREFIX_SHIFT, lo[i], own[i])
+        if batch is None:
+            yield _found(SEAM, *held[:, -REGION:])
+            return
+        cut = max(0, until - REGION)
+        held, done = held[:, cut:], until - cut
+
+
 def _candidates(signed: DataFrame, reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, b) with a < b: neighbours in small regions and hub links of dense ones, at each depth.
+    """(a, b) with a < b: longest-common-prefix neighbours of each tree's order; (tree, prefix, id) of dense regions.
 
-    Also (id, hub) of the members of regions that are dense at the first depth.
+    The orders are dealt by range, ties by id, so that no region is too large for a task.  What
+    lies at the two ends of each range is sorted once more, so that no neighbours are parted.
     """
-    zipped = F.arrays_zip(*(f"d{d}" for d in DEPTHS))
-    rows = semi_join(signed.where("n_shingles > 0"), reps, "doc_id").select(F.col("doc_id").alias("id"), F.explode(zipped).alias("z")).select("id", *(F.col(f"z.d{d}").alias(f"d{d}") for d in DEPTHS))
-    pairs, names, dense = [], [], None
-    for i, d in enumerate(DEPTHS):
-        key, last = f"d{d}", d == DEPTHS[-1]
-        counts = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-        inside = scratch.keep(f"region{d}", rows.join(counts, key))
-        names.append(f"region{d}")
-        small = inside.where(F.col("n") <= REGION).groupBy(key).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        # at most REGION members each: the later neighbours of each member in the tree's order
-        ranked = small.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.slice("ids", F.col("i") + 2, REGION)).alias("b"))
-        pairs.append(ranked)
-        rows = inside.where(F.col("n") > REGION).drop("n")
-        if i == 0:
-            dense = rows
-            leaf = f"d{DEPTHS[-1]}"
-            leaves = dense.groupBy(leaf).agg(F.count("*").alias("n"))
-            central = scratch.keep("central", dense.join(leaves, leaf).groupBy("id").agg(F.sum("n").alias("c")))
-            names.append("central")
-        members = rows.join(central, "id")
-        hubs = members.groupBy(key).agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("hub"))
-        led = rows.join(hubs, key)
-        if i == 0:
-            members_of = scratch.keep("dense", led.select("id", "hub").distinct())
-        pairs.append(led.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
-        if last:
-            break
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    kept = scratch.keep("candidates", out.distinct())
-    scratch.drop(*names)
-    return kept, members_of
+    spark, order = signed.sparkSession, ["tree", "hi", "lo", "id"]
+    own = scratch.keep("trees", semi_join(signed.where("n_shingles > 0"), reps, "doc_id").select(F.col("doc_id").alias("id"), "hi", "lo"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.count() * TREES // ROWS_A_RANGE)
+    rows = own.select("id", F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "z")).select(F.col("tree").cast("bigint").alias("tree"), "z.hi", "z.lo", "id")
+    found = scratch.keep("near", rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND))
+    ends = found.where(F.col("kind") == SEAM).select("tree", "hi", "lo", F.col("a").alias("id")).distinct()
+    # 2 * REGION rows a range at most
+    found = found.unionByName(scratch.keep("seams", ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND)))
+    pairs = scratch.keep("candidates", found.where(F.col("kind") == PAIR).select("a", "b").distinct())
+    dense = scratch.keep("dense", found.where(F.col("kind") == DENSE).select("tree", F.col("hi").alias("prefix"), F.col("a").alias("id")).distinct())
+    scratch.drop("trees", "near", "seams")
+    return pairs, dense
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,31 +189,35 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "n", "shingle"])
 
 
-def _beside_hubs(docs: DataFrame, dense: DataFrame, component: Callable[[str], DataFrame], scratch: Scratch) -> DataFrame | None:
-    """(a, b) that dense regions may have kept apart: the exact way for what hubs leave.
+def _unread(docs: DataFrame, dense: DataFrame, component: Callable[[str], DataFrame], scratch: Scratch) -> DataFrame | None:
+    """(a, b) that dense regions may have kept apart: the exact way for what their neighbours leave.
 
-    Two documents of one dense region are joined if both are in its hub's component.  So only
-    members that are not need a search, against all members of dense regions in other components.  It is complete:
-    similar sets share one of their rarest shingles (a quarter of the set and one more), and
-    what is most common stands last in that order, so no posting list of a shared passage is met.
-    None if there is nothing to search.
+    Two documents of one dense region are joined if both are in the component that has most of
+    its members.  So only members that are not need a search, against all members of regions
+    that hold several components.  It is complete: in the order from rarest to most common
+    shingle, two similar sets share a first one, and what follows it in both suffices for the
+    overlap that the link needs.  What is most common stands last in that order, so that no posting
+    list of a shared passage is met.  None if there is nothing to search.
     """
-    apart = dense.join(component("id"), "id", "left").join(component("hub"), "hub", "left").where(F.coalesce("at_id", "id") != F.coalesce("at_hub", "hub"))
-    apart = scratch.keep("apart", apart.select("id").distinct())
-    if apart.isEmpty():
+    placed = scratch.keep("placed", dense.join(component("id"), "id", "left").withColumn("at", F.coalesce("at_id", "id")).drop("at_id"))
+    tally = placed.groupBy("tree", "prefix", "at").agg(F.count("*").alias("n"))
+    mixed = tally.groupBy("tree", "prefix").agg(F.count("*").alias("k"), F.max_by("at", F.struct("n", -F.col("at"))).alias("main")).where("k > 1").drop("k")
+    inside = scratch.keep("mixed", placed.join(mixed, ["tree", "prefix"]).groupBy("id", "at").agg(F.max(F.col("at") != F.col("main")).alias("asks")))
+    if inside.isEmpty():
         return None
-    members = dense.select(F.col("id").alias("doc_id")).distinct()
-    texts = semi_join(docs, members, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = semi_join(docs, inside.select(F.col("id").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = scratch.keep("shingled", texts.mapInArrow(_shingled, "id bigint, n bigint, shingle bigint"))
-    spread = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    spread = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     rarest = Window.partitionBy("id").orderBy("df", "shingle")
-    kept = F.col("n") - F.floor((SIMILARITY_PERCENT * F.col("n") + 99) / 100) + 1
-    index = rows.join(spread, "shingle").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= kept).select("id", "n", "shingle")
-    index = scratch.keep("index", index.join(component("id"), "id", "left").withColumn("at", F.coalesce("at_id", "id")).drop("at_id"))
-    asked = semi_join(index, apart, "id").select(F.col("id").alias("u"), F.col("n").alias("m"), F.col("at").alias("at_u"), "shingle")
-    near = (100 * F.least("n", "m") >= SIMILARITY_PERCENT * F.greatest("n", "m")) & (F.col("at") != F.col("at_u"))
+    # shingles of one document alone stand first and are met by none
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    index = rows.join(spread, "shingle").withColumn("i", alone + F.row_number().over(rarest)).where(F.col("i") <= F.col("n") - F.ceil(SIMILARITY_PERCENT * F.col("n") / 100) + 1)
+    index = scratch.keep("index", index.join(inside, "id").select("id", "n", "shingle", "i", "at", "asks"))
+    asked = index.where("asks").select(F.col("id").alias("u"), F.col("n").alias("m"), F.col("at").alias("at_u"), F.col("i").alias("j"), "shingle")
+    overlap = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1
+    near = (F.col("at") != F.col("at_u")) & (overlap * (100 + SIMILARITY_PERCENT) >= SIMILARITY_PERCENT * (F.col("n") + F.col("m")))
     pairs = asked.join(index, "shingle").where(near).select(F.least("id", "u").alias("a"), F.greatest("id", "u").alias("b")).distinct()
-    scratch.drop("shingled")
+    scratch.drop("shingled", "placed")
     return pairs
 
 
@@ -225,9 +254,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reach, and kept says that it is the document's own.
 
     Null or empty text, or text without words, has an empty set, is linked with nothing and is
-    kept.  Rows with equal doc_id get one verdict for all (that of the smallest text).  A null
-    doc_id is in no component (component_id null) and is kept.  Other columns are ignored.  An
-    empty table gives an empty result.
+    kept.  Rows with equal doc_id are each placed by their own text, whose links are confirmed
+    on the smallest of the texts.  A null doc_id is in no component (component_id null) and is
+    kept.  Very long texts are read whole: a text's set takes 8 bytes a shingle while it is
+    signed.  Ties in an order are broken by doc_id, so that reruns agree.  Other columns are
+    ignored, whatever their names.  An empty table gives an empty result.
 
     Equal sets collapse to their smallest doc_id first.  Candidates are then confirmed in
     rounds: first the likeliest link of each document to a smaller one, then every candidate
@@ -255,12 +286,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     rest = still_apart(likely.join(first, ["a", "b"], "left_anti"))
     found = _joined(spark, found, scratch.keep("links2", _verified(rest, docs, scratch, "texts2")), scratch, "2")
-    beside = _beside_hubs(docs, dense, component, scratch)
+    beside = _unread(docs, dense, component, scratch)
     if beside is not None:
         beside = scratch.keep("beside", beside)
         beside = scratch.keep("likely3", _sketched(beside, signed, scratch, "sketches3"))
         found = _joined(spark, found, scratch.keep("links3", _verified(beside, docs, scratch, "texts3")), scratch, "3")
-    scratch.drop("texts1", "texts2", "texts3", "likely", "likely3", "sketches3", "beside", "apart", "dense", "index")
+    scratch.drop("texts1", "texts2", "texts3", "likely", "likely3", "sketches3", "beside", "mixed", "dense", "index")
     named = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
     whole = signed.select("doc_id", "n_shingles", "key1", "key2")
     if_linked = whole.where("n_shingles > 0 and doc_id is not null").join(named, ["key1", "key2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
