@@ -26,7 +26,6 @@ from siltstone.llm.scratch import Scratch
 #: the lexicon, the other the weights.
 SAMPLE_DOCS = 8000
 THRESHOLD = 0.3
-LEXICON_TERMS = 400
 LEAST_SUPPORT = 4
 LEAST_WORDS = 4
 LEAST_LOG_ODDS = 1.6
@@ -44,6 +43,10 @@ QUOTES = "\"“”„«»‘’‹›"
 EDGES = " \t\r\n.,;:!?()[]{}<>|#$%&*+=~^`'_-/\\" + QUOTES
 INSIDE = re.compile(r"(?<=[^\W_])(?:[^\w\s]|_)+(?=[^\W_])")
 SEED_WEIGHT = 3.0
+#: What a misspelled term weighs, as a part of the term's weight, before documents show what it weighs.
+NEAR_PART = 0.6
+#: Documents for which that first guess counts.
+NEAR_SUPPORT = 4
 
 
 class Trie:
@@ -107,21 +110,32 @@ def within_one(word: str, trie: Trie) -> list[tuple[int, int]]:
     return found
 
 
+def letters(word: str) -> int:
+    """The set of a word's letters, as 64 bits that letters may share."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 class Lexicon:
     """Whole terms and stems (beginnings of words) with weights."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: set[str]):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: set[str], near: dict[str, float] | None = None):
+        """fuzzy: the terms that are looked for misspelled; near: what they weigh then, if not NEAR_PART of what they weigh."""
         self.terms, self.stems = terms, stems
+        self.near = {t: NEAR_PART * terms[t] for t in fuzzy} | (near or {})
         self.fuzzy = [t for t in sorted(fuzzy) if len(t) >= FUZZY_LENGTH]
-        self.trie = Trie(self.fuzzy)
         # One error touches two neighbouring letters at most, so that the longer of what stands
-        # before and after it, at least (length - 1) // 2 letters, is whole.
-        self.ends: dict[int, set[tuple[int, str]]] = {}
+        # before and after it, at least (length - 1) // 2 letters, is whole: a branch of the trie
+        # for each such beginning or end, and length.
+        halves: dict[tuple[int, str], list[str]] = {}
         for t in self.fuzzy:
             half = (len(t) - 1) // 2
-            for n in (len(t) - 1, len(t), len(t) + 1):
-                self.ends.setdefault(n, set()).update([(half, t[:half]), (-half, t[-half:])])
-        self.halves = {n: sorted({h for h, _ in ends}) for n, ends in self.ends.items()}
+            for ends in (t[:half], t[-half:]):
+                halves.setdefault((len(t), ends), []).append(t)
+        self.branches = {key: (ts, Trie(ts), [letters(t) for t in ts]) for key, ts in halves.items()}
+        self.longest = max(map(len, self.fuzzy), default=0) + 1
         self.stem_lengths = sorted({len(s) for s in stems})
         self.cache: dict[str, tuple[float, int] | None] = {}
         self.cut: dict[str, tuple[str, ...]] = {}
@@ -153,35 +167,43 @@ class Lexicon:
             weight = self.stems.get(word[:n]) if len(word) >= n else None
             if weight is not None and (best is None or weight > best[0]):
                 best = (weight, 0)
-        ends = self.ends.get(len(word))
-        if best is None and ends is not None and any((h, word[:h] if h > 0 else word[h:]) in ends for h in self.halves[len(word)]):
-            for k, errors in within_one(word, self.trie):
-                weight = self.terms[self.fuzzy[k]] * (1 if errors == 0 else 0.6)
-                if best is None or weight > best[0]:
-                    best = (weight, errors)
-        return best
+        return best or max(((self.near[t], errors) for t, errors in self.near_terms(word)), default=None)
+
+    def near_terms(self, word: str) -> list[tuple[str, int]]:
+        """(term, errors) of the terms that are looked for misspelled and within one error of the word."""
+        if not FUZZY_LENGTH - 1 <= len(word) <= self.longest:
+            return []
+        own, found = letters(word), {}
+        for length in range(max(FUZZY_LENGTH, len(word) - 1), len(word) + 2):
+            half = (length - 1) // 2
+            for ends in (word[:half], word[-half:]):
+                branch = self.branches.get((length, ends))
+                # an error replaces one letter by another at most
+                if branch is not None and any((own ^ m).bit_count() <= 2 for m in branch[2]):
+                    found.update((branch[0][k], errors) for k, errors in within_one(word, branch[1]))
+        return list(found.items())
 
     def features(self, text: str | None) -> list[float]:
-        """1, and how much, how strong, how dense and how misspelled the hits are; all 0 without any."""
+        """1, and how much, how strong and how dense the hits are, and the text's length; all 0 without any."""
         tokens = (text or "").lower().split()
         apart = {t: parts for t in set(tokens) if not t.isalnum() and len(parts := self.apart(t)) > 1}
         if apart:
             tokens = [p for t in tokens for p in apart.get(t, (t,))]
         found = {t: hit for t in set(tokens) if (hit := self.look_up(t)) is not None}
         if not found:
-            return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+            return [1.0, 0.0, 0.0, 0.0, 0.0]
         places = [i for i, t in enumerate(tokens) if t in found]
-        total = most = wrong = 0.0
+        total = most = 0.0
         for j, i in enumerate(places):
-            weight, errors = found[tokens[i]]
+            weight, _ = found[tokens[i]]
             near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
             opened = sum(t[0] in QUOTES for t in near[: WINDOW + 1]) and sum(t.rstrip(".,;:!?")[-1:] in QUOTES and len(t.rstrip(".,;:!?")) > 0 for t in near)
             reported = any(t.strip(EDGES) in REPORTING for t in near)
             addressed = any(t.strip(EDGES) in ADDRESS for t in near)
             crowd = sum(abs(places[k] - i) <= WINDOW for k in (j - 1, j + 1) if 0 <= k < len(places))
             score = weight * (0.35 if opened else 1.0) * (0.7 if reported and not addressed else 1.0) * (1 + 0.25 * crowd + 0.25 * addressed)
-            total, most, wrong = total + score, max(most, score), wrong + (errors > 0)
-        return [1.0, float(np.log1p(total)), most, float(np.log1p(100 * total / max(len(tokens), 20))), float(np.log1p(len(tokens))), wrong / len(places)]
+            total, most = total + score, max(most, score)
+        return [1.0, float(np.log1p(total)), most, float(np.log1p(100 * total / max(len(tokens), 20))), float(np.log1p(len(tokens)))]
 
 
 def _features(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,31 +221,55 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30)
     return a
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
+def _near_forms(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n1, n0) of each word that is no entry itself and within one error of a term."""
+    for batch in batches:
+        rows = []
+        for word, n1, n0 in zip(*(batch.column(c).to_pylist() for c in ("term", "n1", "n0")), strict=True):
+            if word not in lexicon.terms and not any(word[:n] in lexicon.stems for n in lexicon.stem_lengths):
+                rows += [(term, n1, n0) for term, _ in lexicon.near_terms(word)]
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["term", "n1", "n0"])
+
+
+def learn_lexicon(sample: DataFrame, scratch: Scratch, name: str) -> Lexicon:
     """From (label, text): seeds, and what is far more frequent in texts of label 1.
 
     Document frequencies of words are counted in Spark, and those of stems are the sums over
     their words; a stem needs LEAST_WORDS different ones.  Only entries past the thresholds
-    reach the driver, LEXICON_TERMS of either kind at most.
+    reach the driver; the sample bounds them.  A seed that the sample has in LEAST_SUPPORT
+    documents weighs what it shows there, any other SEED_WEIGHT; so do misspelled terms, from
+    NEAR_PART of their term's weight on, and where that shows no odds, the term is not looked
+    for misspelled.
     """
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     trimmed = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES)))
     words = F.filter(F.array_union(trimmed, F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= 3)
     counts = sample.select("label", F.explode(words).alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
+    counts = scratch.keep(name, counts)
     beginnings = F.transform(F.filter(F.array(*map(F.lit, STEM_LENGTHS)), lambda k: F.length("term") > k), lambda k: F.col("term").substr(F.lit(1), k))
     stems = counts.select("n1", "n0", F.explode(beginnings).alias("term")).groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count_if(F.col("n1") > 0).alias("k")).where(F.col("k") >= LEAST_WORDS)
 
+    odds = F.log((F.col("n1") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("n0") + 0.5) / (n.get(0, 0) + 1))
+    seed = F.col("term").isin(*SEED_TERMS)
+
     def best(found: DataFrame) -> list:
-        odds = F.log((F.col("n1") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("n0") + 0.5) / (n.get(0, 0) + 1))
-        found = found.where(F.col("n1") >= LEAST_SUPPORT).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
-        return found.orderBy(F.desc(F.col("odds") * F.log1p("n1")), "term").limit(LEXICON_TERMS).collect()
+        telling = (F.col("n1") >= LEAST_SUPPORT) & (F.col("odds") >= LEAST_LOG_ODDS)
+        return found.withColumn("odds", odds).where(telling | (seed & (F.col("n1") + F.col("n0") >= LEAST_SUPPORT))).select("term", "odds").collect()
 
     kept: dict[str, float] = {}
     for r in sorted(best(stems), key=lambda r: (len(r["term"]), r["term"])):
         if not any(kept.get(r["term"][:k], -9) >= r["odds"] - 0.7 for k in STEM_LENGTHS):
             kept[r["term"]] = float(r["odds"])
-    terms = {r["term"]: float(r["odds"]) for r in best(counts)} | dict.fromkeys(SEED_TERMS, SEED_WEIGHT)
-    return Lexicon(terms, kept, set(terms))
+    terms = dict.fromkeys(SEED_TERMS, SEED_WEIGHT) | {r["term"]: float(r["odds"]) for r in best(counts)}
+    terms = {t: w for t, w in terms.items() if w > 0}
+    first = Lexicon(terms, kept, set(terms))
+    found = counts.mapInArrow(partial(_near_forms, first), "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    near = {}
+    for r in found.withColumn("odds", odds).collect():
+        seen = r["n1"] + r["n0"]
+        near[r["term"]] = (NEAR_SUPPORT * first.near[r["term"]] + seen * r["odds"]) / (NEAR_SUPPORT + seen)
+    return Lexicon(terms, kept, {t for t in terms if near.get(t, 1.0) > 0}, near)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
@@ -232,12 +278,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Lexi
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label")).orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("label", "text", half.alias("half"))
-    sample = Scratch(spark, "toxicity").keep("sample", sample)
-    rows = sample.where("half = 1").select("label", "text").mapInArrow(partial(_features, learn_lexicon(sample.where("half = 0"))), "label int, x array<double>").collect()
-    lexicon = learn_lexicon(sample)
+    scratch = Scratch(spark, "toxicity")
+    sample = scratch.keep("sample", sample)
+    rows = sample.where("half = 1").select("label", "text").mapInArrow(partial(_features, learn_lexicon(sample.where("half = 0"), scratch, "half")), "label int, x array<double>").collect()
+    lexicon = learn_lexicon(sample, scratch, "words")
+    scratch.drop("sample", "half", "words")
     y = np.array([r["label"] for r in rows], float)
     if len(np.unique(y)) < 2:
-        return lexicon, np.array([-4.0, 1.0, 0.5, 1.0, 0.0, -0.5])
+        return lexicon, np.array([-4.0, 1.0, 0.5, 1.0, 0.0])
     return lexicon, logistic(np.array([r["x"] for r in rows]), y)
 
 
