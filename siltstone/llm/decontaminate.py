@@ -1,16 +1,16 @@
 """Documents that contain benchmark passages, by greedy string tiling.
 
 Words are runs of letters and digits, lower-cased.  Seeds are runs of ``MIN_MATCH`` words that a
-document and a benchmark item share, by Karp-Rabin hash.  Runs of seeds on one diagonal are
-maximal matches; tiling marks the longest match whose words are still free on both sides, again
-and again, so that reordered passages count in full and no word counts twice.
+document and a benchmark item share.  Where they could cover enough of the item, tiling finds the
+longest match whose words are still free on both sides by running Karp-Rabin hashes and marks it,
+again and again, so that reordered passages count in full and no word counts twice.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.near_dedup import without
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.textkit import LOWER, NOT_ALNUM, Words, slices
+from siltstone.llm.textkit import LOWER, NOT_ALNUM, Words, mix, slices
 
 MIN_MATCH = 4
 #: Share of an item's words under tiles from which the document counts as contaminated.
 COVERAGE = 0.5
-#: A benchmark of up to so many bytes of text is broadcast; a larger one is joined by seed.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of benchmark text that are broadcast at once.
+BLOCK_BYTES = 8 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 PAIRS = "doc_id bigint, item_id bigint, item_words bigint, covered_words bigint, n_tiles bigint, longest_tile bigint, coverage double"
 
@@ -37,74 +38,125 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield first, end, Words(raw, offsets, NOT_ALNUM, LOWER)
 
 
-def tile(doc_at: np.ndarray, item_at: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document word, item word, length) from the places of equal seeds."""
-    order = np.lexsort((item_at, doc_at - item_at))
-    doc_at, item_at = doc_at[order], item_at[order]
-    breaks = np.flatnonzero((np.diff(doc_at - item_at) != 0) | (np.diff(item_at) != 1)) + 1
-    starts = np.concatenate([[0], breaks])
-    lengths = np.diff(np.concatenate([starts, [len(doc_at)]])) + MIN_MATCH - 1
-    heap = [(-int(n), int(d), int(i)) for n, d, i in zip(lengths, doc_at[starts], item_at[starts], strict=True)]
-    heapq.heapify(heap)
-    used_doc, used_item, tiles = set(), set(), []
-    while heap:
-        length, d, i = heapq.heappop(heap)
-        free = [d + j not in used_doc and i + j not in used_item for j in range(-length)]
-        if all(free):
-            tiles.append((d, i, -length))
-            used_doc.update(range(d, d - length))
-            used_item.update(range(i, i - length))
-            continue
-        j = 0
-        while j < len(free):  # what is still free of an occluded match waits its turn
-            k = j
-            while k < len(free) and free[k]:
-                k += 1
-            if k - j >= MIN_MATCH:
-                heapq.heappush(heap, (j - k, d + j, i + j))
-            j = max(k, j + 1)
+@lru_cache(maxsize=4)
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n + 1, _BASE, np.uint64))
+
+
+class Runs:
+    """Hashes of the runs of any length over a sequence of word hashes (Karp-Rabin), and which words are still free.
+
+    ``at`` are the words' places; a run may not step over a gap in them.
+    """
+
+    def __init__(self, words: np.ndarray, at: np.ndarray):
+        self.words, self.at, self.free = words, at, np.ones(len(words), bool)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words, 5) * _powers(len(words))[:-1], dtype=np.uint64)])
+
+    def of(self, n: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of the free runs of n words; ``longest`` is at least every sequence's length."""
+        if len(self.words) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        i = np.flatnonzero((taken[n:] == taken[:-n]) & (self.at[n - 1 :] - self.at[: len(self.at) - n + 1] == n - 1))
+        # shifted to one power, so that equal runs have equal hashes wherever they stand
+        return i, (self.sums[i + n] - self.sums[i]) * _powers(longest)[longest - i]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, at: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document word, item word, length) of two sequences of word hashes.
+
+    The longest run that is free on both sides is found by bisection over run hashes; all runs of
+    that length are marked in order of document place, then item place, and so on with what is
+    still free.  Memory follows the two lengths, however often either repeats itself.
+    """
+    d, t = Runs(doc, np.arange(len(doc)) if at is None else at), Runs(item, np.arange(len(item)))
+    longest, most, tiles = max(len(doc), len(item)), min(len(doc), len(item)), []
+
+    def common(n: int) -> bool:
+        own, other = d.of(n, longest)[1], np.sort(t.of(n, longest)[1])
+        return len(other) > 0 and bool((other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).any())
+
+    while most >= MIN_MATCH and common(MIN_MATCH):
+        low = MIN_MATCH
+        while low < most:  # low is common
+            middle = (low + most + 1) // 2
+            if common(middle):
+                low = middle
+            else:
+                most = middle - 1
+        (i, own), (j, other) = d.of(low, longest), t.of(low, longest)
+        places: dict[int, deque[int]] = {}
+        for k, h in zip(j.tolist(), other.tolist(), strict=True):
+            places.setdefault(h, deque()).append(k)
+        met, before = np.isin(own, other), len(tiles)
+        for k, h in zip(i[met].tolist(), own[met].tolist(), strict=True):
+            if not d.free[k] or not d.free[k + low - 1]:
+                continue
+            # a run that was free and is as long as any tile is touched at one of its ends
+            while (rest := places[h]) and not (t.free[rest[0]] and t.free[rest[0] + low - 1]):
+                rest.popleft()
+            if rest and np.array_equal(doc[k : k + low], item[rest[0] : rest[0] + low]):
+                m = rest.popleft()
+                d.free[k : k + low] = t.free[m : m + low] = False
+                tiles.append((int(d.at[k]), m, low))
+        if len(tiles) == before:  # equal hashes of unequal runs
+            most = low - 1
     return tiles
 
 
 class _Items:
-    """Seeds of benchmark items, sorted by hash."""
+    """Distinct seeds of benchmark items, sorted, with the places that have them."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, seeds, owners, places, self.sizes = ids, [], [], [], []
+        self.ids, self.words, seeds, owners, places = ids, [], [], [], []
         for first, end, words in _words(pa.array(texts, pa.string())):
             hashes, bounds = words.shingles(MIN_MATCH, short=False)
             counts = np.diff(bounds)
             seeds.append(hashes)
             owners.append(np.repeat(np.arange(first, end), counts))
             places.append(np.arange(len(hashes)) - np.repeat(bounds[:-1], counts))
-            self.sizes += np.diff(words.bounds).tolist()
+            self.words += np.split(words.hash, words.bounds[1:-1])
         empty = np.zeros(0, np.int64)
-        seeds = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        order = np.argsort(seeds, kind="stable")
-        self.seeds = seeds[order]
+        every = np.concatenate([*seeds, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
         self.owners, self.places = np.concatenate([*owners, empty])[order].astype(np.int64), np.concatenate([*places, empty])[order].astype(np.int64)
-
-    def matches(self, seeds: np.ndarray) -> Iterator[tuple]:
-        """A row for each item whose tiles over a document with these seeds cover enough of it."""
-        lo, hi = np.searchsorted(self.seeds, seeds, "left"), np.searchsorted(self.seeds, seeds, "right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
+        self.seeds, self.first = np.unique(every[order], return_index=True)
+        self.last = np.append(self.first[1:], len(every))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+
+    def known(self, seeds: np.ndarray) -> np.ndarray:
+        """The number of each seed, or -1."""
+        if not len(self.seeds):
+            return np.full(len(seeds), -1)
+        at = np.minimum(np.searchsorted(self.seeds, seeds), len(self.seeds) - 1)
+        return np.where(self.seeds[at] == seeds, at, -1)
+
+    def matches(self, words: np.ndarray, known: np.ndarray) -> Iterator[tuple]:
+        """A row for each item whose tiles over a document cover enough of it; known: the document's seeds, numbered."""
+        met = np.unique(known[known >= 0])
+        if not len(met):
             return
-        counts = (hi - lo)[hit]
-        doc_at = np.repeat(hit, counts)
-        entry = np.repeat(lo[hit] - (np.cumsum(counts) - counts), counts) + np.arange(len(doc_at))
-        owner, place = self.owners[entry], self.places[entry]
-        order = np.argsort(owner, kind="stable")
-        owner, place, doc_at = owner[order], place[order], doc_at[order]
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        for own, at, item_at in zip(np.split(owner, cuts), np.split(doc_at, cuts), np.split(place, cuts), strict=True):
-            size = self.sizes[own[0]]
-            if len(np.unique((np.unique(item_at)[:, None] + np.arange(MIN_MATCH)).ravel())) < COVERAGE * size:
-                continue  # tiles can't cover more than the seeds do
-            tiles = tile(at, item_at)
+        counts = self.last[met] - self.first[met]
+        entry = np.repeat(self.first[met] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        seed, owner, place = np.repeat(met, counts), self.owners[entry], self.places[entry]
+        order = np.lexsort((place, owner))
+        seed, owner, place = seed[order], owner[order], place[order]
+        # words under seeds: tiles can't cover more
+        under = np.full(len(owner), MIN_MATCH)
+        under[:-1] = np.where(owner[1:] == owner[:-1], np.minimum(np.diff(place), MIN_MATCH), MIN_MATCH)
+        enough = np.flatnonzero(np.bincount(owner, under, len(self.sizes)) >= np.maximum(COVERAGE * self.sizes, 1))
+        for own in enough.tolist():
+            lo, hi = np.searchsorted(owner, [own, own + 1])
+            inside = np.zeros(len(words), bool)
+            starts = np.flatnonzero(np.isin(known, seed[lo:hi]))
+            for j in range(MIN_MATCH):
+                inside[starts + j] = True
+            at, size = np.flatnonzero(inside), int(self.sizes[own])
+            tiles = tile(words[at], self.words[own], at)
             covered = sum(n for _, _, n in tiles)
             if covered >= COVERAGE * size:
-                yield self.ids[own[0]], size, covered, len(tiles), max(n for _, _, n in tiles), covered / size
+                yield self.ids[own], size, covered, len(tiles), max(n for _, _, n in tiles), covered / size
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -119,54 +171,36 @@ def _scan(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows, ids = [], batch.column("doc_id")
         for first, end, words in _words(batch.column("text")):
             seeds, bounds = words.shingles(MIN_MATCH, short=False)
-            at = np.searchsorted(items.seeds, seeds)
-            known = items.seeds[np.minimum(at, len(items.seeds) - 1)] == seeds if len(items.seeds) else np.zeros(len(seeds), bool)
-            per_doc = np.add.reduceat(np.append(known, False).astype(np.int64), np.minimum(bounds[:-1], len(seeds))) if end > first else []
-            for d in np.flatnonzero((np.asarray(per_doc) > 0) & (np.diff(bounds) > 0)):
-                rows += [(ids[first + int(d)].as_py(), *m) for m in items.matches(seeds[bounds[d] : bounds[d + 1]])]
-        yield _rows(rows)
-
-
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, end, words in _words(batch.column("text")):
-            seeds, bounds = words.shingles(MIN_MATCH, short=False)
-            for d in range(end - first):
-                own = np.unique(seeds[bounds[d] : bounds[d + 1]])
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[first + d].as_py())), pa.array(own.view(np.int64))], ["id", "seed"])
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            for _, _, words in _words(pa.array([row["text"]])):
-                rows += [(row["doc_id"], *m) for m in _Items([row["item_id"]], [row["item_text"]]).matches(words.shingles(MIN_MATCH, short=False)[0])]
+            known = items.known(seeds)
+            hits = np.concatenate([[0], np.cumsum(known >= 0)])
+            for d in np.flatnonzero(hits[bounds[1:]] > hits[bounds[:-1]]):
+                own = words.hash[words.bounds[d] : words.bounds[d + 1]]
+                rows += [(ids[first + int(d)].as_py(), *m) for m in items.matches(own, known[bounds[d] : bounds[d + 1]])]
         yield _rows(rows)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and benchmark item whose tiles cover at least COVERAGE of the item.
 
-    docs has doc_id and text, items has item_id and text; other columns are ignored.  Null and
-    empty texts, null ids and items of fewer than MIN_MATCH words match nothing.  Equal rows of
-    either table give equal rows; equal items each match.  Empty tables give an empty result.
+    docs has doc_id and text, items has item_id and text; other columns are ignored, whatever
+    their names.  Null and empty texts, null ids and items of fewer than MIN_MATCH words match
+    nothing.  Equal rows of either table give equal rows; equal items each match.  Of equally long
+    matches the first in the document, then in the item, is marked first.  Very long texts are
+    read whole; memory follows a text's and an item's length.  Empty tables give an empty result.
 
-    A benchmark within BROADCAST_BYTES goes to every task and the documents are read once, in
-    place; a larger one is joined with the documents by seed, then by pair.
+    The items go to every task in blocks of about BLOCK_BYTES of text, and the documents are
+    read in place, once a block.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     items = items.select("item_id", "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    if size <= BROADCAST_BYTES:
-        rows = items.orderBy("item_id", "text").collect()
+    n_blocks = size // BLOCK_BYTES + 1
+    block, found = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)), []
+    for k in range(n_blocks):
+        rows = items.where(block == k).orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        return docs.mapInArrow(partial(_scan, shared), PAIRS)
-    seeds = lambda df, key: df.select(F.col(key).alias("id"), "text").mapInArrow(_seeds, "id bigint, seed bigint").withColumnRenamed("id", key)
-    met = seeds(docs, "doc_id").join(seeds(items, "item_id"), "seed").select("doc_id", "item_id").distinct()
-    both = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-    return both.mapInArrow(_pairs, PAIRS)
+        found.append(docs.mapInArrow(partial(_scan, shared), PAIRS))
+    return reduce(DataFrame.unionByName, found)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:

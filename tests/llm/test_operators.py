@@ -2,6 +2,7 @@
 
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -321,7 +322,25 @@ def test_quotation_counts_less_than_abuse():
     lexicon = toxicity.Lexicon({"idiot": 3.0}, {}, {"idiot"})
     abuse, quoted, clean = (lexicon.features(t)[1] for t in ("you are an idiot and that is all there is", 'the report said that "idiot" is a word that was used once', "a quiet day at the lake"))
     assert abuse > quoted > clean == 0
-    assert lexicon.features("such an id1ot!")[1] > 0 and lexicon.features("such an idoit.")[5] == 1.0
+    assert lexicon.features("such an id1ot!")[1] > 0 and lexicon.look_up("idoit.") == (3.0 * toxicity.NEAR_PART, 1)
+
+
+def test_branches_find_all_near_terms():
+    rng = np.random.default_rng(4)
+    terms = {"".join(rng.choice(list("abcd"), rng.integers(3, 9))): 2.0 for _ in range(60)}
+    lexicon = toxicity.Lexicon(terms, {}, set(terms))
+    for _ in range(400):
+        word = "".join(rng.choice(list("abcd"), rng.integers(2, 10)))
+        assert sorted(t for t, _ in lexicon.near_terms(word)) == sorted(t for t in terms if len(t) >= toxicity.FUZZY_LENGTH and damerau(word, t) <= 1)
+
+
+def test_texts_with_misspelled_terms_alone(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    calm = "the weather was fine and we walked along the river until evening, then had dinner with friends before going home. "
+    texts = {-1: calm, -2: calm + "you are such an idoit and a lsoer", -3: calm + "worthlss pathteic clwon", -4: calm + 'it was said that "idiot" is a rude word'}
+    more = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_digest(spark, docs.select("doc_id", "text").unionByName(more), labels).where("doc_id < 0").collect()}
+    assert got == {-1: 0, -2: 1, -3: 1, -4: 0}
 
 
 def test_kernel_of_dual_descent_separates():
@@ -363,11 +382,24 @@ def test_tiling_by_hand():
         item = [f"w{x}" for x in rng.integers(0, 6, rng.integers(5, 25))]
         cut = int(rng.integers(1, len(item)))
         doc = [f"w{x}" for x in rng.integers(0, 6, 10)] + item[cut:] + ["zz"] + item[:cut]
-        found = list(decontaminate._Items([7], [" ".join(item)]).matches(textkit.Words(*one_text(" ".join(doc)), textkit.NOT_ALNUM).shingles(decontaminate.MIN_MATCH, short=False)[0]))
+        items, words = decontaminate._Items([7], [" ".join(item)]), textkit.Words(*one_text(" ".join(doc)), textkit.NOT_ALNUM)
+        found = list(items.matches(words.hash, items.known(words.shingles(decontaminate.MIN_MATCH, short=False)[0])))
         want = tiles_by_hand(doc, item, decontaminate.MIN_MATCH)
         assert (found[0][2] if found else 0) == (want if want >= decontaminate.COVERAGE * len(item) else 0)
 
 
+def test_tiling_of_long_repeats_is_bounded():
+    words = np.full(100_000, 7, np.uint64)
+    tracemalloc.start()
+    tiles = decontaminate.tile(words, words[:400])
+    assert tiles == [(0, 0, 400)] and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    items = decontaminate._Items([1, 2], ["a b c " * 100, "a b c d e f g h"])
+    doc = textkit.Words(*one_text("a b c " * 30_000), textkit.NOT_ALNUM)
+    found = list(items.matches(doc.hash, items.known(doc.shingles(decontaminate.MIN_MATCH, short=False)[0])))
+    assert found == [(1, 300, 300, 1, 300, 1.0)]
+
+
 def one_text(text):
     raw = np.frombuffer(text.encode(), np.uint8)
     return raw, np.array([0, len(raw)])
@@ -379,10 +411,10 @@ def test_leaks_are_found_reordered_and_dressed(spark, monkeypatch):
     rows = [(1, f"start {item} end"), (2, f"{b} and then {a}"), (3, f"{a.upper()}, {b}!"), (4, "alpha beta gamma and nothing else"), (5, None), (6, ""), (None, item), (1, f"start {item} end")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("item_id", F.lit(0)).withColumn("coverage", F.lit(0))
     items = spark.createDataFrame([(10, item), (11, None), (12, "too short"), (None, item)], "item_id bigint, text string")
-    for limit in (decontaminate.BROADCAST_BYTES, 0):
-        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    for limit in (decontaminate.BLOCK_BYTES, 16):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
         got = sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in decontaminate.contaminated(spark, docs, items).collect())
-        assert got == [(1, 10, 12), (1, 10, 12), (2, 10, 12), (3, 10, 12)] or limit == 0 and sorted(set(got)) == [(1, 10, 12), (2, 10, 12), (3, 10, 12)]
+        assert got == [(1, 10, 12), (1, 10, 12), (2, 10, 12), (3, 10, 12)]
     left = decontaminate.without_contaminated(spark, docs, items)
     assert left.columns == docs.columns and sorted(map(str, (r["doc_id"] for r in left.collect()))) == ["4", "5", "6", "None"]
     assert decontaminate.contaminated(spark, none(docs), items).count() == decontaminate.contaminated(spark, docs, none(items)).count() == 0
