@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.textkit import Words, mix, slices
+from siltstone.llm.textkit import Words, mix, name, slices
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
@@ -116,7 +116,7 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df, all columns, whose key is not in ids (one column of that name)."""
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, key, "left_anti").select(df.columns)
+    return df.join(ids, key, "left_anti").select(*map(name, df.columns))
 
 
 def _found(kind: int, tree: np.ndarray, hi: np.ndarray, lo: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
@@ -221,18 +221,20 @@ def _unread(docs: DataFrame, dense: DataFrame, component: Callable[[str], DataFr
     return pairs
 
 
-def _sketched(pairs: DataFrame, signed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
+
+
+def _sketched(pairs: DataFrame, signed: DataFrame, scratch: Scratch, table: str) -> DataFrame:
     """a, b and share of the pairs whose sketches do not rule out a link."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sketches = scratch.keep(name, semi_join(signed.select("doc_id", "sketch"), ends, "doc_id").groupBy("doc_id").agg(F.first("sketch").alias("sketch")))
+    sketches = scratch.keep(table, semi_join(signed.select("doc_id", "sketch"), _ends(pairs), "doc_id").groupBy("doc_id").agg(F.first("sketch").alias("sketch")))
     side = lambda c: sketches.withColumnsRenamed({"doc_id": c, "sketch": f"sketch_{c}"})
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a bigint, b bigint, share double")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, table: str) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch.keep(name, semi_join(docs, ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = scratch.keep(table, semi_join(docs, _ends(pairs), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
     side = lambda c: texts.withColumnsRenamed({"doc_id": c, "text": f"text_{c}"})
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
 
@@ -274,7 +276,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     candidates, dense = _candidates(signed, reps, scratch)
     likely = scratch.keep("likely", _sketched(candidates, signed, scratch, "sketches"))
     scratch.drop("candidates", "sketches")
-    first = likely.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a"))
+    first = scratch.keep("first", likely.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")))
     links = scratch.keep("links1", _verified(first, docs, scratch, "texts1"))
     found = scratch.keep("components1", connected_components(spark, links, scratch, "round1"))
 
@@ -284,14 +286,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def still_apart(pairs: DataFrame) -> DataFrame:
         return pairs.join(component("a"), "a", "left").join(component("b"), "b", "left").where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b"))
 
-    rest = still_apart(likely.join(first, ["a", "b"], "left_anti"))
+    rest = scratch.keep("rest", still_apart(likely.join(first, ["a", "b"], "left_anti")))
     found = _joined(spark, found, scratch.keep("links2", _verified(rest, docs, scratch, "texts2")), scratch, "2")
     beside = _unread(docs, dense, component, scratch)
     if beside is not None:
         beside = scratch.keep("beside", beside)
         beside = scratch.keep("likely3", _sketched(beside, signed, scratch, "sketches3"))
         found = _joined(spark, found, scratch.keep("links3", _verified(beside, docs, scratch, "texts3")), scratch, "3")
-    scratch.drop("texts1", "texts2", "texts3", "likely", "likely3", "sketches3", "beside", "mixed", "dense", "index")
+    scratch.drop("first", "rest", "texts1", "texts2", "texts3", "likely", "likely3", "sketches3", "beside", "mixed", "dense", "index")
     named = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
     whole = signed.select("doc_id", "n_shingles", "key1", "key2")
     if_linked = whole.where("n_shingles > 0 and doc_id is not null").join(named, ["key1", "key2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _BYTES = np.arange(256)
 #: Words are runs of bytes other than \x20 and \x09-\x0D.
@@ -111,3 +113,20 @@ class Words:
             per_doc[few] = 1
             bounds = np.concatenate([[0], np.cumsum(per_doc)])
         return total, bounds
+
+
+def name(column: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def nested(df: DataFrame, *replaced: str) -> Column:
+    """The columns of df as one struct ``row``, so that no name of theirs clashes with a step's own; without those named."""
+    out = {r.lower() for r in replaced}
+    return F.struct(*(name(c) for c in df.columns if c.lower() not in out)).alias("row")
+
+
+def beside(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns nested in ``row``, and then others."""
+    kept = [f.name for f in df.schema["row"].dataType.fields]
+    return df.select(*(F.col("row")[f].alias(f) for f in kept), *columns)
