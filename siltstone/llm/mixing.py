@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.textkit import beside, nested
+
 #: No source is read more often than this.
 MOST_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,15 +101,18 @@ def plan_mix(docs: DataFrame, size: Column, schedule: Schedule = Schedule(), who
     A null source is a source; documents of size 0 take nothing unless a full pass draws them;
     sources of size 0 have the target 0; equal rows are drawn one after the other; an empty
     table gives an empty result.  Two-level running sums (cells of a source, then documents of
-    a cell) keep a source with most of the rows out of a single task.
+    a cell) keep a source with most of the rows out of a single task.  Ties of the hashed order
+    are broken by doc_id, then size; a very long text counts as one draw.  Columns of docs with the
+    names of these six are replaced, other names don't clash.
     """
-    marked = docs.select("*", size.alias("__size"), F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise("0"), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("__key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__u"))
+    own = ("__size", "__source_size", "__target", "__taken", "__draws", "__first")
+    marked = docs.select(nested(docs, *own), F.col("doc_id").alias("__id"), size.cast("long").alias("__size"), F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise("0"), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("__key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__u"))
     marked = marked.withColumn("__cell", F.substring("__u", 1, 3))
     cells = marked.groupBy("__key", "__cell").agg(F.sum("__size").alias("z"))
     targets = source_targets(cells, schedule)
     ahead = Window.partitionBy("__key").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__cell0", F.coalesce(F.sum("z").over(ahead), F.lit(0))).drop("z").join(targets, "__key")
-    inner = Window.partitionBy("__key", "__cell").orderBy("__u", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("__key", "__cell").orderBy("__u", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
     rows = marked.withColumn("__in_cell", F.sum("__size").over(inner) - F.col("__size")).join(cells, ["__key", "__cell"])
     size_, before = F.col("__size"), F.col("__cell0") + F.col("__in_cell")
     goal = F.round("__target").cast("long")
@@ -118,8 +123,8 @@ def plan_mix(docs: DataFrame, size: Column, schedule: Schedule = Schedule(), who
     n_draws = (F.col("__passes") + again.cast("int")).cast("int")
     at = lambda i: schedule.time_of(F.col("__cls"), (i * F.col("__source_size") + F.col("__before") + size_ / 2) / F.greatest(F.col("__goal"), F.lit(1)))
     draws = F.array_compact(F.array(*(F.when(n_draws > i, at(F.lit(i))) for i in range(MOST_REPEATS + 1))))
-    return rows.select(
-        *docs.columns, "__size", "__source_size", "__target",
+    return beside(
+        rows, "__size", "__source_size", "__target",
         (F.col("__passes") * size_ + part).cast("long").alias("__taken"), draws.alias("__draws"), F.when(n_draws > 0, at(F.lit(0))).alias("__first"),
     )
 
@@ -137,8 +142,9 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs in training order, whole documents, one row a draw."""
-    plan = plan_mix(docs, word_count(), whole=True)
-    return plan.select(*docs.columns, F.explode("__draws").alias("__at")).orderBy("__at", "doc_id").select(docs.columns)
+    rows = docs.select(nested(docs), "doc_id", "source", word_count().alias("size"))
+    plan = plan_mix(rows, F.col("size"), whole=True)
+    return beside(plan.select("row", "doc_id", F.explode("__draws").alias("at")).orderBy("at", "doc_id"))
 
 
 #: DuckDB SQL of mix_digest() over documents, for the default schedule.

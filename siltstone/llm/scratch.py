@@ -1,8 +1,8 @@
 """Tables that an operator writes once and reads several times.
 
 They live in the folder that the cluster names in ``spark.checkpoint.dir``, which every
-executor can read, so a lost executor costs a re-read and never the rows.  Only where that
-setting is missing (tests, a laptop) is a temporary folder used.
+executor can read, so a lost executor costs a re-read and never the rows.  Where that setting is
+missing, a local master (tests, a laptop) uses a temporary folder and a cluster is refused.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="siltstone-"))
     return _OWN[0]

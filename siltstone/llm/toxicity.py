@@ -232,7 +232,7 @@ def _near_forms(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["term", "n1", "n0"])
 
 
-def learn_lexicon(sample: DataFrame, scratch: Scratch, name: str) -> Lexicon:
+def learn_lexicon(sample: DataFrame, scratch: Scratch | None = None, name: str = "words") -> Lexicon:
     """From (label, text): seeds, and what is far more frequent in texts of label 1.
 
     Document frequencies of words are counted in Spark, and those of stems are the sums over
@@ -246,7 +246,7 @@ def learn_lexicon(sample: DataFrame, scratch: Scratch, name: str) -> Lexicon:
     trimmed = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES)))
     words = F.filter(F.array_union(trimmed, F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= 3)
     counts = sample.select("label", F.explode(words).alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
-    counts = scratch.keep(name, counts)
+    counts = (scratch or Scratch(sample.sparkSession, "toxicity")).keep(name, counts)
     beginnings = F.transform(F.filter(F.array(*map(F.lit, STEM_LENGTHS)), lambda k: F.length("term") > k), lambda k: F.col("term").substr(F.lit(1), k))
     stems = counts.select("n1", "n0", F.explode(beginnings).alias("term")).groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count_if(F.col("n1") > 0).alias("k")).where(F.col("k") >= LEAST_WORDS)
 

@@ -507,12 +507,60 @@ def test_a_group_with_a_third_of_all_rows_is_cut(spark):
     assert len(sizes) == 8 and max(sizes) < 1.02 * min(sizes)
 
 
+def test_shards_by_hand(spark, docs):
+    """The same assignment from one sorted list; texts that fit 1/WHOLE_PART of a shard are whole."""
+    few = docs.where("doc_id < 5").crossJoin(spark.range(40)).select((10**7 + F.col("doc_id") * 1000 + F.col("id")).alias("doc_id"), "text")
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 1300).cast("string")).alias("text"))
+    empty = spark.range(3000).select((F.col("id") + 10**6).alias("doc_id"), F.lit("").alias("text"))
+    for df in (docs.select("doc_id", "text"), few.unionByName(many).unionByName(empty)):
+        rows = [(r["doc_id"], r["h"], r["size"], r["crc"]) for r in df.select("doc_id", F.xxhash64("text").alias("h"), sharding.text_bytes().alias("size"), F.crc32("text").alias("crc")).collect()]
+        n, z, part = len(rows), sum(r[2] for r in rows), 8 * sharding.WHOLE_PART
+        count, total = Counter(r[1] for r in rows), Counter()
+        for _, h, size, _ in rows:
+            total[h] += size
+        heavy = {h for h in count if count[h] * part > n or total[h] * part > z}
+        whole = {h for h in count if total[h] * part <= z}
+        got = {r["doc_id"]: r for r in sharding.shard_digest(df, 8).collect()}
+        place = lambda h: ((h & (2**64 - 1)) >> 52, h if h in heavy else 0, h)
+        before, want = 0, defaultdict(set)
+        for h in sorted(count, key=place):
+            middle = (2 * before + total[h]) * 8 // (2 * z)
+            inside = {got[i]["shard"] for i, own, _, _ in rows if own == h}
+            if h in whole or h not in heavy:
+                assert inside == {min(7, middle)}
+            else:
+                assert inside <= set(range(min(7, before * 8 // z), min(7, (before + total[h]) * 8 // z) + 1))
+            before += total[h]
+        assert {r["doc_id"] for r in got.values()} == {r[0] for r in rows}
+        sizes = Counter()
+        for r in got.values():
+            want[r["shard"]].add(r["slot"])
+            sizes[r["shard"]] += r["size"]
+        assert all(slots == set(range(len(slots))) for slots in want.values()) and sum(map(len, want.values())) == n
+        assert all(abs(sizes[k] - z / 8) <= max(z / part, max(r[2] for r in rows)) for k in range(8))
+
+
 def test_shards_of_odd_rows(odd):
     rows = sharding.shard_digest(odd, 8).collect()
     assert len(rows) == odd.count() and next(r for r in rows if r["doc_id"] == 1)["size"] == 1
     assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows) and sharding.shard_digest(none(odd), 8).count() == 0
 
 
+def test_stages_with_clashing_names(spark, odd):
+    """Columns named like the steps' own, and names with dots, through every stage of the pipeline."""
+    import corpus_pipeline
+
+    names = ("__size", "__shard", "__slot", "__draws", "row", "h", "id", "at", "a.b", "x`y", "own", "salt", "bucket", "n", "z")
+    docs = odd.select("*", *(F.lit(f"is {n}").alias(n) for n in names if n not in odd.columns), F.lit(2).alias("__taken"))
+    for _, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        rows = got.collect()
+        assert 0 < len(rows) <= 3 * docs.count() and {"a.b", "x`y", "doc_id", "text", "source"} <= set(got.columns)
+        assert all(r["a.b"] == "is a.b" and r["own"] == "is own" and r["row"] == "is row" for r in rows)
+        assert len({c.lower() for c in got.columns}) == len(got.columns) and stage(spark, none(docs), SF).count() == 0
+    assert {c.lower() for c in got.columns} >= {"size", "shard", "slot"}
+
+
 # words and the pipeline
 
 
