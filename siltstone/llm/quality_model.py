@@ -24,17 +24,16 @@ WORD_FEATURES = 1 << 16
 SHAPE_FEATURES = 1 << 14
 N_FEATURES = WORD_FEATURES + SHAPE_FEATURES
 #: The training sample: so many labelled documents at most, in hashed order.
+#: Each is packed into N_FEATURES / 8 bytes at most, however long its text.
 SAMPLE_DOCS = 4000
-#: Longer texts teach nothing, which bounds the sample's size on the driver.
-SAMPLE_CHARS = 30_000
 THRESHOLD = 0.3
 
 _B = np.arange(256)
 _CLASS = np.select([(_B >= 65) & (_B <= 90), ((_B >= 97) & (_B <= 122)) | (_B >= 128), (_B >= 48) & (_B <= 57)], [1, 2, 3], _B).astype(np.uint8)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Indicators (texts, N_FEATURES)."""
+def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indicators that are set, text by text in order, and each text's bounds in them."""
     words = Words(raw, offsets, SPACES)
     doc, n = words.doc, len(words.doc)
     kinds = _CLASS[raw[words.at]]
@@ -47,33 +46,52 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if n > back:
             same[back:] = (words.hash[back:] == words.hash[:-back]) & (doc[back:] == doc[:-back])
         near[same] = 1 if back == 1 else 2
-    out = np.zeros((len(offsets) - 1, N_FEATURES), bool)
+    found = []
 
     def put(values: np.ndarray, gram: int, salt: int, first: int, size: int) -> None:
         if n < gram:
             return
         total = sum(mix(values[j : n - gram + 1 + j], salt + j) for j in range(gram))
         whole = doc[: n - gram + 1] == doc[gram - 1 :]
-        out[doc[: n - gram + 1][whole], first + (mix(total, salt)[whole] % np.uint64(size)).astype(np.int64)] = True
+        found.append(doc[: n - gram + 1][whole] * N_FEATURES + first + (mix(total, salt)[whole] % np.uint64(size)).astype(np.int64))
 
     put(words.hash, 1, 10, 0, WORD_FEATURES)
     put(words.hash, 2, 20, 0, WORD_FEATURES)
     for gram in (1, 2, 3):
         put(shapes, gram, 30 * gram, WORD_FEATURES, SHAPE_FEATURES)
         put(near, gram + 1, 200 * gram, WORD_FEATURES, SHAPE_FEATURES)
-    length = np.log2(np.bincount(doc, minlength=len(out)) + 1).astype(np.uint64)
-    out[np.arange(len(out)), WORD_FEATURES + (mix(length, 999) % np.uint64(SHAPE_FEATURES)).astype(np.int64)] = True
-    return out
+    n_texts = len(offsets) - 1
+    length = np.log2(np.bincount(doc, minlength=n_texts) + 1).astype(np.uint64)
+    found.append(np.arange(n_texts) * N_FEATURES + WORD_FEATURES + (mix(length, 999) % np.uint64(SHAPE_FEATURES)).astype(np.int64))
+    every = np.unique(np.concatenate(found))
+    return every % N_FEATURES, np.searchsorted(every, np.arange(n_texts + 1) * N_FEATURES)
 
 
-def _rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    for first, _, raw, offsets in slices(column, rows=256):
-        yield first, features(raw, offsets)
+def packed(row: np.ndarray) -> bytes:
+    """A row of indicators in N_FEATURES / 8 bytes at most."""
+    if 4 * len(row) < N_FEATURES // 8:
+        return row.astype(np.int32).tobytes()
+    bits = np.zeros(N_FEATURES, bool)
+    bits[row] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(row: bytes | np.ndarray) -> np.ndarray:
+    if isinstance(row, np.ndarray):
+        return row
+    if len(row) < N_FEATURES // 8:
+        return np.frombuffer(row, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for _, _, raw, offsets in slices(column):
+        yield features(raw, offsets)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.flatnonzero(row).astype(np.int32).tobytes() for _, block in _rows(batch.column("text")) for row in block]
+        found = [packed(row) for at, bounds in _blocks(batch.column("text")) for row in np.split(at, bounds[1:-1])]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "at"])
 
 
@@ -92,40 +110,41 @@ class NBSVM:
     shift: float = 0.0
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 5) -> NBSVM:
-        """rows: indices of the indicators that are set; labels: 0 or 1."""
+    def fit(cls, rows: list[bytes | np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 5) -> NBSVM:
+        """rows: the indicators that are set, packed or not; labels: 0 or 1."""
         test = np.arange(len(rows)) % 5 == 0
         model = cls._margins([r for r, t in zip(rows, test, strict=True) if not t], labels[~test], cost, epochs, seed)
-        margin = np.array([model.weights[r] @ scaled(model.ratio[r]) + model.bias for r, t in zip(rows, test, strict=True) if t])
+        margin = np.array([model.margins(at, np.array([0, len(at)]))[0] for at in (unpacked(r) for r, t in zip(rows, test, strict=True) if t)])
         model.slope, model.shift = _sigmoid(margin, labels[test])
         return model
 
     @classmethod
-    def _margins(cls, rows: list[np.ndarray], labels: np.ndarray, cost: float, epochs: int, seed: int) -> NBSVM:
+    def _margins(cls, rows: list[bytes | np.ndarray], labels: np.ndarray, cost: float, epochs: int, seed: int) -> NBSVM:
         counts = np.ones((2, N_FEATURES))
         for row, y in zip(rows, labels, strict=True):
-            counts[y, row] += 1
+            counts[y, unpacked(row)] += 1
         ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
         sign = np.where(labels == 1, 1.0, -1.0)
-        balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-        x = [scaled(ratio[r]) for r in rows]
+        most = cost * np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
         alpha, w, b = np.zeros(len(rows)), np.zeros(N_FEATURES), 0.0
         rng = np.random.Generator(np.random.PCG64(seed))
-        soft = 0.5 / (cost * balance)  # squared hinge: a ridge on the dual's diagonal
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
-                gradient = sign[i] * (x[i] @ w[rows[i]] + b) - 1 + soft[i] * alpha[i]
-                new = max(alpha[i] - gradient / (2 + soft[i]), 0.0)
+                at = unpacked(rows[i])
+                x = scaled(ratio[at])
+                gradient = sign[i] * (x @ w[at] + b) - 1
+                new = min(max(alpha[i] - gradient / 2, 0.0), most[i])  # 2: a row's length and the bias's
                 if new != alpha[i]:
                     move = (new - alpha[i]) * sign[i]
-                    w[rows[i]] += move * x[i]
+                    w[at] += move * x
                     b += move
                     alpha[i] = new
         return cls(ratio, w, b)
 
-    def margins(self, block: np.ndarray) -> np.ndarray:
-        x = block @ np.stack([self.weights * self.ratio, self.ratio**2], axis=1)
-        return x[:, 0] / np.sqrt(x[:, 1] + 1e-9) + self.bias
+    def margins(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of texts with the indicators ``at`` between ``bounds``; no text is without any."""
+        ratio = self.ratio[at]
+        return np.add.reduceat(self.weights[at] * ratio, bounds[:-1]) / np.sqrt(np.add.reduceat(ratio**2, bounds[:-1]) + 1e-9) + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35)))
@@ -149,14 +168,14 @@ def train(docs: DataFrame, labels: DataFrame) -> NBSVM | float:
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
     # at most SAMPLE_DOCS rows
-    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    sample = short.join(F.broadcast(known), "doc_id").select("label", "text")
-    rows = sample.mapInArrow(_sparse, "label int, at binary").orderBy("label", F.xxhash64("at")).limit(2 * SAMPLE_DOCS).collect()
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
+    # a doc_id may stand in many rows
+    rows = sample.mapInArrow(_sparse, "label int, at binary").orderBy(F.xxhash64("at"), "label").limit(2 * SAMPLE_DOCS).collect()
     y = np.array([r["label"] for r in rows], np.int64)
     if len(np.unique(y)) < 2 or min(np.bincount(y)) < 5:
         return float(y.mean()) if len(y) else 0.5
     order = np.random.Generator(np.random.PCG64(1)).permutation(len(rows))
-    return NBSVM.fit([np.frombuffer(rows[i]["at"], np.int32) for i in order], y[order])
+    return NBSVM.fit([bytes(rows[i]["at"]) for i in order], y[order])
 
 
 def _score(model: NBSVM | float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +183,7 @@ def _score(model: NBSVM | float, batches: Iterator[pa.RecordBatch]) -> Iterator[
         if isinstance(model, float):
             score = np.full(len(batch), model)
         else:
-            score = np.concatenate([*(model.probability(model.margins(block)) for _, block in _rows(batch.column("text"))), np.zeros(0)])
+            score = np.concatenate([*(model.probability(model.margins(*block)) for block in _blocks(batch.column("text"))), np.zeros(0)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
 
@@ -175,7 +194,8 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id as text leaves 0 modulo 5); a document with several labels counts with the largest.
     Null and empty texts are scored like any text, by their length alone.  A null doc_id is
     neither learned from nor held out.  Without two classes to learn from, every score is the
-    share of label 1, or 0.5.  An empty table gives an empty result.
+    share of label 1, or 0.5.  Very long texts are read whole, one at a time.  Repeated rows get
+    equal scores; other columns are ignored.  An empty table gives an empty result.
     """
     model = train(docs, labels)
     out = docs.select("doc_id", "text").mapInArrow(partial(_score, model), "doc_id bigint, score double")

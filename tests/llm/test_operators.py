@@ -347,13 +347,57 @@ def test_kernel_of_dual_descent_separates():
     rng = np.random.default_rng(1)
     rows = [np.unique(np.concatenate([[5 if y else 9], rng.integers(20, 400, 12)])).astype(np.int32) for y in (0, 1) * 60]
     model = quality_model.NBSVM.fit(rows, np.array((0, 1) * 60))
-    block = np.zeros((len(rows), quality_model.N_FEATURES), bool)
-    for i, r in enumerate(rows):
-        block[i, r] = True
-    score = model.probability(model.margins(block))
+    score = model.probability(model.margins(np.concatenate(rows), np.cumsum([0] + [len(r) for r in rows])))
     assert ((score > 0.5) == np.array((0, 1) * 60, bool)).mean() > 0.97
 
 
+def test_dual_descent_reaches_the_least_hinge_loss():
+    """No small step from the fitted weights lowers the primal objective, which is that of a plain subgradient's best."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.concatenate([[5 if y else 9], rng.integers(20, 60, 6)])) for y in rng.integers(0, 2, 60)]
+    labels = np.array([1 if 5 in r else 0 for r in rows])
+    labels[:6] = 1 - labels[:6]
+    model = quality_model.NBSVM._margins(rows, labels, 1.0, 400, 5)
+    x = np.zeros((len(rows), 61))
+    for i, r in enumerate(rows):
+        x[i, r] = quality_model.scaled(model.ratio[r])
+    x[:, 60], sign = 1, np.where(labels == 1, 1.0, -1.0)
+    cost = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+
+    def loss(w):
+        return w @ w / 2 + cost @ np.maximum(0, 1 - sign * (x @ w))
+
+    got = np.append(model.weights[:60], model.bias)
+    w, best = np.zeros(61), np.inf
+    for t in range(20_000):
+        inside = sign * (x @ w) < 1
+        w = w - (w - x.T @ (cost * sign * inside)) / (t + 2)
+        best = min(best, loss(w))
+    assert loss(got) <= best * 1.001
+    assert all(loss(got) <= loss(got + rng.normal(0, 0.01, 61)) + 1e-9 for _ in range(100))
+
+
+def test_indicators_by_hand():
+    """Set indicators of a text do not hang on its neighbours, and long texts pack into a fixed size."""
+    texts = ["Aa bb, aa bb! cc", "", "x", "Aa bb, aa bb! cc"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at, bounds = quality_model.features(raw, np.cumsum([0] + [len(t) for t in texts]))
+    alone = [quality_model.features(*one_text(t))[0].tolist() for t in texts]
+    assert [r.tolist() for r in np.split(at, bounds[1:-1])] == alone and alone[0] == alone[3] and len(alone[1]) == 1
+    many = quality_model.features(*one_text(" ".join(f"w{i}" for i in range(60_000))))[0]
+    for row in (many, at[bounds[0] : bounds[1]]):
+        assert len(quality_model.packed(row)) <= quality_model.N_FEATURES // 8 and np.array_equal(quality_model.unpacked(quality_model.packed(row)), row)
+
+
+def test_long_texts_teach(spark):
+    """Labelled texts of any length are learned from: all of these are longer than 30,000 characters."""
+    texts = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{j % 7} w{(i * 31 + j) % 997}" for j in range(3600))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    rows = quality_model.quality_digest(docs, labels).collect()
+    assert min(len(t) for _, t in texts) > 30_000 and all(r["predicted"] == r["doc_id"] % 2 for r in rows)
+
+
 # 7: decontamination
 
 
