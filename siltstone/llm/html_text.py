@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: The training sample: so many pages with a marked content element at most, in hashed order.
 SAMPLE_PAGES = 300
-#: Longer pages teach nothing, which bounds the sample's size.
-SAMPLE_CHARS = 200_000
 
 # fixed values
 BLOCKS = frozenset("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -35,7 +33,9 @@ NEVER_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie copyright cookies discussion disqus footer gdpr header legal links login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar trending widget widgets".split()
 )
 #: Words of a class or id that say what a part has beside it, or lacks, and not what it is.
-RELATIONS = frozenset("has have having with without no not non".split())
+RELATIONS = frozenset("has have having with without no not non enabled disabled fixed sticky open closed active visible layout theme template".split())
+#: Words that say where a part stands or what it is made of, and nothing of what it holds.
+PLACES = frozenset("area articles bar block bottom box center col column container full global group holder inner item items left list lower main outer page panel posts primary region right row secondary section site stories sub top upper user wrap wrapper".split())
 MARKED = frozenset(["article", "main"])
 #: Why a part is never content: its tag or that it is not displayed, a name that says something else too, a name that says only that.
 SURE, MIXED, NAMED = 1, 2, 3
@@ -75,7 +75,7 @@ def never_shown(tag: str, attrs: str) -> int:
         words = [w.lower() for w in _PART.findall(token)]
         if not RELATIONS.isdisjoint(words) or NEVER_WORDS.isdisjoint(words):
             continue
-        why = max(why, NAMED if NEVER_WORDS.issuperset(words) else MIXED)
+        why = max(why, NAMED if (NEVER_WORDS | PLACES).issuperset(words) else MIXED)
     return why
 
 
@@ -83,18 +83,25 @@ def tokens(page: str) -> tuple[list[Token], list[bool]]:
     """The page's tokens without what is never content, and whether each lies in a marked element.
 
     Where every marked element lies in parts that only a name hides, those parts are opened: any
-    with ``<main>`` or a mixed name, and if no word is left then all.
+    with ``<main>`` or a mixed name, and if no word is left then all.  So are, where no marked
+    element is shown, parts of a mixed name that hold most of the page's words.
     """
-    out, marks, hiders = _read(page, frozenset())
-    if hiders and not any(marks):
-        empty = not any(kind.startswith("w:") and not text.isspace() for kind, text, _ in out)
-        if opened := frozenset(k for k, (why, tag) in hiders.items() if empty or why == MIXED or tag == "main"):
-            out, marks, _ = _read(page, opened)
+    out, marks, hiders, words = _read(page, frozenset())
+    if (hiders or words) and not any(marks):
+        shown = sum(len(text.split()) for kind, text, _ in out if kind.startswith("w:") and kind != "w:a")
+        opened = {k for k, (why, tag) in hiders.items() if not shown or why == MIXED or tag == "main"}
+        opened |= {k for k, n in words.items() if 2 * n > shown + words[0]}
+        if opened:
+            out, marks, *_ = _read(page, frozenset(opened))
     return out, marks
 
 
-def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], dict[int, tuple[int, str]]]:
-    """Tokens, marks, and by tag's number what a name hides though it holds a marked element: why, and which."""
+def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], dict[int, tuple[int, str]], Counter[int]]:
+    """Tokens, marks, and by tag's number what a name hides though it holds a marked element: why, and which.
+
+    Last the words outside links in parts of a mixed name, by tag's number, and at 0 of all that
+    names hide.
+    """
     out: list[Token] = []
     marks: list[bool] = []
     open_: list[tuple[str, int, str]] = []  # tag, why it is never content, the link or block it lies in or is
@@ -102,6 +109,7 @@ def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], d
     hidden = marked = block = sure = 0
     hiding: list[tuple[int, int]] = []  # number and why of each open part that is never content
     hiders: dict[int, tuple[int, str]] = {}
+    words: Counter[int] = Counter()
 
     def close() -> str:
         nonlocal hidden, marked, sure
@@ -114,10 +122,14 @@ def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], d
             hiding.pop()
         return t
 
-    for number, m in enumerate(_TOKEN.finditer(page)):
+    for number, m in enumerate(_TOKEN.finditer(page), 1):
         if m["text"] is not None:
+            where = open_[-1][2] if open_ else ""
+            if hidden and not sure and where != "a":
+                n = len(m["text"].split())
+                words[0] += n
+                words.update({k: n for k, why in hiding if why == MIXED})
             if not hidden:
-                where = open_[-1][2] if open_ else ""
                 out.append((f"w:{where}", m["text"], block))
                 marks.append(marked > 0)
             continue
@@ -137,7 +149,8 @@ def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], d
         while open_ and open_[-1][0] in CLOSES.get(tag, ()):
             close()
         block += tag in BLOCKS
-        never = 0 if tag in VOID or number in opened else never_shown(tag, m["attrs"])
+        # an article's own header has its title
+        never = 0 if tag in VOID or number in opened else never_shown("div" if tag == "header" and n_open["article"] else tag, m["attrs"])
         if not hidden and not never and tag not in NEVER:
             out.append((tag, " " if tag == "br" else "", block))
             marks.append(marked > 0)
@@ -155,7 +168,7 @@ def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], d
                 hidden += 1
                 sure += never == SURE
                 hiding.append((number, never))
-    return out, marks, hiders
+    return out, marks, hiders, words
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +190,12 @@ LINK_WEIGHT = 0.15
 
 def learn_weights(pages: DataFrame) -> dict[str, float]:
     """The weight of each token class: log odds of content, positive for words and negative for tags."""
-    known = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.length("html") <= SAMPLE_CHARS))
-    sample = known.select("html").orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES)
-    counts = sample.mapInArrow(_count, "kind string, inside bigint, outside bigint").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    # token classes are tag names: few
-    rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(1000).collect()
+    known = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("html", F.xxhash64("html").alias("h"))
+    # hashes first, so that no task holds many whole pages; copies count once
+    last = known.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h").alias("h")).first()["h"]
+    counts = known.where(F.col("h") <= (last or 0)).dropDuplicates(["h"]).select("html").mapInArrow(_count, "kind string, inside bigint, outside bigint").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    # a row for each tag name of the sample's pages
+    rows = counts.collect()
     weights = {}
     for r in rows:
         odds = float(np.log((r["inside"] + 1) / (r["outside"] + 1)))
@@ -216,7 +230,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     for _, text, block in found[first:end]:
         if text:
             blocks.setdefault(block, []).append(text)
-    lines = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for parts in blocks.values())
+    lines = (_SPACE.sub(" ", "".join(map(html.unescape, parts))).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 

@@ -669,6 +669,27 @@ def test_content_is_not_hidden_by_its_wrapper(page):
     assert html_text.extract(page, {"w:a": 1.0}) == "one two"
 
 
+@pytest.mark.parametrize("open_", ['<div class="layout has-sidebar">', '<div id="page" class="no-header">', '<div class="entry-content share-enabled">', '<div class="theme-default header-fixed">', '<section class="legal-article">'])
+def test_ordinary_wrappers_keep_their_text(open_):
+    """A menu, a comment list and the wrapper's own class names round a paragraph of eighty words."""
+    words = " ".join(f"word{i}" for i in range(80))
+    page = f"<body><nav><a href=/>home</a></nav>{open_}<p>{words}</p></{open_[1:].split()[0]}><div class='comment-list'><p>no, no and no</p></div><div class='site-footer'>no</div></body>"
+    assert html_text.extract(page, {}) == words
+
+
+def test_titles_and_references():
+    """An article's own header has its title; a reference is decoded in its own token alone."""
+    assert html_text.extract("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>one two three four</p></article>", {}) == "Title\none two three four"
+    assert html_text.extract("<p>one &<b>amp;</b> &lt;two&gt; &eacute;t&#233;</p>", {}) == "one &amp; <two> été"
+
+
+def test_pages_of_any_length_teach(spark):
+    """The only labelled page has over 200,000 characters and more than a thousand tag names."""
+    page = "<article>" + "".join(f"<x{i}>" + "word " * 40 + f"</x{i}>" for i in range(1200)) + "</article><q>out</q>"
+    weights = html_text.learn_weights(spark.createDataFrame([(page,)], "html string"))
+    assert len(page) > 200_000 and len([k for k in weights if k.startswith("x")]) == 1200
+
+
 def test_parts_stay_hidden():
     article = "<article><p>one two three</p></article>{}".format
     for part in ("<div class='comments'><article>no</article></div>", "<div class='related-posts'><article>no</article></div>", "<p hidden>no</p>", "<div class='site-header'>no</div>", "<p id=nav>no</p>", "<p style='DISPLAY: none'>no</p>"):
