@@ -1,112 +1,174 @@
 """Licences in texts, from the sentences that name or grant them.
 
-A text is normalised to lower-case letters and digits and cut before each phrase that opens a
-known licence sentence.  The words after a cut map to the identifier of the longest known
-sentence that they start with.  The identifiers, in text order, are matched against ordered
-rules; a rule takes the identifiers that it matches, so that a full licence text is not also
-reported as a mere mention.
+A text is normalised to lower-case letters and digits, with one spelling for what authors write
+in several ways, and cut before each phrase that opens a known licence sentence.  The words after
+a cut map to the identifier of the longest known sentence that they start with.  The identifiers,
+in text order, are matched against ordered rules; a rule takes the identifiers that it matches,
+so that a full licence text is not also reported as a mere mention, and a copyright line inside
+it not as a reservation of all rights.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: licence, kind, names
+NAMES = (
+    ("MIT", "permissive", ("mit", "mit license", "mit x11 license", "expat license")),
+    ("ISC", "permissive", ("isc", "isc license")),
+    ("Unlicense", "permissive", ("unlicense",)),
+    ("Zlib", "permissive", ("zlib", "zlib license")),
+    ("BSD-3-Clause", "permissive", ("bsd 3 clause", "3 clause bsd", "new bsd license", "modified bsd license", "revised bsd license")),
+    ("BSD-2-Clause", "permissive", ("bsd 2 clause", "2 clause bsd", "simplified bsd license")),
+    ("BSD", "permissive", ("bsd", "bsd license", "bsd style license")),
+    ("CC0-1.0", "permissive", ("cc0", "cc0 1 0", "creative commons zero", "creative commons cc0")),
+)
+# fixed values: licence family, kind, names, versions
+FAMILIES = (
+    ("Apache", "permissive", ("apache license", "apache software license", "apache"), ("1.1", "2.0")),
+    ("GPL", "copyleft", ("gnu general public license", "gnu gpl", "gpl", "general public license"), ("2.0", "3.0")),
+    ("AGPL", "copyleft", ("gnu affero general public license", "affero general public license", "gnu agpl", "agpl"), ("3.0",)),
+    ("LGPL", "copyleft", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl"), ("2.0", "2.1", "3.0")),
+    ("MPL", "copyleft", ("mozilla public license", "mpl"), ("1.1", "2.0")),
+    ("EPL", "copyleft", ("eclipse public license", "epl"), ("1.0", "2.0")),
+    ("BSL", "permissive", ("boost software license",), ("1.0",)),
+)
+# fixed values: parts of a Creative Commons attribution licence, kind
+COMMONS = (("", "permissive"), ("sa", "copyleft"), ("nd", "noderivatives"), ("nc", "noncommercial"), ("nc sa", "noncommercial"), ("nc nd", "noncommercial"))
+COMMONS_WORDS = {"sa": "sharealike", "nd": "noderivatives", "nc": "noncommercial"}
+COMMONS_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+
 # fixed values: identifier, normalised sentence
 SENTENCES = (
-    ("apache_mention", "licensed under the apache license version 2 0"),
-    ("apache_mention", "released under the apache license version 2 0"),
-    ("apache_mention", "licensed under the apache license 2 0"),
-    ("apache_mention", "spdx license identifier apache 2 0"),
     ("apache_comply", "you may not use this file except in compliance with the license"),
     ("apache_copy", "you may obtain a copy of the license at"),
-    ("apache_as_is", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache_as_is", "unless required by applicable law or agreed to in writing software"),
     ("apache_see", "see the license for the specific language governing permissions and limitations under the license"),
-    ("mit_mention", "released under the mit license"),
-    ("mit_mention", "licensed under the mit license"),
-    ("mit_mention", "spdx license identifier mit"),
     ("mit_grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit_notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit_as_is", "the software is provided as is without warranty of any kind"),
     ("isc_grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl3_mention", "licensed under the gnu general public license version 3"),
-    ("gpl3_mention", "released under the gnu general public license version 3"),
-    ("gpl3_mention", "spdx license identifier gpl 3 0"),
-    ("gpl2_mention", "licensed under the gnu general public license version 2"),
-    ("gpl2_mention", "spdx license identifier gpl 2 0"),
-    ("gpl_mention", "licensed under the gnu general public license"),
-    ("gpl_free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl_hope", "this program is distributed in the hope that it will be useful but without any warranty"),
-    ("gpl_copy", "you should have received a copy of the gnu general public license along with this program"),
-    ("agpl_mention", "licensed under the gnu affero general public license"),
-    ("lgpl_mention", "licensed under the gnu lesser general public license"),
-    ("mpl_mention", "licensed under the mozilla public license version 2 0"),
-    ("mpl_mention", "spdx license identifier mpl 2 0"),
-    ("bsd_mention", "licensed under the bsd license"),
-    ("bsd_mention", "released under the bsd license"),
+    ("isc_grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc_as_is", "the software is provided as is and the author disclaims all warranties"),
+    ("boost_grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("zlib_as_is", "this software is provided as is without any express or implied warranty"),
+    ("zlib_grant", "permission is granted to anyone to use this software for any purpose"),
+    ("unlicense_free", "this is free and unencumbered software released into the public domain"),
+    ("mpl_1_1_form", "this source code form is subject to the terms of the mozilla public license version 1 1"),
+    ("mpl_2_0_form", "this source code form is subject to the terms of the mozilla public license version 2"),
+    ("gpl_free", "is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("agpl_free", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("lgpl_free", "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl_free", "is free software you can redistribute it and or modify it under the terms of the gnu library general public license"),
+    ("version_2_0", "version 2 of the license"),
+    ("version_2_1", "version 2 1 of the license"),
+    ("version_3_0", "version 3 of the license"),
+    ("version_2_0", "either version 2 of the license"),
+    ("version_2_1", "either version 2 1 of the license"),
+    ("version_3_0", "either version 3 of the license"),
+    ("gpl_hope", "is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl_copy", "you should have received a copy of the gnu general public license"),
+    ("gpl_copy", "you should have received a copy of the gnu affero general public license"),
+    ("gpl_copy", "you should have received a copy of the gnu lesser general public license"),
+    ("gpl_copy", "you should have received a copy of the gnu library general public license"),
     ("bsd_use", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd_source", "redistributions of source code must retain the above copyright notice"),
     ("bsd_binary", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd_adverts", "all advertising materials mentioning features or use of this software must display"),
     ("bsd_name", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
-    ("cc_by_nc_4", "licensed under cc by nc 4 0"),
-    ("cc_by_nc_sa_4", "licensed under cc by nc sa 4 0"),
-    ("cc_by_nc_nd_4", "licensed under cc by nc nd 4 0"),
-    ("cc_by_sa_4", "licensed under cc by sa 4 0"),
-    ("cc_by_4", "licensed under cc by 4 0"),
-    ("cc_by_4", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc_by_sa_4", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc_by_nc_4", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc0", "released under cc0 1 0"),
+    ("bsd_name", "the name of the author may not be used to endorse or promote products"),
     ("all_rights", "all rights reserved"),
 )
-# fixed values: phrases that open the sentences above
+# fixed values: phrases that open the sentences above, and what names a licence
 OPENERS = (
-    "licensed under", "released under", "spdx license identifier", "you may not use this file", "you may obtain a copy", "unless required by applicable law",
-    "see the license for", "permission is hereby granted", "the above copyright notice and this permission", "the software is provided", "permission to use copy",
-    "this program is free software", "this program is distributed", "you should have received", "redistribution and use", "redistributions of source", "redistributions in binary",
-    "neither the name of", "all rights reserved",
+    "licensed under", "you may not use this file", "you may obtain a copy", "unless required by applicable law", "see the license for", "permission is hereby granted",
+    "the above copyright notice and this permission", "the software is provided", "this software is provided as is", "permission to use copy", "permission is granted to anyone",
+    "this is free and unencumbered", "this source code form is subject", "is free software", "either version", "version 2 of the license", "version 3 of the license", "version 2 1 of the license",
+    "is distributed in the hope", "you should have received", "redistribution and use", "redistributions of source", "redistributions in binary", "all advertising materials",
+    "neither the name of", "the name of the author may not", "all rights reserved",
 )
-# fixed values: licence, kind, identifiers in order; the first rules take precedence
-RULES = (
-    ("Apache-2.0", "permissive", ("apache_mention", "apache_comply", "apache_copy", "apache_as_is", "apache_see")),
-    ("Apache-2.0", "permissive", ("apache_comply", "apache_copy", "apache_as_is")),
-    ("MIT", "permissive", ("mit_grant", "mit_notice", "mit_as_is")),
-    ("ISC", "permissive", ("isc_grant", "mit_as_is")),
-    ("BSD-3-Clause", "permissive", ("bsd_use", "bsd_source", "bsd_binary", "bsd_name")),
-    ("BSD-2-Clause", "permissive", ("bsd_use", "bsd_source", "bsd_binary")),
-    ("GPL", "copyleft", ("gpl_free", "gpl_hope", "gpl_copy")),
-    ("Apache-2.0", "permissive", ("apache_mention",)),
-    ("MIT", "permissive", ("mit_mention",)),
-    ("MIT", "permissive", ("mit_grant",)),
-    ("ISC", "permissive", ("isc_grant",)),
-    ("GPL-3.0", "copyleft", ("gpl3_mention",)),
-    ("GPL-2.0", "copyleft", ("gpl2_mention",)),
-    ("GPL", "copyleft", ("gpl_mention",)),
-    ("GPL", "copyleft", ("gpl_free",)),
-    ("AGPL", "copyleft", ("agpl_mention",)),
-    ("LGPL", "copyleft", ("lgpl_mention",)),
-    ("MPL-2.0", "copyleft", ("mpl_mention",)),
-    ("BSD", "permissive", ("bsd_mention",)),
-    ("CC-BY-NC-4.0", "noncommercial", ("cc_by_nc_4",)),
-    ("CC-BY-NC-SA-4.0", "noncommercial", ("cc_by_nc_sa_4",)),
-    ("CC-BY-NC-ND-4.0", "noncommercial", ("cc_by_nc_nd_4",)),
-    ("CC-BY-SA-4.0", "copyleft", ("cc_by_sa_4",)),
-    ("CC-BY-4.0", "permissive", ("cc_by_4",)),
-    ("CC0-1.0", "permissive", ("cc0",)),
-    ("proprietary", "reserved", ("all_rights",)),
+# fixed values: patterns over the normalised text and their one spelling; @1 is the first group
+SPELLINGS = (
+    (" licence", " license"),
+    ("(gpl)v ?([0-9])", "@1 version @2"),
+    (" (?:version |ver |v |v)([0-9])", " version @1"),
+    (" public license (?:gnu )?a?l?(?:gpl|mpl|epl) ", " public license "),
+    (" non commercial", " noncommercial"),
+    (" share alike", " sharealike"),
+    (" (?:no derivatives|no derivs|noderivs)", " noderivatives"),
+    (" spdx license identifier ", " licensed under "),
+    (" license (mit|isc|apache|bsd|gpl|gplv2|gplv3|agpl|lgpl|mpl|epl|zlib|unlicense|cc0|cc by) ", " licensed under @1 "),
+    (" (?:licensed|released|distributed|available|published|provided|shared) (?:only )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?", " licensed under "),
+    (" neither the name of .{1,200}? nor the names of (?:its|their|any|the) contributors ", " neither the name of the copyright holder nor the names of its contributors "),
 )
 #: Every known sentence has one of these, so a text without them needs no further look.
-CUES = r"(?i)licen|permission|redistribut|warrant|reserved|copyright|free software|cc0"
+CUES = r"(?i)licen|permission|redistribut|warrant|reserved|copyright|free software|unencumbered|advertising materials|endorse|applicable law|under\W+(?:\w+\W+){0,4}(?:mit|isc|apache|bsd|l?a?gplv?[0-9]?|mpl|epl|zlib|cc0|cc)\b"
 
-_OPENER = " (" + "|".join(OPENERS) + r")\b"
-_BY_TEXT = {text: name for name, text in SENTENCES}
+
+def _mentions() -> list[tuple[str, str, str, str]]:
+    """(identifier, licence, kind, name) of every way to name a licence."""
+    out = [(lic.lower().replace("-", "_").replace(".", "_"), lic, kind, n) for lic, kind, names in NAMES for n in names]
+    for family, kind, names, versions in FAMILIES:
+        out += [(family.lower(), family, kind, n) for n in names]
+        for n, v in product(names, versions):
+            major, minor = v.split(".")
+            for number in {f"{major} {minor}", major if minor == "0" else f"{major} {minor}"}:
+                out += [(f"{family}_{major}_{minor}".lower(), f"{family}-{v}", kind, f"{n}{word} {number}") for word in ("", " version")]
+    for parts, kind in COMMONS:
+        lic = "-".join(["CC-BY", *parts.upper().split()])
+        for short, v in product((True, False), ("", *COMMONS_VERSIONS)):
+            words = ["cc by", *parts.split()] if short else ["creative commons attribution", *(COMMONS_WORDS[p] for p in parts.split())]
+            named = f"{lic}-{v}" if v else lic
+            out.append((named.lower().replace("-", "_").replace(".", "_"), named, kind, " ".join([*words, *v.split(".")]).strip()))
+    return out
+
+
+_MENTIONS = _mentions()
+_BY_TEXT = {text: name for name, text in SENTENCES} | {f"licensed under {n}": i for i, _, _, n in _MENTIONS}
 _LENGTHS = sorted({len(text.split()) for text in _BY_TEXT}, reverse=True)
+_OPENER = " (" + "|".join(OPENERS) + r")\b"
+
+
+def _grants(licence: str, kind: str, free: str, version: str) -> tuple[str, str, tuple[str, ...]]:
+    return (f"{licence}-{version}" if version else licence, kind, (free, *([f"version_{version.replace('.', '_')}"] if version else []), "gpl_hope?", "gpl_copy?"))
+
+
+#: Licence, kind, identifiers in order ("?": may be missing); the first rules take precedence.
+RULES = (
+    ("Apache-2.0", "permissive", ("apache_2_0?", "apache_comply", "apache_copy?", "apache_as_is?", "apache_see?")),
+    ("BSL-1.0", "permissive", ("bsl_1_0?", "boost_grant", "mit_as_is?")),
+    ("MIT", "permissive", ("mit?", "mit_grant", "mit_notice?", "mit_as_is?")),
+    ("ISC", "permissive", ("isc?", "isc_grant", "isc_as_is?", "mit_as_is?")),
+    ("Zlib", "permissive", ("zlib?", "zlib_as_is?", "zlib_grant")),
+    ("Unlicense", "permissive", ("unlicense?", "unlicense_free", "mit_as_is?")),
+    ("BSD-4-Clause", "permissive", ("bsd?", "bsd_use", "bsd_source", "bsd_binary", "bsd_adverts", "bsd_name?")),
+    ("BSD-3-Clause", "permissive", ("bsd_3_clause?", "bsd?", "bsd_use", "bsd_source", "bsd_binary", "bsd_name")),
+    ("BSD-2-Clause", "permissive", ("bsd_2_clause?", "bsd?", "bsd_use", "bsd_source", "bsd_binary")),
+    ("MPL-1.1", "copyleft", ("mpl_1_1_form",)),
+    ("MPL-2.0", "copyleft", ("mpl_2_0?", "mpl_2_0_form")),
+    *(_grants("AGPL", "copyleft", "agpl_free", v) for v in ("3.0", "")),
+    *(_grants("LGPL", "copyleft", "lgpl_free", v) for v in ("2.0", "2.1", "3.0", "")),
+    *(_grants("GPL", "copyleft", "gpl_free", v) for v in ("2.0", "3.0", "")),
+    *((lic, kind, (i,)) for i, (lic, kind) in {i: (lic, kind) for i, lic, kind, _ in _MENTIONS}.items()),
+    ("proprietary", "reserved", ("all_rights",)),
+)
+
+
+def _pattern(ids: tuple[str, ...]) -> str:
+    """A rule over `` id  id ``; the copyright line of what it matches is part of it."""
+    line = "" if ids == ("all_rights",) else "(?: all_rights )*"
+    return "".join(f"(?:{line} {i[:-1]} )?" if i.endswith("?") else f"{line} {i} " for i in ids)
 
 
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of known sentences in a text, in order: `` apache_mention  mit_mention ``."""
+    """The identifiers of known sentences in a text, in order: `` apache_2_0  mit ``."""
     known = F.create_map(*(F.lit(x) for pair in _BY_TEXT.items() for x in pair))
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    for pattern, spelling in SPELLINGS:
+        plain = F.regexp_replace(plain, pattern, spelling.replace("@", "$"))
     pieces = F.slice(F.split(F.regexp_replace(plain, _OPENER, "\n$1"), "\n"), 2, 1 << 30)
     named = lambda words: F.coalesce(*(F.when(F.size(words) >= n, F.try_element_at(known, F.array_join(F.slice(words, 1, n), " "))) for n in _LENGTHS))
     ids = F.transform(pieces, lambda p: F.transform(F.array(F.split(p, " ")), named)[0])
@@ -116,38 +178,46 @@ def sentence_ids(text: Column) -> Column:
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, license, kind, rule, n_matches of each rule that a text of docs matches.
 
-    Null and empty texts match nothing.  Each row is read alone: repeated rows give repeated
-    answers, and a null doc_id is carried.  Other columns are ignored; an empty table gives an
+    Null and empty texts match nothing; very long ones are read whole.  Each row is read alone:
+    repeated rows give repeated answers, and a null doc_id is carried.  Where two rules match the
+    same sentences, the first takes them.  Other columns are ignored; an empty table gives an
     empty result.
     """
-    found = docs.where(F.col("text").rlike(CUES)).select("doc_id", sentence_ids(F.col("text")).alias("left")).where("left <> ''")
-    counts = []
-    for i, (_, _, ids) in enumerate(RULES):
-        pattern = "".join(f" {x} " for x in ids)
-        found = found.withColumns({f"n{i}": F.regexp_count("left", F.lit(pattern)), "left": F.regexp_replace("left", pattern, " # ")})
-        counts.append(F.struct(F.lit(RULES[i][0]).alias("license"), F.lit(RULES[i][1]).alias("kind"), F.lit(i).alias("rule"), F.col(f"n{i}").cast("bigint").alias("n_matches")))
-    return found.select("doc_id", F.explode(F.filter(F.array(*counts), lambda c: c["n_matches"] > 0)).alias("c")).select("doc_id", "c.*")
+    left = docs.where(F.col("text").rlike(CUES)).select("doc_id", sentence_ids(F.col("text")).alias("left")).where("left <> ''")
+    rules = F.array(*(F.struct(F.lit(lic).alias("license"), F.lit(kind).alias("kind"), F.lit(i).alias("rule"), F.lit(_pattern(ids)).alias("pattern")) for i, (lic, kind, ids) in enumerate(RULES)))
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<struct<license:string,kind:string,rule:int,n_matches:bigint>>").alias("found"))
+
+    def apply(state: Column, rule: Column) -> Column:
+        n = F.regexp_count(state["left"], rule["pattern"]).cast("bigint")
+        match = F.struct(rule["license"].alias("license"), rule["kind"].alias("kind"), rule["rule"].alias("rule"), n.alias("n_matches"))
+        return F.when(n == 0, state).otherwise(F.struct(F.regexp_replace(state["left"], rule["pattern"], F.lit(" # ")).alias("left"), F.array_append(state["found"], match).alias("found")))
+
+    return left.select("doc_id", F.explode(F.aggregate(rules, start, apply, lambda state: state["found"])).alias("c")).select("doc_id", "c.*")
 
 
 def _oracle() -> str:
     known = ", ".join(f"('{text}', '{name}', {len(text.split())})" for text, name in _BY_TEXT.items())
+    plain = "' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' '"
+    for pattern, spelling in SPELLINGS:
+        plain = f"regexp_replace({plain}, '{pattern}', '{spelling.replace('@', chr(92))}', 'g')"
     steps, last = "", "ids"
     for i, (_, _, ids) in enumerate(RULES):
-        pattern = "".join(f" {x} " for x in ids)
-        steps += f", s{i} AS (SELECT * REPLACE (replace(lft, '{pattern}', ' # ') AS lft), (length(lft) - length(replace(lft, '{pattern}', ''))) // {len(pattern)} AS n{i} FROM {last})"
+        p = _pattern(ids)
+        steps += f", s{i} AS MATERIALIZED (SELECT * REPLACE (regexp_replace(lft, '{p}', ' # ', 'g') AS lft, list_append(found, len(regexp_extract_all(lft, '{p}'))) AS found) FROM {last})"
         last = f"s{i}"
-    rows = " UNION ALL ".join(f"SELECT doc_id, '{lic}' AS license, '{kind}' AS kind, {i}::INTEGER AS rule, n{i}::BIGINT AS n_matches FROM {last} WHERE n{i} > 0" for i, (lic, kind, _) in enumerate(RULES))
+    rules = ", ".join(f"({i}::INTEGER, '{lic}', '{kind}')" for i, (lic, kind, _) in enumerate(RULES))
     return f"""
 WITH known(sentence, id, n) AS (VALUES {known}),
+rules(rule, license, kind) AS (VALUES {rules}),
 cut AS (
-  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), '{_OPENER}', chr(10) || '\\1', 'g'), chr(10)) AS pieces
+  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace({plain}, '{_OPENER}', chr(10) || '\\1', 'g'), chr(10)) AS pieces
   FROM documents WHERE text IS NOT NULL),
 piece AS (SELECT r, doc_id, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS p FROM cut),
 hit AS (
   SELECT r, doc_id, i, max_by(k.id, k.n) AS id FROM piece JOIN known k ON i > 1 AND (p = k.sentence OR starts_with(p, k.sentence || ' '))
   GROUP BY ALL),
-ids AS (SELECT r, doc_id, string_agg(' ' || id || ' ', '' ORDER BY i) AS lft FROM hit GROUP BY r, doc_id){steps}
-{rows}
+ids AS (SELECT r, doc_id, string_agg(' ' || id || ' ', '' ORDER BY i) AS lft, []::BIGINT[] AS found FROM hit GROUP BY r, doc_id){steps}
+SELECT doc_id, license, kind, rule, found[rule + 1]::BIGINT AS n_matches FROM {last}, rules WHERE found[rule + 1] > 0
 """
 
 

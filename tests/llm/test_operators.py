@@ -164,6 +164,75 @@ def test_every_sentence_has_a_cue_and_an_opener():
         assert text.startswith(licenses.OPENERS), name
 
 
+GNU = """Copyright (C) 2001 Somebody. All rights reserved.
+This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the {name} as published by
+the Free Software Foundation{comma} {either}version {version} of the License{later}.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+
+You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."""
+LATER = {"either": "either ", "later": ", or (at your option) any later version", "comma": ","}
+PROVIDED = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY'
+BSD = """Copyright 2008, Google Inc.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+    * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above copyright notice, this list of conditions in the documentation.
+{more}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+NEITHER = "    * Neither the name of Google Inc. nor the names of its\n contributors may be used to endorse or promote products derived from this software."
+NOTICES = {
+    "MIT": f"The MIT License (MIT)\n\nCopyright (c) 2011 Somebody. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files\nto deal in the Software.\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{PROVIDED}",
+    "BSD-3-Clause": BSD.format(more=NEITHER),
+    "BSD-2-Clause": BSD.format(more=""),
+    "BSD-4-Clause": BSD.format(more="3. All advertising materials mentioning features or use of this software must display the following acknowledgement.\n" + NEITHER),
+    "ISC": 'ISC License\n\nCopyright (c) 2004\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice appears.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications",
+    "Unlicense": f"This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy. {PROVIDED}",
+    "BSL-1.0": f"Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation.\n\n{PROVIDED}",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.',
+    "GPL-3.0": GNU.format(what="program", colon=":", name="GNU General Public License", version="3", **LATER),
+    "GPL-2.0": GNU.format(what="file", colon=";", name="GNU General Public License", version="2", either="", later="", comma=";"),
+    "LGPL-2.1": GNU.format(what="library", colon=";", name="GNU Lesser General Public License", version="2.1", **LATER),
+    "LGPL-3.0": GNU.format(what="library", colon=":", name="GNU Lesser General Public License", version="3", **LATER),
+    "AGPL-3.0": GNU.format(what="program", colon=":", name="GNU Affero General Public License", version="3", **LATER),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+}
+SHORT = {
+    "Licensed under MIT": "MIT", "License: MIT": "MIT", "Distributed under the MIT License": "MIT", "This is made available under the terms of the Apache License 2.0.": "Apache-2.0", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+    "Released under the GPLv3": "GPL-3.0", "licensed under the GNU General Public License (GPL) version 3": "GPL-3.0", "Licensed under the GNU GPL": "GPL", "Published under a BSD 3-Clause license": "BSD-3-Clause", "licensed under the 2-clause BSD license": "BSD-2-Clause",
+    "Licensed under CC BY-NC-SA 3.0": "CC-BY-NC-SA-3.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0", "Released under CC0": "CC0-1.0", "License: Apache-2.0": "Apache-2.0",
+    "distributed under the Unlicense": "Unlicense", "Licensed under the LGPL v2.1": "LGPL-2.1", "licenced under the mozilla public licence version 2.0": "MPL-2.0", "SPDX-License-Identifier: Zlib": "Zlib", "All rights reserved.": "proprietary",
+}
+
+
+def test_each_notice_gives_its_licence_alone(spark):
+    want = {text: {lic} for lic, text in NOTICES.items()} | {text: {lic} for text, lic in SHORT.items()}
+    clean = ["a permit under the microscope", "He was released under mitigating terms", "The general public licensed the apache helicopter under protest", "version 3 of the story", "it is distributed under pressure"]
+    want |= dict.fromkeys(clean, set())
+    texts = list(want)
+    got = defaultdict(set)
+    rows = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for r in rows:
+        got[texts[r["doc_id"]]].add(r["license"])
+    assert {t: got[t] for t in texts} == want
+    assert all(r["n_matches"] == 1 for r in rows) and len(rows) == len(NOTICES) + len(SHORT)
+
+
+def test_licences_equal_their_sql(spark):
+    con = duckdb.connect()
+    texts = [*NOTICES.values(), *SHORT, "\n".join(NOTICES.values()), None, "", "Released under MIT. " * 3]
+    con.execute("CREATE TABLE documents (doc_id INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(licenses.LICENSE_SQL).fetchall())
+
+
 def test_licences_of_odd_rows(odd):
     assert licenses.licenses(odd).count() == 0 and licenses.licenses(none(odd)).count() == 0
 
