@@ -23,12 +23,12 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: The training sample: at most so many documents of a language, in hashed order, two windows of
-#: each, of so many most frequent languages.
+#: each, and of all languages together, which share it evenly; each has two at least.
 DOCS_PER_LANGUAGE = 800
-MOST_LANGUAGES = 50
+DOCS_OF_ALL = 40_000
 UNKNOWN = "und"
-#: The pipeline rejects documents of a lower score.
-LEAST_SCORE = 0.35
+#: The pipeline rejects documents with a score under so many times that of a guess.
+LEAST_LIFT = 1.4
 
 _B = np.arange(256)
 _LETTER = ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
@@ -140,14 +140,15 @@ def train(docs: DataFrame) -> ByteCNN | None:
     """The network for the languages of docs that may be learned from; None without any."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     cut = lambda i: F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {i}), greatest(1, length(text) - {WINDOW})) as int), {WINDOW})")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return None
+    most = max(2, min(DOCS_PER_LANGUAGE, DOCS_OF_ALL // len(sizes)))
     # twice the wanted share of each language, by hash, so that the ranking below sees few rows
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(2**20 * min(1.0, 2 * DOCS_PER_LANGUAGE / n)))))
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(2**20 * min(1.0, (2 * most + 8) / n)))))
     drawn = known.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(2**20)) < F.try_element_at(share, F.col("lang")))
     ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "texts")
-    sample = drawn.select("doc_id", "lang", F.array(cut(0), cut(1)).alias("texts")).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= DOCS_PER_LANGUAGE)
+    sample = drawn.select("doc_id", "lang", F.array(cut(0), cut(1)).alias("texts")).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= most)
     rows = sample.select("lang", F.explode("texts").alias("text")).orderBy("lang", "text").collect()
     if not rows:
         return None
@@ -177,7 +178,9 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
     The network learns from text and non-null lang of documents that are not held out (crc32 of
     doc_id as text leaves 2 modulo 4).  A null doc_id is neither learned from nor held out.
-    Repeated rows get equal answers; an empty table gives an empty result.
+    Repeated rows get equal answers, and of equal probabilities the first language's name wins.
+    Very long texts are read whole, one at a time.  Other columns are ignored; an empty table gives
+    an empty result.
     """
     docs = docs.select("doc_id", "text", "lang")
     out = predict(docs, train(docs), ["doc_id"])
@@ -185,9 +188,15 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose language is recognised with at least LEAST_SCORE."""
+    """The rows of docs, all columns, whose language is recognised: LEAST_LIFT times as sure as a guess.
+
+    Null texts and texts without a letter go.  Where nothing could be learned, or one language
+    alone, all other documents stay.
+    """
     model = train(docs.select("doc_id", "text", "lang"))
+    if model is None or len(model.classes) < 2:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the answer's
     out = predict(docs.withColumnsRenamed(own), model, list(own.values()), own["text"])
-    out = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    out = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min(1.0, LEAST_LIFT / len(model.classes))))
     return out.select(*(F.col(o).alias(c) for c, o in own.items()))

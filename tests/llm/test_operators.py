@@ -265,6 +265,35 @@ def test_windows_hold_the_whole_text():
     assert (windows.ravel() > 0).sum() == 603
 
 
+def test_network_equals_a_direct_convolution():
+    """Responses by look-up equal filters slid over one-hot symbols, place by place."""
+    rng = np.random.default_rng(8)
+    k = language.FILTERS
+    filters = {w: rng.normal(size=(w, language.N_SYMBOLS, k)).astype(np.float32) for w in language.WIDTHS}
+    dense = rng.normal(size=(k * len(language.WIDTHS) + 1, 3)).astype(np.float32)
+    windows = rng.integers(0, language.N_SYMBOLS, (5, language.WINDOW))
+    got = language.ByteCNN(["a", "b", "c"], filters, dense).probabilities(windows)
+    for x, p in zip(windows, got, strict=True):
+        one_hot = np.eye(language.N_SYMBOLS, dtype=np.float32)[x]
+        pooled = [np.max([(one_hot[i : i + w, :, None] * filters[w]).sum(axis=(0, 1)) for i in range(language.WINDOW - w + 1)], axis=0) for w in language.WIDTHS]
+        scores = np.append(np.maximum(np.concatenate(pooled), 0), 1) @ dense
+        want = np.exp(scores - scores.max()) / np.exp(scores - scores.max()).sum()
+        assert np.allclose(p, want, atol=1e-4)
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    """Sixty languages, more than the sample has room for at the usual number of documents each."""
+    monkeypatch.setattr(language, "DOCS_OF_ALL", 120)
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} words " * 5, f"l{i % 60:02}") for i in range(600)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.classes == [f"l{i:02}" for i in range(60)]
+
+
+def test_documents_stay_where_no_language_is_known(spark, odd):
+    kept = language.with_known_language(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["doc_id"] for r in kept.collect()} == {None, 4, 5, 6, 7, 8} and kept.columns == odd.columns
+
+
 # 5: quality rules
 
 
