@@ -359,6 +359,52 @@ def test_accuracies_decide_what_is_kept(spark, monkeypatch):
     assert kept == [{1: False, 2: True}, {1: True, 2: True}]
 
 
+def votes_by_hand(text):
+    n, chars, symbols, dup, repeats = counts_by_hand(text)
+    text = text or ""
+    words, lines = WORD.findall(text), sum(bool(WORD.search(x)) for x in text.split("\n"))
+    distinct, capitals, shouts = len(set(words)), sum("A" <= c <= "Z" for c in text), text.count("!")
+    m, long = max(n, 1), max(n, 1) >= 2000
+    bad = {
+        "symbols": lambda k: 100 * symbols > k * m, "lines": lambda k: 100 * dup > k * lines and dup > 2, "repeats": lambda k: 100 * repeats > k * m,
+        "long_words": lambda k: chars > k * m, "short_words": lambda k: 100 * chars < k * m, "capitals": lambda k: 100 * capitals > k * chars,
+        "variety": lambda k: 100 * distinct < k * m and not long, "shouts": lambda k: 100 * shouts > k * m, "length": lambda k: m < k,
+    }
+    out = {f"{fault}_{k}": 0 if bad[fault](k) else None for fault, steps in quality_rules.STEPS.items() for k in steps}
+    out["words"] = 1 if m >= 50 and (long or 5 * distinct > 2 * m) else None
+    out["form"] = 1 if 3 * m <= chars <= 12 * m and 10 * dup <= lines else None
+    return out
+
+
+def test_verdicts_by_hand(spark):
+    """Votes, expectation-maximisation and posterior in plain Python; verdicts go against bad votes and against good ones."""
+    clean = [(i, prose(100, salt=i)) for i in range(100, 160)]
+    slight = [(i, prose(100, 13 + i % 3, salt=i)) for i in range(5)]
+    worse = [(i, " ".join([prose(60, salt=i), *(f"A{j}b!" for j in range(40))])) for i in range(300, 306)]
+    texts = dict(clean + slight + worse + [(500, None), (501, ""), (502, prose(12)), (503, "SHOUT! " * 30)])
+    votes = {i: votes_by_hand(t) for i, t in texts.items()}
+    rules = list(next(iter(votes.values())))
+    acc = dict.fromkeys(rules, quality_rules.FIRST_ACCURACY)
+
+    def probability(v):
+        return 1 / (1 + np.exp(-sum((1 if x else -1) * np.log(acc[r] / (1 - acc[r])) for r, x in v.items() if x is not None)))
+
+    for _ in range(quality_rules.ITERATIONS):
+        p = {i: probability(v) for i, v in votes.items()}
+        last, acc = acc, {}
+        for r in rules:
+            said = [(i, v[r]) for i, v in votes.items() if v[r] is not None]
+            acc[r] = min(max((sum(p[i] if x else 1 - p[i] for i, x in said) + 9) / (len(said) + 10), quality_rules.LEAST_ACCURACY), 0.999)
+        if max(abs(acc[r] - last[r]) for r in rules) < 1e-4:
+            break
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(spark, spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
+    for i, v in votes.items():
+        assert abs(rows[i]["posterior"] - probability(v)) < 1e-6
+        assert rows[i]["kept"] == (not rows[i]["base_failed"] and probability(v) >= 0.5), i
+    assert any(rows[i]["kept"] and 0 in v.values() for i, v in votes.items())
+    assert any(not rows[i]["kept"] and not rows[i]["base_failed"] and 1 in v.values() for i, v in votes.items())
+
+
 def test_estimated_accuracies_depend_on_the_corpus(spark):
     """A slight fault is forgiven where it comes alone, and not where it is a sign of worse; single bad faults are never kept."""
     clean = [(i, prose(100, salt=i)) for i in range(100, 160)]
