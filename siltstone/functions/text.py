@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: Query parameters that only track where a visitor came from (fixed values).
@@ -15,9 +19,9 @@ def strip(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """One space for runs of blanks, LF line ends, at most one empty line, stripped."""
+    """One space for runs of blanks, LF line ends, each line stripped, at most one empty line, stripped."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t\f\x0B ]+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t\f\x0B\x{A0}]+", " "), " ?\n ?", "\n")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
@@ -55,16 +59,28 @@ def is_safe_url(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^(?i:https?)://[^/?#]+"), F.lit(False))
 
 
+def _decoded(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(c), c)
+
+
+def _encoded(c: Column) -> Column:
+    """Percent encoding that leaves letters, digits and ``_.-~`` as they are."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalize_url(c: Column) -> Column:
-    """Lower-case scheme and host, no trailing slash, tracking parameters or fragment, sorted query.
+    """Lower-case scheme and host, no user, trailing slash, tracking parameters or fragment.
 
-    Null for anything but an absolute http or https address.
+    Query parameters are decoded, sorted by key and value, and encoded again; one without a value
+    has an empty one.  Null for anything but an absolute http or https address.
     """
-    whole = r"^([A-Za-z]+)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+    c = strip(c)
+    whole = r"^([A-Za-z]+)://(?:[^/?#@]*@)?([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
     part = lambda i: F.regexp_extract(c, whole, i)
     path = F.regexp_replace(part(3), "/+$", "")
-    pairs = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING))
-    query = F.array_join(F.array_sort(pairs), "&")
+    pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("v")))
+    sorted_ = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING)))
+    query = F.array_join(F.transform(sorted_, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     url = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     return F.when(is_safe_url(c), url)
 
@@ -74,9 +90,15 @@ def tag_list(c: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit("<([^<>]+)>"), F.lit(1)), lambda x: F.trim(x)), lambda t: t != "")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _folded(tags: pd.Series) -> pd.Series:
+    """Composed (NFC), stripped and case-folded; no built-in function does this."""
+    return tags.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFC", t).strip().casefold() for t in ts])
+
+
 def normalize_tags(tags: Column, limit: int = 100) -> Column:
-    """Trimmed, lower-cased, cut, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: F.substring(F.lower(F.trim(t)), 1, limit)), lambda t: t != "")))
+    """Composed, stripped, case-folded, cut, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(_folded(tags), lambda t: F.substring(t, 1, limit)), lambda t: t != "")))
 
 
 def html_strip(c: Column) -> Column:
@@ -117,8 +139,17 @@ def cited(c: Column, n_sources: Column) -> tuple[Column, Column]:
     return F.filter(found, valid), F.filter(found, lambda x: ~valid(x))
 
 
+def without_invalid(c: Column, n_sources: Column) -> Column:
+    """An answer without the citations ``[n]`` of no source, and without the blanks that they leave at line ends."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\[(\d{1,4})\]"), F.lit(1)))
+    invalid = F.filter(found, lambda x: (x.cast("int") < 1) | (x.cast("int") > n_sources))
+    left = F.aggregate(invalid, c, lambda text, x: F.replace(text, F.concat(F.lit("["), x, F.lit("]")), F.lit("")))
+    return strip(F.regexp_replace(left, r"[ \t]+\n", "\n"))
+
+
 def snippet(c: Column, terms: Column, size: int) -> Column:
-    """At most ``size`` characters around the first of the terms (longer than 1), with ellipses."""
+    """At most ``size`` characters of the stripped text around the first of the terms (longer than 1), with ellipses."""
+    c = strip(c)
     low = F.lower(c)
     places = F.filter(F.transform(F.filter(terms, lambda t: F.length(t) > 1), lambda t: F.instr(low, F.lower(t))), lambda p: p > 0)
     centre = F.coalesce(F.array_min(places), F.lit(1)) - 1

@@ -12,23 +12,29 @@ _STRIP = r"'^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'"
 
 @query(rf"""
 SELECT doc_id, length(t)::BIGINT AS n, sha256(t) AS digest FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || E'\n\n\n\t end  ', '\r\n?', E'\n', 'g'), '[ \t\f\x0B\x{{A0}}]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), {_STRIP}) AS t
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || E' \n\n \n\t end  ', '\r\n?', E'\n', 'g'), '[ \t\f\x0B\x{{A0}}]+', ' ', 'g'), ' ?\n ?', E'\n', 'g'), '\n{{3,}}', E'\n\n', 'g'), {_STRIP}) AS t
   FROM documents)""")
 def normalize_text(t: Tables):
-    out = t.documents.select("doc_id", T.normalize_text(F.concat("text", F.lit("\n\n\n\t end  "))).alias("t"))
+    out = t.documents.select("doc_id", T.normalize_text(F.concat("text", F.lit(" \n\n \n\t end  "))).alias("t"))
     return out.select("doc_id", F.length("t").cast("bigint").alias("n"), F.sha2("t", 256).alias("digest"))
 
 
 @query(r"""
 WITH parts AS (
-  SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['scheme', 'host', 'path', 'query']) AS p FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(url, '^(?i:https?)://[^/?#]+') THEN
+  SELECT page_id, u, regexp_extract(u, '^([A-Za-z]+)://(?:[^/?#@]*@)?([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['scheme', 'host', 'path', 'query']) AS p
+  FROM (SELECT page_id, CASE WHEN contains(url, '?') THEN url || '&z=%41+b&Z&a=~*%2F' ELSE replace(url, '://', '://me@') || '?b=2&b=1' END AS u FROM pages)),
+pairs AS (
+  SELECT page_id, u, p, list_sort(list_filter(list_transform(list_filter(string_split(p.query, '&'), lambda x: x <> ''),
+    lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '^[^=]*=?(.*)$', 1), '+', ' '))}),
+    lambda x: lower(x.k) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref'))) AS q FROM parts)
+SELECT page_id, CASE WHEN regexp_matches(u, '^(?i:https?)://[^/?#]+') THEN
   lower(p.scheme) || '://' || lower(p.host) || CASE WHEN rtrim(p.path, '/') = '' THEN '/' ELSE rtrim(p.path, '/') END ||
-  CASE WHEN len(list_filter(string_split(p.query, '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref'))) = 0 THEN ''
-  ELSE '?' || array_to_string(list_sort(list_filter(string_split(p.query, '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref'))), '&') END END AS url
-FROM parts""")
+  CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_transform(q, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') END END AS url
+FROM pairs""")
 def url_normalize(t: Tables):
-    return t.pages.select("page_id", T.normalize_url(F.col("url")).alias("url"))
+    """Addresses as they are, with parameters to decode, sort and encode, or with a user name."""
+    u = F.when(F.contains("url", F.lit("?")), F.concat("url", F.lit("&z=%41+b&Z&a=~*%2F"))).otherwise(F.concat(F.replace("url", F.lit("://"), F.lit("://me@")), F.lit("?b=2&b=1")))
+    return t.pages.select("page_id", T.normalize_url(u).alias("url"))
 
 
 @query("SELECT page_id, (regexp_matches(url, '^(?i:https?)://[^/?#]+') AND page_id % 7 <> 0) AS safe FROM pages")
@@ -38,9 +44,9 @@ def safe_urls(t: Tables):
 
 
 @query("""
-SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(p_name || ' ' || p_type, ' '), lambda x: substr(lower(trim(x)), 1, 100)), lambda x: x <> ''))), ',') AS tags FROM part""")
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(p_name || ' STRASSE STRAßE ' || p_type, ' '), lambda x: substr(replace(lower(nfc_normalize(trim(x))), 'ß', 'ss'), 1, 100)), lambda x: x <> ''))), ',') AS tags FROM part""")
 def tags_normalize(t: Tables):
-    return t.part.select("p_partkey", F.array_join(T.normalize_tags(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")), ",").alias("tags"))
+    return t.part.select("p_partkey", F.array_join(T.normalize_tags(F.split(F.concat_ws(" ", "p_name", F.lit("STRASSE STRAßE"), "p_type"), " ")), ",").alias("tags"))
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_extract_all('<' || replace(p_type, ' ', '>< ') || '>< >', '<([^<>]+)>', 1), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM part")
@@ -99,17 +105,18 @@ def stable_hash(t: Tables):
 @query(r"""
 SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(a, '\[(\d{1,4})\]', 1), lambda x: x::INT)), lambda x: x BETWEEN 1 AND 5)), ',') AS valid,
   array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(a, '\[(\d{1,4})\]', 1), lambda x: x::INT)), lambda x: NOT x BETWEEN 1 AND 5)), ',') AS invalid,
-  regexp_replace(substr(a, 1, 40), '\[(\d{1,4})\]', '〔\1〕', 'g') AS escaped
+  sha256(regexp_replace(a, '\[(\d{1,4})\]', '〔\1〕', 'g')) AS escaped,
+  sha256(trim(regexp_replace(list_reduce(list_prepend(a, list_filter(list_distinct(regexp_extract_all(a, '\[(\d{1,4})\]', 1)), lambda x: NOT x::INT BETWEEN 1 AND 5)), lambda y, x: replace(y, '[' || x || ']', '')), '[ \t]+\n', E'\n', 'g'), E' \t\n\x0B\f\r')) AS cleaned
 FROM (SELECT conv_id, turn, '[' || turn || '][2] see [' || conv_id || '] [12345] ' || text AS a FROM conversations)""")
 def citations(t: Tables):
     answer = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("][2] see ["), F.col("conv_id").cast("string"), F.lit("] [12345] "), "text")
     valid, invalid = T.cited(F.col("a"), F.lit(5))
     rows = t.conversations.select("conv_id", "turn", answer.alias("a"))
-    return rows.select("conv_id", "turn", F.array_join(valid, ",").alias("valid"), F.array_join(invalid, ",").alias("invalid"), T.escape_citations(F.substring("a", 1, 40)).alias("escaped"))
+    return rows.select("conv_id", "turn", F.array_join(valid, ",").alias("valid"), F.array_join(invalid, ",").alias("invalid"), F.sha2(T.escape_citations(F.col("a")), 256).alias("escaped"), F.sha2(T.without_invalid(F.col("a"), F.lit(5)), 256).alias("cleaned"))
 
 
-@query("""
-WITH q AS (SELECT doc_id, text, list_filter(string_split(lower(substr(text, length(text) // 2, 30)), ' '), lambda x: length(x) > 1) AS terms FROM documents),
+@query(rf"""
+WITH q AS (SELECT doc_id, regexp_replace(text, {_STRIP}) AS text, list_filter(string_split(lower(substr(text, length(text) // 2, 30)), ' '), lambda x: length(x) > 1) AS terms FROM documents),
 c AS (SELECT doc_id, text, coalesce(list_min(list_filter(list_transform(terms, lambda x: instr(lower(text), x)), lambda p: p > 0)), 1) - 1 AS centre FROM q)
 SELECT doc_id, CASE WHEN length(text) <= 160 THEN text ELSE (CASE WHEN greatest(0, centre - 53) > 0 THEN '…' ELSE '' END) || trim(substr(text, greatest(0, centre - 53) + 1, 160)) ||
   (CASE WHEN greatest(0, centre - 53) + 160 < length(text) THEN '…' ELSE '' END) END AS snippet FROM c""")
@@ -118,9 +125,9 @@ def snippets(t: Tables):
     return t.documents.select("doc_id", T.snippet(F.col("text"), F.split(F.lower(middle), " "), 160).alias("snippet"))
 
 
-@query(r"SELECT doc_id, regexp_replace(substr(text, 1, 200), '(?i)(the|des|und|que)', '<mark>\1</mark>', 'g') AS marked FROM documents")
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '(?i)(the|des|und|que)', '<mark>\1</mark>', 'g')) AS marked FROM documents")
 def highlight(t: Tables):
-    return t.documents.select("doc_id", F.regexp_replace(F.substring("text", 1, 200), "(?i)(the|des|und|que)", "<mark>$1</mark>").alias("marked"))
+    return t.documents.select("doc_id", F.sha2(F.regexp_replace("text", "(?i)(the|des|und|que)", "<mark>$1</mark>"), 256).alias("marked"))
 
 
 @query("SELECT event_id, round(CASE WHEN v BETWEEN 0 AND 1 THEN v ELSE 1 / (1 + exp(-greatest(-700.0, least(700.0, v)))) END, 6) AS score FROM (SELECT event_id, (value - 50) / 20 AS v FROM events)")
