@@ -67,11 +67,11 @@ def overlap_dedup(t: Tables):
 
 def _answers(t: Tables):
     """Per item: best and mean relevance and sources of the rerank window, and a count cited."""
-    return _final(t).where("rank <= 8").groupBy("item_id").agg(F.max("reranked").alias("top"), F.round(F.avg("reranked"), 6).alias("mean"), F.count("*").alias("n"), F.sum(T.token_estimate(F.col("text"))).alias("tokens")).withColumn("cited", F.col("item_id") % 4)
+    return _final(t).where("place <= 8").groupBy("item_id").agg(F.max("reranked").alias("top"), F.round(F.avg("reranked"), 6).alias("mean"), F.count("*").alias("n"), F.sum(T.token_estimate(F.col("text"))).alias("tokens")).withColumn("cited", F.col("item_id") % 4)
 
 
 _ANSWERS = f"""{_FUSED}, answers AS (
-  SELECT item_id, max(reranked) AS top, round(avg(reranked), 6) AS mean, count(*) AS n, sum({_EST})::BIGINT AS tokens, item_id % 4 AS cited FROM final WHERE rank <= 8 GROUP BY item_id)"""
+  SELECT item_id, max(reranked) AS top, round(avg(reranked), 6) AS mean, count(*) AS n, sum({_EST})::BIGINT AS tokens, item_id % 4 AS cited FROM final WHERE place <= 8 GROUP BY item_id)"""
 
 
 @query(f"""{_ANSWERS}, scored AS (SELECT item_id, CASE WHEN n >= 3 THEN round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.45::DOUBLE * top + 0.25::DOUBLE * mean + 0.15::DOUBLE * least(1.0::DOUBLE, n / 3) + 0.15::DOUBLE * least(1.0::DOUBLE, cited / greatest(n, 1)))), 3) ELSE 0.1::DOUBLE END AS score FROM answers)

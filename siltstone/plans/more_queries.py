@@ -6,20 +6,21 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.chunker import Limits, chunked
 from siltstone.operators import retrieval as R
+from siltstone.operators.filters import SearchFilters
 from siltstone.plans.registry import Tables, query, sql_query
-from siltstone.plans.search_queries import _FUSED, _final
+from siltstone.plans.search_queries import _final, fused_where
 
 
-@query(f"""{_FUSED}, sorted AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS pos FROM final),
-grouped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY pos) AS in_group, min(pos) OVER (PARTITION BY item_id, source) AS first FROM sorted WHERE lang = 'en' AND n_chars >= 300) WHERE in_group <= 2),
-placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY first, pos) AS place, count(*) OVER (PARTITION BY item_id) AS total FROM grouped)
+@query(f"""{fused_where("lang = 'en' AND n_chars >= 300")}, sorted AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS pos FROM final),
+grouped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY pos) AS in_group, min(pos) OVER (PARTITION BY item_id, source) AS first FROM sorted) WHERE in_group <= 2),
+placed AS (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY item_id ORDER BY first, pos) AS place, count(*) OVER (PARTITION BY item_id) AS total FROM grouped)
 SELECT item_id, doc_id, source, final, substr(text, 1, 160) AS preview, place::BIGINT AS place, total::BIGINT AS total FROM placed WHERE place <= 10""")
 def search_pipeline(t: Tables):
-    """Fused, visible, reranked and filtered rows by final score, at most two of a source, first page."""
+    """Filtered before candidates are cut, then fused, visible, reranked, by final score, at most two of a source, first page."""
     from pyspark.sql import Window
 
     pos = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("final"), "doc_id"))
-    rows = _final(t).withColumn("pos", pos).where("lang = 'en' AND n_chars >= 300")
+    rows = _final(t, SearchFilters(languages=("en",), least_chars=300)).withColumn("pos", pos)
     grouped = R.group_by(rows, "item_id", "source", "pos", 2)
     page = R.page(grouped, "item_id", [F.col("group_rank"), F.col("pos")], 1, 10)
     return page.select("item_id", "doc_id", "source", "final", F.substring("text", 1, 160).alias("preview"), "place", "total")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import chunking, retrieval as R
+from siltstone.operators.filters import SearchFilters
 from siltstone.plans.registry import Tables, query
 
 _TOKENS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'"
@@ -39,14 +40,14 @@ def chunk_pack(t: Tables):
     return _chunks(t).select("doc_id", "ordinal", "n_tokens", F.sha2("text", 256).alias("digest"))
 
 
-@query(f"""SELECT c.doc_id, ordinal, sha256(c.doc_id || ':1:' || ordinal || ':' || sha256(c.text)) AS chunk_key, length(c.text)::BIGINT AS n_chars, substr(source || ' > ' || lang || E'\\n' || c.text, 1, 60) AS contextual_text,
+@query(f"""SELECT c.doc_id, ordinal, sha256(c.doc_id || ':1:' || ordinal || ':' || sha256(c.text)) AS chunk_key, length(c.text)::BIGINT AS n_chars, sha256(source || ' > ' || lang || E'\\n' || c.text) AS contextual_text,
   contains(c.text, '|') AS has_code, substr(c.text, 1, 280) AS preview FROM ({_FOLD}) c JOIN documents d ON c.doc_id = d.doc_id WHERE trim(c.text) <> '' AND source <> 'src5'""")
 def chunk_assembly(t: Tables):
     """Chunks of eligible documents with keys, context and payload."""
     rows = _chunks(t).join(t.documents.where("source <> 'src5'").select("doc_id", "source", "lang"), "doc_id").where("trim(text) <> ''")
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("1"), F.col("ordinal").cast("string"), F.sha2("text", 256))
     context = F.concat("source", F.lit(" > "), "lang", F.lit("\n"), "text")
-    return rows.select("doc_id", "ordinal", F.sha2(key, 256).alias("chunk_key"), F.length("text").cast("bigint").alias("n_chars"), F.substring(context, 1, 60).alias("contextual_text"), F.contains("text", F.lit("|")).alias("has_code"), F.substring("text", 1, 280).alias("preview"))
+    return rows.select("doc_id", "ordinal", F.sha2(key, 256).alias("chunk_key"), F.length("text").cast("bigint").alias("n_chars"), F.sha2(context, 256).alias("contextual_text"), F.contains("text", F.lit("|")).alias("has_code"), F.substring("text", 1, 280).alias("preview"))
 
 
 @query("""SELECT doc_id, (i - 1)::BIGINT AS piece, sha256(array_to_string(toks[(i - 1) * 200 + 1 : i * 200], ' ')) AS digest FROM (
@@ -75,12 +76,12 @@ bm_size AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM bm_list),
 bm_q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
 bm_scored AS (
   SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
-  FROM bm_post JOIN bm_df USING (term) JOIN bm_q USING (term), bm_size GROUP BY item_id, doc_id),
+  FROM (SELECT * FROM bm_post WHERE doc_id IN (SELECT doc_id FROM documents WHERE true)) JOIN bm_df USING (term) JOIN bm_q USING (term), bm_size GROUP BY item_id, doc_id),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm_scored) WHERE rank <= 60)"""
 _DENSE = """
 de_scored AS (
   SELECT q.vec_id AS item_id, v.vec_id AS doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+  FROM (SELECT * FROM embeddings WHERE true) v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
 de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM de_scored) WHERE rank <= 60)"""
 _FUSED = f"""WITH {_BM25.strip()}, {_DENSE.strip()},
 fused AS (
@@ -88,34 +89,47 @@ fused AS (
     SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS rank_a, b.rank AS rank_b, a.score AS score_a, b.score AS score_b,
       round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 10) AS fusion
     FROM bm a FULL JOIN de b ON a.item_id = b.item_id AND a.doc_id = b.doc_id)) WHERE rank <= 80),
-seen AS (SELECT f.*, lang, source, n_chars, text FROM fused f JOIN documents d ON f.doc_id = d.doc_id WHERE source NOT IN ('src5', 'src9')),
-overlap AS (SELECT s.*, CASE WHEN rank <= 8 THEN round(len(list_filter(qt, lambda x: contains(lower(s.text), x))) / len(qt), 6) END AS reranked
+seen AS (SELECT f.*, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS place, lang, source, n_chars, text FROM fused f JOIN documents d ON f.doc_id = d.doc_id WHERE source NOT IN ('src5', 'src9')),
+overlap AS (SELECT s.*, CASE WHEN place <= 8 THEN round(len(list_filter(qt, lambda x: contains(lower(s.text), x))) / len(qt), 6) END AS reranked
   FROM seen s JOIN (SELECT item_id, list_distinct({_TERMS}) AS qt FROM benchmark) USING (item_id)),
 final AS (SELECT *, round(CASE WHEN reranked IS NOT NULL THEN reranked * (1 - 0.15::DOUBLE) + fusion / max(fusion) OVER (PARTITION BY item_id) * 0.15::DOUBLE ELSE fusion / max(fusion) OVER (PARTITION BY item_id) END, 8) AS final FROM overlap)"""
 
 
-def _bm25(t: Tables):
-    return R.bm25(t.documents, t.benchmark.withColumnRenamed("text", "asked_text"), "doc_id", "text", "item_id", "asked_text", 60)
+#: The SQL of a search among the documents that satisfy a filter, which it takes before the cuts.
+def fused_where(condition: str) -> str:
+    return _FUSED.replace("FROM documents WHERE true", f"FROM documents WHERE {condition}").replace("FROM embeddings WHERE true", f"FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE {condition})")
 
 
-def _dense(t: Tables):
+def _names() -> dict:
+    return {"language": "lang", "tags": F.array("lang"), "source": "source", "created": "doc_id", "chars": "n_chars", "code": F.contains("text", F.lit("|"))}
+
+
+def _bm25(t: Tables, filters: SearchFilters | None = None):
+    where = None if filters is None else filters.column(_names())
+    return R.bm25(t.documents, t.benchmark.withColumnRenamed("text", "asked_text"), "doc_id", "text", "item_id", "asked_text", 60, where)
+
+
+def _dense(t: Tables, filters: SearchFilters | None = None):
     asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("asked"))
-    return R.cosine(t.embeddings.withColumnRenamed("vec_id", "doc_id"), asked, "doc_id", "item_id", 60)
+    vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id")
+    if filters is not None:
+        vectors = vectors.join(t.documents.where(filters.column(_names())).select("doc_id"), "doc_id", "left_semi")
+    return R.cosine(vectors, asked, "doc_id", "item_id", 60)
 
 
-def _fused(t: Tables):
-    return R.fuse(_bm25(t), _dense(t), "item_id", "doc_id", 80)
+def _fused(t: Tables, filters: SearchFilters | None = None):
+    return R.fuse(_bm25(t, filters), _dense(t, filters), "item_id", "doc_id", 80)
 
 
-def _seen(t: Tables):
+def _seen(t: Tables, filters: SearchFilters | None = None):
     visible = t.documents.where(~F.col("source").isin("src5", "src9"))
-    return _fused(t).join(visible, "doc_id")
+    return R.with_place(_fused(t, filters).join(visible, "doc_id"), "item_id")
 
 
-def _final(t: Tables):
+def _final(t: Tables, filters: SearchFilters | None = None):
     asked = t.benchmark.select("item_id", F.array_distinct(R.terms(F.col("text"))).alias("qt"))
     share = F.size(F.filter("qt", lambda x: F.contains(F.lower(F.col("text")), x))) / F.size("qt")
-    rows = _seen(t).join(asked, "item_id").withColumn("reranked", F.when(F.col("rank") <= 8, F.round(share, 6)))
+    rows = _seen(t, filters).join(asked, "item_id").withColumn("reranked", F.when(F.col("place") <= 8, F.round(share, 6)))
     return R.blend(rows, "item_id", "doc_id", F.col("reranked"))
 
 
@@ -138,14 +152,15 @@ def hybrid_rrf(t: Tables):
 
 @query(f"{_FUSED} SELECT item_id, count(*)::BIGINT AS kept, (max(n) - count(*))::BIGINT AS stale FROM seen JOIN (SELECT item_id, count(*) AS n FROM fused GROUP BY 1) USING (item_id) GROUP BY item_id")
 def hydrate_visible(t: Tables):
-    fused = _fused(t).groupBy("item_id").agg(F.count("*").alias("n"))
-    kept = _seen(t).groupBy("item_id").agg(F.count("*").alias("kept"))
-    return kept.join(fused, "item_id").select("item_id", "kept", (F.col("n") - F.col("kept")).alias("stale"))
+    """What is left of each fused list once hidden and deleted documents are gone."""
+    visible = t.documents.where(~F.col("source").isin("src5", "src9")).select("doc_id", F.lit(1).alias("visible"))
+    rows = _fused(t).join(visible, "doc_id", "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("visible").alias("kept"))
+    return rows.where("kept > 0").select("item_id", "kept", (F.col("n") - F.col("kept")).alias("stale"))
 
 
-@query(f"{_FUSED} SELECT item_id, doc_id, rank::BIGINT AS rank, reranked FROM overlap WHERE rank <= 8")
+@query(f"{_FUSED} SELECT item_id, doc_id, place::BIGINT AS place, reranked FROM overlap WHERE place <= 8")
 def rerank_window(t: Tables):
-    return _final(t).where("rank <= 8").select("item_id", "doc_id", "rank", "reranked")
+    return _final(t).where("place <= 8").select("item_id", "doc_id", "place", "reranked")
 
 
 @query(f"{_FUSED} SELECT item_id, doc_id, final FROM final")
@@ -167,7 +182,7 @@ def sort_modes(t: Tables):
     return _final(t).select("item_id", "doc_id", by(F.desc("final"), "doc_id").alias("by_relevance"), by(F.desc("doc_id")).alias("by_date"), by(F.desc("n_chars"), "doc_id").alias("by_score"))
 
 
-@query(f"""{_FUSED} SELECT item_id, doc_id, final, place::BIGINT AS place, total::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS place, count(*) OVER (PARTITION BY item_id) AS total FROM final) WHERE place BETWEEN 11 AND 20""")
+@query(f"""{_FUSED} SELECT item_id, doc_id, final, place::BIGINT AS place, total::BIGINT AS total FROM (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS place, count(*) OVER (PARTITION BY item_id) AS total FROM final) WHERE place BETWEEN 11 AND 20""")
 def paginate(t: Tables):
     return R.page(_final(t), "item_id", [F.desc("final"), F.col("doc_id")], 2, 10).select("item_id", "doc_id", "final", "place", "total")
 
@@ -180,16 +195,17 @@ def saved_flag(t: Tables):
 
 @query("""SELECT doc_id FROM documents WHERE source NOT IN ('src5', 'src9') AND lang IN ('en', 'fr') AND doc_id BETWEEN 100 AND 800 AND n_chars >= 500 AND NOT contains(text, '|')""")
 def search_filters(t: Tables):
-    keep = ~F.col("source").isin("src5", "src9") & F.arrays_overlap(F.array("lang"), F.array(F.lit("en"), F.lit("fr"))) & F.col("doc_id").between(100, 800) & (F.col("n_chars") >= 500) & ~F.contains("text", F.lit("|"))
-    return t.documents.where(keep).select("doc_id")
+    filters = SearchFilters(tags=("en", "fr"), hidden_sources=("src5", "src9"), created=(100, 800), least_chars=500, has_code=False)
+    return t.documents.where(filters.column(_names())).select("doc_id")
 
 
-@query(rf"""SELECT item_id, doc_id, round(0.68::DOUBLE * (len(list_filter(qt, lambda x: contains(lower(d.text), x))) / len(qt)) + 0.32::DOUBLE * (len(list_filter(qt, lambda x: contains(lower(substr(d.text, 1, 80)), x))) / len(qt)), 6) AS overlap
-FROM (SELECT item_id, list_distinct(list_filter({_TERMS}, lambda x: length(x) > 1)) AS qt FROM benchmark WHERE item_id < 10) q, (SELECT * FROM documents WHERE source = 'src1') d""")
+@query(rf"""{_FUSED}
+SELECT item_id, doc_id, round(0.68::DOUBLE * (len(list_filter(qt, lambda x: contains(lower(d.text), x))) / greatest(len(qt), 1)) + 0.32::DOUBLE * (len(list_filter(qt, lambda x: contains(lower(split_part(d.text, E'\n', 1)), x))) / greatest(len(qt), 1)), 6) AS overlap
+FROM seen d JOIN (SELECT item_id, list_distinct(list_filter({_TERMS}, lambda x: length(x) > 1)) AS qt FROM benchmark) q USING (item_id)""")
 def lexical_overlap(t: Tables):
-    asked = t.benchmark.where("item_id < 10").select("item_id", F.array_distinct(F.filter(R.terms(F.col("text")), lambda x: F.length(x) > 1)).alias("qt"))
-    rows = t.documents.where("source = 'src1'").join(F.broadcast(asked))  # ten queries in one block
-    return rows.select("item_id", "doc_id", F.round(R.lexical_overlap(F.col("qt"), F.col("text"), F.substring("text", 1, 80)), 6).alias("overlap"))
+    """The lexical scorer over every candidate that is left of each query; a title is a text's first line."""
+    asked = t.benchmark.select("item_id", F.array_distinct(F.filter(R.terms(F.col("text")), lambda x: F.length(x) > 1)).alias("qt"))
+    return _seen(t).join(asked, "item_id").select("item_id", "doc_id", F.round(R.lexical_overlap(F.col("qt"), F.col("text"), F.substring_index("text", "\n", 1)), 6).alias("overlap"))
 
 
 @query("""SELECT vec_id, label, version FROM (SELECT vec_id, label, 1::BIGINT AS version FROM embeddings WHERE vec_id % 10 <> 3 AND vec_id % 4 <> 0 UNION ALL SELECT vec_id, label + 1, 2 FROM embeddings WHERE vec_id % 4 = 0)""")
