@@ -33,7 +33,7 @@ STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Shorter terms are matched exactly.
 FUZZY_LENGTH = 5
 WINDOW = 8
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 # fixed values
 SEED_TERMS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -97,16 +97,36 @@ def accepts(word: str, states: frozenset, most: int = 1) -> int:
     return min((e + len(word) - at for at, e, swap in states if not swap and e + len(word) - at <= most), default=-1)
 
 
+#: Transitions by states (relative to the letters read), which of four letters of the word equal
+#: the one read, and how many letters are left (3: or more): the same for all words.
+_MOVES: dict[tuple[frozenset, int, int], frozenset] = {}
+
+
+def _move(states: frozenset, equal: int, left: int) -> frozenset:
+    """One step over a word of which only equality with the letter read is known."""
+    word = "".join("=" if equal >> j & 1 else "." for j in range(left + 1))
+    return frozenset((at - 2, errors, swap) for at, errors, swap in step(word, frozenset((at + 1, errors, swap) for at, errors, swap in states), "="))
+
+
 def within_one(word: str, trie: Trie) -> list[tuple[int, int]]:
     """(term, errors) of the trie's terms within one error of the word."""
-    found, stack = [], [(0, start_states())]
+    n, padded, found, stack = len(word), f"\0{word}\0\0\0", [], [(0, start_states(), 0)]
+    children, term = trie.children, trie.term
     while stack:
-        node, states = stack.pop()
-        if trie.term[node] >= 0 and (errors := accepts(word, states)) >= 0:
-            found.append((trie.term[node], errors))
-        for c, child in trie.children[node].items():
-            if after := step(word, states, c):
-                stack.append((child, after))
+        node, states, depth = stack.pop()
+        if term[node] >= 0 and (errors := min((e + n - depth - at for at, e, swap in states if not swap), default=9)) <= 1:
+            found.append((term[node], errors))
+        left = min(n - depth, 3)
+        if left < -1:
+            continue
+        one, two, three, four = padded[depth], padded[depth + 1 : depth + 2], padded[depth + 2 : depth + 3], padded[depth + 3 : depth + 4]
+        for c, child in children[node].items():
+            key = states, (one == c) | (two == c) << 1 | (three == c) << 2 | (four == c) << 3, left
+            after = _MOVES.get(key)
+            if after is None:
+                after = _MOVES[key] = _move(*key)
+            if after:
+                stack.append((child, after, depth + 1))
     return found
 
 
@@ -128,17 +148,20 @@ class Lexicon:
         self.fuzzy = [t for t in sorted(fuzzy) if len(t) >= FUZZY_LENGTH]
         # One error touches two neighbouring letters at most, so that the longer of what stands
         # before and after it, at least (length - 1) // 2 letters, is whole: a branch of the trie
-        # for each such beginning or end, and length.
-        halves: dict[tuple[int, str], list[str]] = {}
+        # for each length and such beginning or end.
+        halves: dict[int, tuple[dict[str, list[str]], dict[str, list[str]]]] = {}
         for t in self.fuzzy:
             half = (len(t) - 1) // 2
-            for ends in (t[:half], t[-half:]):
-                halves.setdefault((len(t), ends), []).append(t)
-        self.branches = {key: (ts, Trie(ts), [letters(t) for t in ts]) for key, ts in halves.items()}
-        self.longest = max(map(len, self.fuzzy), default=0) + 1
+            heads, tails = halves.setdefault(len(t), ({}, {}))
+            heads.setdefault(t[:half], []).append(t)
+            tails.setdefault(t[-half:], []).append(t)
+        branch = lambda ts: (ts, Trie(ts), [letters(t) for t in ts])
+        branches = {n: ((n - 1) // 2, *({k: branch(ts) for k, ts in side.items()} for side in sides)) for n, sides in halves.items()}
+        #: By a word's length: the half length, beginnings and ends of terms of nearly that length.
+        self.branches = {n: [branches[m] for m in (n - 1, n, n + 1) if m in branches] for k in branches for n in (k - 1, k, k + 1)}
         self.stem_lengths = sorted({len(s) for s in stems})
         self.cache: dict[str, tuple[float, int] | None] = {}
-        self.cut: dict[str, tuple[str, ...]] = {}
+        self.seen: dict[str, tuple | None] = {}
 
     def look_up(self, token: str) -> tuple[float, int] | None:
         """(weight, errors) of the best entry for a lower-case token, or None."""
@@ -149,47 +172,59 @@ class Lexicon:
         self.cache[token] = found = self._find(token.strip(EDGES))
         return found
 
-    def apart(self, token: str) -> tuple[str, ...]:
-        """The token's parts between punctuation where one of them is a hit and the whole is none, else the token."""
-        if token in self.cut:
-            return self.cut[token]
-        if len(self.cut) >= CACHED_WORDS:
-            self.cut.clear()
-        parts = tuple(INSIDE.split(token))
-        self.cut[token] = parts = parts if len(parts) > 1 and self.look_up(token) is None and any(self.look_up(p) for p in parts) else (token,)
-        return parts
+    def read(self, token: str) -> tuple | None:
+        """None for a token without a hit, (its hit,), or its parts between punctuation where one of them is a hit and the whole is none."""
+        hit = self._find(token.strip(EDGES))
+        if hit is not None:
+            return (hit,)
+        if not token.isalnum() and len(parts := tuple(INSIDE.split(token))) > 1 and any(self.look_up(p) for p in parts):
+            return parts
+        return None
 
     def _find(self, word: str) -> tuple[float, int] | None:
         if len(word) < 3:
             return None
         best = (self.terms[word], 0) if word in self.terms else None
         for n in self.stem_lengths:
-            weight = self.stems.get(word[:n]) if len(word) >= n else None
+            if n > len(word):
+                break
+            weight = self.stems.get(word[:n])
             if weight is not None and (best is None or weight > best[0]):
                 best = (weight, 0)
         return best or max(((self.near[t], errors) for t, errors in self.near_terms(word)), default=None)
 
     def near_terms(self, word: str) -> list[tuple[str, int]]:
         """(term, errors) of the terms that are looked for misspelled and within one error of the word."""
-        if not FUZZY_LENGTH - 1 <= len(word) <= self.longest:
-            return []
-        own, found = letters(word), {}
-        for length in range(max(FUZZY_LENGTH, len(word) - 1), len(word) + 2):
-            half = (length - 1) // 2
-            for ends in (word[:half], word[-half:]):
-                branch = self.branches.get((length, ends))
-                # an error replaces one letter by another at most
-                if branch is not None and any((own ^ m).bit_count() <= 2 for m in branch[2]):
-                    found.update((branch[0][k], errors) for k, errors in within_one(word, branch[1]))
+        own, found = 0, {}
+        for half, heads, tails in self.branches.get(len(word), ()):
+            for branch in (heads.get(word[:half]), tails.get(word[-half:])):
+                if branch is None:
+                    continue
+                own = own or letters(word)
+                for m in branch[2]:
+                    if (own ^ m).bit_count() <= 2:  # an error replaces one letter by another at most
+                        found.update((branch[0][k], errors) for k, errors in within_one(word, branch[1]))
+                        break
         return list(found.items())
 
     def features(self, text: str | None) -> list[float]:
         """1, and how much, how strong and how dense the hits are, and the text's length; all 0 without any."""
-        tokens = (text or "").lower().split()
-        apart = {t: parts for t in set(tokens) if not t.isalnum() and len(parts := self.apart(t)) > 1}
+        tokens, seen = (text or "").lower().split(), self.seen
+        if len(seen) >= CACHED_WORDS:
+            seen.clear()
+        found, apart = {}, {}
+        for t in set(tokens):
+            if t not in seen:
+                seen[t] = self.read(t)
+            if (read := seen[t]) is None:
+                continue
+            if len(read) == 1:
+                found[t] = read[0]
+            else:
+                apart[t] = read
         if apart:
             tokens = [p for t in tokens for p in apart.get(t, (t,))]
-        found = {t: hit for t in set(tokens) if (hit := self.look_up(t)) is not None}
+            found |= {p: hit for parts in apart.values() for p in parts if (hit := self.look_up(p)) is not None}
         if not found:
             return [1.0, 0.0, 0.0, 0.0, 0.0]
         places = [i for i, t in enumerate(tokens) if t in found]
