@@ -21,6 +21,41 @@ def select_answers(answers: DataFrame, key: str, accepted: Column, order: list[C
     return answers.withColumn("rank", F.row_number().over(rank).cast("bigint")).where(F.col("rank") <= 1 + extra)
 
 
+def select_corpus_answers(answers: DataFrame, key: str, answer: str, declared: str, flagged: str, usable: Column, order: list[Column], extra: int) -> DataFrame:
+    """answers with rank, accepted and missing_accepted (of the question): the accepted one and ``extra`` others.
+
+    The accepted answer is the one that the question declares; without a declaration it is the
+    flagged one with the smallest id.  A declared answer that is not there, or is blank, is
+    missing: another takes its place in number but is not accepted.  Only usable answers count.
+    """
+    mine = Window.partitionBy(key)
+    first_flag = F.min(F.when(F.col(flagged), F.col(answer))).over(mine)
+    accepted = F.coalesce(F.col(answer) == F.coalesce(F.col(declared), first_flag), F.lit(False))
+    rows = answers.where(usable).withColumn("accepted", accepted)
+    rows = rows.withColumn("missing_accepted", F.col(declared).isNotNull() & ~F.bool_or("accepted").over(mine))
+    rank = mine.orderBy(F.desc("accepted"), *order)
+    return rows.withColumn("rank", F.row_number().over(rank).cast("bigint")).where(F.col("rank") <= 1 + extra)
+
+
+def reconcile_answers(stored: DataFrame, incoming: DataFrame, key: str, value: str) -> DataFrame:
+    """key, source_missing, value: stored answers stay and are marked missing where the source no longer has them."""
+    both = stored.select(key, F.col(value).alias("old")).join(incoming.select(key, F.col(value).alias("new"), F.lit(True).alias("here")), key, "full_outer")
+    return both.select(key, F.col("here").isNull().alias("source_missing"), F.coalesce("new", "old").alias(value))
+
+
+def effective_tags(links: DataFrame, doc: str, tag: str, managed: str) -> DataFrame:
+    """doc and tags (sorted, distinct): managed tags where there are any, else those of the source."""
+    of = lambda c: F.array_sort(F.collect_set(F.when(c, F.col(tag))))
+    both = links.groupBy(doc).agg(of(F.col(managed)).alias("own"), of(~F.col(managed)).alias("other"))
+    return both.select(doc, F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("other")).alias("tags"))
+
+
+def replace_tags(links: DataFrame, fresh: DataFrame, doc: str, managed: str) -> DataFrame:
+    """links after documents arrive anew: their source links are replaced, managed links stay."""
+    kept = links.where(F.col(managed)).unionByName(links.where(~F.col(managed)).join(fresh.select(doc).distinct(), doc, "left_anti").select(links.columns))
+    return kept.unionByName(fresh).distinct()
+
+
 def exact_duplicates(docs: DataFrame, content: Column, created: Column, key: str) -> DataFrame:
     """docs with duplicate_of: the earliest document of equal content, null for that one.
 

@@ -8,7 +8,9 @@ latest timestamp stands for now.
 
 from __future__ import annotations
 
-from siltstone.plans.registry import sql_query
+from pyspark.sql import functions as F
+
+from siltstone.plans.registry import Tables, query, sql_query
 
 sql_query("users_with_roles", "SELECT c_custkey, c_name, c_mktsegment AS role, n_name AS home FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_mktsegment, c_name")
 sql_query("chunks_per_source", """
@@ -46,7 +48,7 @@ SELECT event_type, count(*) AS runs, round(avg(value), 9) AS mean, round(percent
 FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY event_type""")
 sql_query("validity_by_model", "SELECT user_id % 5 AS model, round(avg(value) FILTER (WHERE event_type <> 'error'), 9) AS latency, round(1.0E0 * count(*) FILTER (WHERE event_type = 'purchase') / count(*), 4) AS valid FROM events GROUP BY 1")
 sql_query("citation_mapping", """
-SELECT o_orderkey, l_linenumber AS citation, p_name, s_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey BETWEEN 10 AND 400""")
+SELECT o_orderkey, l_linenumber AS citation, p_name, s_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey""")
 sql_query("latest_documents", "SELECT o_orderkey, o_orderdate, c_name FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
 sql_query("users_per_role", "SELECT r.role, count(c_custkey) AS n FROM (SELECT DISTINCT c_mktsegment AS role FROM customer UNION ALL SELECT 'AUDITOR') r LEFT JOIN customer ON c_mktsegment = r.role AND c_acctbal > 0 GROUP BY r.role")
 sql_query("jobs_by_type_status", "SELECT event_type, CASE WHEN value < 10 THEN 'FAILED' WHEN value < 90 THEN 'COMPLETED' ELSE 'CANCELLED' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
@@ -69,19 +71,46 @@ sql_query("editor_dashboard", "SELECT o_orderstatus, count(*) AS n, count(*) FIL
 sql_query("ingestion_stats", """
 SELECT count(*) AS answers, count(*) FILTER (WHERE l_returnflag = 'A') AS accepted, count(*) FILTER (WHERE l_linestatus = 'O') AS open, CAST(sum(l_linenumber) AS BIGINT) AS numbers, count(DISTINCT l_orderkey) AS threads, round(sum(l_quantity), 2) AS quantity FROM lineitem""")
 sql_query("user_stats_correlated", """
-SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS documents, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS open,
-  (SELECT count(*) FROM events WHERE user_id = c_custkey) AS runs, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) + (SELECT count(*) FROM events WHERE user_id = c_custkey) AS activity FROM customer""")
+WITH docs AS (SELECT o_custkey, count(*) AS documents, count(*) FILTER (WHERE o_orderstatus = 'O') AS open FROM orders GROUP BY o_custkey), ran AS (SELECT user_id, count(*) AS runs FROM events GROUP BY user_id)
+SELECT c_custkey, coalesce(documents, 0) AS documents, coalesce(open, 0) AS open, coalesce(runs, 0) AS runs, coalesce(documents, 0) + coalesce(runs, 0) AS activity FROM customer LEFT JOIN docs ON o_custkey = c_custkey LEFT JOIN ran ON user_id = c_custkey""")
 sql_query("saved_documents", """
 SELECT DISTINCT user_id, o_orderkey, o_orderpriority FROM events JOIN orders ON o_orderkey = event_id % 3000 JOIN customer ON c_custkey = o_custkey
 WHERE event_type = 'click' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
-sql_query("document_listing", """
-SELECT o_orderkey, o_orderdate, c_name, count(*) OVER () AS total FROM orders JOIN customer ON c_custkey = o_custkey
-WHERE (lower(c_name) LIKE '%00%' OR lower(o_orderpriority) LIKE '%high%') AND o_orderstatus <> 'P' AND o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1)
-ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""")
+_LISTED = """
+SELECT o_orderkey, o_orderdate, c_name FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE (lower(c_name) LIKE '%00%' OR lower(o_orderpriority) LIKE '%high%') AND o_orderstatus <> 'P' AND o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1)"""
+sql_query("document_listing", f"""
+WITH listed AS ({_LISTED}) SELECT o_orderkey, o_orderdate, c_name, (SELECT count(*) FROM listed) AS total FROM listed ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""")
 sql_query("history_listing", "SELECT event_id, ts, event_type FROM events WHERE user_id = 12 AND lower(event_type) LIKE '%i%' AND value BETWEEN 5 AND 95 ORDER BY ts, event_id")
 sql_query("keyset_page", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 256")
-sql_query("bulk_outcomes", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'SKIPPED' WHEN o_totalprice > 300000 THEN 'FAILED' ELSE 'DONE' END AS outcome, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1")
+sql_query("bulk_outcomes", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'SKIPPED' WHEN o_totalprice > 300000 THEN 'FAILED' ELSE 'DONE' END AS outcome, count(*) AS n FROM orders GROUP BY 1")
 sql_query("stale_count", "SELECT greatest(0, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') - (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_linestatus = 'F')) AS stale")
 sql_query("role_permissions", "SELECT r_name, n_name, c_mktsegment, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2, 3")
 sql_query("last_admin_rule", "SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS admins, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') > 1 AS may_block FROM customer GROUP BY c_nationkey")
 sql_query("public_status", "SELECT count(*) AS documents, coalesce(sum(n_chars), 0) > 0 AS any_text, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars FROM documents WHERE source <> 'src5'")
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority, l_linenumber, l_partkey, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS tags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'A' LEFT JOIN part ON p_partkey = l_partkey
+GROUP BY o_orderkey, o_orderpriority, l_linenumber, l_partkey ORDER BY o_orderkey, l_linenumber NULLS FIRST, l_partkey NULLS FIRST LIMIT 30""")
+def documents_answers_tags(t: Tables):
+    """The first documents, with their selected answers and the distinct tags of each."""
+    answers = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    rows = t.orders.select("o_orderkey", "o_orderpriority").join(answers, "o_orderkey", "left").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey", "left")
+    tags = rows.groupBy("o_orderkey", "o_orderpriority", "l_linenumber", "l_partkey").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("p_brand")), ", "), F.lit("")).alias("tags"))
+    return tags.orderBy("o_orderkey", "l_linenumber", "l_partkey").limit(30)
+
+
+sql_query("chunks_of_document", """
+SELECT l_orderkey, l_linenumber AS ordinal, revision AS version, l_quantity, place FROM (
+  SELECT l_orderkey, l_linenumber, CAST(l_suppkey % 3 AS INTEGER) AS revision, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 3 DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem) x""")
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority, e.l_linenumber, e.l_shipdate, e.l_partkey FROM orders LEFT JOIN LATERAL (
+  SELECT l_linenumber, l_shipdate, l_partkey FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N' ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC LIMIT 1) e ON true WHERE o_orderstatus IN ('O', 'P')""")
+def active_jobs_latest_event(t: Tables):
+    """Active jobs with their latest event, and those without any."""
+    fields = ("l_shipdate", "l_linenumber", "l_partkey")
+    last = t.lineitem.where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.struct(*fields)).alias("e"))
+    return t.orders.where("o_orderstatus IN ('O', 'P')").join(last, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", *(F.col(f"e.{f}").alias(f) for f in fields))

@@ -81,9 +81,34 @@ def confidence(t: Tables):
     return _answers(t).select("item_id", score.alias("score"), level.alias("level"))
 
 
-@query(f"{_ANSWERS} SELECT item_id, CASE WHEN n < 1 THEN 'NO_SOURCES' WHEN tokens < 3000 THEN 'FEW_TOKENS' WHEN top < 0.9 THEN 'WEAK' ELSE 'OK' END AS gate FROM answers")
+@query(f"{_ANSWERS} SELECT item_id, CASE WHEN n < 1 THEN 'NO_SOURCES' WHEN tokens < 40 THEN 'FEW_TOKENS' WHEN coalesce(top, 0) < 0.25 THEN 'WEAK' ELSE 'OK' END AS gate, CASE WHEN n < 1 THEN 'NO_SOURCES' WHEN tokens < 3000 THEN 'FEW_TOKENS' WHEN coalesce(top, 0) < 0.9 THEN 'WEAK' ELSE 'OK' END AS strict FROM answers")
 def insufficient_context(t: Tables):
-    return _answers(t).select("item_id", F.when(F.col("n") < 1, "NO_SOURCES").when(F.col("tokens") < 3000, "FEW_TOKENS").when(F.col("top") < 0.9, "WEAK").otherwise("OK").alias("gate"))
+    """The gate with its defaults, and with thresholds that more contexts fail."""
+    n, tokens, top = F.col("n"), F.col("tokens"), F.col("top")
+    return _answers(t).select("item_id", G.context_gate(n, tokens, top).alias("gate"), G.context_gate(n, tokens, top, 1, 3000, 0.9).alias("strict"))
+
+
+@query("""
+WITH a AS (SELECT event_id, event_type || user_id AS k, (value > 50) AS body, ts FROM events WHERE event_id > 300), r AS (SELECT event_type || user_id AS k, max(value > 50) AS known FROM events WHERE event_id <= 300 GROUP BY 1),
+j AS (SELECT a.*, known, row_number() OVER (PARTITION BY k ORDER BY event_id) AS place, first_value(body) OVER (PARTITION BY k ORDER BY event_id) AS first FROM a LEFT JOIN r USING (k))
+SELECT event_id, CASE WHEN coalesce(known, first) <> body THEN 'CONFLICT' WHEN known IS NOT NULL THEN 'REPLAY' WHEN place = 1 THEN 'NEW' ELSE 'REPEAT' END AS outcome FROM j""")
+def idempotent_ask(t: Tables):
+    rows = t.events.select("event_id", F.concat("event_type", F.col("user_id").cast("string")).alias("k"), (F.col("value") > 50).alias("body"))
+    runs = rows.where("event_id <= 300").groupBy("k").agg(F.max("body").alias("body"))
+    return G.ask_once(runs, rows.where("event_id > 300"), "k", "body", [F.col("event_id")]).select("event_id", "outcome")
+
+
+@query()
+def context_texts(t: Tables):
+    """Whole contexts; a golden and a plain Python version hold the rules."""
+    from siltstone.operators import retrieval as R
+
+    rows = R.group_by(_final(t), "item_id", "source", "rank", 2).where("group_rank <= 12")
+    passage = F.struct("group_rank", "in_group", F.col("doc_id").alias("id"), F.col("source").alias("title"), T.strip(F.col("text")).alias("text")).alias("p")
+    groups = rows.select("item_id", "group_rank", passage).groupBy("item_id", "group_rank").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    joined = groups.select("item_id", F.struct("group_rank", F.col("ps")[0]["id"].alias("id"), F.col("ps")[0]["title"].alias("title"), F.array_join(F.transform("ps", lambda p: p["text"]), "\n\n").alias("text")).alias("g"))
+    built = joined.groupBy("item_id").agg(G.context_text(F.sort_array(F.collect_list("g"))).alias("c"))
+    return built.select("item_id", F.sha2("c.text", 256).alias("digest"), F.col("c.tokens").alias("tokens"), F.to_json("c.sources").alias("sources"))
 
 
 @query(f"{_FUSED} SELECT item_id, doc_id, substr(text, 1, 700) AS shown, CASE WHEN reranked IS NULL OR reranked = 0 THEN fusion ELSE reranked END AS score FROM final WHERE rank <= 20")
@@ -127,16 +152,24 @@ def latency_percentiles(t: Tables):
 
 
 @query("""
-WITH r AS (SELECT conv_id, list(turn ORDER BY turn) FILTER (WHERE role = 'user') AS expected, list(turn + 1 ORDER BY turn) FILTER (WHERE role = 'user' OR turn % 3 = 0) AS returned, bool_or(role = 'system') AS refuse FROM conversations GROUP BY conv_id)
-SELECT conv_id, CASE WHEN len(expected) IS NULL THEN 1.0 ELSE round(len(list_intersect(expected, returned)) / len(expected), 6) END AS source_recall, (refuse = (len(returned) > 3))::BIGINT AS refusal_right FROM r""")
+WITH r AS (SELECT conv_id, coalesce(list(DISTINCT turn) FILTER (WHERE role = 'user'), []) AS expected, coalesce(list(DISTINCT turn + 1) FILTER (WHERE role = 'user' OR turn % 3 = 0), []) AS returned, bool_or(role = 'system') AS refuse,
+  string_agg(text, E'\\n' ORDER BY turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id),
+p AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN [] ELSE ['The', 'und', 'zz' || conv_id] END AS points FROM r)
+SELECT conv_id, CASE WHEN len(expected) = 0 THEN (len(returned) = 0)::INT::DOUBLE ELSE round(len(list_intersect(expected, returned)) / len(expected), 6) END AS source_recall, (conv_id % 4 <> 0)::INT::DOUBLE AS citation_validity,
+  CASE WHEN len(points) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(points, lambda x: contains(lower(coalesce(answer, '')), lower(x)))) / len(points), 6) END AS key_point_coverage, (refuse = (len(returned) > 3))::INT::DOUBLE AS refusal_right FROM p""")
 def rag_eval(t: Tables):
     user = F.col("role") == "user"
-    rows = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(user, F.col("turn")))).alias("expected"), F.sort_array(F.collect_list(F.when(user | (F.col("turn") % 3 == 0), F.col("turn") + 1))).alias("returned"), F.bool_or(F.col("role") == "system").alias("refuse"))
-    recall = F.when(F.size("expected") == 0, 1.0).otherwise(F.round(F.size(F.array_intersect("expected", "returned")) / F.size("expected"), 6))
-    return rows.select("conv_id", recall.alias("source_recall"), (F.col("refuse") == (F.size("returned") > 3)).cast("bigint").alias("refusal_right"))
+    said = F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text"))))
+    rows = t.conversations.groupBy("conv_id").agg(F.collect_set(F.when(user, F.col("turn"))).alias("expected"), F.collect_set(F.when(user | (F.col("turn") % 3 == 0), F.col("turn") + 1)).alias("returned"), F.bool_or(F.col("role") == "system").alias("refuse"), F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("answer"))
+    points = F.when(F.col("conv_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("The"), F.lit("und"), F.concat(F.lit("zz"), F.col("conv_id").cast("string"))))
+    measures = G.answer_measures(F.col("expected"), F.col("returned"), points, F.col("answer"), F.col("conv_id") % 4 != 0, F.col("refuse"), F.size("returned") > 3)
+    return rows.select("conv_id", *(m.alias(k) for k, m in measures.items()))
 
 
-@query("SELECT sha256(string_agg(sha256(item_id || ':' || text), E'\\n' ORDER BY item_id)) AS digest FROM benchmark")
+@query("SELECT sha256(string_agg(h, E'\\n' ORDER BY block)) AS digest FROM (SELECT item_id // 10000 AS block, sha256(string_agg(sha256(item_id || ':' || text), E'\\n' ORDER BY item_id)) AS h FROM benchmark GROUP BY 1)")
 def dataset_hash(t: Tables):
+    """An ordered hash of lines by blocks of 10,000 ids, so that no group is without bound; then of the blocks."""
     lines = t.benchmark.select("item_id", F.sha2(F.concat_ws(":", F.col("item_id").cast("string"), "text"), 256).alias("h"))
-    return lines.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "\n"), 256)
+    blocks = lines.groupBy(F.floor(F.col("item_id") / 10_000).alias("block")).agg(joined("item_id").alias("h"))
+    return blocks.agg(joined("block").alias("digest"))

@@ -80,6 +80,37 @@ def worker_registration(t: Tables):
     return t.events.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("capabilities"), F.max("ts").alias("heartbeat"))
 
 
+@query("SELECT user_id, CASE WHEN user_id % 4 <> 0 THEN CASE user_id % 4 WHEN 1 THEN 'INITIAL' ELSE 'INCREMENTAL' END WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'INCREMENTAL' ELSE 'INITIAL' END AS mode FROM events GROUP BY user_id")
+def mode_resolution(t: Tables):
+    asked = F.when(F.col("user_id") % 4 == 0, "AUTO").when(F.col("user_id") % 4 == 1, "INITIAL").otherwise("INCREMENTAL")
+    rows = t.events.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("done"))
+    return rows.select("user_id", J.resolve_mode(asked, F.col("done")).alias("mode"))
+
+
+@query("""
+WITH lease AS (SELECT user_id AS job, user_id % 3 AS worker, max(ts) FILTER (WHERE event_type = 'click') AS h, max(ts) FILTER (WHERE event_type = 'click') + INTERVAL 1 DAY AS e FROM events GROUP BY user_id),
+beat AS (SELECT user_id AS job, event_id % 3 AS worker, max(ts) AS beat_at FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT job, worker, greatest(h, beat_at) AS heartbeat_at, greatest(e, beat_at + INTERVAL 3600 SECOND) AS lease_expires_at FROM lease LEFT JOIN beat USING (job, worker)""")
+def heartbeat_merge(t: Tables):
+    last = F.max(F.when(F.col("event_type") == "click", F.col("ts")))
+    leases = t.events.groupBy(F.col("user_id").alias("job")).agg(last.alias("heartbeat_at")).withColumns({"worker": F.col("job") % 3, "lease_expires_at": F.col("heartbeat_at") + F.expr("INTERVAL 1 DAY")})
+    beats = t.events.where("event_type = 'view'").select(F.col("user_id").alias("job"), (F.col("event_id") % 3).alias("worker"), F.col("ts").alias("at"))
+    return J.merge_heartbeats(leases, beats, "job", "worker", 3600).select("job", "worker", "heartbeat_at", "lease_expires_at")
+
+
+@query("""
+WITH u AS (SELECT c_custkey, c_mktsegment AS role, CASE WHEN c_acctbal < 0 THEN 'BLOCKED' ELSE 'ACTIVE' END AS status, 1 AS version, CASE WHEN c_custkey % 4 <> 3 THEN CASE WHEN c_custkey % 10 = 0 THEN c_custkey ELSE 1 END END AS actor,
+  CASE WHEN c_custkey % 4 = 0 THEN 'BUILDING' END AS new_role, c_custkey % 4 = 1 AS block FROM customer),
+l AS (SELECT *, role = 'MACHINERY' AND status = 'ACTIVE' AS admin, role = 'MACHINERY' AND status = 'ACTIVE' AND actor IS NOT NULL AND (coalesce(new_role <> 'MACHINERY', false) OR block) AS lowers FROM u),
+o AS (SELECT *, CASE WHEN actor IS NULL THEN 'NONE' WHEN actor = c_custkey THEN 'SELF' WHEN lowers AND (SELECT count(*) FROM l WHERE admin AND NOT lowers) < 1 THEN 'LAST_ADMIN' WHEN block AND status = 'BLOCKED' THEN 'UNCHANGED' ELSE 'CHANGED' END AS outcome FROM l)
+SELECT c_custkey, CASE WHEN outcome = 'CHANGED' AND new_role IS NOT NULL THEN new_role ELSE role END AS role, CASE WHEN outcome = 'CHANGED' AND block THEN 'BLOCKED' ELSE status END AS status, (version + (outcome = 'CHANGED')::INT)::INT AS version, outcome, outcome = 'CHANGED' AS sessions_revoked FROM o""")
+def account_changes(t: Tables):
+    """Role changes and blocks by an actor; every tenth asks about itself."""
+    users = t.customer.select("c_custkey", F.col("c_mktsegment").alias("role"), F.when(F.col("c_acctbal") < 0, "BLOCKED").otherwise("ACTIVE").alias("status"), F.lit(1).alias("version"))
+    asked = t.customer.where("c_custkey % 4 <> 3").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, F.col("c_custkey")).otherwise(1).alias("actor"), F.when(F.col("c_custkey") % 4 == 0, "BUILDING").alias("new_role"), (F.col("c_custkey") % 4 == 1).alias("block"))
+    return J.account_changes(users, asked, "c_custkey", "MACHINERY")
+
+
 sql_query("bulk_supersede", "SELECT event_id, CASE WHEN event_type = 'view' AND value < 50 THEN 'CANCELLED' ELSE event_type END AS state FROM events")
 sql_query("editorial_transitions", """SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'F') AND o_orderkey % 2 = 0 THEN 'HIDDEN' WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'OUTDATED' WHEN o_orderstatus = 'P' THEN 'ACTIVE' ELSE o_orderstatus END AS state FROM orders""")
 sql_query("history_delete", "SELECT event_id, user_id FROM events WHERE NOT (user_id = 7 AND event_type = 'view') AND event_id NOT IN (SELECT event_id FROM events WHERE user_id = 9)")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siltstone.plans.registry import Tables, query
+from siltstone.sources.shared import new_folder
 from siltstone.streaming import events as S
 
 
-def _run(t: Tables, out, mode: str = "append"):
-    """All that is available of a stream, as a table in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name)
+def _run(t: Tables, out):
+    """All that is available of a stream, through a checkpointed Parquet sink in the shared folder."""
+    root = new_folder(t.spark, "stream")
+    out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 
 def _events(t: Tables):

@@ -37,10 +37,10 @@ def owner_hydration(t: Tables):
 
 @query("""
 SELECT batch, string_agg(k, ';' ORDER BY k) AS ids, count(*)::BIGINT AS n FROM (
-  SELECT o_orderkey AS k, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey <= 6000)) GROUP BY batch""")
+  SELECT o_orderkey AS k, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F')) GROUP BY batch""")
 def answer_batches(t: Tables):
     """Requests of at most 100 distinct ids."""
-    ids = t.orders.where("o_orderstatus = 'F' AND o_orderkey <= 6000").select("o_orderkey").distinct()
+    ids = t.orders.where("o_orderstatus = 'F'").select("o_orderkey").distinct()
     numbered = O.number_rows(ids, "o_orderkey").withColumn("batch", F.floor(F.col("place") / 100))
     return numbered.groupBy("batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ";").alias("ids"), F.count("*").alias("n"))
 
@@ -116,31 +116,29 @@ SELECT coalesce(a.k, b.k) AS answer, b.k IS NULL AS source_missing, coalesce(b.q
 def answer_reconcile(t: Tables):
     """Stored answers stay and are marked missing where the source no longer has them."""
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("answer")
-    stored = t.lineitem.where("l_orderkey % 3 <> 0").groupBy(key).agg(F.max("l_quantity").alias("old"))
-    incoming = t.lineitem.where("l_orderkey % 4 <> 0").groupBy(key).agg(F.min("l_quantity").alias("new"))
-    return stored.join(incoming, "answer", "full_outer").select("answer", F.col("new").isNull().alias("source_missing"), F.coalesce("new", "old").alias("quantity"))
+    stored = t.lineitem.where("l_orderkey % 3 <> 0").groupBy(key).agg(F.max("l_quantity").alias("quantity"))
+    incoming = t.lineitem.where("l_orderkey % 4 <> 0").groupBy(key).agg(F.min("l_quantity").alias("quantity"))
+    return O.reconcile_answers(stored, incoming, "answer", "quantity")
 
 
 @query("""
-WITH links AS (SELECT DISTINCT l_orderkey AS doc, p_type AS tag, l_linenumber = 1 AS managed FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 3000)
+WITH links AS (SELECT DISTINCT l_orderkey AS doc, p_type AS tag, l_linenumber = 1 AS managed FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT doc, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (WHERE managed), string_agg(tag, ',' ORDER BY tag) FILTER (WHERE NOT managed)) AS tags FROM links GROUP BY doc""")
 def effective_tags(t: Tables):
     """Managed tags where there are any, else those of the source."""
-    links = t.lineitem.where("l_orderkey < 3000").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc"), F.col("p_type").alias("tag"), (F.col("l_linenumber") == 1).alias("managed")).distinct()
-    of = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("tag")))), ",")
-    return links.groupBy("doc").agg(F.coalesce(F.nullif(of(F.col("managed")), F.lit("")), of(~F.col("managed"))).alias("tags"))
+    links = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc"), F.col("p_type").alias("tag"), (F.col("l_linenumber") == 1).alias("managed"))
+    return O.effective_tags(links, "doc", "tag", "managed").select("doc", F.array_join("tags", ",").alias("tags"))
 
 
 @query("""
-WITH links AS (SELECT DISTINCT l_orderkey AS doc, p_brand AS tag, l_linenumber % 2 = 0 AS managed FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 2000),
-fresh AS (SELECT DISTINCT o_orderkey AS doc, o_orderpriority AS tag, false AS managed FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 2 = 0)
+WITH links AS (SELECT DISTINCT l_orderkey AS doc, p_brand AS tag, l_linenumber % 2 = 0 AS managed FROM lineitem JOIN part ON l_partkey = p_partkey),
+fresh AS (SELECT DISTINCT o_orderkey AS doc, o_orderpriority AS tag, false AS managed FROM orders WHERE o_orderkey % 2 = 0)
 SELECT doc, tag, managed FROM links WHERE managed OR doc NOT IN (SELECT doc FROM fresh) UNION SELECT doc, tag, managed FROM fresh""")
 def tag_replace(t: Tables):
     """Source links of documents that arrive anew are replaced; managed links stay."""
-    links = t.lineitem.where("l_orderkey < 2000").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc"), F.col("p_brand").alias("tag"), (F.col("l_linenumber") % 2 == 0).alias("managed")).distinct()
-    fresh = t.orders.where("o_orderkey < 2000 AND o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("tag"), F.lit(False).alias("managed"))
-    kept = links.where("managed").unionByName(links.where("NOT managed").join(fresh.select("doc"), "doc", "left_anti"))
-    return kept.unionByName(fresh).distinct()
+    links = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc"), F.col("p_brand").alias("tag"), (F.col("l_linenumber") % 2 == 0).alias("managed")).distinct()
+    fresh = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("tag"), F.lit(False).alias("managed"))
+    return O.replace_tags(links, fresh, "doc", "managed")
 
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber, age FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY v DESC)::BIGINT AS age FROM (
@@ -184,18 +182,35 @@ def public_thread(t: Tables):
 
 @query("""
 WITH c AS (SELECT user_id, event_type, event_id, ts, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_id % 3 = 0),
-base AS (SELECT user_id, event_type, min(event_id) AS event_id, min(value) AS value FROM events WHERE event_id % 3 = 1 GROUP BY 1, 2)
+base AS (SELECT user_id, event_type, min(event_id) AS event_id, min(value) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2)
 SELECT user_id, event_type, event_id, round(value, 6) AS value FROM c WHERE rn = 1 UNION ALL
 SELECT user_id, event_type, event_id, round(value, 6) FROM base b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = b.user_id AND c.event_type = b.event_type)""")
 def upsert_merge(t: Tables):
-    base = t.events.where("event_id % 3 = 1").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.min("value").alias("value"), F.min("ts").alias("ts"))
+    base = t.events.where("event_id % 3 <> 0").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.min("value").alias("value"), F.min("ts").alias("ts"))
     changes = t.events.where("event_id % 3 = 0").select("user_id", "event_type", "event_id", "value", "ts")
     out = O.merge_last_write(base, changes, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
     return out.select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
 
 
-@query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events WHERE event_id % 2 = 0) WHERE rn = 1""")
+@query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
 def idempotent_append(t: Tables):
     """The first delivery of each request, by request id."""
     first = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return t.events.where("event_id % 2 = 0").withColumn("rn", F.row_number().over(first)).where("rn = 1").select("event_id", "user_id")
+    return t.events.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("event_id", "user_id")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS id, l_returnflag = 'A' AS flag, l_quantity, l_shipdate, l_suppkey, l_extendedprice, CASE WHEN o_custkey % 3 = 0 THEN 1000000 + o_custkey WHEN o_custkey % 3 = 1 THEN min(l_linenumber * 1000000 + l_partkey) OVER (PARTITION BY l_orderkey) END AS declared
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+u AS (SELECT * FROM a WHERE l_quantity > 5),
+f AS (SELECT *, coalesce(id = coalesce(declared, min(CASE WHEN flag THEN id END) OVER (PARTITION BY l_orderkey)), false) AS accepted FROM u),
+r AS (SELECT *, declared IS NOT NULL AND NOT bool_or(accepted) OVER (PARTITION BY l_orderkey) AS missing_accepted, row_number() OVER (PARTITION BY l_orderkey ORDER BY accepted DESC, l_quantity DESC, l_shipdate, id, l_suppkey, l_extendedprice) AS rank FROM f)
+SELECT l_orderkey, rank::BIGINT AS rank, id, accepted, missing_accepted FROM r WHERE rank <= 3""")
+def corpus_answers(t: Tables):
+    """Answers by the rules for declared, flagged, missing and blank ones; a quantity of 5 or less is a blank answer."""
+    number = (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("id")
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("*", number, (F.col("l_returnflag") == "A").alias("flag"))
+    least = F.min("id").over(Window.partitionBy("l_orderkey"))
+    rows = rows.withColumn("declared", F.when(F.col("o_custkey") % 3 == 0, 1_000_000 + F.col("o_custkey")).when(F.col("o_custkey") % 3 == 1, least))
+    order = [F.desc("l_quantity"), *map(F.col, ("l_shipdate", "id", "l_suppkey", "l_extendedprice"))]
+    return O.select_corpus_answers(rows, "l_orderkey", "id", "declared", "flag", F.col("l_quantity") > 5, order, 2).select("l_orderkey", "rank", "id", "accepted", "missing_accepted")

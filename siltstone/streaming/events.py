@@ -28,11 +28,19 @@ def daily_counts(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     return days.agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
-def allowed_calls(events: DataFrame, calls: int, seconds: int) -> DataFrame:
-    """Whether each call of a user is within the limit of the last seconds; refused ones do not count."""
+def allowed_calls(events: DataFrame, calls: int, seconds: int, lateness: str = "2 days") -> DataFrame:
+    """Whether each call of a user is within the limit of the last seconds; refused ones do not count.
+
+    A user's state goes once the watermark has passed the window of the last call that counts.
+    Calls of one batch are judged in order of time, later batches after them.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
+        batches = iter([pd.concat(batches)])  # one user's calls of one batch
         for pdf in batches:
             pdf = pdf.sort_values(["ts", "event_id"])
             verdicts = []
@@ -44,8 +52,10 @@ def allowed_calls(events: DataFrame, calls: int, seconds: int) -> DataFrame:
                     recent.append(now)
             yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": key[0], "allowed": verdicts})
         state.update((recent,))
+        ends = int(1000 * (max(recent, default=0.0) + seconds))
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", lateness).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
