@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions.chunker import Limits, chunked
 from siltstone.operators import retrieval as R
+from siltstone.operators.chunking import Limits, chunked
 from siltstone.operators.filters import SearchFilters
 from siltstone.plans.registry import Tables, query, sql_query
 from siltstone.plans.search_queries import _final, fused_where
@@ -61,5 +61,5 @@ sql_query("feedback_upsert", "SELECT user_id, event_type, max(event_id) AS respo
 @query()
 def chunk_documents(t: Tables):
     """Full chunking: prose and code blocks, merging and overlap; golden tests hold its rules."""
-    rows = chunked(t.documents, "doc_id", "replace(text, '\n', '\n\n')", Limits(200, 300, 30, 20))
+    rows = chunked(t.documents, "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")), Limits(200, 300, 30, 20))
     return rows.select("doc_id", "ordinal", "n_tokens", "has_code", "language", F.sha2("text", 256).alias("digest"))

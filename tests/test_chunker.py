@@ -1,36 +1,52 @@
-from siltstone.functions.chunker import Limits, chunks, count, cut, split_blocks, split_code, tail
+from pyspark.sql import functions as F
+
+from siltstone.operators.chunking import Limits, chunks, cut, markdown_blocks, split_code, tail
 from siltstone.sources import reports
 
 SMALL = Limits(target=10, most=15, overlap=3, least=3)
 
 
-def test_fences_are_atomic_and_open_ones_run_on():
-    blocks = split_blocks("one\ntwo\n\nthree\n```python\na\n\nb\n```\nfour\n```\nopen\n\nend")
-    assert [(b, c, x) for b, c, x in blocks] == [("one\ntwo", False, None), ("three", False, None), ("```python\na\n\nb\n```", True, "python"), ("four", False, None), ("```\nopen\n\nend", True, None)]
+def one(spark, text, column):
+    return spark.createDataFrame([(text,)], "text string").select(column(F.col("text")).alias("x")).first()["x"]
+
+
+def test_fences_are_atomic_and_open_ones_run_on(spark):
+    blocks = one(spark, "one\ntwo\n\nthree\n```python\na\n\nb\n```\nfour\n```\nopen\n\nend", markdown_blocks)
+    assert [tuple(b)[:3] for b in blocks] == [("one\ntwo", False, None), ("three", False, None), ("```python\na\n\nb\n```", True, "python"), ("four", False, None), ("```\nopen\n\nend", True, None)]
 
 
-def test_cut_and_tail_keep_the_original():
-    assert cut("a b, c  d", 2) == ["a b", ", c", "d"]
-    assert tail("a b c d", 2) == "c d" and tail("a", 2) == "a"
+def test_cut_and_tail_keep_the_original(spark):
+    assert one(spark, "a b, c  d", lambda c: cut(c, 2)) == ["a b", ", c", "d"]
+    assert one(spark, "a b c d", lambda c: tail(c, 2)) == "c d" and one(spark, "a", lambda c: tail(c, 2)) == "a"
 
 
-def test_long_code_is_fenced_again():
-    parts = split_code("```py\n" + "\n".join("x = 1" for _ in range(10)) + "\n```", "py", 15)
-    assert all(p.startswith("```py\n") and p.endswith("\n```") and count(p) <= 15 for p in parts)
-    assert sum(p.count("x = 1") for p in parts) == 10
+def test_long_code_is_fenced_again(spark):
+    parts = one(spark, "```py\n" + "\n".join("x = 1" for _ in range(10)) + "\n```", lambda c: split_code(c, F.lit("py"), 15))
+    assert all(p.startswith("```py\n") and p.endswith("\n```") for p in parts)
+    assert sum(p.count("x = 1") for p in parts) == 10 and len(parts) == 5
+    assert one(spark, "```\n" + "y " * 30 + "\n```", lambda c: split_code(c, F.lit(None), 16))[0] == "```\n" + "y " * 9 + "y\n```"
 
 
-def test_small_tail_merges_and_text_overlaps():
-    got = chunks("a b c d e f g h\n\ni j k l m n o p\n\nq", SMALL)
-    assert [c["text"] for c in got] == ["a b c d e f g h", "f g h\n\ni j k l m n o p\n\nq"]
-    assert chunks(None) == [] and chunks("  \n\n ") == []
+def test_small_tail_merges_and_text_overlaps(spark):
+    got = one(spark, "a b c d e f g h\n\ni j k l m n o p\n\nq", lambda c: chunks(c, SMALL))
+    assert [c["text"] for c in got] == ["a b c d e f g h", "f g h\n\ni j k l m n o p\n\nq"] and [c["n"] for c in got] == [8, 12]
+    assert one(spark, None, chunks) == [] and one(spark, "  \n\n ", chunks) == []
 
 
-def test_no_overlap_before_code_and_language_of_mixed_chunks():
-    got = chunks("a b c d e f g h\n\n```py\nx = 1\n```", Limits(8, 30, 3, 2))
+def test_no_overlap_before_code_and_language_of_mixed_chunks(spark):
+    got = one(spark, "a b c d e f g h\n\n```py\nx = 1\n```", lambda c: chunks(c, Limits(8, 30, 3, 2)))
     assert got[1]["text"].startswith("```py") and got[1]["language"] == "py"
-    mixed = chunks("a b\n\n```py\nx\n```", Limits(40, 60, 3, 2))
-    assert mixed[0]["has_code"] and mixed[0]["language"] is None
+    mixed = one(spark, "a b\n\n```py\nx\n```", lambda c: chunks(c, Limits(40, 60, 3, 2)))
+    assert mixed[0]["code"] and mixed[0]["language"] == "py"
+    two = one(spark, "```py\nx\n```\n\n```sh\ny\n```", lambda c: chunks(c, Limits(40, 60, 3, 2)))
+    assert len(two) == 1 and two[0]["language"] is None
+    joined = one(spark, "```py\n" + "x " * 20 + "\n```\n\nshort", lambda c: chunks(c, Limits(20, 60, 3, 4)))
+    assert len(joined) == 1 and joined[0]["language"] is None and joined[0]["code"]
+
+
+def test_long_prose_is_cut(spark):
+    got = one(spark, " ".join(f"w{i}" for i in range(40)), lambda c: chunks(c, Limits(10, 15, 0, 3)))
+    assert [c["n"] for c in got] == [15, 15, 10] and " ".join(c["text"] for c in got) == " ".join(f"w{i}" for i in range(40))
 
 
 def test_reports(spark, tmp_path):
