@@ -1,4 +1,8 @@
-"""Cleaning of question and answer HTML: sanitised markup, text blocks, code and its language."""
+"""Cleaning of question and answer HTML: sanitised markup, text blocks, code and its language.
+
+Python reads the tags of a page into marked pieces of raw text and nothing else; blocks, white
+space, prefixes, fences, limits and the text are Column expressions over those pieces.
+"""
 
 from __future__ import annotations
 
@@ -10,92 +14,105 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.functions.text import fence, normalize_text
 
 # fixed values
 DROPPED = frozenset(["script", "style", "iframe", "object", "embed", "svg", "math"])
-ALLOWED = frozenset("a b blockquote br code em h1 h2 h3 h4 h5 h6 hr i li ol p pre strong table tbody td th thead tr ul".split())
-HEADINGS = {f"h{i}": i for i in range(1, 7)}
-VOID = frozenset(["br", "hr", "img"])
-BLANKS = re.compile(r"[ \t\f\v\xa0]+")
-LANGUAGE = re.compile(r"(?:^|\s)(?:language|lang)-([\w+#.-]+)", re.I)
+ALLOWED = frozenset("a b blockquote br code em h1 h2 h3 h4 h5 h6 i li ol p pre strong ul".split())
+KINDS = {"blockquote": "quote", "ul": "list", "ol": "list", "pre": "code", "p": "paragraph", "li": "paragraph"} | {f"h{i}": "heading" for i in range(1, 7)}
+VOID = frozenset(["br", "hr", "img", "embed", "input", "meta", "link"])
+#: Elements before which an open paragraph ends.
+BREAKS = frozenset([*KINDS, "div", "table", "section", "article", "form", "hr"])
+LANGUAGE = re.compile(r"(?:language-|lang-)([a-zA-Z0-9_+#.-]{1,30})")
+SAFE = re.compile(r"(?i)\s*https?://[^/?#\s]")
+
+PIECE = "struct<block:int,kind:string,prefix:string,text:string,language:string>"
 
-CLEANED = "text string, sanitized string, has_code boolean, blocks array<struct<kind:string,text:string,language:string>>, error string"
 
+def _language(attrs: dict[str, str | None]) -> str | None:
+    found = (LANGUAGE.fullmatch(c) for c in (attrs.get("class") or "").split())
+    return next((m[1].casefold() for m in found if m), None)
 
-class _Cleaner(HTMLParser):
-    """One pass over the markup, writing the sanitised form and the open block's text."""
+
+class _Pieces(HTMLParser):
+    """pieces (block, kind, prefix, text, language) and the sanitised markup of one page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.pieces: list[tuple[int, str, str, str, str | None]] = []
         self.out: list[str] = []
-        self.blocks: list[dict] = []
-        self.text: list[str] = []
-        self.skipped = 0
         self.open: list[str] = []
-        self.lists: list[list] = []
-        self.quote = 0
-        self.prefix = ""
-        self.href: list[tuple[int, str | None]] = []
-        self.code: list[str] | None = None
+        self.dropped: list[str] = []
+        self.block = ""  # the tag of the open block
+        self.depth = self.items = 0  # of lists in a list, and its items
+        self.text: list[str] | None = None  # of the open block, or of the list's open item
+        self.marks: list[tuple[str, int, str]] = []  # open links and code: tag, where its text begins, address
         self.language: str | None = None
-        self.inline = -1
 
-    def flush(self) -> None:
-        lines = [BLANKS.sub(" ", line).strip() for line in "".join(self.text).split("\n")]
-        body = "\n".join(lines).strip()
-        if body:
-            quoted = body if not self.quote else "\n".join("> " + line for line in body.split("\n"))
-            self.blocks.append({"kind": "paragraph", "text": self.prefix + quoted, "language": None})
-            self.prefix = ""
-        self.text = []
+    def _emit(self) -> None:
+        """The open block's (or item's) text as a piece."""
+        if self.text is not None and self.block:
+            prefix = {"ul": "- ", "ol": f"{self.items}. "}.get(self.block, "#" * int(self.block[1]) + " " if KINDS[self.block] == "heading" else "")
+            self.pieces.append((self.n, KINDS[self.block], prefix, "".join(self.text), self.language))
+        self.text = None
+
+    def _end(self) -> None:
+        while self.marks:
+            self._unmark()
+        self._emit()
+        self.block, self.language = "", None
+
+    def _unmark(self) -> None:
+        tag, start, href = self.marks.pop()
+        if self.text is None or start > len(self.text):
+            return
+        inner = "".join(self.text[start:])
+        if tag == "code":
+            ticks = "``" if "`" in inner else "`"
+            self.text[start:] = [f"{ticks}{inner}{ticks}"]
+        else:
+            self.text[start:] = [f"[{inner.strip()}]({href})" if href else inner.strip()]
+
+    n = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skipped or tag in DROPPED:
-            self.skipped += tag in DROPPED and tag != "embed"
+        if self.dropped or tag in DROPPED:
+            if tag not in VOID:
+                self.dropped.append(tag)
             return
         named = dict(attrs)
-        language = LANGUAGE.search(named.get("class") or "")
+        href = (named.get("href") or "").strip() if SAFE.match(named.get("href") or "") else ""
+        if self.block in ("p", "li") and tag in BREAKS:
+            self._end()
         if tag in ALLOWED:
-            kept = ""
-            if tag == "a" and re.match(r"(?i)https?://[^/?#]", named.get("href") or ""):
-                kept = f' href="{html.escape(named["href"] or "")}"'
-            elif tag == "code" and language:
-                kept = f' class="language-{language[1].lower()}"'
-            self.out.append(f"<{tag}{kept}>")
+            language = _language(named) if tag == "code" else None
+            self.out.append(f"<{tag}" + (f' href="{html.escape(href)}"' if tag == "a" and href else f' class="language-{language}"' if language else "") + ">")
         if tag not in VOID:
             self.open.append(tag)
-        if tag == "pre":
-            self.flush()
-            self.code, self.language = [], language[1].lower() if language else None
-        elif tag == "code" and self.code is not None:
-            self.language = self.language or (language[1].lower() if language else None)
-        elif tag == "code":
-            self.inline = len(self.text)
-        elif tag == "br":
+        if not self.block and tag in KINDS:
+            self.n += 1
+            self.block, self.depth, self.items = tag, 1, 0
+            self.text, self.language = (None if tag in ("ul", "ol") else []), _language(named) if tag == "pre" else None
+        elif self.block in ("ul", "ol") and tag in ("ul", "ol"):
+            self.depth += 1
+        elif self.block in ("ul", "ol") and tag == "li" and self.depth == 1:
+            self._emit()
+            self.items, self.text = self.items + 1, []
+        elif self.block == "pre":
+            self.language = self.language or (_language(named) if tag == "code" else None)
+        elif self.text is not None and tag == "br":
             self.text.append("\n")
-        elif tag == "a":
-            self.href.append((len(self.text), named.get("href") if re.match(r"(?i)https?://[^/?#]", named.get("href") or "") else None))
-        elif tag in HEADINGS:
-            self.flush()
-            self.prefix = "#" * HEADINGS[tag] + " "
-        elif tag in ("ul", "ol"):
-            self.flush()
-            self.lists.append([tag, 0])
-        elif tag == "li":
-            self.flush()
-            if self.lists:
-                self.lists[-1][1] += 1
-                self.prefix = "- " if self.lists[-1][0] == "ul" else f"{self.lists[-1][1]}. "
-        elif tag == "blockquote":
-            self.flush()
-            self.quote += 1
-        elif tag in ("p", "tr", "table"):
-            self.flush()
+        elif self.text is not None and tag in ("a", "code"):
+            self.marks.append((tag, len(self.text), href))
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            self.skipped -= tag in DROPPED and tag != "embed"
+        if self.dropped:
+            if tag in self.dropped:
+                while self.dropped.pop() != tag:
+                    pass
             return
         if tag not in self.open:
             return
@@ -103,58 +120,86 @@ class _Cleaner(HTMLParser):
             top = self.open.pop()
             if top in ALLOWED:
                 self.out.append(f"</{top}>")
-            self._close(top)
+            if self.marks and self.marks[-1][0] == top:
+                self._unmark()
+            elif top in ("ul", "ol") and self.block in ("ul", "ol"):
+                self.depth -= 1
+                if not self.depth:
+                    self._end()
+            elif top == "li" and self.block in ("ul", "ol") and self.depth == 1:
+                self._emit()
+            elif top == self.block and self.block not in ("ul", "ol"):
+                self._end()
             if top == tag:
                 break
 
-    def _close(self, tag: str) -> None:
-        if tag == "pre" and self.code is not None:
-            code = "".join(self.code).strip("\n")
-            fence = "`" * max(3, max((len(m) for m in re.findall("`+", code)), default=0) + 1)
-            self.blocks.append({"kind": "code", "text": f"{fence}{self.language or ''}\n{code}\n{fence}", "language": self.language})
-            self.code = self.language = None
-        elif tag == "code" and self.inline >= 0:
-            inner = "".join(self.text[self.inline :])
-            ticks = "``" if "`" in inner else "`"
-            self.text[self.inline :] = [f"{ticks}{inner}{ticks}"]
-            self.inline = -1
-        elif tag == "a" and self.href:
-            start, href = self.href.pop()
-            if href:
-                self.text[start:] = [f"[{''.join(self.text[start:])}]({href})"]
-        elif tag in HEADINGS or tag in ("p", "li", "tr"):
-            self.flush()
-        elif tag in ("ul", "ol"):
-            self.flush()
-            self.lists and self.lists.pop()
-        elif tag == "blockquote":
-            self.flush()
-            self.quote = max(0, self.quote - 1)
-
     def handle_data(self, data: str) -> None:
-        if self.skipped:
+        if self.dropped:
             return
         self.out.append(html.escape(data, quote=False))
-        (self.code if self.code is not None else self.text).append(data)
-
-
-def clean_html(source: str | None, max_bytes: int = 1_000_000, max_chars: int = 200_000) -> dict:
-    """Text, sanitised markup, blocks and whether there is code; an error code for what is too large."""
-    none = {"text": "", "sanitized": "", "has_code": False, "blocks": [], "error": None}
-    if source is None:
-        return none
-    if len(source.encode("utf-8", "replace")) > max_bytes:
-        return none | {"error": "HTML_TOO_LARGE"}
-    parser = _Cleaner()
-    parser.feed(unicodedata.normalize("NFC", source).replace("\x00", ""))
-    parser.close()
-    while parser.open:
-        parser.handle_endtag(parser.open[-1])
-    parser.flush()
-    text = "\n\n".join(b["text"] for b in parser.blocks)
-    if len(text) > max_chars:
-        return none | {"error": "TEXT_TOO_LARGE"}
-    return {"text": text, "sanitized": "".join(parser.out), "has_code": any(b["kind"] == "code" for b in parser.blocks) or "<code" in "".join(parser.out), "blocks": parser.blocks, "error": None}
+        if self.text is not None:
+            self.text.append(data)
+        elif not self.block:  # each text outside of blocks is a paragraph of its own
+            self.n += 1
+            self.pieces.append((self.n, "paragraph", "", data, None))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.struct([("block", pa.int32()), ("kind", pa.string()), ("prefix", pa.string()), ("text", pa.string()), ("language", pa.string())])
+    for batch in batches:
+        pieces, sanitized = [], []
+        for source in batch.column("html").to_pylist():
+            page = _Pieces()
+            if source is not None:
+                page.feed(unicodedata.normalize("NFC", source).replace("\x00", ""))
+                page.close()
+            while page.open:
+                page.handle_endtag(page.open[-1])
+            page._end()
+            pieces.append([dict(zip((f.name for f in kind), p, strict=True)) for p in page.pieces])
+            sanitized.append("".join(page.out).strip())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(pieces, pa.list_(kind)), pa.array(sanitized, pa.string())], ["id", "pieces", "sanitized"])
+
+
+def blocks(pieces: Column) -> Column:
+    """(kind, text, language) of each block that has text, from a page's pieces in order."""
+
+    def shown(p: Column) -> Column:
+        text = normalize_text(p["text"])
+        code = F.regexp_replace(F.regexp_replace(p["text"], r"\r\n?", "\n"), r"^\n+|\n+$", "")
+        fenced = F.concat(fence(code), F.coalesce(p["language"], F.lit("")), F.lit("\n"), code, F.lit("\n"), fence(code))
+        quoted = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
+        body = F.when((p["kind"] == "code") & (code != ""), fenced).when((p["kind"] != "code") & (text != ""), F.when(p["kind"] == "quote", quoted).otherwise(F.concat(p["prefix"], text)))
+        return F.struct(p["block"].alias("block"), p["kind"].alias("kind"), body.alias("text"), p["language"].alias("language"))
+
+    known = F.filter(F.transform(pieces, shown), lambda p: p["text"].isNotNull())
+    none = F.array().cast("array<struct<block:int,kind:string,text:string,language:string>>")
+
+    def join(done: Column, p: Column) -> Column:
+        """The items of a list are one block."""
+        last = F.try_element_at(done, F.lit(-1))
+        both = F.struct(p["block"].alias("block"), p["kind"].alias("kind"), F.concat_ws("\n", last["text"], p["text"]).alias("text"), p["language"].alias("language"))
+        return F.when(last["block"] == p["block"], F.array_append(F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1)), both)).otherwise(F.array_append(done, p))
+
+    return F.transform(F.aggregate(known, none, join), lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["language"].alias("language")))
+
+
+def cleaned(pages: DataFrame, key: str, source: str, max_bytes: int = 1_000_000, max_chars: int = 200_000) -> DataFrame:
+    """key, text, sanitized, has_code, blocks and error of each row; what is too large has an error code and nothing else.
+
+    Null and empty pages have no text and no error; has_code tells of code blocks, not of code in
+    a line.
+    """
+    own = pages.select(F.col(key).cast("bigint").alias("id"), F.expr(source).alias("html")).select("id", F.when(F.octet_length("html") <= max_bytes, F.col("html")).alias("html"), (F.octet_length("html") > max_bytes).alias("large"))
+    rows = own.select("id", "html").where("html IS NOT NULL").mapInArrow(_read, f"id bigint, pieces array<{PIECE}>, sanitized string")
+    rows = rows.select("id", blocks(F.col("pieces")).alias("blocks"), "sanitized").withColumn("text", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"))
+    rest = own.where("html IS NULL").select("id", F.array().cast("array<struct<kind:string,text:string,language:string>>").alias("blocks"), F.lit("").alias("sanitized"), F.lit("").alias("text"), F.when(F.col("large"), "HTML_TOO_LARGE").alias("error"))
+    all_ = rows.withColumn("error", F.when(F.length("text") > max_chars, "TEXT_TOO_LARGE")).unionByName(rest)
+    fits = F.col("error").isNull()
+    return all_.select(
+        F.col("id").alias(key), F.when(fits, F.col("text")).otherwise("").alias("text"), F.when(fits, F.col("sanitized")).otherwise("").alias("sanitized"),
+        (fits & F.exists("blocks", lambda b: b["kind"] == "code")).alias("has_code"), F.when(fits, F.col("blocks")).otherwise(F.array()).alias("blocks"), "error",
+    )
 
 
 def clean_title(source: str | None, limit: int = 500) -> str:
@@ -176,16 +221,3 @@ def scrub_json(value: str | None, parts: tuple[str, ...] = ("password", "secret"
         return None if value is None else json.dumps(scrub(json.loads(value)), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
     except ValueError:
         return None
-
-
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("text", pa.string()), ("sanitized", pa.string()), ("has_code", pa.bool_()), ("blocks", pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("language", pa.string())]))), ("error", pa.string())])
-    for batch in batches:
-        rows = pa.array([clean_html(x) for x in batch.column("html").to_pylist()], kind)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *rows.flatten()], ["id", *(f.name for f in kind)])
-
-
-def cleaned(pages: DataFrame, key: str, source: str) -> DataFrame:
-    """key and the columns of CLEANED for each row."""
-    rows = pages.selectExpr(f"cast({key} AS bigint) AS id", f"{source} AS html").mapInArrow(_clean, f"id bigint, {CLEANED}")
-    return rows.withColumnRenamed("id", key)

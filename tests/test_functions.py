@@ -14,21 +14,39 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def test_clean_html_blocks():
-    got = markup.clean_html("<h2>Title</h2><p>Some <code>x = 1</code> and <a href='https://a.b/c'>link</a></p><ul><li>one</li><li>two</li></ul><blockquote><p>said</p></blockquote><pre><code class='language-Python'>print(1)\n</code></pre><script>bad()</script>")
-    assert [b["text"] for b in got["blocks"]] == ["## Title", "Some `x = 1` and [link](https://a.b/c)", "- one", "- two", "> said", "```python\nprint(1)\n```"]
+def clean(spark, *sources, **limits):
+    rows = spark.createDataFrame(list(enumerate(sources)), "id bigint, html string")
+    return [r.asDict(recursive=True) for r in markup.cleaned(rows, "id", "html", **limits).orderBy("id").collect()]
+
+
+def test_clean_html_blocks(spark):
+    page = "<h2>Title</h2><p>Some <code>x = 1</code> and <a href='https://a.b/c'>link</a></p><ul><li>one</li><li> </li><li>two <b>bold</b></li></ul><ol><li>first</li><li>second</li></ol><blockquote><p>said</p>\n<p>so</p></blockquote><pre><code class='language-Python'>print(1)\n</code></pre><script>bad()</script>"
+    (got,) = clean(spark, page)
+    assert [(b["kind"], b["text"], b["language"]) for b in got["blocks"]] == [
+        ("heading", "## Title", None), ("paragraph", "Some `x = 1` and [link](https://a.b/c)", None), ("list", "- one\n- two bold", None), ("list", "1. first\n2. second", None),
+        ("quote", "> said\n> so", None), ("code", "```python\nprint(1)\n```", "python"),
+    ]
     assert got["has_code"] and "bad" not in got["text"] and "script" not in got["sanitized"]
+    assert got["text"] == "\n\n".join(b["text"] for b in got["blocks"])
 
 
-def test_clean_html_is_safe_and_bounded():
-    got = markup.clean_html("<p onclick='x()'>a<a href='javascript:x()'>b</a></p><!-- c --><iframe>d</iframe>")
-    assert got["sanitized"] == "<p>a<a>b</a></p>" and got["text"] == "ab"
-    assert markup.clean_html("x" * 11, max_bytes=10)["error"] == "HTML_TOO_LARGE"
-    assert markup.clean_html(None)["text"] == "" and markup.clean_html("")["blocks"] == []
+def test_code_in_a_line_is_no_code_block(spark):
+    inline, outside, nested = clean(spark, "<p>Some <code>x</code></p>", "a <b>b</b><br>c", "<ul><li>a<ul><li>b</li></ul></li></ul><p>one<p>two")
+    assert not inline["has_code"] and inline["text"] == "Some `x`"
+    assert [b["text"] for b in outside["blocks"]] == ["a", "b", "c"]
+    assert [b["text"] for b in nested["blocks"]] == ["- ab", "one", "two"]
+
+
+def test_clean_html_is_safe_and_bounded(spark):
+    got, long, none, empty = clean(spark, "<p onclick='x()'>a<a href='javascript:x()'>b</a></p><!-- c --><iframe>d</iframe><table><tr><td>t</td></tr></table>", "x" * 2000, None, "", max_bytes=1000)
+    assert got["sanitized"] == "<p>a<a>b</a></p>t" and got["text"] == "ab\n\nt"
+    assert long["error"] == "HTML_TOO_LARGE" and long["text"] == "" and long["blocks"] == []
+    assert none["text"] == "" and none["error"] is None and empty["blocks"] == [] and empty["error"] is None
+    assert clean(spark, "a b c d e f", max_chars=5)[0]["error"] == "TEXT_TOO_LARGE"
 
 
 def test_fences_outgrow_back_ticks(spark):
-    assert markup.clean_html("<pre>a ```` b</pre>")["text"].startswith("`````\n")
+    assert clean(spark, "<pre>a ```` b</pre>")[0]["text"].startswith("`````\n")
     assert one(spark, T.fence(F.lit("a ```` b"))) == "`````"
 
 
