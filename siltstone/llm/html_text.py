@@ -244,7 +244,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
     Null or empty html, or html without content, has the text "" and n_chars 0.  Each row is
-    read alone and whole; repeated rows get equal answers.  Weights come from the table's own
+    read alone and whole, however long; repeated rows get equal answers.  Of runs with equal sums
+    the first and longest counts.  Weights come from the table's own
     pages with marked content; without any, every word weighs 1 and every tag -0.1.  Other columns
     are ignored; an empty table gives an empty result.
     """

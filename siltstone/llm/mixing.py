@@ -132,7 +132,8 @@ def plan_mix(docs: DataFrame, size: Column, schedule: Schedule = Schedule(), who
 def mix_digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and position_ppb of every row, sorted by range of position.
 
-    Size is the number of words (null text: 0).  position_ppb is the training time of the first
+    Size is the number of words (null text: 0); see plan_mix() for ties, nulls and repeated rows.
+    Other columns are ignored; an empty table gives an empty result.  position_ppb is the training time of the first
     draw in billionths; null, and last, for a document that the mix leaves out.
     """
     plan = plan_mix(docs.select("doc_id", "source", word_count().alias("size")), F.col("size"))

@@ -157,8 +157,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base_failed: fewer than 20 words, or over 30 % of them in repeated windows of 8 words.  kept:
     not base_failed, and the posterior probability of a good text is at least one half.
 
-    Null and empty texts have counts of 0 and fail.  Each row is judged alone, repeated rows
-    alike; only text and doc_id are read.  An empty table gives an empty result.
+    Null and empty texts have counts of 0 and fail; very long ones are counted whole.  A posterior
+    of one half is good.  Each row is judged alone, repeated rows alike; only text and doc_id are
+    read, whatever other columns are named.  An empty table gives an empty result.
     """
     rules = votes()
     counted = docs.select("doc_id", measures(F.col("text")).alias("m")).select("doc_id", "m.*")

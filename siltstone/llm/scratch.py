@@ -7,23 +7,9 @@ missing, a local master (tests, a laptop) uses a temporary folder and a cluster
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="siltstone-"))
-    return _OWN[0]
+from siltstone.sources.shared import new_folder
 
 
 class Scratch:
@@ -31,7 +17,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")

@@ -337,7 +337,9 @@ def toxicity_digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) ->
     Learns from labels (doc_id, toxic) of documents that are not held out (crc32 of doc_id as
     text leaves 2 modulo 4); a document with several labels counts with the largest.  Null and
     empty texts have no hits and get the score of that.  A null doc_id is neither learned from
-    nor held out.  An empty table gives an empty result.
+    nor held out.  Very long texts are read whole; repeated rows get equal scores.  Where several
+    terms are near a word, the heaviest counts.  Other columns are ignored; an empty table gives an
+    empty result.
     """
     lexicon, weights = train(spark, docs, labels)
     out = docs.select("doc_id", "text").mapInArrow(partial(_score, lexicon, weights), "doc_id bigint, score double")
