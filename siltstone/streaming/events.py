@@ -55,7 +55,9 @@ def allowed_calls(events: DataFrame, calls: int, seconds: int, lateness: str = "
         ends = int(1000 * (max(recent, default=0.0) + seconds))
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
 
-    return events.withWatermark("ts", lateness).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    # a millisecond later, so that a call at the watermark itself is not late
+    timed = events.withColumn("due", F.col("ts") + F.expr("INTERVAL 1 MILLISECOND")).withWatermark("due", lateness)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
