@@ -54,7 +54,16 @@ def threads(rows: DataFrame, tag: str, known: DataFrame, first: int, answerless:
     asked = questions(rows).where(F.exists("tags", lambda x: F.lower(x) == tag.lower()))
     if answerless:
         asked = asked.where("answer_count = 0")
-    asked = asked.join(known, "question_id", "left_anti").orderBy("question_id").limit(first)
+    return _with_answers(asked.join(known, "question_id", "left_anti").orderBy("question_id").limit(first), rows)
+
+
+def threads_by_id(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The questions with the given ids (question_id), each once with its answers; ids of no question give nothing."""
+    wanted = ids.select("question_id").distinct()
+    return _with_answers(questions(rows).join(wanted, "question_id", "left_semi"), rows)
+
+
+def _with_answers(asked: DataFrame, rows: DataFrame) -> DataFrame:
     replies = answers(rows).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("answer_id", "body", "score", "creation_date", "owner"))).alias("answers"))
     out = asked.join(replies, "question_id", "left")
     return out.withColumn("answers", F.transform(F.coalesce("answers", F.array()), lambda a: a.withField("is_accepted", F.coalesce(a["answer_id"] == F.col("accepted_answer_id"), F.lit(False)))))

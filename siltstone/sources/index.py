@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = {"point_id": "string", "document_id": "bigint", "embedding": "array<float>"}
 
 
+def schema_hash(settings: dict[str, object]) -> str:
+    """A hash of an index's settings (models, sizes, versions) that does not hang on their order."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def check_schema(points: DataFrame) -> None:
     found = dict(points.dtypes)
     wrong = {c: found.get(c) for c, kind in REQUIRED.items() if found.get(c) != kind}

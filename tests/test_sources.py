@@ -24,6 +24,18 @@ def test_threads_of_a_dump(spark, tmp_path):
     assert dump.threads(rows, "python", spark.createDataFrame([(1,)], "question_id bigint"), 10).count() == 0
 
 
+def test_threads_by_id(spark, tmp_path):
+    (tmp_path / "Posts.xml").write_text(XML)
+    rows = dump.read_rows(spark, str(tmp_path / "Posts.xml"))
+    got = dump.threads_by_id(rows, spark.createDataFrame([(1,), (4,), (4,), (2,), (77,)], "question_id bigint")).orderBy("question_id").collect()
+    assert [(r["question_id"], [a["answer_id"] for a in r["answers"]]) for r in got] == [(1, [2, 3]), (4, [])]
+
+
+def test_schema_hash_ignores_order():
+    a, b = {"model": "m", "size": 64, "quantization": None}, {"quantization": None, "size": 64, "model": "m"}
+    assert index.schema_hash(a) == index.schema_hash(b) != index.schema_hash(a | {"size": 65})
+
+
 def test_pages_ignore_unknown_fields_and_errors(spark, tmp_path):
     pages = [{"items": [{"question_id": 1, "title": "a", "new_field": 1}], "has_more": True}, {"error_id": 502, "error_message": "throttled"}]
     (tmp_path / "p.json").write_text("\n".join(map(json.dumps, pages)))
