@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm.alignment import alignment_digest
 from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.html_text import page_texts
 from siltstone.llm.language import language_digest
 from siltstone.llm.licenses import LICENSE_SQL, licenses
 from siltstone.llm.mixing import MIX_SQL, mix_digest
 from siltstone.llm.near_dedup import near_duplicates
+from siltstone.llm.packing import packing_digest
 from siltstone.llm.quality_model import quality_digest
 from siltstone.llm.quality_rules import quality_rules
 from siltstone.llm.sharding import shard_digest
@@ -62,6 +64,14 @@ def op10_shard_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"), 8)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_curriculum": op1_mix_curriculum,
     "op2_html_main_text": op2_html_main_text,
@@ -73,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_automata": op8_toxicity_automata,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_shard_prefix_sums": op10_shard_prefix_sums,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
