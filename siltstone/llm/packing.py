@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -236,8 +237,6 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id:
 
     @F.pandas_udf("struct<sequence_id: bigint, offset: bigint>")
     def place(length, rank):
-        import pandas as pd
-
         key = (length.to_numpy(np.int64) << RANK_BITS) + rank.to_numpy(np.int64)
         at = np.searchsorted(keys, key, "right") - 1
         return pd.DataFrame({"sequence_id": sequences[at] + key - keys[at], "offset": offsets[at]})

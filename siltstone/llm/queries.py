@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.alignment import alignment_digest
+from siltstone.llm.conversations import repair_digest
 from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.html_text import page_texts
 from siltstone.llm.language import language_digest
@@ -64,6 +65,10 @@ def op10_shard_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"), 8)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(spark, _table(spark, sf_dir, "conversations"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(spark, _table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_automata": op8_toxicity_automata,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_shard_prefix_sums": op10_shard_prefix_sums,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_best_fit_packing": op12_best_fit_packing,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
