@@ -2,9 +2,11 @@
 
 Texts are cut before runs of white space that neither vocabulary can merge across.  Tasks number
 the distinct segments of a slice of documents, so that a document becomes a list of small
-numbers and only distinct segments are shuffled.  Each distinct segment of the corpus is tokenized
-and aligned once; its alignment is joined back to the slices, and documents are composed from it.
-Every cut is an end of tokens on both sides, so the groups of a text are those of its segments.
+numbers and only the distinct segments of slices are shuffled.  Sorted by segment, equal ones
+of all slices lie together, are tokenized and aligned once and take their alignment back to their slices,
+where documents are composed from it.  No segment comes more often than there are slices, so no
+key is hot.  Every cut is an end of tokens on both sides, so the groups of a text are those of
+its segments.
 """
 
 from __future__ import annotations
@@ -30,16 +32,11 @@ VOCABULARY_B = "piece_bpe_32k.model"
 SLICE_BYTES = 1 << 24
 #: Segments go to the tokenizers in blocks of about this many bytes.
 BLOCK_BYTES = 1 << 20
-#: Tables of id pairs up to this many rows are sent to every executor; larger ones are shuffled.
-BROADCAST_PAIRS = 500_000
-
-_NUMBERED = pa.schema([
-    ("slice", pa.int64()), ("code", pa.int32()), ("segment", pa.large_string()), ("n", pa.int64()),
-    ("doc_id", pa.int64()), ("codes", pa.list_(pa.int32())),
-])
-_ALIGNED = pa.schema([
-    ("segment", pa.large_string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.large_string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())),
-])
+#: Counts of up to this many id pairs (17 bytes each) are sent to every executor; more are joined by a shuffle.
+BROADCAST_PAIRS = 4_000_000
+
+_NUMBERED = pa.schema([("slice", pa.int64()), ("code", pa.int32()), ("segment", pa.large_string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.large_binary())])
+_ALIGNED = pa.schema([("slice", pa.int64()), ("code", pa.int32()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.large_string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 _DIGEST = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
 
 
@@ -74,15 +71,27 @@ def numbered(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
                     counts = np.bincount(codes[alive[row]], minlength=len(values))
                 else:
                     counts = np.bincount(codes, minlength=len(values))
-                live = np.flatnonzero(counts)
-                n, m = len(live), end - first
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(codes.astype(np.int32)))
-                lists = pc.if_else(pa.array(alive), lists, pa.scalar(None, lists.type))
-                yield from _batches([pa.array(np.full(n, at)), pa.array(live.astype(np.int32)), values.take(pa.array(live)), pa.array(counts[live]), pa.nulls(n, pa.int64()), pa.nulls(n, _NUMBERED.field("codes").type)])
-                yield from _batches([pa.array(np.full(m, at)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.large_string()), pa.nulls(m, pa.int64()), ids, lists])
+                # frequent segments have small codes
+                order = np.argsort(-counts, kind="stable")
+                codes, n, m = np.argsort(order)[codes], int(np.count_nonzero(counts)), end - first
+                packed = pa.array([_packed(codes[i:j]) if live else None for i, j, live in zip(bounds, bounds[1:], alive, strict=False)], pa.large_binary())
+                yield from _batches([pa.array(np.full(n, at)), pa.array(np.arange(n, dtype=np.int32)), values.take(pa.array(order[:n])), pa.array(counts[order[:n]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.large_binary())])
+                yield from _batches([pa.array(np.full(m, at)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.large_string()), pa.nulls(m, pa.int64()), ids, packed])
                 at += 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(number, "slice bigint, code int, segment string, n bigint, doc_id bigint, codes array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(number, "slice bigint, code int, segment string, n bigint, doc_id bigint, codes binary")
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """The codes' number, then their bytes by place, compressed."""
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(codes).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -108,7 +117,7 @@ def _batches(columns: list[pa.Array], rows: int = 1 << 15) -> Iterator[pa.Record
 
 
 def aligned(segments: DataFrame, a: bytes, b: bytes) -> DataFrame:
-    """segments (segment, n) with their token counts, their groups as text, and the linked ids a and b.
+    """Rows (slice, code, segment, n) with their segment's token counts, groups as text, and linked ids a and b.
 
     A group ends where tokens of both end; its last two tokens are the link.  Ids that do not spell
     their segment are an error: numbered() leaves out the characters that could make some.
@@ -117,35 +126,56 @@ def aligned(segments: DataFrame, a: bytes, b: bytes) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = ByteLevel(a, plain=True), Pieces(b)
         size_a, size_b = sizes(left.entries), sizes(right.entries)
+        last: tuple = (None, None)  # a segment may go on in the next batch
         for batch in batches:
-            for first, end, raw, offsets in slices(batch.column("segment"), BLOCK_BYTES):
-                segments = [raw[i:j].tobytes().decode() for i, j in zip(offsets, offsets[1:], strict=False)]
-                by_a, by_b = left.encode(segments), right.encode(segments)
-                ids_a, ids_b = (np.fromiter((t for s in x for t in s), np.int64) for x in (by_a, by_b))
-                ends_a, ends_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-                if b"".join(left.entries[t] for t in ids_a) != raw.tobytes() or b"".join(right.entries[t] for t in ids_b) != raw.tobytes():
-                    raise ValueError("a vocabulary does not give back the bytes of a segment")
-                both, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-                links = np.searchsorted(both, offsets, "right")  # of each segment, as bounds
-                texts = _group_texts(ids_a.tolist(), ids_b.tolist(), at_a.tolist(), at_b.tolist(), links.tolist())
-                to_list = lambda ids: pa.ListArray.from_arrays(pa.array(links.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                columns = [pa.array(segments, pa.large_string()), batch.column("n").slice(first, end - first), pa.array([len(x) for x in by_a], pa.int32()), pa.array([len(x) for x in by_b], pa.int32()), pa.array(texts, pa.large_string()), to_list(ids_a[at_a]), to_list(ids_b[at_b])]
-                yield pa.RecordBatch.from_arrays(columns, schema=_ALIGNED)
-
-    return segments.select("segment", "n").mapInArrow(align, "segment string, n bigint, n_a int, n_b int, groups string, a array<int>, b array<int>")
+            coded = batch.column("segment").dictionary_encode()
+            segments = coded.dictionary.to_pylist()
+            todo = segments[1:] if segments[0] == last[0] else segments
+            texts = [s.encode() for s in todo]
+            ends = np.cumsum([0] + [len(t) for t in texts])
+            found = [last[1]] if len(todo) < len(segments) else []
+            for i, j in _blocks(ends):
+                found += _aligned_block(todo[i:j], b"".join(texts[i:j]), ends[i : j + 1] - ends[i], left, right, size_a, size_b)
+            last = segments[-1], found[-1]
+            values = [pa.array(column, f.type) for column, f in zip(zip(*found, strict=True), list(_ALIGNED)[3:], strict=True)]
+            columns = [batch.column(c) for c in ("slice", "code", "n")] + [v.take(coded.indices) for v in values]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ALIGNED)
+
+    spread = segments.select("slice", "code", "n", "segment").repartition("segment").sortWithinPartitions("segment")
+    return spread.mapInArrow(align, "slice bigint, code int, n bigint, n_a int, n_b int, groups string, a array<int>, b array<int>")
+
+
+def _blocks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of segments of about BLOCK_BYTES."""
+    i = 0
+    while i < len(ends) - 1:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK_BYTES, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _aligned_block(segments: list[str], raw: bytes, offsets: np.ndarray, left: ByteLevel, right: Pieces, size_a: np.ndarray, size_b: np.ndarray) -> list[tuple]:
+    """(n_a, n_b, groups, a, b) of each segment, from the ends of all their tokens at once."""
+    by_a, by_b = left.encode(segments), right.encode(segments)
+    ids_a, ids_b = (np.fromiter((t for s in x for t in s), np.int64) for x in (by_a, by_b))
+    if b"".join(left.entries[t] for t in ids_a) != raw or b"".join(right.entries[t] for t in ids_b) != raw:
+        raise ValueError("a vocabulary does not give back the bytes of a segment")
+    ends_a, ends_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
+    both, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+    links = np.searchsorted(both, offsets, "right").tolist()  # the bounds of each segment
+    texts = _group_texts(ids_a.tolist(), ids_b.tolist(), at_a.tolist(), at_b.tolist(), links)
+    link_a, link_b = ids_a[at_a].tolist(), ids_b[at_b].tolist()
+    return [(len(x), len(y), text, link_a[i:j], link_b[i:j]) for x, y, text, i, j in zip(by_a, by_b, texts, links, links[1:], strict=False)]
 
 
 def _group_texts(ids_a: list, ids_b: list, at_a: list, at_b: list, links: list) -> list[str]:
     """`a1,a2|b1;a3|b2` of each segment."""
     spell = lambda ids: ",".join(map(str, ids))
-    from_a, from_b, out = 0, 0, []
-    groups = []
+    from_a, from_b, groups = 0, 0, []
     for i, j in zip(at_a, at_b, strict=True):
         groups.append(f"{spell(ids_a[from_a : i + 1])}|{spell(ids_b[from_b : j + 1])}")
         from_a, from_b = i + 1, j + 1
-    for first, end in zip(links, links[1:], strict=False):
-        out.append(";".join(groups[first:end]))
-    return out
+    return [";".join(groups[i:j]) for i, j in zip(links, links[1:], strict=False)]
 
 
 def pair_counts(alignments: DataFrame) -> DataFrame:
@@ -159,6 +189,32 @@ def with_best(pairs: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(highest), "b").select("a", "b", "pairs", (F.col("pairs") == F.col("highest")).cast("int").alias("best"))
 
 
+def with_counts(alignments: DataFrame, pairs: DataFrame) -> DataFrame:
+    """alignments (slice, code, n_a, n_b, groups, a, b) with n_groups, n_best and count_sum in place of a and b.
+
+    The pairs' counts go to every executor up to BROADCAST_PAIRS; more are joined to the exploded links.
+    """
+    kept = alignments.select("slice", "code", "n_a", "n_b", "groups", F.size("a").alias("n_groups"), "a", "b")
+    if pairs.count() > BROADCAST_PAIRS:
+        rows = kept.withColumn("key", F.struct("slice", "code"))
+        links = rows.select("key", F.explode(F.arrays_zip("a", "b")).alias("l")).select("key", "l.a", "l.b").join(pairs, ["a", "b"])
+        return rows.drop("a", "b").join(links.groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("pairs").alias("count_sum")), "key").drop("key")
+    table = pairs.select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("key"), "pairs", F.col("best").cast("boolean")).toPandas().sort_values("key")
+    keys, counts, best = (table[c].to_numpy() for c in ("key", "pairs", "best"))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_groups").to_numpy()
+            key = (batch.column("a").flatten().to_numpy().astype(np.int64) << 32) + batch.column("b").flatten().to_numpy()
+            at, ends = np.searchsorted(keys, key), np.cumsum(n)
+            sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (best, counts)]
+            more = [pa.array(s[ends] - s[ends - n]) for s in sums]
+            names = ["slice", "code", "n_a", "n_b", "groups", "n_groups"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, names=[*names, "n_best", "count_sum"])
+
+    return kept.mapInArrow(look_up, "slice bigint, code int, n_a int, n_b int, groups string, n_groups int, n_best bigint, count_sum bigint")
+
+
 def align_tokenizers(spark: SparkSession, docs: DataFrame, path_a: str | None = None, path_b: str | None = None, keep_groups: bool = False) -> DataFrame:
     """One row for every row of docs (doc_id, text), of which other columns are ignored: counts and groups_sha256.
 
@@ -172,17 +228,9 @@ def align_tokenizers(spark: SparkSession, docs: DataFrame, path_a: str | None =
     a, b = vocabulary(VOCABULARY_A, path_a), vocabulary(VOCABULARY_B, path_b)
     scratch = Scratch(spark, "alignment")
     rows = scratch.keep("numbered", numbered(docs, a, b))
-    coded = rows.where("segment IS NOT NULL").select(F.col("slice").alias("part"), "code", "segment", "n")
-    distinct = coded.groupBy("segment").agg(F.sum("n").alias("n"))
-    alignments = scratch.keep("aligned", aligned(distinct, a, b).withColumn("id", F.monotonically_increasing_id()))
-    pairs = scratch.keep("pairs", pair_counts(alignments))
-    judged = with_best(pairs)
-    if pairs.count() <= BROADCAST_PAIRS:
-        judged = F.broadcast(judged)
-    links = alignments.select("id", F.explode(F.arrays_zip("a", "b")).alias("l")).select("id", "l.a", "l.b").join(judged, ["a", "b"])
-    sums = links.groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("pairs").alias("count_sum"))
-    scored = scratch.keep("scored", alignments.select("id", "segment", "n_a", "n_b", F.size("a").alias("n_groups"), "groups").join(sums, "id").drop("id"))
-    back = coded.select("part", "code", "segment").join(scored, "segment").drop("segment")
+    alignments = scratch.keep("aligned", aligned(rows.where("segment IS NOT NULL"), a, b))
+    pairs = with_best(scratch.keep("pairs", pair_counts(alignments)))
+    back = with_counts(alignments, pairs).withColumnRenamed("slice", "part")
     documents = rows.where("segment IS NULL").select("slice", "doc_id", "codes")
     text = ", groups string" if keep_groups else ""
     return documents.groupBy("slice").cogroup(back.groupBy("part")).applyInArrow(_composer(keep_groups), f"{_DIGEST}, groups_sha256 string{text}")
@@ -196,20 +244,19 @@ def _composer(keep_groups: bool):
         code = segments["code"].to_numpy()
         place = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
         place[code] = np.arange(len(code))
-        codes = documents["codes"].combine_chunks()
-        alive = codes.is_valid().to_numpy(zero_copy_only=False)
-        n_codes = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False)
-        at = place[codes.flatten().to_numpy()]
+        lists = [None if c is None else place[_unpacked(c)] for c in documents["codes"].to_pylist()]
+        n_codes = np.array([0 if x is None else len(x) for x in lists])
+        at = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)])
         ends = np.cumsum(n_codes)
         out = {"doc_id": documents["doc_id"]}
         for name in names:
             total = np.concatenate([[0], np.cumsum(segments[name].to_numpy().astype(np.int64)[at])])
             out[name] = pa.array(total[ends] - total[ends - n_codes])
         groups = segments["groups"].to_pylist()
-        texts = [";".join([groups[i] for i in at[e - n : e].tolist()]) if n else "" for e, n in zip(ends.tolist(), n_codes.tolist(), strict=True)]
-        out["groups_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() if live else "" for t, live in zip(texts, alive.tolist(), strict=True)])
+        texts = [None if x is None else ";".join([groups[i] for i in x.tolist()]) for x in lists]
+        out["groups_sha256"] = pa.array(["" if t is None else hashlib.sha256(t.encode()).hexdigest() for t in texts])
         if keep_groups:
-            out["groups"] = pa.array(texts)
+            out["groups"] = pa.array([t or "" for t in texts])
         out["n_links"] = out["n_groups"]
         order = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] + (["groups"] if keep_groups else [])
         return pa.table({c: out[c] for c in order})
