@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.plans.registry import Tables, query
+from siltstone.sources import pages
 from siltstone.sources.shared import new_folder
 from siltstone.streaming import events as S
+from siltstone.streaming import ingestion
 
 
 def _run(t: Tables, out):
@@ -34,3 +36,39 @@ def stream_daily_counts(t: Tables):
 @query()
 def stream_rate_limit(t: Tables):
     return _run(t, S.allowed_calls(_events(t).select("event_id", "user_id", "ts"), 5, 86400))
+
+
+_ORDER = "key bigint, status string, price double, ordered string"
+
+
+def _pages(t: Tables, orders, root: str):
+    """A stream of saved pages of orders (key, status, price, ordered)."""
+    body = F.to_json(F.struct("key", "status", "price", "ordered"))
+    urls = pages.save_pages(orders, ["ordered", "key"], body, f"{root}/pages", 1_000)
+    return t.spark.readStream.format(pages.register(t.spark)).option("url", urls).option("spool", f"{root}/spool").load()
+
+
+@query(
+    """WITH bounds AS (SELECT max(o_orderdate) AS hi, max(o_orderdate) - INTERVAL 365 DAY AS mid FROM orders),
+    told AS (SELECT o.*, o_orderdate <= mid AS first, o_orderdate > mid - INTERVAL 30 DAY AS second FROM orders o, bounds)
+    SELECT o_orderkey AS key, CASE WHEN second AND o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS status,
+           CASE WHEN first AND second AND o_orderstatus = 'F' THEN 2 ELSE 1 END::BIGINT AS version,
+           round(CASE WHEN second AND o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END, 2) AS price
+    FROM told WHERE first OR second"""
+)
+def paged_ingestion(t: Tables):
+    """Two runs over pages of orders: the second re-reads thirty days in which some orders changed."""
+    root = new_folder(t.spark, "ingestion")
+    store = ingestion.Store(t.spark, f"{root}/store", "key", _ORDER)
+    orders = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("string").alias("ordered"), "o_orderdate")
+    hi = F.max("o_orderdate")
+    bounds = orders.agg(F.unix_timestamp(hi.cast("timestamp")).alias("hi"), F.unix_timestamp((hi - F.expr("INTERVAL 365 DAYS")).cast("timestamp")).alias("mid")).first()
+    at = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    parse = lambda df: df.select(F.from_json("body", _ORDER).alias("i"), "page", "item").select("i.*", "page", "item")
+    for name, todate, overlap in (("initial", bounds["mid"], 0), ("incremental", bounds["hi"], 30 * 86_400)):
+        since, until = store.window(todate or 0, overlap)
+        told = orders.where((at > since) & (at <= until))
+        if name == "incremental":
+            told = told.withColumns({"price": F.when(F.col("status") == "F", F.col("price") * 2).otherwise(F.col("price")), "status": F.when(F.col("status") == "F", "X").otherwise(F.col("status"))})
+        ingestion.run(store, _pages(t, told, f"{root}/{name}"), parse, f"{root}/{name}/checkpoint", name, until, F.to_json(F.struct("status", "price", "ordered")), F.struct("page", "item"))
+    return store.current().select("key", "status", "version", F.round("price", 2).alias("price"))
