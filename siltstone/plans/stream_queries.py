@@ -8,7 +8,8 @@ from siltstone.plans.registry import Tables, query
 from siltstone.sources import pages
 from siltstone.sources.shared import new_folder
 from siltstone.streaming import events as S
-from siltstone.streaming import ingestion
+from siltstone.streaming import ingestion, jobs
+from siltstone.streaming.ordered import rocks
 
 
 def _run(t: Tables, out):
@@ -33,9 +34,47 @@ def stream_daily_counts(t: Tables):
     return _run(t, S.daily_counts(_events(t)))
 
 
+def _to_the_end(t: Tables, events, build):
+    """All rows of a stateful stream over events (ts, ...), those that wait for the watermark too.
+
+    When the table has been read, a row far in the future, without any key, is put into a second
+    folder of the same stream and takes the watermark past everything that waits.
+    """
+    root = new_folder(t.spark, "stream")
+    end = t.spark.createDataFrame([], events.schema)
+    end.write.parquet(f"{root}/end")
+    both = events.unionByName(t.spark.readStream.schema(events.schema).parquet(f"{root}/end"))
+    out = build(both)
+    with rocks(t.spark):
+        for _ in range(2):
+            out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+            last = F.expr("TIMESTAMP '2200-01-01 00:00:00'")
+            t.spark.range(1).select(*(last.alias(f.name) if f.name == "ts" else F.lit(-1 if f.name == _KEY else None).cast(f.dataType).alias(f.name) for f in events.schema)).write.mode("append").parquet(f"{root}/end")
+    return t.spark.read.schema(out.schema).parquet(f"{root}/rows")
+
+
+#: The column that the closing row carries a key of its own in.
+_KEY = "key"
+
+
 @query()
 def stream_rate_limit(t: Tables):
-    return _run(t, S.allowed_calls(_events(t).select("event_id", "user_id", "ts"), 5, 86400))
+    events = _events(t).select("event_id", F.col("user_id").alias("key"), "ts")
+    out = _to_the_end(t, events, lambda e: S.allowed_calls(e.withColumnRenamed("key", "user_id"), 5, 86400))
+    return out.where("user_id >= 0")
+
+
+#: A job is what one user does in one week; what happens is read as the requests of two workers.
+POLICY = jobs.Policy(lease=86_400, wait=6 * 3_600, longest_wait=4 * 86_400, stale_wait=3_600)
+
+
+@query()
+def stream_job_transitions(t: Tables):
+    week = F.floor(F.unix_seconds("ts") / (7 * 86_400))
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'CLAIM' WHEN 'click' THEN 'HEARTBEAT' WHEN 'purchase' THEN 'COMPLETE' WHEN 'error' THEN 'RETRY' ELSE if(event_id % 5 = 0, 'CANCEL', 'CLAIM') END")
+    events = _events(t).select((F.col("user_id") * 10_000 + week).cast("long").alias("key"), "ts", "event_id", kind.alias("kind"), (F.col("event_id") % 2).alias("worker"))
+    out = _to_the_end(t, events, lambda e: jobs.job_transitions(e.withColumnRenamed("key", "job"), POLICY))
+    return out.where("job >= 0")
 
 
 _ORDER = "key bigint, status string, price double, ordered string"

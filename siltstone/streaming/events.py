@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from siltstone.streaming.ordered import InTimeOrder, in_time_order
 
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -28,36 +28,37 @@ def daily_counts(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     return days.agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
+class RateLimit(InTimeOrder):
+    """At most so many calls in any so many seconds; refused calls do not count."""
+
+    columns = ("us", "event_id")
+    out = ("user_id", "event_id", "allowed")
+
+    def __init__(self, calls: int, seconds: int):
+        self.calls, self.seconds = calls, seconds
+
+    def start(self) -> dict:
+        return {"recent": []}
+
+    def on_row(self, state: dict, row: list) -> list[tuple]:
+        at, event = row
+        state["recent"] = [x for x in state["recent"] if x > at - self.seconds * 1_000_000]
+        allowed = len(state["recent"]) < self.calls
+        if allowed:
+            state["recent"].append(at)
+        return [(event, allowed)]
+
+    def over(self, state: dict, now: int) -> bool:
+        return max(state["recent"], default=0) <= now - self.seconds * 1_000_000
+
+
 def allowed_calls(events: DataFrame, calls: int, seconds: int, lateness: str = "2 days") -> DataFrame:
     """Whether each call of a user is within the limit of the last seconds; refused ones do not count.
 
-    A user's state goes once the watermark has passed the window of the last call that counts.
-    Calls of one batch are judged in order of time, later batches after them.
+    Calls are judged in order of time once the watermark has passed them, so verdicts do not hang
+    on how the stream was cut into batches.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        batches = iter([pd.concat(batches)])  # one user's calls of one batch
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            verdicts = []
-            for ts in pdf["ts"]:
-                now = ts.timestamp()
-                recent = [x for x in recent if x > now - seconds]
-                verdicts.append(len(recent) < calls)
-                if verdicts[-1]:
-                    recent.append(now)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": key[0], "allowed": verdicts})
-        state.update((recent,))
-        ends = int(1000 * (max(recent, default=0.0) + seconds))
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
-
-    # a millisecond later, so that a call at the watermark itself is not late
-    timed = events.withColumn("due", F.col("ts") + F.expr("INTERVAL 1 MILLISECOND")).withWatermark("due", lateness)
-    return timed.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_time_order(events, "ts", "user_id", RateLimit(calls, seconds), "user_id long, event_id long, allowed boolean", lateness).select("event_id", "user_id", "allowed")
 
 
 def ingest(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siltstone.sources import dump, index
 from siltstone.streaming import events as S
+from siltstone.streaming.ordered import rocks
 
 XML = """<?xml version="1.0"?><posts>
 <row Id="1" PostTypeId="1" CreationDate="2024-01-01T00:00:00.000" Score="3" Body="&lt;p&gt;q&lt;/p&gt;" Title="T" Tags="&lt;python&gt;&lt; a &gt;" AnswerCount="2" AcceptedAnswerId="3" OwnerUserId="9" />
@@ -69,6 +70,7 @@ def test_ingestion_resumes_from_its_checkpoint(spark, tmp_path):
 def test_rate_limit_does_not_count_refused_calls(spark, tmp_path):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate((0, 1, 2, 9, 10, 11))], "event_id bigint, s bigint")
     rows.select("event_id", F.timestamp_seconds(F.col("s")).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("bigint").alias("user_id"), F.lit("v").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = S.allowed_calls(S.read_events(spark, str(tmp_path / "in")).select("event_id", "user_id", "ts"), 2, 10)
-    out.writeStream.format("memory").queryName("limited").trigger(availableNow=True).start().awaitTermination()
+    out = S.allowed_calls(S.read_events(spark, str(tmp_path / "in")).select("event_id", "user_id", "ts"), 2, 10, "0 seconds")
+    with rocks(spark):
+        out.writeStream.format("memory").queryName("limited").trigger(availableNow=True).start().awaitTermination()
     assert [r["allowed"] for r in spark.table("limited").orderBy("event_id").collect()] == [True, True, False, False, True, True]
