@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.segments import joined_pairs, segment_starts, string_array
+from siltstone.llm.segments import gathered, joined_pairs, segment_starts, string_array
 from siltstone.llm.textkit import slices
 from siltstone.llm.tokens import ByteLevel, Pieces, sizes, vocabulary
 
@@ -52,7 +52,7 @@ def numbered(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
         joined = joined_pairs(left.entries) | joined_pairs(right.entries)
         kept: dict[str, bool] = {}
         at = TaskContext.get().partitionId() << 32
-        for ids, texts in _gathered(batches):
+        for ids, texts in gathered(batches, SLICE_BYTES):
             alive = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)
             spaced = pc.if_else(pa.array(alive), pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.fill_null(texts, ""), pa.scalar(" ", pa.large_string())), pa.scalar("", pa.large_string()))
             for first, end, raw, offsets in slices(spaced, 1 << 62, len(spaced)):
@@ -94,22 +94,6 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """doc_id and text of runs of rows with about SLICE_BYTES of text."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        text = batch.column("text").cast(pa.large_string())
-        for first, end, raw, _ in slices(text, SLICE_BYTES, 1 << 62):
-            ids.append(batch.column("doc_id").slice(first, end - first))
-            texts.append(text.slice(first, end - first))
-            size += len(raw)
-            if size >= SLICE_BYTES:
-                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
-                ids, texts, size = [], [], 0
-    if ids:
-        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
-
-
 def _batches(columns: list[pa.Array], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     whole = pa.RecordBatch.from_arrays(columns, schema=_NUMBERED)
     for i in range(0, len(whole), rows):

@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.segments import joined_pairs, segment_starts
+from siltstone.llm.segments import gathered, joined_pairs, segment_starts, string_array
 from siltstone.llm.textkit import slices
-from siltstone.llm.tokens import ByteLevel, vocabulary
+from siltstone.llm.tokens import ByteLevel, sizes, vocabulary
 
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Texts go to the tokenizer in parts of about this many bytes.
+#: Tasks tokenize the distinct segments of about so many bytes of documents, in parts of about so many.
+SLICE_BYTES = 1 << 24
 PART_BYTES = 1 << 20
 #: Accuracy of the linear program, and how often the rest of a rounding is solved again.
 EPSILON = 0.4
@@ -52,23 +53,23 @@ def pieces(docs: DataFrame, vocabulary_bytes: bytes, capacity: int = CAPACITY, e
     """The pieces of every row of docs (doc_id, text): PIECE and, with ``keep_ids``, their ids.
 
     A null text is an empty one and gives the end token alone.  Repeated rows give their pieces each.
-    Very long texts are tokenized in parts, cut where the result is the same.
+    Texts are tokenized by segments, cut where the result is the same; a very long one is a slice of its own.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if keep_ids else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ByteLevel(vocabulary_bytes, plain=False)
         joined = joined_pairs(model.entries)
-        for batch in batches:
-            for first, end, raw, offsets in slices(batch.column("text"), PART_BYTES):
+        for doc_ids, texts in gathered(batches, SLICE_BYTES):
+            for first, end, raw, offsets in slices(texts, 1 << 62, len(texts)):
+                ids, bounds = _encoded(model, joined, raw, offsets)
                 out = [[] for _ in schema]
-                for doc_id, ids in zip(batch.column("doc_id")[first:end].to_pylist(), _encoded(model, joined, raw, offsets), strict=True):
-                    ids = np.append(ids, end_id).astype("<u4")
-                    head = (len(ids) - 1) % capacity + 1
-                    ends = range(head, len(ids) + 1, capacity)
-                    for piece, stop in enumerate(ends):
-                        start = max(0, stop - capacity) if piece else 0
-                        part = ids[start:stop]
+                for doc_id, i, j in zip(doc_ids[first:end].to_pylist(), bounds, bounds[1:], strict=False):
+                    whole = np.append(ids[i:j], end_id).astype("<u4")
+                    head = (len(whole) - 1) % capacity + 1
+                    for piece, stop in enumerate(range(head, len(whole) + 1, capacity)):
+                        start = stop - capacity if piece else 0
+                        part = whole[start:stop]
                         values = (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32))
                         for column, value in zip(out, values, strict=False):
                             column.append(value)
@@ -77,21 +78,59 @@ def pieces(docs: DataFrame, vocabulary_bytes: bytes, capacity: int = CAPACITY, e
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE + (", ids array<int>" if keep_ids else ""))
 
 
-def _encoded(model: ByteLevel, joined: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The ids of each text of a slice; a text beyond PART_BYTES is cut between segments."""
-    if len(offsets) == 2 and len(raw) > PART_BYTES:
-        starts, parts, at = segment_starts(raw, offsets, joined), [], 0
-        while at < len(raw):
-            nearer = starts[np.searchsorted(starts, at + PART_BYTES, "right") - 1] if at + PART_BYTES < len(raw) else len(raw)
-            later = starts[starts > at]
-            stop = int(nearer) if nearer > at else int(later[0]) if len(later) else len(raw)
-            parts.append(np.array(model.encode([raw[at:stop].tobytes().decode()])[0], np.uint32))
-            at = stop
-        yield np.concatenate(parts)
-        return
-    texts = [raw[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:], strict=False)]
-    for ids in model.encode(texts):
-        yield np.array(ids, np.uint32)
+def _encoded(model: ByteLevel, joined: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a slice, one after the other, and the bounds of each; distinct segments are encoded once."""
+    starts = segment_starts(raw, offsets, joined)
+    coded = string_array(raw, starts).dictionary_encode()
+    codes, (known, first) = coded.indices.to_numpy(), _encoded_segments(model, joined, coded.dictionary)
+    n = np.diff(first)[codes]
+    ends = np.cumsum(n)
+    ids = known[np.repeat(first[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    return ids, np.append(0, ends)[np.searchsorted(starts, offsets)]
+
+
+def _encoded_segments(model: ByteLevel, joined: np.ndarray, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct segments and the bounds of each.
+
+    Segments that stand between cuts when written one after the other are encoded as one text, in
+    parts, and told apart by the bytes of their ids; the few others are encoded alone.
+    """
+    _, _, raw, offsets = next(slices(segments, 1 << 62, 1 << 62), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+    is_cut = np.isin(offsets, segment_starts(raw, np.zeros(1, np.int64), joined))
+    is_cut[-1:] = True
+    in_line = is_cut[:-1] & is_cut[1:]
+    # any segment may come to stand before any other: none whose last byte some entry joins to an opening one
+    opening = np.unique(raw[offsets[:-1][in_line]])
+    in_line &= ~joined[:, opening].any(1)[raw[offsets[1:] - 1]]
+    size = sizes(model.entries)
+    found: list[np.ndarray] = []
+    counts = np.zeros(len(in_line), np.int64)
+    order = []
+    rest = np.flatnonzero(in_line)
+    while len(rest):
+        lengths = np.cumsum(offsets[rest + 1] - offsets[rest])
+        k = max(1, int(np.searchsorted(lengths, PART_BYTES, "right")))
+        part, rest = rest[:k], rest[k:]
+        text = "".join(segments.take(pa.array(part)).to_pylist())
+        ids = np.array(model.encode([text])[0], np.uint32)
+        last = np.searchsorted(np.cumsum(size[ids]), lengths[:k] if len(lengths) else lengths)
+        counts[part] = np.diff(np.append(-1, last))
+        found.append(ids)
+        order.append(part)
+    alone = np.flatnonzero(~in_line)
+    for i in range(0, len(alone), 1000):
+        part = alone[i : i + 1000]
+        for s, ids in zip(part, model.encode(segments.take(pa.array(part)).to_pylist()), strict=True):
+            counts[s] = len(ids)
+            found.append(np.array(ids, np.uint32))
+        order.append(part)
+    order = np.concatenate([np.zeros(0, np.int64), *order]).astype(np.int64)
+    # back into the order of the segments
+    at = np.zeros(len(counts), np.int64)
+    at[order] = np.cumsum(counts[order]) - counts[order]
+    first = np.append(0, np.cumsum(counts))
+    flat = np.concatenate([np.zeros(0, np.uint32), *found])
+    return flat[np.repeat(at - first[:-1], counts) + np.arange(first[-1])], first
 
 
 Pattern = tuple[tuple[int, int], ...]

@@ -7,12 +7,12 @@ All of it runs inside Spark tasks, over the UTF-8 bytes of a slice of an Arrow c
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm.textkit import SPACES
+from siltstone.llm.textkit import SPACES, slices
 
 
 def joined_pairs(entries: Iterable[bytes]) -> np.ndarray:
@@ -49,3 +49,19 @@ def string_array(raw: np.ndarray, starts: np.ndarray) -> pa.Array:
     """The strings that begin at ``starts`` and end where the next begins, without copies."""
     ends = np.append(starts, len(raw)).astype(np.int64)
     return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_id and text of runs of rows with about ``limit`` bytes of text."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        text = batch.column("text").cast(pa.large_string())
+        for first, end, raw, _ in slices(text, limit, 1 << 62):
+            ids.append(batch.column("doc_id").slice(first, end - first))
+            texts.append(text.slice(first, end - first))
+            size += len(raw)
+            if size >= limit:
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)

@@ -67,6 +67,7 @@ def test_packing_of_documents(spark):
 
 def test_packing_of_odd_rows(spark, odd_rows, monkeypatch):
     monkeypatch.setattr(packing, "PART_BYTES", 700)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 5_000)
     monkeypatch.setattr(packing, "CELL_BITS", 3)
     docs = spark.createDataFrame(odd_rows, SCHEMA).withColumns({c: F.lit(1) for c in ("length", "row", "cell", "n", "place")})
     check_packing(odd_rows, packing.packing_digest(spark, docs).collect())
