@@ -7,7 +7,6 @@ space, prefixes, fences, limits and the text are Column expressions over those p
 from __future__ import annotations
 
 import html
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -207,17 +206,3 @@ def clean_title(source: str | None, limit: int = 500) -> str:
     text = html.unescape((source or "").replace("\r\n", "\n"))
     text = unicodedata.normalize("NFC", re.sub(r"<[^>]*>", " ", text))
     return re.sub(r"\s+", " ", text).strip()[:limit].strip()
-
-
-def scrub_json(value: str | None, parts: tuple[str, ...] = ("password", "secret", "token", "cookie", "authorization", "api_key")) -> str | None:
-    """A JSON text without keys, at any depth, that name a credential; null if it is no JSON."""
-
-    def scrub(x):
-        if isinstance(x, dict):
-            return {k: scrub(v) for k, v in x.items() if not any(p in k.lower() for p in parts)}
-        return [scrub(v) for v in x] if isinstance(x, list) else x
-
-    try:
-        return None if value is None else json.dumps(scrub(json.loads(value)), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-    except ValueError:
-        return None

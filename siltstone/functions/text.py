@@ -46,13 +46,12 @@ def compact(c: Column, max_tokens: int) -> Column:
     return F.when(F.length(c) > budget, parts).otherwise(c)
 
 
-def redact(c: Column, limit: int = 500) -> Column:
+def redact(c: Column, limit: int = 1000) -> Column:
     """A message without control characters and credentials, on one line, cut to a limit."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0E-\x1F\x7F]", "")
-    c = F.regexp_replace(c, r"(?i)bearer [a-z0-9._~+/=-]+", "Bearer [redacted]")
-    c = F.regexp_replace(c, r"(?i)\b(password|passwd|secret|token|api_?key|authorization)(\s*[=:]\s*)[^\s,;]+", "$1$2[redacted]")
-    c = F.trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
-    return c.substr(1, limit)
+    c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    c = F.regexp_replace(strip(c), r"(?i)\bbearer\s+[a-z0-9._~+/=-]+", "Bearer [REDACTED]")
+    c = F.regexp_replace(c, r"(?i)\b(password|api[_-]?key|key|token|secret|authorization|cookie|csrf)(\s*[:=]\s*)([^\s,;&#]+)", "$1$2[REDACTED]")
+    return F.substring(F.trim(F.regexp_replace(c, r"[ \t\n\r]+", " ")), 1, limit)
 
 
 def is_safe_url(c: Column) -> Column:

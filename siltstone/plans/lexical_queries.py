@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import stemming as M
+from siltstone.operators import hyperplanes
 from siltstone.operators import retrieval as R
 from siltstone.plans.registry import Tables, query
 from siltstone.sources.lexical_index import LexicalIndex
@@ -73,3 +74,11 @@ def lexical_index_deltas(t: Tables):
     index.update(1, docs)
     index.update(2, docs.where("key % 5 = 1").withColumn("text", F.reverse("text")), docs.where("key % 7 = 3").select("key"))
     return index.search(t.benchmark, "item_id", "text", 60).select("item_id", F.col("key").alias("doc_id"), "score", "rank")
+
+
+@query()
+def dense_topk_hyperplanes(t: Tables):
+    """The nearest vectors by random hyperplanes instead of a scan; recall against the scan is a test."""
+    asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("asked"))
+    index = hyperplanes.build(t.spark, t.embeddings, "vec_id", 60)
+    return hyperplanes.search(index, asked, "item_id", 60).select("item_id", F.col("key").alias("doc_id"), "score", "rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions import variants as V
 from siltstone.plans.registry import Tables, query
 
 _STRIP = r"'^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'"
@@ -69,8 +70,8 @@ def compact_text(t: Tables):
 
 
 @query(r"""
-SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('token=' || doc_id || ' Authorization: Bearer aB' || doc_id || '.x ' || text, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'),
-  '(?i)bearer [a-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'), '(?i)\b(password|passwd|secret|token|api_?key|authorization)(\s*[=:]\s*)[^\s,;]+', '\1\2[redacted]', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 500) AS message FROM documents""")
+SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('token=' || doc_id || ' Authorization: Bearer aB' || doc_id || '.x ' || text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'),
+  '(?i)\bbearer\s+[a-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), '(?i)\b(password|api[_-]?key|key|token|secret|authorization|cookie|csrf)(\s*[:=]\s*)([^\s,;&#]+)', '\1\2[REDACTED]', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 1000) AS message FROM documents""")
 def redact_message(t: Tables):
     message = F.concat(F.lit("token="), F.col("doc_id").cast("string"), F.lit(" Authorization: Bearer aB"), F.col("doc_id").cast("string"), F.lit(".x "), "text")
     return t.documents.select("doc_id", T.redact(message).alias("message"))
@@ -150,3 +151,14 @@ def scrub_props(t: Tables):
     named = F.transform_keys(props, lambda k, v: F.when(F.col("event_id") % 2 == 0, k).otherwise(F.concat(F.lit("api_token_"), k)))
     kept = F.map_filter(named, lambda k, v: ~k.rlike("(?i)password|secret|token|cookie|authorization"))
     return t.events.select("event_id", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("kept"))
+
+
+@query(
+    r"""SELECT event_id, '{"k":' || (props->>'$.k') || ',"list":[' || (event_id % 3) || ',{"note":"Bearer [REDACTED] of ' || user_id || '"},[]],"type":"' || event_type || '"}' AS props FROM events"""
+)
+def scrub_nested(t: Tables):
+    """Credentials go from JSON values at any depth."""
+    secret = F.concat(F.lit('{"deep":{"Api_Key":'), F.col("event_id").cast("string"), F.lit('},"note":"Bearer x'), F.col("event_id").cast("string"), F.lit(" of "), F.col("user_id").cast("string"), F.lit('"}'))
+    inner = F.concat(F.lit("["), (F.col("event_id") % 3).cast("string"), F.lit(","), F.regexp_replace(secret, '"deep":', '"sessionInfo":'), F.lit(",[]]"))
+    props = F.concat(F.lit('{"type":"'), "event_type", F.lit('","list":'), inner, F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit(',"user_token":[1,{"a":2}]}'))
+    return V.scrubbed(t.events.select("event_id", props.alias("props")), "props")
