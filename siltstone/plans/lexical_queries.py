@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import stemming as M
-from siltstone.operators import hyperplanes
+from siltstone.operators import highlight, hyperplanes
 from siltstone.operators import retrieval as R
 from siltstone.plans.registry import Tables, query
 from siltstone.sources.lexical_index import LexicalIndex
@@ -82,3 +82,23 @@ def dense_topk_hyperplanes(t: Tables):
     asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("asked"))
     index = hyperplanes.build(t.spark, t.embeddings, "vec_id", 60)
     return hyperplanes.search(index, asked, "item_id", 60).select("item_id", F.col("key").alias("doc_id"), "score", "rank")
+
+
+def _highlight_sql() -> str:
+    from siltstone.plans.search_queries import _FUSED
+
+    return rf"""{_FUSED}, longest AS (SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 2)), lambda x: lpad(length(x)::VARCHAR, 5, '0') || x), 'DESC'), lambda x: substr(x, 6)), '|') AS p FROM benchmark)
+SELECT f.item_id, f.doc_id, CASE WHEN p = '' THEN sha256(text) ELSE sha256(regexp_replace(text, '(?i)(' || p || ')', '<mark>\1</mark>', 'g')) END AS marked
+FROM fused f JOIN longest USING (item_id) JOIN documents d ON f.doc_id = d.doc_id WHERE f.rank <= 10"""
+
+
+@query(_highlight_sql())
+def highlight_queries(t: Tables):
+    """The texts of each query's first ten with that query's terms marked."""
+    from siltstone.plans.search_queries import _fused
+
+    path = new_folder(t.spark, "pairs")
+    _fused(t).where("rank <= 10").join(t.documents.select("doc_id"), "doc_id", "left_semi").select("item_id", "doc_id").write.parquet(path)
+    terms = F.filter(R.terms(F.col("text")), lambda x: F.length(x) > 2)
+    spans = highlight.highlighted(t.spark.read.parquet(path), t.benchmark, t.documents, "item_id", "doc_id", terms, "text")
+    return spans.join(t.documents.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", F.sha2(highlight.marked(F.col("text"), F.col("spans")), 256).alias("marked"))

@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from siltstone.sources import dump, index
@@ -43,16 +42,6 @@ def test_pages_ignore_unknown_fields_and_errors(spark, tmp_path):
     assert [(r["question_id"], r["title"]) for r in dump.read_pages(spark, str(tmp_path)).collect()] == [(1, "a")]
 
 
-def test_index_switch_validates(spark, tmp_path):
-    points = spark.range(3).select(F.col("id").cast("string").alias("point_id"), F.col("id").alias("document_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
-    index.write_version(points, str(tmp_path), 2)
-    assert index.switch(spark, str(tmp_path), 2, 3) == 3 and spark.table("idx_current").count() == 3
-    with pytest.raises(ValueError):
-        index.switch(spark, str(tmp_path), 2, 4)
-    with pytest.raises(ValueError):
-        index.write_version(points.drop("embedding"), str(tmp_path), 3)
-
-
 def test_ingestion_resumes_from_its_checkpoint(spark, tmp_path):
     def write(ids):
         rows = spark.createDataFrame([(i, i % 2) for i in ids], "event_id bigint, user_id bigint")
