@@ -1,9 +1,12 @@
-"""Nested JSON values rewritten inside the engine, level by level.
+"""Nested JSON values taken apart, rewritten, compared and put together inside the engine.
 
 Values are parsed to VARIANT and taken apart one level at a time: each pass turns the members of
-all objects and lists of a level into rows that know their path, and drops or rewrites them
-by column expressions.  Then the levels are put together again from the deepest one up, a group
-for each object or list.  Passes follow the depth of the values, rows their number.
+all objects and lists of a level into rows that know their path.  Such rows can be dropped,
+rewritten or compared by column expressions, and are put together again from the deepest
+level up, a group for each object or list.  Passes follow the depth of the values, rows their number.
+
+A path is a JSON pointer: a step after each slash, with ~0 for ~ and ~1 for / in keys; the whole
+value has the empty path.
 """
 
 from __future__ import annotations
@@ -37,12 +40,61 @@ def quoted(text: Column) -> Column:
     return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
-def _node(value: str) -> list[Column]:
-    """kind of a value (OBJECT, LIST, TEXT or LEAF) and, unless it is taken apart, its JSON."""
-    json = F.coalesce(F.to_json(value), F.lit("null"))
-    first = F.substring(json, 1, 1)
+NODE = "id, parent, step, path, depth, kind, json"
+
+
+def nodes(values: DataFrame, drop: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The nodes of values (id, json): id, parent, step, path, depth, kind (OBJECT, LIST, TEXT, LEAF) and, but for objects and lists, json.
+
+    Members whose key ``drop`` names are left out with all below them.  A null, no JSON, or one that
+    repeats a key within an object, has no nodes.  Each level is written to the shared folder once.
+    """
+    spark, root, depth = values.sparkSession, new_folder(values.sparkSession, "nodes"), 0
+    text = F.coalesce(F.to_json("value"), F.lit("null"))
+    first = F.substring(text, 1, 1)
     kind = F.when(first == "{", "OBJECT").when(first == "[", "LIST").when(first == '"', "TEXT").otherwise("LEAF")
-    return [kind.alias("kind"), F.when(~first.isin("{", "["), json).alias("json")]
+    rows = values.select("id", F.lit(None).cast("string").alias("parent"), F.lit("").alias("step"), F.lit("").alias("path"), F.try_parse_json("json").alias("value")).where("value IS NOT NULL")
+    while True:
+        rows.select("*", kind.alias("kind"), F.when(~first.isin("{", "["), text).alias("json")).write.parquet(f"{root}/depth={depth}")
+        inside = spark.read.parquet(f"{root}/depth={depth}").where("kind IN ('OBJECT', 'LIST')").select("id", F.col("path").alias("parent"), "value")
+        if inside.isEmpty():
+            return spark.read.option("basePath", root).parquet(f"{root}/depth=*").select(*NODE.split(", "))
+        member = spark.tvf.variant_explode(F.col("value").outer()).select("pos", "key", F.col("value").alias("member"))
+        rows = inside.lateralJoin(member)
+        if drop is not None:
+            rows = rows.where(~F.coalesce(drop(F.col("key")), F.lit(False)))
+        key = F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        step = F.coalesce(key, F.col("pos").cast("string"))
+        rows = rows.select("id", "parent", step.alias("step"), F.concat("parent", F.lit("/"), step).alias("path"), F.col("member").alias("value"))
+        depth += 1
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """id and json of the values that nodes() took apart; keys in the order of their code points, items by their places.
+
+    What is below a node that is no object or list, or is not there, is left out.
+    """
+    spark, root = rows.sparkSession, new_folder(rows.sparkSession, "assembled")
+    rows.write.parquet(f"{root}/nodes")
+    rows = spark.read.parquet(f"{root}/nodes")
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    told = None
+    for depth in range(deepest, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        members, items = (F.col("members"), F.col("items")) if told is not None else (F.lit(""), F.lit(""))
+        if told is not None:
+            level = level.join(told, ["id", "path"], "left")
+        objects = F.concat(F.lit("{"), F.coalesce(members, F.lit("")), F.lit("}"))
+        lists = F.concat(F.lit("["), F.coalesce(items, F.lit("")), F.lit("]"))
+        level = level.select("id", "parent", "step", F.when(F.col("kind") == "OBJECT", objects).when(F.col("kind") == "LIST", lists).otherwise(F.col("json")).alias("json"))
+        if depth:
+            key = F.replace(F.replace("step", F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+            member = F.struct(key.alias("key"), F.concat(quoted(key), F.lit(":"), "json").alias("json"))
+            item = F.struct(F.expr("try_cast(step AS int)").alias("at"), F.col("json"))
+            joined = lambda x: F.array_join(F.transform(F.sort_array(F.collect_list(x)), lambda m: m["json"]), ",")
+            level.groupBy("id", F.col("parent").alias("path")).agg(joined(member).alias("members"), joined(item).alias("items")).write.parquet(f"{root}/below{depth}")
+            told = spark.read.parquet(f"{root}/below{depth}")
+    return level.select("id", "json")
 
 
 def rewrite(df: DataFrame, column: str, drop: Callable[[Column], Column], text: Callable[[Column], Column], alias: str | None = None) -> DataFrame:
@@ -50,51 +102,61 @@ def rewrite(df: DataFrame, column: str, drop: Callable[[Column], Column], text:
 
     Keys come out in the order of their code points, numbers as they are parsed.  Null stays null; a
     text that is no JSON, or repeats a key within one object, becomes null.  Rows may be equal; any
-    other columns are carried through.  Every level of the values is written to the shared folder once.
+    other columns are carried through.
     """
-    spark, alias, root = df.sparkSession, alias or column, new_folder(df.sparkSession, "variants")
-
-    def keep(name: str, rows: DataFrame) -> DataFrame:
-        rows.write.parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
-    whole = keep("rows", df.withColumn("__id", F.monotonically_increasing_id()))
-    top = whole.select("__id", F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("pos"), F.try_parse_json(F.col(f"`{column}`")).alias("value")).where("value IS NOT NULL")
-    levels, rows = [], top
-    while True:
-        level = keep(f"level{len(levels)}", rows.select("__id", "path", "key", "pos", "value", *_node("value")))
-        levels.append(level)
-        inside = level.where("kind IN ('OBJECT', 'LIST')").select("__id", F.concat("path", F.lit("/"), F.col("pos").cast("string")).alias("path"), "value")
-        if inside.isEmpty():
-            break
-        member = spark.tvf.variant_explode(F.col("value").outer()).select("pos", "key", F.col("value").alias("member"))
-        rows = inside.lateralJoin(member).select("__id", "path", "key", "pos", F.col("member").alias("value")).where(~F.coalesce(drop(F.col("key")), F.lit(False)))
-    told = None
-    for i in range(len(levels) - 1, -1, -1):
-        string = F.get_json_object(F.concat(F.lit("["), F.col("json"), F.lit("]")), "$[0]")
-        level = levels[i].withColumn("own", F.concat("path", F.lit("/"), F.col("pos").cast("string")))
-        if told is None:
-            level = level.withColumns({"members": F.lit(""), "items": F.lit("")})
-        else:
-            level = level.join(told, ["__id", "own"], "left")
-        objects = F.concat(F.lit("{"), F.coalesce("members", F.lit("")), F.lit("}"))
-        lists = F.concat(F.lit("["), F.coalesce("items", F.lit("")), F.lit("]"))
-        json = F.when(F.col("kind") == "OBJECT", objects).when(F.col("kind") == "LIST", lists).when(F.col("kind") == "TEXT", quoted(text(string))).otherwise(F.col("json"))
-        level = level.select("__id", "path", "key", "pos", json.alias("json"))
-        if i == 0:
-            made = level.select("__id", F.col("json").alias("__json"))
-            break
-        member = F.struct("key", F.concat(quoted(F.col("key")), F.lit(":"), "json").alias("json"))
-        item = F.struct("pos", "json")
-        told = level.groupBy("__id", F.col("path").alias("own")).agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), member))), lambda m: m["json"]), ",").alias("members"),
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("key").isNull(), item))), lambda m: m["json"]), ",").alias("items"),
-        )
-    out = whole.join(made, "__id", "left")
-    kept = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != alias]
-    return out.select(*kept, F.col("__json").alias(alias))
+    alias, path = alias or column, new_folder(df.sparkSession, "rows")
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    df.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    whole = df.sparkSession.read.parquet(path)
+    rows = nodes(whole.select(F.col("__id").alias("id"), name(column).alias("json")), drop)
+    string = F.get_json_object(F.concat(F.lit("["), F.col("json"), F.lit("]")), "$[0]")
+    rows = rows.withColumn("json", F.when(F.col("kind") == "TEXT", quoted(text(string))).otherwise(F.col("json")))
+    made = assembled(rows).select(F.col("id").alias("__id"), F.col("json").alias("__json"))
+    return whole.join(made, "__id", "left").select(*(name(c) for c in df.columns if c != alias), F.col("__json").alias(alias))
 
 
 def scrubbed(df: DataFrame, column: str, alias: str | None = None, limit: int = 2000) -> DataFrame:
     """JSON texts without credentials: sensitive keys go at any depth, strings are redacted and cut to the limit."""
     return rewrite(df, column, is_sensitive, lambda s: redact(s, limit), alias)
+
+
+#: What stands for an object or a list in a difference; its members have rows of their own.
+_SHOWN = {"OBJECT": "{}", "LIST": "[]"}
+
+
+def _shown(kind: str, json: str) -> Column:
+    return F.when(F.col(kind) == "OBJECT", _SHOWN["OBJECT"]).when(F.col(kind) == "LIST", _SHOWN["LIST"]).otherwise(F.col(json))
+
+
+def difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, path, old, new) of what changed between values (id, json) of the same id, down to single leaves.
+
+    A side without the path is null; objects and lists that come or go show as {} or [] beside their
+    members.  Values that are equal give no rows; one that is there on one side alone gives all of its nodes.
+    Ids are distinct and not null.
+    """
+    a, b = (nodes(v).select("id", "path", _shown("kind", "json").alias(side)) for v, side in ((old, "old"), (new, "new")))
+    return a.join(b, ["id", "path"], "full_outer").where("NOT (old <=> new)").select("id", "path", "old", "new")
+
+
+def replayed(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """id and json of the new values, from the old ones (id, json) and their difference()."""
+    before = nodes(old).select("id", "path", _shown("kind", "json").alias("was"))
+    both = before.join(changes.select("id", "path", "new", F.lit(True).alias("changed")), ["id", "path"], "full_outer")
+    now = both.withColumn("json", F.when(F.col("changed"), F.col("new")).otherwise(F.col("was"))).where("json IS NOT NULL")
+    step = F.substring_index("path", "/", -1)
+    return assembled(
+        now.select(
+            "id", F.when(F.col("path") != "", F.substr("path", F.lit(1), F.length("path") - F.length(step) - 1)).alias("parent"), step.alias("step"), "path",
+            F.regexp_count("path", F.lit("/")).alias("depth"), F.when(F.col("json") == "{}", "OBJECT").when(F.col("json") == "[]", "LIST").otherwise("LEAF").alias("kind"), "json",
+        )
+    )
+
+
+def audit(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, path, old, new) of an edit of whole rows: nested columns down to their leaves, rows that came and went too.
+
+    ``key`` names each row on either side and is not null; null columns are values like others.
+    """
+    packed = lambda df: df.select(F.col(key).alias("id"), F.to_json(F.struct(*(c for c in df.columns if c != key)), {"ignoreNullFields": "false"}).alias("json"))
+    return difference(packed(old), packed(new)).withColumnRenamed("id", key)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from siltstone.functions import stemming as M
 from siltstone.operators import highlight, hyperplanes
 from siltstone.operators import retrieval as R
 from siltstone.plans.registry import Tables, query
+from siltstone.sources import index
 from siltstone.sources.lexical_index import LexicalIndex
 from siltstone.sources.shared import new_folder
 
@@ -69,11 +72,11 @@ def _index_sql() -> str:
 @query(_index_sql())
 def lexical_index_deltas(t: Tables):
     """The index after all texts were put in, some were changed and some deleted: as if built anew."""
-    index = LexicalIndex(t.spark, new_folder(t.spark, "lexical"))
+    lexical = LexicalIndex(t.spark, new_folder(t.spark, "lexical"))
     docs = t.documents.select(F.col("doc_id").alias("key"), "text")
-    index.update(1, docs)
-    index.update(2, docs.where("key % 5 = 1").withColumn("text", F.reverse("text")), docs.where("key % 7 = 3").select("key"))
-    return index.search(t.benchmark, "item_id", "text", 60).select("item_id", F.col("key").alias("doc_id"), "score", "rank")
+    lexical.update(1, docs)
+    lexical.update(2, docs.where("key % 5 = 1").withColumn("text", F.reverse("text")), docs.where("key % 7 = 3").select("key"))
+    return lexical.search(t.benchmark, "item_id", "text", 60).select("item_id", F.col("key").alias("doc_id"), "score", "rank")
 
 
 @query()
@@ -102,3 +105,21 @@ def highlight_queries(t: Tables):
     terms = F.filter(R.terms(F.col("text")), lambda x: F.length(x) > 2)
     spans = highlight.highlighted(t.spark.read.parquet(path), t.benchmark, t.documents, "item_id", "doc_id", terms, "text")
     return spans.join(t.documents.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", F.sha2(highlight.marked(F.col("text"), F.col("spans")), 256).alias("marked"))
+
+
+@query(
+    """SELECT 1::BIGINT AS version, 'RETIRED' AS status, NULL::VARCHAR AS code, count(*) FILTER (WHERE vec_id % 2 = 0)::BIGINT AS points, false AS served FROM embeddings UNION ALL
+    SELECT 2, 'ACTIVE', NULL, count(*)::BIGINT, true FROM embeddings UNION ALL SELECT 3, 'FAILED', 'INDEX_POINT_COUNT_MISMATCH', NULL, false"""
+)
+def index_publish(t: Tables):
+    """Two versions of an index published one after the other, and one that its checks refuse."""
+    versions = index.IndexVersions(t.spark, new_folder(t.spark, "index"), dimensions=64)
+    points = t.embeddings.select(F.col("vec_id").cast("string").alias("point_id"), F.col("vec_id").alias("document_id"), "embedding")
+    for version, rows in ((1, points.where("document_id % 2 = 0")), (2, points)):
+        versions.build(rows, version)
+        versions.activate(version)
+    with contextlib.suppress(index.IndexFailure):
+        versions.build(points.withColumn("point_id", F.lit("same")), 3)
+    _, active = versions.pointer()
+    told = [(v, versions.status(v), versions.history(v)[-1].get("code"), next((h["points"] for h in versions.history(v) if "points" in h), None), v == active) for v in versions.versions()]
+    return t.spark.createDataFrame(told, "version bigint, status string, code string, points bigint, served boolean")

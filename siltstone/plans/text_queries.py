@@ -162,3 +162,21 @@ def scrub_nested(t: Tables):
     inner = F.concat(F.lit("["), (F.col("event_id") % 3).cast("string"), F.lit(","), F.regexp_replace(secret, '"deep":', '"sessionInfo":'), F.lit(",[]]"))
     props = F.concat(F.lit('{"type":"'), "event_type", F.lit('","list":'), inner, F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit(',"user_token":[1,{"a":2}]}'))
     return V.scrubbed(t.events.select("event_id", props.alias("props")), "props")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderpriority AS p, o_custkey AS c, o_totalprice > 150000 AS dear FROM orders WHERE o_orderstatus <> 'O')
+    SELECT o_orderkey, '/title' AS path, '"' || p || '"' AS old, '"Edited: ' || p || '"' AS new FROM o UNION ALL
+    SELECT o_orderkey, '/buyer/key', c::VARCHAR, (c + 1)::VARCHAR FROM o UNION ALL
+    SELECT o_orderkey, '/tags/1', CASE WHEN dear THEN '"dear"' END, '"edited"' FROM o UNION ALL
+    SELECT o_orderkey, '/tags/2', NULL, '"dear"' FROM o WHERE dear"""
+)
+def edit_audit(t: Tables):
+    """Before and after of an edit of nested rows, down to the leaves that changed."""
+    first, dear = F.array(F.lit("order")), F.when(F.col("o_totalprice") > 150000, F.array(F.lit("dear"))).otherwise(F.array().cast("array<string>"))
+    row = lambda title, buyer, *tags: t.orders.select("o_orderkey", title.alias("title"), F.struct(buyer.alias("key"), F.col("o_orderstatus").alias("status")).alias("buyer"), F.concat(first, *tags).alias("tags"))
+    edited = F.col("o_orderstatus") != "O"
+    old = row(F.col("o_orderpriority"), F.col("o_custkey"), dear)
+    tags = F.when(edited, F.array(F.lit("edited"))).otherwise(F.array().cast("array<string>"))
+    new = row(F.when(edited, F.concat(F.lit("Edited: "), "o_orderpriority")).otherwise(F.col("o_orderpriority")), F.col("o_custkey") + edited.cast("int"), tags, dear)
+    return V.audit(old, new, "o_orderkey")

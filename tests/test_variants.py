@@ -69,3 +69,47 @@ def test_other_rules_and_no_rows(spark):
     got = variants.rewrite(df, "j", lambda k: k == "drop", lambda s: F.upper(s), alias="out").first()
     assert (got["j"], got["out"]) == ('{"x":{"drop":1,"y":["a"]}}', '{"x":{"y":["A"]}}')
     assert variants.scrubbed(df.limit(0), "j").count() == 0
+
+
+def edited(rng, x, depth=0):
+    """A value with some leaves, keys and items changed, added or taken away."""
+    if isinstance(x, dict) and rng.random() < 0.9:
+        out = {k: edited(rng, v, depth + 1) for k, v in x.items() if rng.random() < 0.9}
+        return out | ({rng.choice(["new", "a/b", "~t", "0"]): value(rng, 1)} if rng.random() < 0.3 else {})
+    if isinstance(x, list) and rng.random() < 0.9:
+        return [edited(rng, v, depth + 1) for v in x if rng.random() < 0.9] + ([value(rng, 2)] if rng.random() < 0.3 else [])
+    return value(rng, 2) if rng.random() < 0.3 else x
+
+
+def flat(x, path=""):
+    out = {path: "{}" if isinstance(x, dict) else "[]" if isinstance(x, list) else json.dumps(x, ensure_ascii=False)}
+    for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+        out |= flat(v, f"{path}/" + str(k).replace("~", "~0").replace("/", "~1"))
+    return out
+
+
+def test_a_difference_can_be_replayed(spark):
+    rng = random.Random(37)
+    pairs = [(old, edited(rng, old)) for old in (value(rng, rng.randint(0, 5)) for _ in range(120))]
+    dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, json string")
+    old = frame([(i, dump(p[0])) for i, p in enumerate(pairs) if i != 5])
+    new = frame([(i, dump(p[1])) for i, p in enumerate(pairs) if i != 6])
+    changes = variants.difference(old, new).cache()
+    want = set()
+    for i, (a, b) in enumerate(pairs):
+        a, b = ({} if i == 5 else flat(a)), ({} if i == 6 else flat(b))
+        want |= {(i, p, a.get(p), b.get(p)) for p in a.keys() | b.keys() if a.get(p) != b.get(p)}
+    assert {tuple(r) for r in changes.collect()} == want and changes.count() == len(want)
+    got = {r["id"]: r["json"] for r in variants.replayed(old, changes).collect()}
+    assert got == {i: dump(p[1]) for i, p in enumerate(pairs) if i != 6}
+    assert variants.difference(old, old).count() == 0 and variants.difference(old.limit(0), old.limit(0)).count() == 0
+
+
+def test_audit_of_rows(spark):
+    schema = "k int, name string, tags array<string>, place struct<x:int,y:string>"
+    old = spark.createDataFrame([(1, "a", ["t", "u"], (1, None)), (2, None, [], (2, "z")), (3, "gone", None, None)], schema)
+    new = spark.createDataFrame([(1, "a", ["u"], (1, "n")), (2, None, [], (2, "z"))], schema)
+    got = {tuple(r) for r in variants.audit(old, new, "k").where("k < 3").collect()}
+    assert got == {(1, "/tags/0", '"t"', '"u"'), (1, "/tags/1", '"u"', None), (1, "/place/y", "null", '"n"')}
+    assert {r["path"] for r in variants.audit(old, new, "k").where("k = 3").collect()} == {"", "/name", "/tags", "/place"}
