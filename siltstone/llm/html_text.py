@@ -14,7 +14,8 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,18 @@ NEVER_WORDS = frozenset(
 RELATIONS = frozenset("has have having with without no not non enabled disabled fixed sticky open closed active visible layout theme template".split())
 #: Words that say where a part stands or what it is made of, and nothing of what it holds.
 PLACES = frozenset("area articles bar block bottom box center col column container full global group holder inner item items left list lower main outer page panel posts primary region right row secondary section site stories sub top upper user wrap wrapper".split())
+#: Words that say that a part holds what readers wrote, however long it is.
+TALK = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: Words that say that a part is the content.
+CONTENT = frozenset("content main article body entry post text story".split())
+#: Elements of running text: names that say something else too do not hide these.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td figure".split())
+#: A part whose name says something else too is content if it holds so many words, or this share of the page's.
+PROSE_WORDS, PROSE_SHARE = 80, 1 / 3
 MARKED = frozenset(["article", "main"])
-#: Why a part is never content: its tag or that it is not displayed, a name that says something else too, a name that says only that.
-SURE, MIXED, NAMED = 1, 2, 3
+#: Why a part is never content: its tag or that it is not displayed, a name that says something else
+#: too, such a name that speaks of readers' comments, a name that says only that.
+SURE, MIXED, TALKED, NAMED = 1, 2, 3, 4
 #: Ends of elements whose end tag authors leave out: a tag of the key closes these.
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -52,6 +62,8 @@ _TOKEN = re.compile(
 )
 #: An attribute's name and its value, which is read as a whole, so that nothing in it is a name.
 _ATTR = re.compile(r"([^\s\"'=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(\S++)))?")
+#: The slash of an element that closes itself, which an unquoted value's last letter is not.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*+\Z")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -59,8 +71,33 @@ _SPACE = re.compile(r"\s+")
 Token = tuple[str, str, int]
 
 
+def _named(word: str) -> list[str]:
+    """A word of a name, or the two known words that it is made of ("usercomments")."""
+    known = NEVER_WORDS | PLACES
+    if word not in known:
+        for i in range(2, len(word) - 1):
+            if word[:i] in known and word[i:] in known:
+                return [word[:i], word[i:]]
+    return [word]
+
+
+@lru_cache(1 << 14)
+def _why(names: str) -> int:
+    """MIXED, TALKED or NAMED by the words of class, id and role, or 0."""
+    why, content, talk = 0, False, False
+    for token in names.split():
+        words = [w for part in _PART.findall(token) for w in _named(part.lower())]
+        content |= not CONTENT.isdisjoint(words)
+        talk |= not TALK.isdisjoint(words)
+        if not RELATIONS.isdisjoint(words) or NEVER_WORDS.isdisjoint(words):
+            continue
+        mixed = not (NEVER_WORDS | PLACES).issuperset(words)
+        why = max(why, (MIXED if TALK.isdisjoint(words) else TALKED) if mixed else NAMED)
+    return MIXED if why == NAMED and content and not talk else why
+
+
 def never_shown(tag: str, attrs: str) -> int:
-    """SURE, MIXED or NAMED where the element is never content, or 0."""
+    """SURE, MIXED, TALKED or NAMED where the element is never content, or 0."""
     if tag in NEVER:
         return SURE
     if tag in ("body", "html", "article", "main") or not attrs:
@@ -70,68 +107,93 @@ def never_shown(tag: str, attrs: str) -> int:
         values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", values.get("style", ""), re.I):
         return SURE
-    why = 0
-    for token in " ".join(values.get(name, "") for name in ("class", "id", "role")).split():
-        words = [w.lower() for w in _PART.findall(token)]
-        if not RELATIONS.isdisjoint(words) or NEVER_WORDS.isdisjoint(words):
-            continue
-        why = max(why, NAMED if (NEVER_WORDS | PLACES).issuperset(words) else MIXED)
-    return why
+    why = _why(" ".join(values.get(name, "") for name in ("class", "id", "role")))
+    return 0 if why == MIXED and tag in PROSE else why
+
+
+@dataclass
+class _Part:
+    """What a name hides: why, the marked element in it, whether it lies in one, its words outside and inside links."""
+
+    why: int
+    within: bool
+    holds: str = ""
+    words: int = 0
+    linked: int = 0
 
 
 def tokens(page: str) -> tuple[list[Token], list[bool]]:
     """The page's tokens without what is never content, and whether each lies in a marked element.
 
-    Where every marked element lies in parts that only a name hides, those parts are opened: any
-    with ``<main>`` or a mixed name, and if no word is left then all.  So are, where no marked
-    element is shown, parts of a mixed name that hold most of the page's words.
+    Parts whose name says something else too are opened if they hold prose: more words than
+    links have, and PROSE_WORDS of them or PROSE_SHARE of the page's; where a marked element is shown,
+    only parts inside such a one.  Where every marked element lies in parts that only a name hides,
+    those are opened: any with ``<main>`` or a mixed name, and if no word is left then all.  So are, where
+    no marked element is shown, parts of any mixed name that hold most of the page's words.
     """
-    out, marks, hiders, words = _read(page, frozenset())
-    if (hiders or words) and not any(marks):
-        shown = sum(len(text.split()) for kind, text, _ in out if kind.startswith("w:") and kind != "w:a")
-        opened = {k for k, (why, tag) in hiders.items() if not shown or why == MIXED or tag == "main"}
-        opened |= {k for k, n in words.items() if 2 * n > shown + words[0]}
+    out, marks, parts, shown = _read(page, frozenset())
+    if parts:
+        marked = any(marks)
+        every = shown + sum(p.words for p in parts.values() if not p.why & _NESTED)
+        opened = set()
+        for number, p in parts.items():
+            mixed = p.why & ~_NESTED
+            prose = p.words > p.linked and (p.words >= PROSE_WORDS or p.words >= PROSE_SHARE * every)
+            if mixed == MIXED and prose and (p.within or not marked):
+                opened.add(number)
+            elif not marked and (mixed in (MIXED, TALKED) and 2 * p.words > every or p.holds and (not shown or mixed in (MIXED, TALKED) or p.holds == "main")):
+                opened.add(number)
         if opened:
             out, marks, *_ = _read(page, frozenset(opened))
     return out, marks
 
 
-def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], dict[int, tuple[int, str]], Counter[int]]:
-    """Tokens, marks, and by tag's number what a name hides though it holds a marked element: why, and which.
+#: Set beside the reason of a part that lies in another that a name hides.
+_NESTED = 8
+
 
-    Last the words outside links in parts of a mixed name, by tag's number, and at 0 of all that
-    names hide.
+def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], dict[int, _Part], int]:
+    """Tokens, marks, the parts that a name hides by their tag's number, and the words shown outside links.
+
+    Words are counted once along the page; a part's are the difference between its end and its start.
     """
     out: list[Token] = []
     marks: list[bool] = []
-    open_: list[tuple[str, int, str]] = []  # tag, why it is never content, the link or block it lies in or is
+    open_: list[tuple[str, int, str, int]] = []  # tag, why it is never content, the link or block it lies in or is, its number
     n_open = Counter()
-    hidden = marked = block = sure = 0
-    hiding: list[tuple[int, int]] = []  # number and why of each open part that is never content
-    hiders: dict[int, tuple[int, str]] = {}
-    words: Counter[int] = Counter()
+    hidden = marked = block = sure = shown = 0
+    said = linked = 0  # words in parts that names hide, outside and inside links
+    parts: dict[int, _Part] = {}
+    hiding: list[int] = []  # numbers of the open ones
 
     def close() -> str:
         nonlocal hidden, marked, sure
-        t, why, _ = open_.pop()
+        t, why, _, number = open_.pop()
         n_open[t] -= 1
         marked -= t in MARKED
         if why:
             hidden -= 1
             sure -= why == SURE
+        if why > SURE:
             hiding.pop()
+            parts[number].words += said
+            parts[number].linked += linked
         return t
 
     for number, m in enumerate(_TOKEN.finditer(page), 1):
         if m["text"] is not None:
             where = open_[-1][2] if open_ else ""
-            if hidden and not sure and where != "a":
-                n = len(m["text"].split())
-                words[0] += n
-                words.update({k: n for k, why in hiding if why == MIXED})
             if not hidden:
                 out.append((f"w:{where}", m["text"], block))
                 marks.append(marked > 0)
+            if not sure and (hidden or where != "a"):
+                n = len(m["text"].split())
+                if not hidden:
+                    shown += n
+                elif where == "a":
+                    linked += n
+                else:
+                    said += n
             continue
         if m["tag"] is None:
             continue
@@ -149,26 +211,30 @@ def _read(page: str, opened: frozenset[int]) -> tuple[list[Token], list[bool], d
         while open_ and open_[-1][0] in CLOSES.get(tag, ()):
             close()
         block += tag in BLOCKS
-        # an article's own header has its title
-        never = 0 if tag in VOID or number in opened else never_shown("div" if tag == "header" and n_open["article"] else tag, m["attrs"])
+        # the header of an article or of the main part has its title
+        never = 0 if tag in VOID or number in opened else never_shown("div" if tag == "header" and (n_open["article"] or n_open["main"]) else tag, m["attrs"])
         if not hidden and not never and tag not in NEVER:
             out.append((tag, " " if tag == "br" else "", block))
             marks.append(marked > 0)
         if tag in MARKED and hidden and not sure:
-            for k, why in reversed(hiding):
-                if hiders.get(k, (0, ""))[1] in (tag, "main"):
-                    break  # and so are those around it
-                hiders[k] = why, tag
-        if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
+            for k in reversed(hiding):
+                if parts[k].holds in (tag, "main"):
+                    break  # and so do those around it
+                parts[k].holds = tag
+        if tag not in VOID and not _CLOSED.search(m["attrs"]):
             inside = tag if tag in BLOCKS or tag == "a" else open_[-1][2] if open_ else ""
-            open_.append((tag, never, inside))
+            open_.append((tag, never, inside, number))
             n_open[tag] += 1
             marked += tag in MARKED
             if never:
                 hidden += 1
                 sure += never == SURE
-                hiding.append((number, never))
-    return out, marks, hiders, words
+            if never > SURE:
+                parts[number] = _Part(never | (_NESTED if hiding else 0), marked > 0, "", -said, -linked)
+                hiding.append(number)
+    while open_:
+        close()
+    return out, marks, parts, shown
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -821,6 +821,38 @@ def test_ordinary_wrappers_keep_their_text(open_):
     assert html_text.extract(page, {}) == words
 
 
+@pytest.mark.parametrize("inner", ['<div class="ad-x">', '<div class="ad-x"><p>', '<section class="social-y">'])
+def test_deep_hidden_parts_are_read_once(inner):
+    """20,000 nested parts that names hide, with words and links in each."""
+    began = time.perf_counter()
+    html_text.extract(inner * 20_000 + "w </a>x" * 20_000, {})
+    assert time.perf_counter() - began < 6
+
+
+PARA = " ".join(f"word{i}" for i in range(45)) + "."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='cookie-recipe'><p>{PARA}</p></div><div class='social-science'><p>{PARA}</p></div>", f"{PARA}\n{PARA}"),
+        (f"<div class='main-content related'><p>{PARA}</p></div>", PARA),
+        (f"<article><p>{PARA}</p><div class='related-work'><p>{PARA}</p><p>{PARA}</p></div><p>{PARA}</p></article>", "\n".join([PARA] * 4)),
+        (f"<article><p>{PARA}</p><p class='share-price'>The share price rose.</p><p>{PARA}</p></article>", f"{PARA}\nThe share price rose.\n{PARA}"),
+        (f"<main><p>{PARA}</p><div class='usercomments'><p>{PARA}</p></div></main>", PARA),
+        (f"<main><p>{PARA}</p><div class='user-comments'><p>{PARA}</p></div></main>", PARA),
+        (f"<main><p>{PARA}</p><div class='community-comments'><p>{PARA}</p></div></main>", PARA),
+        (f"<main><header><h1>Title of it</h1></header><p>{PARA}</p></main>", f"Title of it\n{PARA}"),
+        (f"<article><p>{PARA}</p><div class='promo-teaser'><p>Buy this now</p></div><p>{PARA}</p></article>", f"{PARA}\n{PARA}"),
+        (f"<article><p>{PARA} {PARA}</p></article><div class='related-teasers'><p>{PARA}</p><p>{PARA}</p></div>", f"{PARA} {PARA}"),
+        (f"<p>{PARA}</p><div class='related-teasers'>" + "<li><a href=/>one more link of it</a></li>" * 30 + "</div>", PARA),
+        (f"<body><p>{PARA}</p><div class='sitefooter'>{PARA}</div><div class='topbar-x'>no</div></body>", PARA),
+    ],
+)
+def test_parts_of_mixed_names(page, text):
+    assert html_text.extract(page, {}) == text
+
+
 def test_titles_and_references():
     """An article's own header has its title; a reference is decoded in its own token alone."""
     assert html_text.extract("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>one two three four</p></article>", {}) == "Title\none two three four"
