@@ -5,6 +5,7 @@ import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -130,6 +131,48 @@ def test_page_text_is_the_article(spark):
     assert html_text.extract(None, weights) == html_text.extract("", weights) == html_text.extract("<p></p>", weights) == ""
 
 
+class Plain(HTMLParser):
+    """The text of the first marked element by the standard library's parser: blocks, white space, references."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.lines, self.inside = [], [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        names = dict(attrs).get("class", "")
+        if tag in html_text.BLOCKS:
+            self.lines.append("")
+        if tag == "br" and self.inside:
+            self.lines[-1] += " "
+        if tag not in html_text.VOID:
+            self.open.append((tag, tag in html_text.NEVER or names == "ad"))
+            self.inside += tag in html_text.MARKED
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+            self.inside -= tag in html_text.MARKED
+        if tag in html_text.BLOCKS:
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.inside and not any(never for _, never in self.open):
+            self.lines[-1] += data
+
+
+def test_whole_pages_against_the_standard_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.page_texts(pages).collect()}
+    marked = [r for r in pages.collect() if r["html"] and re.search("<(article|main)", r["html"])]
+    assert len(marked) > 100 and len(got) == pages.count()
+    for r in marked:
+        plain = Plain()
+        plain.feed(r["html"])
+        want = (re.sub(r"\s+", " ", line).strip() for line in plain.lines)
+        assert got[r["page_id"]] == "\n".join(line for line in want if line), r["page_id"]
+
+
 def test_best_run_is_the_maximum():
     rng = np.random.default_rng(3)
     for _ in range(50):
