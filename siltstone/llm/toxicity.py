@@ -47,6 +47,8 @@ SEED_WEIGHT = 3.0
 NEAR_PART = 0.6
 #: Documents for which that first guess counts.
 NEAR_SUPPORT = 4
+#: A word within one error of a term that so many times as many toxic texts have is that term misspelled.
+RARER = 3
 
 
 class Trie:
@@ -275,7 +277,8 @@ def learn_lexicon(sample: DataFrame, scratch: Scratch | None = None, name: str =
     reach the driver; the sample bounds them.  A seed that the sample has in LEAST_SUPPORT
     documents weighs what it shows there, any other SEED_WEIGHT; so do misspelled terms, from
     NEAR_PART of their term's weight on, and where that shows no odds, the term is not looked
-    for misspelled.
+    for misspelled.  A word that is a term misspelled (RARER, within one error) is no entry of its
+    own: the automata find it, and its counts are its term's.
     """
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     trimmed = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES)))
@@ -290,15 +293,20 @@ def learn_lexicon(sample: DataFrame, scratch: Scratch | None = None, name: str =
 
     def best(found: DataFrame) -> list:
         telling = (F.col("n1") >= LEAST_SUPPORT) & (F.col("odds") >= LEAST_LOG_ODDS)
-        return found.withColumn("odds", odds).where(telling | (seed & (F.col("n1") + F.col("n0") >= LEAST_SUPPORT))).select("term", "odds").collect()
+        return found.withColumn("odds", odds).where(telling | (seed & (F.col("n1") + F.col("n0") >= LEAST_SUPPORT))).select("term", "odds", "n1").collect()
 
     kept: dict[str, float] = {}
     for r in sorted(best(stems), key=lambda r: (len(r["term"]), r["term"])):
         if not any(kept.get(r["term"][:k], -9) >= r["odds"] - 0.7 for k in STEM_LENGTHS):
             kept[r["term"]] = float(r["odds"])
-    terms = dict.fromkeys(SEED_TERMS, SEED_WEIGHT) | {r["term"]: float(r["odds"]) for r in best(counts)}
+    words = best(counts)
+    terms = dict.fromkeys(SEED_TERMS, SEED_WEIGHT) | {r["term"]: float(r["odds"]) for r in words}
+    support = dict.fromkeys(SEED_TERMS, 0) | {r["term"]: r["n1"] for r in words}
     terms = {t: w for t, w in terms.items() if w > 0}
     first = Lexicon(terms, kept, set(terms))
+    misspelled = {t for t in terms if t not in SEED_TERMS and any(errors and support[o] >= RARER * support[t] and terms[o] >= terms[t] - 0.7 for o, errors in first.near_terms(t))}
+    terms = {t: w for t, w in terms.items() if t not in misspelled}
+    first = Lexicon(terms, kept, set(terms))
     found = counts.mapInArrow(partial(_near_forms, first), "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     near = {}
     for r in found.withColumn("odds", odds).collect():

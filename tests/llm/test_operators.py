@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on null, empty, long, tied, repeated and clashing input."""
 
+import random
 import re
 import time
 import tracemalloc
@@ -535,6 +536,42 @@ def test_texts_with_misspelled_terms_alone(spark):
     assert got == {-1: 0, -2: 1, -3: 1, -4: 0}
 
 
+def test_misspelled_words_are_their_terms(spark):
+    """A frequent term, rarer forms of it that are no entries of their own, and one that is too frequent for that."""
+    plain = [(0, f"plain words number{i % 7} here") for i in range(300)]
+    forms = {"grobnax": 40, "grobnix": 8, "gorbnax": 6, "grobnaxx": 5, "grobnux": 25}
+    rows = plain + [(1, f"some {w} there") for w, n in forms.items() for _ in range(n)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))
+    assert {"grobnax", "grobnux"} <= set(lexicon.terms) and not {"grobnix", "gorbnax", "grobnaxx"} & set(lexicon.terms)
+    assert lexicon.near["grobnax"] > 0
+    for word in ("grobnix", "gorbnax", "grobnaxx", "grobmax"):
+        assert "grobnax" in dict(lexicon.near_terms(word))
+
+
+def misspell(word, rng):
+    """One error inside a word of five letters or more: a letter is wrong, missing, extra or swapped with the next."""
+    i = rng.randrange(1, len(word) - 2)
+    return rng.choice([word[:i] + "z" + word[i + 1 :], word[:i] + word[i + 1 :], word[:i] + "q" + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :]])
+
+
+def test_the_automata_decide_misspelled_texts(spark):
+    """Held-out toxic texts with every whole term of theirs misspelled: found by the automata, and not without them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    lexicon, weights = toxicity.train(spark, docs, labels)
+    without = toxicity.Lexicon(lexicon.terms, lexicon.stems, set())
+    held = docs.join(labels, "doc_id").where(language.held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "toxic").collect()
+    rng = random.Random(43)
+    seeds = re.compile(r"\b(" + "|".join(t for t in toxicity.SEED_TERMS if len(t) >= 5) + r")\b", re.I)
+    score = lambda lex, text: 1 / (1 + np.exp(-np.dot(weights, lex.features(text))))
+    toxic = [r for r in held if r["toxic"] == 1 and len(seeds.findall(r["text"] or "")) >= 2 and "scum" not in r["text"]]
+    spoiled = [seeds.sub(lambda m: misspell(m[0], rng), r["text"]) for r in toxic]
+    found = np.mean([score(lexicon, t) >= toxicity.THRESHOLD for t in spoiled])
+    alone = np.mean([score(without, t) >= toxicity.THRESHOLD for t in spoiled])
+    assert len(toxic) >= 20 and found >= 0.9 and alone <= 0.4, (len(toxic), found, alone)
+    clean = [r["text"] for r in held if r["toxic"] == 0]
+    assert np.mean([score(lexicon, t) >= toxicity.THRESHOLD for t in clean]) < 0.01
+
+
 def test_kernel_of_dual_descent_separates():
     rng = np.random.default_rng(1)
     rows = [np.unique(np.concatenate([[5 if y else 9], rng.integers(20, 400, 12)])).astype(np.int32) for y in (0, 1) * 60]
