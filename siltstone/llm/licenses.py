@@ -5,7 +5,9 @@ in several ways, and cut before each phrase that opens a known licence sentence.
 a cut map to the identifier of the longest known sentence that they start with.  The identifiers,
 in text order, are matched against ordered rules; a rule takes the identifiers that it matches,
 so that a full licence text is not also reported as a mere mention, and a copyright line inside
-it not as a reservation of all rights.
+it not as a reservation of all rights.  Where a notice names several licences, each is found, and so
+is whether one may choose (OR) or both hold (AND); exceptions and patent clauses are findings of
+their own, and a licence that a text denies is none.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ NAMES = (
     ("BSD-2-Clause", "permissive", ("bsd 2 clause", "2 clause bsd", "simplified bsd license")),
     ("BSD", "permissive", ("bsd", "bsd license", "bsd style license")),
     ("CC0-1.0", "permissive", ("cc0", "cc0 1 0", "creative commons zero", "creative commons cc0")),
+    ("0BSD", "permissive", ("0bsd", "bsd zero clause", "zero clause bsd")),
+    ("WTFPL", "permissive", ("wtfpl", "do what the fuck you want to public license")),
+    ("PostgreSQL", "permissive", ("postgresql license",)),
+    ("Python-2.0", "permissive", ("python software foundation license", "psf license")),
 )
 # fixed values: licence family, kind, names, versions
 FAMILIES = (
@@ -35,7 +41,10 @@ FAMILIES = (
     ("MPL", "copyleft", ("mozilla public license", "mpl"), ("1.1", "2.0")),
     ("EPL", "copyleft", ("eclipse public license", "epl"), ("1.0", "2.0")),
     ("BSL", "permissive", ("boost software license",), ("1.0",)),
+    ("Artistic", "permissive", ("artistic license", "perl artistic license", "artistic"), ("1.0", "2.0")),
 )
+#: Families whose notices may allow any later version.
+LATER = ("GPL", "AGPL", "LGPL", "MPL", "EPL")
 # fixed values: parts of a Creative Commons attribution licence, kind
 COMMONS = (("", "permissive"), ("sa", "copyleft"), ("nd", "noderivatives"), ("nc", "noncommercial"), ("nc sa", "noncommercial"), ("nc nd", "noncommercial"))
 COMMONS_WORDS = {"sa": "sharealike", "nd": "noderivatives", "nc": "noncommercial"}
@@ -63,12 +72,7 @@ SENTENCES = (
     ("agpl_free", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("lgpl_free", "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("lgpl_free", "is free software you can redistribute it and or modify it under the terms of the gnu library general public license"),
-    ("version_2_0", "version 2 of the license"),
-    ("version_2_1", "version 2 1 of the license"),
-    ("version_3_0", "version 3 of the license"),
-    ("version_2_0", "either version 2 of the license"),
-    ("version_2_1", "either version 2 1 of the license"),
-    ("version_3_0", "either version 3 of the license"),
+    *((f"version_{v.replace(' ', '_')}{'_0' if len(v) == 1 else ''}{later}", f"{either}version {v} of the license{words}") for v in ("2", "2 1", "3") for either in ("", "either ") for later, words in (("", ""), ("_later", " or later"))),
     ("gpl_hope", "is distributed in the hope that it will be useful but without any warranty"),
     ("gpl_copy", "you should have received a copy of the gnu general public license"),
     ("gpl_copy", "you should have received a copy of the gnu affero general public license"),
@@ -81,6 +85,16 @@ SENTENCES = (
     ("bsd_name", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
     ("bsd_name", "the name of the author may not be used to endorse or promote products"),
     ("all_rights", "all rights reserved"),
+    ("or_else", "licenseor"),
+    ("and_also", "licenseand"),
+    ("classpath", "licensewith classpath exception"),
+    ("llvm", "licensewith llvm exception"),
+    ("llvm", "licensewith llvm exceptions"),
+    ("gcc_runtime", "licensewith gcc runtime library exception"),
+    ("linking", "licensewith linking exception"),
+    ("linking", "licensewith static linking exception"),
+    ("patents", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("patents", "additional grant of patent rights"),
 )
 # fixed values: phrases that open the sentences above, and what names a licence
 OPENERS = (
@@ -88,9 +102,14 @@ OPENERS = (
     "the above copyright notice and this permission", "the software is provided", "this software is provided as is", "permission to use copy", "permission is granted to anyone",
     "this is free and unencumbered", "this source code form is subject", "is free software", "either version", "version 2 of the license", "version 3 of the license", "version 2 1 of the license",
     "is distributed in the hope", "you should have received", "redistribution and use", "redistributions of source", "redistributions in binary", "all advertising materials",
-    "neither the name of", "the name of the author may not", "all rights reserved",
+    "neither the name of", "the name of the author may not", "all rights reserved", "licenseor", "licenseand", "licensewith classpath exception", "licensewith llvm exception", "licensewith gcc runtime library exception",
+    "licensewith linking exception", "licensewith static linking exception", "each contributor hereby grants", "additional grant of patent rights",
 )
 # fixed values: patterns over the normalised text and their one spelling; @1 is the first group
+_STARTS = "(mit|isc|apache|bsd|[023] clause bsd|0bsd|gpl|agpl|lgpl|gnu (?:a|l)?gpl|mpl|epl|zlib|unlicense|cc0|cc by|wtfpl|artistic|gnu general|gnu affero|gnu lesser|gnu library|mozilla public|eclipse public|boost software|creative commons|postgresql|python software)"
+#: Another licence named behind a first one: at most eight words lie between.
+_CHOICE = (" licensed under ((?:[a-z0-9]+ ){1,8}?)(?:or|and or) (?:the |a |an |under |under the |under a )?" + _STARTS + " ", " licensed under @1licenseor licensed under @2 ")
+_BOTH = (" licensed under ((?:[a-z0-9]+ ){1,8}?)and (?:the |a |an |under |under the |under a )?" + _STARTS + " ", " licensed under @1licenseand licensed under @2 ")
 SPELLINGS = (
     (" licence", " license"),
     ("(gpl)v ?([0-9])", "@1 version @2"),
@@ -99,13 +118,20 @@ SPELLINGS = (
     (" non commercial", " noncommercial"),
     (" share alike", " sharealike"),
     (" (?:no derivatives|no derivs|noderivs)", " noderivatives"),
+    (" or (?:at your (?:option|choice) )?(?:any )?(?:later|newer)(?: version)?(?: at your (?:option|choice))? ", " or later "),
+    (" with (?:the |a |gnu )?(classpath|llvm|gcc runtime library|linking|static linking) exception", " licensewith @1 exception"),
     (" spdx license identifier ", " licensed under "),
-    (" license (mit|isc|apache|bsd|gpl|gplv2|gplv3|agpl|lgpl|mpl|epl|zlib|unlicense|cc0|cc by) ", " licensed under @1 "),
-    (" (?:licensed|released|distributed|available|published|provided|shared) (?:only )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?", " licensed under "),
+    (" license (mit|isc|apache|bsd|0bsd|gpl|gplv2|gplv3|agpl|lgpl|mpl|epl|zlib|unlicense|cc0|cc by|wtfpl|artistic) ", " licensed under @1 "),
+    (" (?:dual|dually|multi|tri) licensed ", " licensed "),
+    (" (?:licensed|released|distributed|available|published|provided|shared) (?:only )?(?:under|with|as) (?:the )?(?:terms (?:and conditions )?of )?(?:either (?:of )?|both |one of )?(?:the |a |an )?" + _STARTS, " licensed under @1"),
+    (" (?:licensed|released|distributed|available|published|provided|shared) (?:only )?under (?:the )?(?:terms (?:and conditions )?of )?(?:either (?:of )?|both |one of )?(?:the |a |an )?", " licensed under "),
+    (" (?:not|never|no longer|isn t|aren t|wasn t|cannot be|can t be|not be|nor) licensed under ", " refused under "),
+    *[_CHOICE] * 3,
+    *[_BOTH] * 3,
     (" neither the name of .{1,200}? nor the names of (?:its|their|any|the) contributors ", " neither the name of the copyright holder nor the names of its contributors "),
 )
 #: Every known sentence has one of these, so a text without them needs no further look.
-CUES = r"(?i)licen|permission|redistribut|warrant|reserved|copyright|free software|unencumbered|advertising materials|endorse|applicable law|under\W+(?:\w+\W+){0,4}(?:mit|isc|apache|bsd|l?a?gplv?[0-9]?|mpl|epl|zlib|cc0|cc)\b"
+CUES = r"(?i)licen|hereby grant|patent rights|permission|redistribut|warrant|reserved|copyright|free software|unencumbered|advertising materials|endorse|applicable law|under\W+(?:\w+\W+){0,4}(?:mit|isc|apache|bsd|l?a?gplv?[0-9]?|mpl|epl|zlib|cc0|cc|0bsd|wtfpl|artistic)\b"
 
 
 def _mentions() -> list[tuple[str, str, str, str]]:
@@ -117,6 +143,8 @@ def _mentions() -> list[tuple[str, str, str, str]]:
             major, minor = v.split(".")
             for number in {f"{major} {minor}", major if minor == "0" else f"{major} {minor}"}:
                 out += [(f"{family}_{major}_{minor}".lower(), f"{family}-{v}", kind, f"{n}{word} {number}") for word in ("", " version")]
+                if family in LATER:
+                    out += [(f"{family}_{major}_{minor}_later".lower(), f"{family}-{v}-or-later", kind, f"{n}{word} {number} or later") for word in ("", " version")]
     for parts, kind in COMMONS:
         lic = "-".join(["CC-BY", *parts.upper().split()])
         for short, v in product((True, False), ("", *COMMONS_VERSIONS)):
@@ -132,8 +160,12 @@ _LENGTHS = sorted({len(text.split()) for text in _BY_TEXT}, reverse=True)
 _OPENER = " (" + "|".join(OPENERS) + r")\b"
 
 
-def _grants(licence: str, kind: str, free: str, version: str) -> tuple[str, str, tuple[str, ...]]:
-    return (f"{licence}-{version}" if version else licence, kind, (free, *([f"version_{version.replace('.', '_')}"] if version else []), "gpl_hope?", "gpl_copy?"))
+def _grants(licence: str, kind: str, free: str, version: str) -> list[tuple[str, str, tuple[str, ...]]]:
+    """The rules of a notice of the GNU licences for a version, or for none; any later version first."""
+    if not version:
+        return [(licence, kind, (free, "gpl_hope?", "gpl_copy?"))]
+    number = f"version_{version.replace('.', '_')}"
+    return [(f"{licence}-{version}{more}", kind, (free, f"{number}{later}", "gpl_hope?", "gpl_copy?")) for more, later in (("-or-later", "_later"), ("", ""))]
 
 
 #: Licence, kind, identifiers in order ("?": may be missing); the first rules take precedence.
@@ -149,10 +181,17 @@ RULES = (
     ("BSD-2-Clause", "permissive", ("bsd_2_clause?", "bsd?", "bsd_use", "bsd_source", "bsd_binary")),
     ("MPL-1.1", "copyleft", ("mpl_1_1_form",)),
     ("MPL-2.0", "copyleft", ("mpl_2_0?", "mpl_2_0_form")),
-    *(_grants("AGPL", "copyleft", "agpl_free", v) for v in ("3.0", "")),
-    *(_grants("LGPL", "copyleft", "lgpl_free", v) for v in ("2.0", "2.1", "3.0", "")),
-    *(_grants("GPL", "copyleft", "gpl_free", v) for v in ("2.0", "3.0", "")),
+    *(rule for v in ("3.0", "") for rule in _grants("AGPL", "copyleft", "agpl_free", v)),
+    *(rule for v in ("2.0", "2.1", "3.0", "") for rule in _grants("LGPL", "copyleft", "lgpl_free", v)),
+    *(rule for v in ("2.0", "3.0", "") for rule in _grants("GPL", "copyleft", "gpl_free", v)),
     *((lic, kind, (i,)) for i, (lic, kind) in {i: (lic, kind) for i, lic, kind, _ in _MENTIONS}.items()),
+    ("Classpath-exception-2.0", "exception", ("classpath",)),
+    ("LLVM-exception", "exception", ("llvm",)),
+    ("GCC-exception", "exception", ("gcc_runtime",)),
+    ("linking-exception", "exception", ("linking",)),
+    ("patent-grant", "patents", ("patents",)),
+    ("OR", "choice", ("or_else",)),
+    ("AND", "choice", ("and_also",)),
     ("proprietary", "reserved", ("all_rights",)),
 )
 
@@ -166,7 +205,8 @@ def _pattern(ids: tuple[str, ...]) -> str:
 def sentence_ids(text: Column) -> Column:
     """The identifiers of known sentences in a text, in order: `` apache_2_0  mit ``."""
     known = F.create_map(*(F.lit(x) for pair in _BY_TEXT.items() for x in pair))
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    later = F.regexp_replace(F.lower(text), r"([0-9])\+", "$1 or later ")
+    plain = F.concat(F.lit(" "), F.regexp_replace(later, "[^a-z0-9]+", " "), F.lit(" "))
     for pattern, spelling in SPELLINGS:
         plain = F.regexp_replace(plain, pattern, spelling.replace("@", "$"))
     pieces = F.slice(F.split(F.regexp_replace(plain, _OPENER, "\n$1"), "\n"), 2, 1 << 30)
@@ -197,7 +237,7 @@ def licenses(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     known = ", ".join(f"('{text}', '{name}', {len(text.split())})" for text, name in _BY_TEXT.items())
-    plain = "' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' '"
+    plain = r"' ' || regexp_replace(regexp_replace(lower(text), '([0-9])\+', '\1 or later ', 'g'), '[^a-z0-9]+', ' ', 'g') || ' '"
     for pattern, spelling in SPELLINGS:
         plain = f"regexp_replace({plain}, '{pattern}', '{spelling.replace('@', chr(92))}', 'g')"
     steps, last = "", "ids"

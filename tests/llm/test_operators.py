@@ -240,11 +240,11 @@ NOTICES = {
     "Unlicense": f"This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy. {PROVIDED}",
     "BSL-1.0": f"Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation.\n\n{PROVIDED}",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.',
-    "GPL-3.0": GNU.format(what="program", colon=":", name="GNU General Public License", version="3", **LATER),
+    "GPL-3.0-or-later": GNU.format(what="program", colon=":", name="GNU General Public License", version="3", **LATER),
     "GPL-2.0": GNU.format(what="file", colon=";", name="GNU General Public License", version="2", either="", later="", comma=";"),
-    "LGPL-2.1": GNU.format(what="library", colon=";", name="GNU Lesser General Public License", version="2.1", **LATER),
-    "LGPL-3.0": GNU.format(what="library", colon=":", name="GNU Lesser General Public License", version="3", **LATER),
-    "AGPL-3.0": GNU.format(what="program", colon=":", name="GNU Affero General Public License", version="3", **LATER),
+    "LGPL-2.1-or-later": GNU.format(what="library", colon=";", name="GNU Lesser General Public License", version="2.1", **LATER),
+    "LGPL-3.0-or-later": GNU.format(what="library", colon=":", name="GNU Lesser General Public License", version="3", **LATER),
+    "AGPL-3.0-or-later": GNU.format(what="program", colon=":", name="GNU Affero General Public License", version="3", **LATER),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
 }
@@ -269,9 +269,41 @@ def test_each_notice_gives_its_licence_alone(spark):
     assert all(r["n_matches"] == 1 for r in rows) and len(rows) == len(NOTICES) + len(SHORT)
 
 
+EXPRESSIONS = {
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": {"Apache-2.0", "MIT", "OR"},
+    "SPDX-License-Identifier: MIT OR Apache-2.0": {"MIT", "Apache-2.0", "OR"},
+    "// SPDX-License-Identifier: (GPL-2.0-only OR MIT)": {"GPL-2.0", "MIT", "OR"},
+    "SPDX-License-Identifier: MIT OR Apache-2.0 OR BSD-3-Clause": {"MIT", "Apache-2.0", "BSD-3-Clause", "OR"},
+    "SPDX-License-Identifier: GPL-2.0-or-later": {"GPL-2.0-or-later"},
+    "SPDX-License-Identifier: LGPL-2.1-or-later AND BSD-2-Clause": {"LGPL-2.1-or-later", "BSD-2-Clause", "AND"},
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": {"GPL-2.0", "Classpath-exception-2.0"},
+    "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception": {"Apache-2.0", "LLVM-exception"},
+    "Licensed under the GPLv2+": {"GPL-2.0-or-later"},
+    "Released under the GNU GPL version 3 or any later version": {"GPL-3.0-or-later"},
+    "Distributed under the GNU General Public License v2 or, at your option, any later version.": {"GPL-2.0-or-later"},
+    "This is dual licensed under the MIT and the Apache 2.0 licenses": {"MIT", "Apache-2.0", "AND"},
+    "This code is not licensed under the MIT license": set(),
+    "It is no longer released under the GPL": set(),
+    "never distributed under the terms of the Apache License 2.0": set(),
+    "Licensed under the Artistic License 2.0": {"Artistic-2.0"},
+    "SPDX-License-Identifier: 0BSD": {"0BSD"},
+    "Released under the WTFPL": {"WTFPL"},
+    "Each contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable patent license": {"patent-grant"},
+    "They met at MIT or Apache headquarters and also or else": set(),
+}
+
+
+def test_expressions_of_licences(spark):
+    texts = list(EXPRESSIONS)
+    got = {t: set() for t in texts}
+    for r in licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect():
+        got[texts[r["doc_id"]]].add(r["license"])
+    assert got == EXPRESSIONS
+
+
 def test_licences_equal_their_sql(spark):
     con = duckdb.connect()
-    texts = [*NOTICES.values(), *SHORT, "\n".join(NOTICES.values()), None, "", "Released under MIT. " * 3]
+    texts = [*NOTICES.values(), *SHORT, *EXPRESSIONS, "\n".join(NOTICES.values()), None, "", "Released under MIT. " * 3]
     con.execute("CREATE TABLE documents (doc_id INTEGER, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
     got = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
