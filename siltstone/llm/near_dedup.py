@@ -10,12 +10,13 @@ rarest shingles.  Every link that counts is confirmed on the full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
@@ -169,12 +170,18 @@ def _candidates(signed: DataFrame, reps: DataFrame, scratch: Scratch) -> tuple[D
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.count() * TREES // ROWS_A_RANGE)
     rows = own.select("id", F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "z")).select(F.col("tree").cast("bigint").alias("tree"), "z.hi", "z.lo", "id")
     found = scratch.keep("near", rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND))
-    ends = found.where(F.col("kind") == SEAM).select("tree", "hi", "lo", F.col("a").alias("id")).distinct()
-    # 2 * REGION rows a range at most
-    found = found.unionByName(scratch.keep("seams", ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND)))
+    turn, last = 0, found
+    while parts > 1:
+        # 2 * REGION rows a range at most, in ranges of their own until one holds all
+        turn += 1
+        ends = scratch.keep(f"ends{turn}", last.where(F.col("kind") == SEAM).select("tree", "hi", "lo", F.col("a").alias("id")).distinct())
+        parts = min(parts - 1, 1 + ends.count() // ROWS_A_RANGE)
+        sorted_ = (ends.repartitionByRange(parts, *order) if parts > 1 else ends.repartition(1)).sortWithinPartitions(*order)
+        last = scratch.keep(f"seams{turn}", sorted_.mapInArrow(_neighbours, _FOUND))
+        found = found.unionByName(last)
     pairs = scratch.keep("candidates", found.where(F.col("kind") == PAIR).select("a", "b").distinct())
     dense = scratch.keep("dense", found.where(F.col("kind") == DENSE).select("tree", F.col("hi").alias("prefix"), F.col("a").alias("id")).distinct())
-    scratch.drop("trees", "near", "seams")
+    scratch.drop("trees", "near", *(f"{t}{i + 1}" for t in ("ends", "seams") for i in range(turn)))
     return pairs, dense
 
 
@@ -189,6 +196,34 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "n", "shingle"])
 
 
+def _class(size: Column) -> Column:
+    """Sizes by classes, each a twentieth larger than the one before."""
+    return F.floor(F.log(size.cast("double")) / math.log(1.05)).cast("int")
+
+
+def _partners(n: str, i: str) -> Column:
+    """Classes of sizes that a document of n shingles can be linked with if the i-th of them is the first shared one.
+
+    The overlap that a link needs grows with the other's size, and what follows the shared shingle
+    bounds it: the later it stands, the smaller the other must be.
+    """
+    size = F.col(n)
+    least = F.ceil(SIMILARITY_PERCENT * size / 100)
+    most = F.least(F.floor(100 * size / SIMILARITY_PERCENT), F.floor((size - F.col(i) + 1) * (100 + SIMILARITY_PERCENT) / SIMILARITY_PERCENT) - size)
+    return F.when(most >= least, F.sequence(_class(F.greatest(least, F.lit(1))), _class(F.greatest(most, F.lit(1)))))
+
+
+def _met(index: DataFrame) -> DataFrame:
+    """Entries of ``index`` with those that ask (u, m, j, at_u) for the same shingle, dealt by both sizes.
+
+    Each side goes to the classes that the other's size may have, so that a shingle that very many
+    documents of one size share late in their order meets nothing there.
+    """
+    asked = index.where("asks").select(F.col("id").alias("u"), F.col("n").alias("m"), F.col("at").alias("at_u"), F.col("i").alias("j"), "shingle")
+    asked = asked.withColumns({"cm": _class(F.col("m")), "cn": F.explode(_partners("m", "j"))})
+    return asked.join(index.withColumns({"cn": _class(F.col("n")), "cm": F.explode(_partners("n", "i"))}), ["shingle", "cn", "cm"])
+
+
 def _unread(docs: DataFrame, dense: DataFrame, component: Callable[[str], DataFrame], scratch: Scratch) -> DataFrame | None:
     """(a, b) that dense regions may have kept apart: the exact way for what their neighbours leave.
 
@@ -213,10 +248,9 @@ def _unread(docs: DataFrame, dense: DataFrame, component: Callable[[str], DataFr
     alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
     index = rows.join(spread, "shingle").withColumn("i", alone + F.row_number().over(rarest)).where(F.col("i") <= F.col("n") - F.ceil(SIMILARITY_PERCENT * F.col("n") / 100) + 1)
     index = scratch.keep("index", index.join(inside, "id").select("id", "n", "shingle", "i", "at", "asks"))
-    asked = index.where("asks").select(F.col("id").alias("u"), F.col("n").alias("m"), F.col("at").alias("at_u"), F.col("i").alias("j"), "shingle")
     overlap = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1
     near = (F.col("at") != F.col("at_u")) & (overlap * (100 + SIMILARITY_PERCENT) >= SIMILARITY_PERCENT * (F.col("n") + F.col("m")))
-    pairs = asked.join(index, "shingle").where(near).select(F.least("id", "u").alias("a"), F.greatest("id", "u").alias("b")).distinct()
+    pairs = _met(index).where(near).select(F.least("id", "u").alias("a"), F.greatest("id", "u").alias("b")).distinct()
     scratch.drop("shingled", "placed")
     return pairs
 

@@ -772,6 +772,55 @@ def test_near_copies_of_a_dense_region(spark):
     assert got == {i: c for i, (_, c) in components_by_hand(rows).items()}
 
 
+def test_a_template_just_too_different_meets_little(spark, monkeypatch):
+    """600 documents of one template, each with a quarter of its words its own: no links, and no shared shingle brings all together."""
+    base = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(w if k % 4 or k > 320 else f"own{i}x{k}" for k, w in enumerate(base + [f"z{i}y{j}" for j in range(20)]))) for i in range(600)]
+    met = []
+    whole = near_dedup._met
+    monkeypatch.setattr(near_dedup, "_met", lambda index: met.append(whole(index).count()) or whole(index))
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["kept"] for r in got) and len(got) == 600
+    text = lambda i: " ".join([f"s{k}" for k in range(300)] + [f"own{i}x{k}" for k in range(80)])
+    rows = [(i, text(i)) for i in range(600)] + [(1000 + i, text(i) + " more") for i in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i if i < 1000 else i - 1000 for i, _ in rows}
+    assert all(n < 30 * 600 for n in met), met
+
+
+def test_searches_by_rare_shingles_lose_no_link(spark):
+    """Entries of random sets, dealt by classes of sizes: every similar pair meets at its first shared shingle."""
+    rng = np.random.default_rng(47)
+    sets = {}
+    for i in range(120):
+        if i % 3 and i > 3:
+            base = list(sets[int(rng.integers(0, i))])
+            drop = int(rng.integers(0, max(1, len(base) // 4)))
+            sets[i] = set(rng.permutation(base)[drop:].tolist()) | set(rng.integers(0, 400, int(rng.integers(0, 4))).tolist())
+        else:
+            sets[i] = set(rng.integers(0, 400, int(rng.integers(4, 60))).tolist())
+    df = Counter(x for s in sets.values() for x in s)
+    rows = []
+    for d, s in sets.items():
+        for i, x in enumerate(sorted(s, key=lambda x: (df[x], x)), 1):
+            if i <= len(s) - -(-75 * len(s) // 100) + 1:
+                rows.append((d, len(s), x, i, d, True))
+    got = {(r["id"], r["u"]) for r in near_dedup._met(spark.createDataFrame(rows, "id bigint, n bigint, shingle bigint, i bigint, at bigint, asks boolean")).collect()}
+    want = {(a, b) for a in sets for b in sets if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert want <= got and len(want) > 150
+
+
+def test_sketches_keep_pairs_at_the_limit():
+    """Pairs of sets of a similarity of exactly 75 %: none of four hundred has a sketch below the floor."""
+    rng = np.random.default_rng(53)
+    shares = []
+    for _ in range(400):
+        x = rng.integers(0, 2**63, 160, dtype=np.uint64)
+        a, b = (near_dedup._signature(s) & 0xFF for s in (x[:140], x[20:]))  # 120 of 160
+        shares.append((a == b).mean())
+    assert min(shares) >= near_dedup.SKETCH_FLOOR and abs(np.mean(shares) - 0.75) < 0.02
+
+
 def test_near_copies_of_odd_rows(spark, odd):
     rows = near_dedup.near_duplicates(spark, odd).collect()
     assert len(rows) == odd.count()
