@@ -9,15 +9,21 @@ position gives the training order.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.scratch import Scratch
 from siltstone.llm.textkit import beside, nested
 
 #: No source is read more often than this.
 MOST_REPEATS = 3
+#: About so many rows of a source share a cell, and so many equal rows a task.
+CELL_ROWS = 1 << 16
+CHUNK_BITS = 16
+CHUNK = 1 << CHUNK_BITS
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,43 +96,65 @@ def source_targets(cells: DataFrame, schedule: Schedule) -> DataFrame:
     return rows.select("__key", F.col("source_size").alias("__source_size"), F.col("cls").alias("__cls"), F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("__target"))
 
 
-def plan_mix(docs: DataFrame, size: Column, schedule: Schedule = Schedule(), whole: bool = False) -> DataFrame:
-    """docs (doc_id, source, ...) with __size, __source_size, __target, __taken, __draws and __first.
+def _marked(docs: DataFrame, size: Column, tie: Column, *more: Column) -> DataFrame:
+    """__key (the source, null last), __u (a document's place in its source's order), __id and __size of docs, and more."""
+    key = F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise("0"), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(tie, F.lit(""))))
+    return docs.select(key.alias("__key"), place.alias("__u"), F.col("doc_id").alias("__id"), size.cast("long").alias("__size"), *more)
 
-    A source with a target of q full passes and a rest draws every document q times, then more
-    in hashed order until the rest is met; the last one gives only the words still missing or,
-    with ``whole``, is drawn if its middle lies within the rest.  __taken counts words with
-    repeats, __draws is the array of training positions of the draws and __first the earliest.
-
-    A null source is a source; documents of size 0 take nothing unless a full pass draws them;
-    sources of size 0 have the target 0; equal rows are drawn one after the other; an empty
-    table gives an empty result.  Two-level running sums (cells of a source, then documents of
-    a cell) keep a source with most of the rows out of a single task.  Ties of the hashed order
-    are broken by doc_id, then size; a very long text counts as one draw.  Columns of docs with the
-    names of these six are replaced, other names don't clash.
+
+def _runs(marked: DataFrame, n_rows: int, schedule: Schedule) -> DataFrame:
+    """Rows of equal place and size as one (__n), with __before, the words before them, and what their source takes.
+
+    Places are hashes of id and text, so cells of them stay small whatever ids repeat, or are null;
+    equal documents are counted before anything is ordered.  The cells' number follows the rows'.
     """
-    own = ("__size", "__source_size", "__target", "__taken", "__draws", "__first")
-    marked = docs.select(nested(docs, *own), F.col("doc_id").alias("__id"), size.cast("long").alias("__size"), F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise("0"), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("__key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__u"))
-    marked = marked.withColumn("__cell", F.substring("__u", 1, 3))
-    cells = marked.groupBy("__key", "__cell").agg(F.sum("__size").alias("z"))
+    digits = min(5, max(2, math.ceil(math.log(max(n_rows, 1) / CELL_ROWS, 16)))) if n_rows > CELL_ROWS else 2
+    runs = marked.withColumn("__cell", F.substring("__u", 1, digits)).groupBy("__key", "__cell", "__u", "__size").agg(F.count("*").alias("__n"), F.first("__id").alias("__id"))
+    cells = runs.groupBy("__key", "__cell").agg(F.sum(F.col("__size") * F.col("__n")).alias("z"))
     targets = source_targets(cells, schedule)
     ahead = Window.partitionBy("__key").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__cell0", F.coalesce(F.sum("z").over(ahead), F.lit(0))).drop("z").join(targets, "__key")
-    inner = Window.partitionBy("__key", "__cell").orderBy("__u", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marked.withColumn("__in_cell", F.sum("__size").over(inner) - F.col("__size")).join(cells, ["__key", "__cell"])
-    size_, before = F.col("__size"), F.col("__cell0") + F.col("__in_cell")
+    inner = Window.partitionBy("__key", "__cell").orderBy("__u", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("__size") * F.col("__n")).over(inner), F.lit(0))
+    return runs.withColumn("__in_cell", before).join(cells, ["__key", "__cell"]).withColumn("__before", F.col("__cell0") + F.col("__in_cell")).drop("__cell", "__cell0", "__in_cell")
+
+
+def _drawn(rows: DataFrame, schedule: Schedule, whole: bool) -> DataFrame:
+    """rows of _runs() with __k, the number of a row among its equals, and so __taken, __draws and __first."""
+    size_, before = F.col("__size"), F.col("__before") + F.col("__k") * F.col("__size")
     goal = F.round("__target").cast("long")
-    rows = rows.withColumns({"__goal": goal, "__before": before, "__passes": F.when(F.col("__source_size") > 0, F.floor(goal / F.col("__source_size"))).otherwise(0).cast("long")})
+    rows = rows.withColumns({"__goal": goal, "__at": before, "__passes": F.when(F.col("__source_size") > 0, F.floor(goal / F.col("__source_size"))).otherwise(0).cast("long")})
     rest = F.col("__goal") - F.col("__passes") * F.col("__source_size")
-    part = F.when(2 * F.col("__before") + size_ < 2 * rest, size_).otherwise(0) if whole else F.greatest(F.lit(0), F.least(size_, rest - F.col("__before")))
-    again = (2 * F.col("__before") + size_ < 2 * rest) if whole else part > 0
+    part = F.when(2 * F.col("__at") + size_ < 2 * rest, size_).otherwise(0) if whole else F.greatest(F.lit(0), F.least(size_, rest - F.col("__at")))
+    again = (2 * F.col("__at") + size_ < 2 * rest) if whole else part > 0
     n_draws = (F.col("__passes") + again.cast("int")).cast("int")
-    at = lambda i: schedule.time_of(F.col("__cls"), (i * F.col("__source_size") + F.col("__before") + size_ / 2) / F.greatest(F.col("__goal"), F.lit(1)))
+    at = lambda i: schedule.time_of(F.col("__cls"), (i * F.col("__source_size") + F.col("__at") + size_ / 2) / F.greatest(F.col("__goal"), F.lit(1)))
     draws = F.array_compact(F.array(*(F.when(n_draws > i, at(F.lit(i))) for i in range(MOST_REPEATS + 1))))
-    return beside(
-        rows, "__size", "__source_size", "__target",
-        (F.col("__passes") * size_ + part).cast("long").alias("__taken"), draws.alias("__draws"), F.when(n_draws > 0, at(F.lit(0))).alias("__first"),
-    )
+    return rows.withColumns({"__taken": (F.col("__passes") * size_ + part).cast("long"), "__draws": draws, "__first": F.when(n_draws > 0, at(F.lit(0)))})
+
+
+def plan_mix(docs: DataFrame, size: Column, schedule: Schedule = Schedule(), tie: Column | None = None) -> DataFrame:
+    """A row for every row of docs (doc_id, source, ...): __key, __id, __size, __source_size, __target, __taken, __draws and __first.
+
+    A source with a target of q full passes and a rest draws every document q times, then more
+    in hashed order until the rest is met; the last one gives only the words still missing.
+    __taken counts words with repeats, __draws is the array of training positions of the draws and
+    __first the earliest.
+
+    A null source is a source (__key begins with 1, else with 0); documents of size 0 take nothing unless a
+    full pass draws them; sources of size 0 have the target 0; equal rows are drawn one after the other; an
+    empty table gives an empty result.  ``tie`` tells documents with one doc_id apart, whatever it hashes.  Two-level
+    running sums (cells of a source, then documents of a cell) keep a source with most of the rows out
+    of a single task.  A very long text counts as one draw.
+    """
+    runs = _runs(_marked(docs, size, F.lit("") if tie is None else tie), docs.count(), schedule)
+    one = lambda first, n: F.explode(F.sequence(F.lit(0).cast("long") + first, first + n - 1))
+    few = runs.where(F.col("__n") <= CHUNK).withColumn("__k", one(F.lit(0), F.col("__n")))
+    # equal rows beyond a chunk are dealt by chunks before they become rows
+    chunks = runs.where(F.col("__n") > CHUNK).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(CHUNK))))
+    many = chunks.repartition("__u", "__chunk").withColumn("__k", one(F.col("__chunk"), F.least(F.lit(CHUNK), F.col("__n") - F.col("__chunk")))).drop("__chunk")
+    return _drawn(few.unionByName(many), schedule, whole=False)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -136,16 +164,34 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.  position_ppb is the training time of the first
     draw in billionths; null, and last, for a document that the mix leaves out.
     """
-    plan = plan_mix(docs.select("doc_id", "source", word_count().alias("size")), F.col("size"))
-    out = plan.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.round("__target", 6).alias("target"), F.col("__taken").alias("taken"), F.floor(F.col("__first") * 1e9).cast("long").alias("position_ppb"))
+    plan = plan_mix(docs.select("doc_id", "source", word_count().alias("size"), F.md5("text").alias("tie")), F.col("size"), tie=F.col("tie"))
+    out = plan.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.round("__target", 6).alias("target"), F.col("__taken").alias("taken"), F.floor(F.col("__first") * 1e9).cast("long").alias("position_ppb"))
     return out.orderBy(F.col("position_ppb").asc_nulls_last(), "doc_id")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs in training order, whole documents, one row a draw."""
-    rows = docs.select(nested(docs), "doc_id", "source", word_count().alias("size"))
-    plan = plan_mix(rows, F.col("size"), whole=True)
-    return beside(plan.select("row", "doc_id", F.explode("__draws").alias("at")).orderBy("at", "doc_id"))
+def mixed(docs: DataFrame, schedule: Schedule = Schedule()) -> DataFrame:
+    """The rows of docs in training order, whole documents, one row a draw.
+
+    As plan_mix(), but for the rest of a target: there a document is drawn if its middle lies within
+    it.  Null sources and null texts are carried; a document without words comes only with a full pass of its
+    source; rows of equal doc_id and text are drawn one after the other, in any order; an empty table gives an empty
+    result.  Only places and sizes are ordered; whole rows are joined to them once, and sorted by range.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = _marked(docs, word_count(), F.md5("text"), nested(docs), F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("__part"))
+    plan = scratch.keep("plan", _runs(rows.drop("row", "__part"), docs.count(), schedule).drop("__id"))
+    joined = rows.drop("__id").join(plan, ["__key", "__u", "__size"])
+    key = ["__key", "__u", "__size"]
+    repeated = joined.where("__n > 1")
+    if not plan.where("__n > 1").isEmpty():
+        repeated = scratch.keep("repeated", repeated)
+    parts = repeated.groupBy(*key, "__part").agg(F.count("*").alias("__rows"))
+    ahead = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))).drop("__rows")
+    inside = Window.partitionBy(*key, "__part").orderBy(F.lit(0))
+    numbered = repeated.withColumn("__in", F.row_number().over(inside) - 1).join(parts, [*key, "__part"]).withColumn("__k", F.col("__ahead") + F.col("__in")).drop("__ahead", "__in")
+    placed = _drawn(joined.where("__n = 1").withColumn("__k", F.lit(0).cast("long")).unionByName(numbered), schedule, whole=True)
+    return beside(placed.select("row", F.explode("__draws").alias("at"), "__u").orderBy("at", "__u"))
 
 
 #: DuckDB SQL of mix_digest() over documents, for the default schedule.
@@ -153,7 +199,7 @@ MIX_SQL = r"""
 WITH docs AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS u
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS u
   FROM documents),
 named AS (
   SELECT k, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY k) - 1) % 3 AS cls

@@ -114,11 +114,39 @@ def test_mix_of_odd_rows(odd):
 
 def test_whole_draws_stay_near_targets(docs):
     drawn = mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.word_count()).alias("n")).collect()
-    plan = {r["source"]: r["t"] for r in mixing.plan_mix(docs, mixing.word_count()).groupBy("source").agg(F.max("__target").alias("t")).collect()}
+    plan = {r["source"]: r["t"] for r in mixing.plan_mix(docs, mixing.word_count()).groupBy(F.substring("__key", 2, 99).alias("source")).agg(F.max("__target").alias("t")).collect()}
     longest = max(len(WORD.findall(r["text"])) for r in docs.collect())
     assert all(abs(r["n"] - plan[r["source"]]) <= longest for r in drawn)
 
 
+def test_equal_rows_are_split_and_drawn_one_after_the_other(spark, monkeypatch):
+    """A third of all rows are one document without an id, in more parts than one."""
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    monkeypatch.setattr(mixing, "CHUNK_BITS", 3)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 4)
+    rows = [(None, "the very same text of it", "a")] * 300 + [(i, "words of " + "its own " * (i % 7), "ab"[i % 2]) for i in range(600)] + [(None, f"no id {i}", "b") for i in range(50)] + [(None, "", "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    got = mixing.mix_digest(docs).collect()
+    taken = Counter()
+    assert len(got) == len(rows)
+    source = {r["source_size"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[k] - t) <= 1 for k, t in source.items()) and len(source) == 2
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(ORACLE_SQL["op1_mix_curriculum"]).fetchall()
+    names = [c[0] for c in con.description]
+    assert Counter(tuple(r[c] for c in sorted(names)) for r in got) == Counter(tuple(dict(zip(names, w, strict=True))[c] for c in sorted(names)) for w in want)
+    drawn = mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.word_count()).alias("n")).collect()
+    sizes = Counter()
+    for _, text, s in rows:
+        sizes[s] += len(WORD.findall(text))
+    longest = max(len(WORD.findall(t)) for _, t, _ in rows)
+    assert all(abs(r["n"] - source[sizes[r["source"]]]) <= longest for r in drawn)
+
+
 # 2: pages
 
 
