@@ -1,7 +1,7 @@
 """Contiguous shards of equal bytes from global prefix sums of partition totals.
 
-Documents are ordered by the hash of their text.  ``2 ** BUCKET_BITS`` ranges of that order are the
-partitions whose totals are summed; a text whose copies make up more than a stated part of all
+Documents are ordered by the hash of their text.  Ranges of that order, of about BUCKET_ROWS rows each,
+are the partitions whose totals are summed; a text whose copies make up more than a stated part of all
 bytes or rows has partitions of its own, as many as its share asks for, so that no task holds a
 large part of the rows.  Their number is bounded, so the table of totals is small at any input size.
 The running sums over the totals, cut at equal targets, give the shards.
@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 from siltstone.llm.scratch import Scratch
 from siltstone.llm.textkit import beside, nested
 
-BUCKET_BITS = 12
+BUCKET_ROWS = 1 << 14
+#: Ranges are 2 to a power between these, so that their totals can be broadcast (32 bytes each).
+LEAST_BITS, MOST_BITS = 6, 20
 #: A text whose copies have at most this part of a shard's bytes goes whole into the shard that
 #: holds its middle, so that equal texts stay together; a larger one is cut between documents.
 WHOLE_PART = 32
 
 
+def range_bits(n_rows: int) -> int:
+    """The leading bits of a hash that tell its range."""
+    return min(MOST_BITS, max(LEAST_BITS, (n_rows // BUCKET_ROWS).bit_length()))
+
+
 def shard(docs: DataFrame, n_shards: int, size: Column, without: tuple[str, ...] = ()) -> DataFrame:
     """docs, but for the columns ``without``, with size, shard (0 to n_shards - 1) and slot (its place there, gapless from 0).
 
@@ -38,7 +45,7 @@ def shard(docs: DataFrame, n_shards: int, size: Column, without: tuple[str, ...]
     # more than one share: 2 * part texts at most, with 3 * part shares
     heavy = scratch.keep("heavy", texts.where((F.col("n") * part > every["n"]) | (F.col("z") * part > every["z"])).select("h", shares.alias("shares")))
     marked = hashed.join(F.broadcast(heavy), "h", "left").withColumns({
-        "bucket": F.shiftrightunsigned("h", 64 - BUCKET_BITS),
+        "bucket": F.shiftrightunsigned("h", 64 - range_bits(every["n"])),
         "own": F.when(F.col("shares").isNotNull(), F.col("h")).otherwise(0),
         "salt": F.when(F.col("shares").isNotNull(), 1 + F.pmod(F.xxhash64("id", "h"), F.col("shares"))).otherwise(0),
     }).drop("shares")

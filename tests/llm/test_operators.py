@@ -903,7 +903,7 @@ def test_shards_by_hand(spark, docs):
         heavy = {h for h in count if count[h] * part > n or total[h] * part > z}
         whole = {h for h in count if total[h] * part <= z}
         got = {r["doc_id"]: r for r in sharding.shard_digest(df, 8).collect()}
-        place = lambda h: ((h & (2**64 - 1)) >> 52, h if h in heavy else 0, h)
+        place = lambda h: ((h & (2**64 - 1)) >> (64 - sharding.range_bits(n)), h if h in heavy else 0, h)
         before, want = 0, defaultdict(set)
         for h in sorted(count, key=place):
             middle = (2 * before + total[h]) * 8 // (2 * z)
