@@ -193,7 +193,7 @@ def cleaned(pages: DataFrame, key: str, source: str, max_bytes: int = 1_000_000,
     rows = own.select("id", "html").where("html IS NOT NULL").mapInArrow(_read, f"id bigint, pieces array<{PIECE}>, sanitized string")
     rows = rows.select("id", blocks(F.col("pieces")).alias("blocks"), "sanitized").withColumn("text", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"))
     rest = own.where("html IS NULL").select("id", F.array().cast("array<struct<kind:string,text:string,language:string>>").alias("blocks"), F.lit("").alias("sanitized"), F.lit("").alias("text"), F.when(F.col("large"), "HTML_TOO_LARGE").alias("error"))
-    all_ = rows.withColumn("error", F.when(F.length("text") > max_chars, "TEXT_TOO_LARGE")).unionByName(rest)
+    all_ = rows.withColumn("error", F.when(F.length("text") > max_chars, "CLEANED_CONTENT_TOO_LARGE")).unionByName(rest)
     fits = F.col("error").isNull()
     return all_.select(
         F.col("id").alias(key), F.when(fits, F.col("text")).otherwise("").alias("text"), F.when(fits, F.col("sanitized")).otherwise("").alias("sanitized"),

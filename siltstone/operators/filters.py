@@ -13,7 +13,8 @@ class SearchFilters:
     """What a found document must satisfy; None and empty values ask nothing.
 
     languages: one of them; tags: at least one in common, or all with ``all_tags``; hidden_sources:
-    none of them; created: from and to, either may be None; least_chars, has_code, accepted as named.
+    none of them; source: this one; created: from and to, either may be None; least_chars, least_score,
+    has_code, accepted, section as named; searchable: only active or outdated, chunked and unique documents.
     """
 
     languages: tuple[str, ...] = ()
@@ -24,9 +25,13 @@ class SearchFilters:
     least_chars: int | None = None
     has_code: bool | None = None
     accepted: bool | None = None
+    source: str | None = None
+    section: str | None = None
+    least_score: int | None = None
+    searchable: bool = False
 
     def column(self, names: dict[str, str | Column]) -> Column:
-        """The condition over a table whose columns ``names`` maps: language, tags, source, created, chars, code, accepted."""
+        """The condition over a table whose columns ``names`` maps: language, tags, source, created, chars, code, accepted, section, score, status, processing, deduplication."""
         c = {k: F.col(v) if isinstance(v, str) else v for k, v in names.items()}
         asked: list[Column] = []
         if self.languages:
@@ -41,9 +46,10 @@ class SearchFilters:
             asked.append(c["created"] >= F.lit(first))
         if last is not None:
             asked.append(c["created"] <= F.lit(last))
-        if self.least_chars is not None:
-            asked.append(c["chars"] >= self.least_chars)
-        asked += [c[k] == F.lit(v) for k, v in (("code", self.has_code), ("accepted", self.accepted)) if v is not None]
+        asked += [c[k] >= least for k, least in (("chars", self.least_chars), ("score", self.least_score)) if least is not None]
+        if self.searchable:
+            asked += [c["status"].isin("ACTIVE", "OUTDATED"), c["processing"] == "CHUNKED", c["deduplication"] == "UNIQUE"]
+        asked += [c[k] == F.lit(v) for k, v in (("code", self.has_code), ("accepted", self.accepted), ("source", self.source), ("section", self.section)) if v is not None]
         out = F.lit(True)
         for condition in asked:
             out = out & condition

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import corpus as C
 from siltstone.operators import threads as O
+from siltstone.operators.filters import SearchFilters
 from siltstone.plans.registry import Tables, query
 from siltstone.plans.search_queries import _FOLD, _chunks
 
@@ -156,3 +157,14 @@ def report_status(t: Tables):
     named = lambda name, df: df.withColumn("checks", F.lit(name))
     every = named("all", rows).unionByName(named("required", rows.where("required"))).unionByName(named("strict", rows.withColumn("required", F.lit(True))))
     return every.groupBy("checks").agg(C.overall().alias("overall"), F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_POINTS} SELECT chunk_id, document_id FROM points WHERE document_status IN ('ACTIVE', 'OUTDATED') AND processing_status = 'CHUNKED' AND deduplication_status = 'UNIQUE'
+    AND (tags LIKE 'en,%' OR tags LIKE '%,en' OR tags LIKE 'fr,%' OR tags LIKE '%,fr') AND published_at BETWEEN '2024-02-01' AND '2024-10-31' AND question_score >= 10 AND accepted_answer AND section_type = 'ANSWER'"""
+)
+def search_filters_points(t: Tables):
+    """Points by tags, dates, least score, accepted answer and section, of searchable documents."""
+    filters = SearchFilters(tags=("en", "fr"), created=("2024-02-01", "2024-10-31"), least_score=10, accepted=True, section="ANSWER", searchable=True)
+    names = {"tags": "tags", "created": "published_at", "score": "question_score", "accepted": "accepted_answer", "section": "section_type", "status": "document_status", "processing": "processing_status", "deduplication": "deduplication_status"}
+    return _points(t).where(filters.column(names)).select("chunk_id", "document_id")

@@ -78,3 +78,22 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_queries(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     rows = spark.read.schema(QUERY).json(path)
     return rows if split is None else rows.where(F.col("split") == split)
+
+
+ANSWERED = "id string, query string, expectedExternalIds array<string>, requiredPoints array<string>, expectedInsufficient boolean, notes string"
+
+
+def read_answered(spark: SparkSession, path: str) -> DataFrame:
+    """The answer evaluation set: what an answer should cite and say, and whether it should refuse.
+
+    Missing lists are empty and a missing refusal is none; a line without an id or a query, or that is no
+    JSON, is an error of the set and raises when it is read.
+    """
+    rows = spark.read.schema(ANSWERED + ", broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    empty = F.array().cast("array<string>")
+    wrong = F.col("broken").isNotNull() | (F.trim(F.coalesce("id", F.lit(""))) == "") | (F.trim(F.coalesce("query", F.lit(""))) == "")
+    key = F.when(wrong, F.raise_error(F.concat(F.lit("a line of the evaluation set is broken: "), F.coalesce("broken", "id", "query", F.lit("?"))))).otherwise(F.col("id"))
+    return rows.select(
+        key.alias("id"), "query", F.coalesce("expectedExternalIds", empty).alias("expected"), F.coalesce("requiredPoints", empty).alias("points"),
+        F.coalesce("expectedInsufficient", F.lit(False)).alias("refuse"), "notes",
+    )

@@ -42,7 +42,7 @@ def test_clean_html_is_safe_and_bounded(spark):
     assert got["sanitized"] == "<p>a<a>b</a></p>t" and got["text"] == "ab\n\nt"
     assert long["error"] == "HTML_TOO_LARGE" and long["text"] == "" and long["blocks"] == []
     assert none["text"] == "" and none["error"] is None and empty["blocks"] == [] and empty["error"] is None
-    assert clean(spark, "a b c d e f", max_chars=5)[0]["error"] == "TEXT_TOO_LARGE"
+    assert clean(spark, "a b c d e f", max_chars=5)[0]["error"] == "CLEANED_CONTENT_TOO_LARGE"
 
 
 def test_fences_outgrow_back_ticks(spark):

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from siltstone.sources import dump, index
@@ -63,3 +65,14 @@ def test_rate_limit_does_not_count_refused_calls(spark, tmp_path):
     with rocks(spark):
         out.writeStream.format("memory").queryName("limited").trigger(availableNow=True).start().awaitTermination()
     assert [r["allowed"] for r in spark.table("limited").orderBy("event_id").collect()] == [True, True, False, False, True, True]
+
+
+def test_answered_questions(spark, tmp_path):
+    good = [{"id": "r1", "query": "q", "expectedExternalIds": ["a"], "requiredPoints": ["p"], "expectedInsufficient": True, "extra": 1}, {"id": "r2", "query": "z"}]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, good)))
+    rows = dump.read_answered(spark, str(tmp_path / "a.jsonl")).orderBy("id").collect()
+    assert [(r["id"], r["expected"], r["points"], r["refuse"]) for r in rows] == [("r1", ["a"], ["p"], True), ("r2", [], [], False)]
+    for i, line in enumerate(("{", json.dumps({"id": "x"}), json.dumps({"id": " ", "query": "q"}))):
+        (tmp_path / f"bad{i}.jsonl").write_text(line)
+        with pytest.raises(Exception, match="broken"):
+            dump.read_answered(spark, str(tmp_path / f"bad{i}.jsonl")).collect()
