@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that a group's values are cut into.
+PARTS = 64
+
 
 def ranking_measures(ranked: DataFrame, relevant: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """recall, hit, mrr and ndcg at k for each query of ``relevant`` (query, key; key null: nothing is).
@@ -25,17 +30,29 @@ def ranking_measures(ranked: DataFrame, relevant: DataFrame, query: str, key: st
     )
 
 
-def nearest_rank(c: str, p: float) -> Column:
-    """The ceil(p n)-th smallest value."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
+def nearest_rank(p: float) -> Callable[[Column], Column]:
+    """The index, from 0, of the ceil(p n)-th smallest of n values."""
+    return lambda n: F.greatest(F.ceil(F.lit(p) * n), F.lit(1)) - 1
+
+
+def rounded_index(p: float) -> Callable[[Column], Column]:
+    """The index (n - 1) p, rounded half to even."""
+    return lambda n: F.bround((n - 1) * p)
 
 
-def rounded_index(rows: DataFrame, group: str, value: str, p: float, name: str) -> DataFrame:
-    """group and the value at index (n - 1) p of its sorted values, the index rounded half to even.
+def quantiles(rows: DataFrame, group: str, value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """group and, under each name of ``wanted``, the exact value at an index (from 0) of its sorted values; nulls don't count.
 
-    Equal values are counted first, so that only distinct ones are sorted.
+    Approximate quantiles cut a group's values into PARTS ranges, equal values are counted first, and
+    each range is sorted on its own, so that no task sorts a whole group.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    ahead = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"upto": F.sum("c").over(ahead), "n": F.sum("c").over(Window.partitionBy(group))})
-    return placed.where(F.col("upto") > F.bround((F.col("n") - 1) * p)).groupBy(group).agg(F.min(value).alias(name))
+    known = rows.where(F.col(value).isNotNull()).select(group, value)
+    cuts = known.groupBy(group).agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 10_000).alias("cuts"), F.count("*").alias("n"))
+    counts = known.groupBy(group, value).agg(F.count("*").alias("c")).join(cuts, group)
+    counts = counts.withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col(value)))).drop("cuts")
+    ahead = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy(group, "part").agg(F.sum("c").alias("z")).withColumn("before", F.coalesce(F.sum("z").over(ahead), F.lit(0))).drop("z")
+    inside = Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("here", F.sum("c").over(inside)).join(parts, [group, "part"])
+    upto = F.col("before") + F.col("here")
+    return placed.groupBy(group).agg(*(F.min(F.when(upto > index(F.col("n")), F.col(value))).alias(name) for name, index in wanted.items()))

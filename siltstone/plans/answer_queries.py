@@ -164,8 +164,7 @@ def mode_comparison(t: Tables):
 
 @query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, list_sort(list(value))[round_even((count(value) - 1) * 0.95, 0)::INT + 1] AS p95_rounded FROM events GROUP BY event_type""")
 def latency_percentiles(t: Tables):
-    ranks = t.events.groupBy("event_type").agg(E.nearest_rank("value", 0.5).alias("p50"), E.nearest_rank("value", 0.95).alias("p95"))
-    return ranks.join(E.rounded_index(t.events, "event_type", "value", 0.95, "p95_rounded"), "event_type")
+    return E.quantiles(t.events, "event_type", "value", {"p50": E.nearest_rank(0.5), "p95": E.nearest_rank(0.95), "p95_rounded": E.rounded_index(0.95)})
 
 
 @query("""
