@@ -50,11 +50,20 @@ sql_query("window_rollover", "SELECT event_type, min(event_id) - 1 AS todate, ma
 sql_query("dump_finalisation", "SELECT event_type, count(*) AS done, greatest(0, 2500 - count(*)) AS needed, CASE WHEN count(*) >= 1990 THEN max(ts) END AS mark FROM events GROUP BY event_type")
 sql_query("document_detail", """
 SELECT user_id, event_id, event_type, place FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) x WHERE place <= 30""")
-sql_query("index_checks", """
-SELECT 'point_count' AS code, (SELECT count(*) FROM embeddings) AS actual, (SELECT count(DISTINCT vec_id) FROM embeddings) AS expected
+@query("""SELECT 'point_count' AS code, (SELECT count(*) FROM embeddings) AS actual, (SELECT count(DISTINCT vec_id) FROM embeddings) AS expected
 UNION ALL SELECT 'orphans', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)), 0
 UNION ALL SELECT 'duplicates_absent', (SELECT count(*) FROM (SELECT vec_id FROM embeddings GROUP BY vec_id HAVING count(*) > 1) x), 0
-UNION ALL SELECT 'dimensions', (SELECT count(*) FROM embeddings WHERE label IS NULL), 0""")
+UNION ALL SELECT 'dimensions', (SELECT count(*) FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64), 0""")
+def index_checks(t: Tables):
+    """Counts that should be equal; vectors of another size than the index has are wrong."""
+    points = t.embeddings.agg(F.count("*").alias("actual"), F.countDistinct("vec_id").alias("expected")).select(F.lit("point_count").alias("code"), "actual", "expected")
+    wrong = lambda code, rows: rows.agg(F.count("*").alias("actual")).select(F.lit(code).alias("code"), "actual", F.lit(0).cast("bigint").alias("expected"))
+    orphans = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti")
+    copies = t.embeddings.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = t.embeddings.where(F.col("embedding").isNull() | (F.size("embedding") != 64))
+    return points.unionByName(wrong("orphans", orphans)).unionByName(wrong("duplicates_absent", copies)).unionByName(wrong("dimensions", sizes))
+
+
 sql_query("feedback_upsert", "SELECT user_id, event_type, max(event_id) AS response, count(*) AS writes FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id, event_type")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.registry import Tables, query
 from siltstone.sources import pages
+from siltstone.sources.files import remove
 from siltstone.sources.shared import new_folder
 from siltstone.streaming import events as S
 from siltstone.streaming import ingestion, jobs
@@ -16,6 +17,7 @@ def _run(t: Tables, out):
     """All that is available of a stream, through a checkpointed Parquet sink in the shared folder."""
     root = new_folder(t.spark, "stream")
     out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    remove(t.spark, f"{root}/checkpoint")
     return t.spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 
@@ -50,6 +52,8 @@ def _to_the_end(t: Tables, events, build):
             out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
             last = F.expr("TIMESTAMP '2200-01-01 00:00:00'")
             t.spark.range(1).select(*(last.alias(f.name) if f.name == "ts" else F.lit(-1 if f.name == _KEY else None).cast(f.dataType).alias(f.name) for f in events.schema)).write.mode("append").parquet(f"{root}/end")
+    for folder in ("checkpoint", "end"):
+        remove(t.spark, f"{root}/{folder}")
     return t.spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 
@@ -110,4 +114,7 @@ def paged_ingestion(t: Tables):
         if name == "incremental":
             told = told.withColumns({"price": F.when(F.col("status") == "F", F.col("price") * 2).otherwise(F.col("price")), "status": F.when(F.col("status") == "F", "X").otherwise(F.col("status"))})
         ingestion.run(store, _pages(t, told, f"{root}/{name}"), parse, f"{root}/{name}/checkpoint", name, until, F.to_json(F.struct("status", "price", "ordered")), F.struct("page", "item"))
+    for folder in ("pages", "spool", "checkpoint"):
+        for name in ("initial", "incremental"):
+            remove(t.spark, f"{root}/{name}/{folder}")
     return store.current().select("key", "status", "version", F.round("price", 2).alias("price"))

@@ -1,7 +1,5 @@
 """Contexts, gates, tags, accounts and filters against plain Python and by hand."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,37 +9,28 @@ from siltstone.operators import threads as O
 from siltstone.operators.filters import SearchFilters
 
 
-def context_by_hand(passages, budget, sources, least):
-    """The rules of context_text, one passage after the other."""
-    tokens = lambda s: max(1, (len(s) + 3) // 4)
-    blocks, got, used = [], [], 0
-    for title, i, text in passages:
-        if len(got) >= sources:
-            break
-        safe = re.sub(r"\[(\d{1,4})\]", "〔\\1〕", text)
-        block = lambda x: f'<source id="{len(got) + 1}">\nTitle: {title}\n\n{x}\n</source>'  # noqa: B023, E731
-        cut = used + tokens(block(safe)) > budget
-        if cut:
-            left = budget - used
-            if left < least:
-                continue
-            start = safe[: 4 * left]
-            line = start.rfind("\n")
-            safe = (start[:line] if "\n" in start and 2 * line >= 4 * left else start).rstrip(" ")
-        shown = block(safe)
-        blocks.append(shown)
-        got.append((len(got) + 1, i, cut))
-        used += tokens(shown)
-    return "\n\n".join(blocks), used, got
-
-
-@pytest.mark.parametrize(("budget", "sources", "least"), [(1000, 6, 40), (120, 6, 40), (120, 2, 10), (60, 6, 5), (30, 6, 40)])
-def test_context_text_by_hand(spark, budget, sources, least):
-    passages = [("one", 7, "cites [1] and [22] here. " * 6), ("two", 8, "\n".join(["a line of text"] * 12)), ("three", 9, "short"), ("four", 10, "x" * 300)]
+def block(number, title, text):
+    return f'<source id="{number}">\nTitle: {title}\n\n{text}\n</source>'
+
+
+#: Passages (title, id, text), budget, sources, least; the context, its tokens and its sources, written out.
+CONTEXTS = {
+    "two fit, citations of their own are taken out": ([("one", 7, "cites [1] here"), ("two", 8, "b")], 1000, 6, 40, block(1, "one", "cites 〔1〕 here") + "\n\n" + block(2, "two", "b"), 23, [(1, 7, False), (2, 8, False)]),
+    "no more sources than asked for": ([("one", 7, "cites [1] here"), ("two", 8, "b")], 1000, 1, 40, block(1, "one", "cites 〔1〕 here"), 13, [(1, 7, False)]),
+    "cut at a line end past the half": ([("one", 7, "a" * 25 + "\n" + "b" * 30)], 10, 6, 5, block(1, "one", "a" * 25), 16, [(1, 7, True)]),
+    "cut within the line if its start lies before the half": ([("one", 7, "a" * 10 + "\n" + "b" * 50)], 10, 6, 5, block(1, "one", "a" * 10 + "\n" + "b" * 29), 20, [(1, 7, True)]),
+    "cut without any line end": ([("one", 7, "x" * 300)], 10, 6, 5, block(1, "one", "x" * 40), 20, [(1, 7, True)]),
+    "too little is left": ([("one", 7, "x" * 300)], 10, 6, 40, "", 0, []),
+    "a long one is passed over, a short one behind it fits": ([("one", 7, "x" * 300), ("two", 8, "b")], 11, 6, 40, block(1, "two", "b"), 10, [(1, 8, False)]),
+}
+
+
+@pytest.mark.parametrize("name", CONTEXTS)
+def test_contexts_written_out(spark, name):
+    passages, budget, sources, least, text, tokens, taken = CONTEXTS[name]
     df = spark.createDataFrame([(passages,)], "ps array<struct<title:string,id:bigint,text:string>>")
     got = df.select(G.context_text(F.col("ps"), budget, sources, least).alias("c")).first()["c"]
-    text, used, taken = context_by_hand(passages, budget, sources, least)
-    assert (got["text"], got["tokens"], [tuple(s) for s in got["sources"]]) == (text, used, taken)
+    assert (got["text"], got["tokens"], [tuple(s) for s in got["sources"]]) == (text, tokens, taken)
 
 
 def test_gate_defaults(spark):
