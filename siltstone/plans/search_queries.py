@@ -182,6 +182,14 @@ def sort_modes(t: Tables):
     return _final(t).select("item_id", "doc_id", by(F.desc("final"), "doc_id").alias("by_relevance"), by(F.desc("doc_id")).alias("by_date"), by(F.desc("n_chars"), "doc_id").alias("by_score"))
 
 
+@query(f"""{_FUSED}, g AS (SELECT item_id, source, max(final) AS relevance, max(doc_id) AS date, max(n_chars) AS score FROM final GROUP BY ALL)
+SELECT item_id, source, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, source)::BIGINT AS by_relevance, row_number() OVER (PARTITION BY item_id ORDER BY date DESC, source)::BIGINT AS by_date,
+  row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source)::BIGINT AS by_score FROM g""")
+def sort_group_modes(t: Tables):
+    """The groups of each result in each of the orders that a user may choose."""
+    return R.sort_groups(_final(t), "item_id", "source", {"relevance": F.col("final"), "date": F.col("doc_id"), "score": F.col("n_chars")})
+
+
 @query(f"""{_FUSED} SELECT item_id, doc_id, final, place::BIGINT AS place, total::BIGINT AS total FROM (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS place, count(*) OVER (PARTITION BY item_id) AS total FROM final) WHERE place BETWEEN 11 AND 20""")
 def paginate(t: Tables):
     return R.page(_final(t), "item_id", [F.desc("final"), F.col("doc_id")], 2, 10).select("item_id", "doc_id", "final", "place", "total")

@@ -180,3 +180,10 @@ def edit_audit(t: Tables):
     tags = F.when(edited, F.array(F.lit("edited"))).otherwise(F.array().cast("array<string>"))
     new = row(F.when(edited, F.concat(F.lit("Edited: "), "o_orderpriority")).otherwise(F.col("o_orderpriority")), F.col("o_custkey") + edited.cast("int"), tags, dear)
     return V.audit(old, new, "o_orderkey")
+
+
+@query("""SELECT event_id, sha256('{"a":{"z":"","é":[' || user_id || ',null,{"x":true,"y":"' || event_type || '"}]},"b":' || (props->>'$.k') || '}') AS digest FROM events""")
+def stable_hash_nested(t: Tables):
+    """The hash of a nested value does not hang on the order or spacing of its keys."""
+    value = F.concat(F.lit('{ "b" : '), F.get_json_object("props", "$.k"), F.lit(', "a": {"z":"", "\\u00e9": [ '), F.col("user_id").cast("string"), F.lit(', null, {"y":"'), "event_type", F.lit('","x":true}]}}'))
+    return V.canonical_json(t.events.select("event_id", value.alias("props")), "props").select("event_id", F.sha2("props", 256).alias("digest"))

@@ -16,18 +16,33 @@ from siltstone.sources.files import get, names, put_new, remove
 REQUIRED = {"point_id": "string", "document_id": "bigint", "embedding": "array<float>"}
 
 
+#: The fields of a point's payload that searches filter or sort by, and their types.
+PAYLOAD = {
+    "chunk_id": "string", "document_id": "string", "source_id": "string", "tags": "array<string>", "published_at": "string", "question_score": "bigint", "accepted_answer": "boolean", "has_code": "boolean",
+    "section_type": "string", "document_status": "string", "processing_status": "string", "deduplication_status": "string",
+}
+
+
 def schema_hash(settings: dict[str, object]) -> str:
     """A hash of an index's settings (models, sizes, versions) that does not hang on their order."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def check_schema(points: DataFrame) -> None:
+def check_schema(points: DataFrame, required: dict[str, str] = REQUIRED) -> None:
+    """Raises an error that names every column that is missing or of another type."""
     found = dict(points.dtypes)
-    wrong = {c: found.get(c) for c, kind in REQUIRED.items() if found.get(c) != kind}
+    wrong = {c: found.get(c) for c, kind in required.items() if found.get(c) != kind}
     if wrong:
         raise ValueError(f"points have wrong or missing columns: {wrong}")
 
 
+def check_settings(stored: dict[str, object], wanted: dict[str, object]) -> None:
+    """Raises an error that names every setting of a stored index that differs from what is wanted."""
+    wrong = {k: (stored.get(k), wanted.get(k)) for k in stored.keys() | wanted.keys() if stored.get(k) != wanted.get(k)}
+    if wrong:
+        raise IndexFailure(f"INDEX_SCHEMA_MISMATCH: {dict(sorted(wrong.items()))}")
+
+
 def write_version(points: DataFrame, root: str, version: int) -> DataFrame:
     """Writes a new version beside the old ones and returns it as written."""
     check_schema(points)

@@ -111,3 +111,16 @@ def test_schema_hash_of_a_build(spark, versions):
     versions.build(points(spark, 1), 1, {"model": "m"})
     assert versions.history(1)[0]["schema_hash"] == index.schema_hash({"model": "m"})
     assert versions.build(points(spark, 0), 2) == 0
+
+
+def test_schemas_and_settings_are_compared(spark):
+    from siltstone.plans import corpus_queries
+    from siltstone.plans.registry import Tables
+
+    payload = corpus_queries._points(Tables(spark, "/root/testdata/sf0.001"))
+    index.check_schema(payload, index.PAYLOAD)
+    with pytest.raises(ValueError, match="tags"):
+        index.check_schema(payload.drop("tags"), index.PAYLOAD)
+    index.check_settings({"size": 64, "distance": "cosine"}, {"distance": "cosine", "size": 64})
+    with pytest.raises(index.IndexFailure, match="size"):
+        index.check_settings({"size": 64}, {"size": 65, "distance": "cosine"})
