@@ -39,7 +39,7 @@ ROWS_A_RANGE = 1_000_000
 #: Candidates whose share of equal signature bytes is lower are dropped before their sets are
 #: compared: about five standard deviations below SIMILARITY_PERCENT.
 SKETCH_FLOOR = 0.59
-#: Up to so many ids (8 bytes each) are broadcast; beyond, the join shuffles.
+#: Up to so many ids (8 bytes each) or regions (24) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -237,6 +237,9 @@ def _unread(docs: DataFrame, dense: DataFrame, component: Callable[[str], DataFr
     placed = scratch.keep("placed", dense.join(component("id"), "id", "left").withColumn("at", F.coalesce("at_id", "id")).drop("at_id"))
     tally = placed.groupBy("tree", "prefix", "at").agg(F.count("*").alias("n"))
     mixed = tally.groupBy("tree", "prefix").agg(F.count("*").alias("k"), F.max_by("at", F.struct("n", -F.col("at"))).alias("main")).where("k > 1").drop("k")
+    mixed = scratch.keep("regions", mixed)
+    if mixed.count() <= BROADCAST_IDS:  # a large region's members then stay where they are
+        mixed = F.broadcast(mixed)
     inside = scratch.keep("mixed", placed.join(mixed, ["tree", "prefix"]).groupBy("id", "at").agg(F.max(F.col("at") != F.col("main")).alias("asks")))
     if inside.isEmpty():
         return None
@@ -251,7 +254,7 @@ def _unread(docs: DataFrame, dense: DataFrame, component: Callable[[str], DataFr
     overlap = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1
     near = (F.col("at") != F.col("at_u")) & (overlap * (100 + SIMILARITY_PERCENT) >= SIMILARITY_PERCENT * (F.col("n") + F.col("m")))
     pairs = _met(index).where(near).select(F.least("id", "u").alias("a"), F.greatest("id", "u").alias("b")).distinct()
-    scratch.drop("shingled", "placed")
+    scratch.drop("shingled", "placed", "regions")
     return pairs
 
 
