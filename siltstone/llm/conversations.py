@@ -374,3 +374,71 @@ def repair(spark: SparkSession, conversations: DataFrame, long_rows: int = LONG_
 def repair_digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of every conversation; see repair()."""
     return repair(spark, conversations)
+
+
+def _sql() -> str:
+    """DuckDB SQL of repair() over conversations: a row at a time, the least (cost, audit) of each state so far.
+
+    Two cheapest ways into one state never begin one another, so the least audit of each is all that is needed.
+    """
+    far = 1_000_000_000
+
+    def put(state: str, cost: str, edit: str, line: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || CASE WHEN {state}.t = '' THEN '' ELSE chr(10) END || {line}}}"
+
+    def inserted(state: str, role: str) -> str:
+        return put(state, str(INSERT), "I", f"'{role}:'")
+
+    def kept(state: str, initial_: str) -> str:
+        return put(state, f"CASE WHEN own = '{initial_}' AND NOT doomed THEN cut ELSE {far} END", "K", "role || ':' || text")
+
+    def changed(state: str, role: str) -> str:
+        return put(state, f"CASE WHEN NOT doomed THEN {REROLE} + cut ELSE {far} END", "R", f"'{role}:' || text")
+
+    def gone(state: str) -> str:
+        return f"{{'c': {state}.c + {DELETE}, 'a': {state}.a || 'D', 't': {state}.t}}"
+
+    user = f"list_min([s3, {inserted('s1', 'user')}, {inserted('s2', 'user')}, {inserted('s4', 'user')}])"
+    assistant = f"list_min([s4, {inserted('u', 'assistant')}])"
+    before = ("s1", "s2", "a")  # states that a user turn may follow
+    after_user = ", ".join([gone("u"), *(kept(x, "u") for x in before), *(changed(x, "user") for x in before)])
+    after_assistant = ", ".join([gone("a"), kept("u", "a"), changed("u", "assistant")])
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    bits = "flatten(list_transform(string_split(key, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20"
+    space = r"E' \t\n\x0B\f\r'"
+    start, unreached = "{'c': 0, 'a': '', 't': ''}", f"{{'c': {far}, 'a': '', 't': ''}}"
+    return rf"""
+WITH RECURSIVE
+kinds AS (SELECT *, {crc} AS kind FROM (SELECT *, {key} AS key FROM conversations)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds),
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+seen AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         rtrim(text, {space}) AS bare, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS own
+  FROM damaged d JOIN convs ON convs.conv_id IS NOT DISTINCT FROM d.conv_id),
+judged AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS repeated, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS short, lag(own) OVER (PARTITION BY c ORDER BY i) AS last FROM seen),
+told AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE repeated) AS duplicate,
+         count(*) FILTER (WHERE short) AS truncated, count(*) FILTER (WHERE last || own NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY c),
+walk AS (
+  SELECT c, 0::BIGINT AS i, {start} AS s1, {unreached} AS s2, {unreached} AS s3, {unreached} AS s4 FROM convs
+  UNION ALL
+  SELECT c, i, {gone('s1')}, list_min([{gone('s2')}, {kept('s1', 's')}]), list_min([{after_user}]), list_min([{after_assistant}])
+  FROM (SELECT *, {assistant} AS a FROM (
+    SELECT w.c, j.i, s1, s2, s3, s4, j.role, j.text, j.own, j.blank OR j.repeated AS doomed, j.short::INTEGER AS cut, {user} AS u FROM walk w JOIN judged j ON j.c = w.c AND j.i = w.i + 1))),
+ends AS (SELECT c, i, list_min([s1, {assistant}]) AS e FROM (SELECT *, {user} AS u FROM walk))
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       e.c::BIGINT AS cost, e.a AS audit, sha256(e.t) AS repaired_sha256
+FROM convs LEFT JOIN told ON told.c = convs.c JOIN ends ON ends.c = convs.c AND ends.i = coalesce(told.n, 0)
+"""
+
+
+#: DuckDB SQL of repair() over conversations.
+REPAIR_SQL = _sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.alignment import alignment_digest
-from siltstone.llm.conversations import repair_digest
+from siltstone.llm.conversations import REPAIR_SQL, repair_digest
 from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.html_text import page_texts
 from siltstone.llm.language import language_digest
@@ -96,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_curriculum": MIX_SQL,
     "op3_license_sentences": LICENSE_SQL,
+    "op11_conversation_repair": REPAIR_SQL,
 }

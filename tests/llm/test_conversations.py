@@ -6,6 +6,7 @@ import re
 import zlib
 from functools import lru_cache
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,16 @@ def test_odd_rows(spark, odd_rows):
     assert conversations.repair(spark, df.limit(0)).count() == 0
 
 
+def test_sql_on_odd_rows(spark, odd_rows):
+    con = duckdb.connect()
+    con.register("conversations", spark.createDataFrame(odd_rows, SCHEMA).toArrow())
+    answer = con.execute(conversations.REPAIR_SQL)
+    names = [c[0] for c in answer.description]
+    want = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    got = {r["conv_id"]: tuple(r[n] for n in want) for r in (dict(zip(names, row, strict=True)) for row in answer.fetchall())}
+    assert got == by_hand(odd_rows)
+
+
 def test_segments_give_the_same(spark, odd_rows, monkeypatch):
     monkeypatch.setattr(conversations, "SEGMENT_BITS", 1)
     df = spark.createDataFrame(odd_rows, SCHEMA)
