@@ -342,3 +342,21 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but for near copies of a document with a smaller doc_id."""
     dropped = Scratch(spark, "copies").keep("dropped", near_duplicates(spark, docs).where("not kept").select("doc_id").distinct())
     return without(docs, dropped, "doc_id")
+
+#: DuckDB SQL of near_duplicates() over documents with distinct doc_ids: every pair that shares a shingle.
+NEAR_SQL = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE_WORDS} THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE_WORDS - 2}), lambda i: array_to_string(w[i:i + {SHINGLE_WORDS - 1}], ' '))) END AS s
+  FROM worded),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= {SIMILARITY_PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {SIMILARITY_PERCENT} * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS x FROM documents UNION SELECT e.b, r.x FROM reach r JOIN edges e ON e.a = r.id WHERE r.x < e.b)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.x AS component_id, m.x = s.doc_id AS kept FROM sets s JOIN (SELECT id, min(x) AS x FROM reach GROUP BY id) m ON m.id = s.doc_id
+"""

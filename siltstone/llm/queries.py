@@ -13,7 +13,7 @@ from siltstone.llm.html_text import page_texts
 from siltstone.llm.language import language_digest
 from siltstone.llm.licenses import LICENSE_SQL, licenses
 from siltstone.llm.mixing import MIX_SQL, mix_digest
-from siltstone.llm.near_dedup import near_duplicates
+from siltstone.llm.near_dedup import NEAR_SQL, near_duplicates
 from siltstone.llm.packing import packing_digest
 from siltstone.llm.quality_model import quality_digest
 from siltstone.llm.quality_rules import quality_rules
@@ -96,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_curriculum": MIX_SQL,
     "op3_license_sentences": LICENSE_SQL,
+    "op9_minhash_near_dedup": NEAR_SQL,
     "op11_conversation_repair": REPAIR_SQL,
 }
