@@ -29,7 +29,7 @@ from siltstone.llm.tokens import ByteLevel, Pieces, sizes, vocabulary
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Documents are numbered in slices of about this many bytes.
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 23
 #: Segments go to the tokenizers in blocks of about this many bytes.
 BLOCK_BYTES = 1 << 20
 #: Counts of up to this many id pairs (17 bytes each) are sent to every executor; more are joined by a shuffle.
@@ -54,13 +54,15 @@ def numbered(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
         at = TaskContext.get().partitionId() << 32
         for ids, texts in gathered(batches, SLICE_BYTES):
             alive = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)
-            spaced = pc.if_else(pa.array(alive), pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.fill_null(texts, ""), pa.scalar(" ", pa.large_string())), pa.scalar("", pa.large_string()))
+            front = pc.if_else(pa.array(alive), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
+            spaced = pc.binary_join_element_wise(front, pc.fill_null(texts, ""), pa.scalar("", pa.large_string()))
+            del texts
             for first, end, raw, offsets in slices(spaced, 1 << 62, len(spaced)):
                 starts = segment_starts(raw, offsets, joined)
                 coded = string_array(raw, starts).dictionary_encode()
                 values, codes = coded.dictionary, coded.indices.to_numpy()
                 bounds = np.searchsorted(starts, offsets)
-                letters = set("".join(values.to_pylist()))
+                letters = set().union(*(part.tobytes().decode() for _, _, part, _ in slices(values)))
                 kept |= {c: right.keeps(c) for c in letters - kept.keys()}
                 if lost := [c for c in letters if not kept[c]]:
                     bad = np.zeros(len(values), bool)
@@ -78,6 +80,7 @@ def numbered(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
                 yield from _batches([pa.array(np.full(n, at)), pa.array(np.arange(n, dtype=np.int32)), values.take(pa.array(order[:n])), pa.array(counts[order[:n]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.large_binary())])
                 yield from _batches([pa.array(np.full(m, at)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.large_string()), pa.nulls(m, pa.int64()), ids, packed])
                 at += 1
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(number, "slice bigint, code int, segment string, n bigint, doc_id bigint, codes binary")
 
@@ -237,10 +240,15 @@ def _composer(keep_groups: bool):
             total = np.concatenate([[0], np.cumsum(segments[name].to_numpy().astype(np.int64)[at])])
             out[name] = pa.array(total[ends] - total[ends - n_codes])
         groups = segments["groups"].to_pylist()
-        texts = [None if x is None else ";".join([groups[i] for i in x.tolist()]) for x in lists]
-        out["groups_sha256"] = pa.array(["" if t is None else hashlib.sha256(t.encode()).hexdigest() for t in texts])
+        hashes, told = [], []
+        for x in lists:
+            text = "" if x is None else ";".join([groups[i] for i in x.tolist()])
+            hashes.append("" if x is None else hashlib.sha256(text.encode()).hexdigest())
+            if keep_groups:
+                told.append(text)
+        out["groups_sha256"] = pa.array(hashes)
         if keep_groups:
-            out["groups"] = pa.array([t or "" for t in texts])
+            out["groups"] = pa.array(told)
         out["n_links"] = out["n_groups"]
         order = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] + (["groups"] if keep_groups else [])
         return pa.table({c: out[c] for c in order})

@@ -34,15 +34,15 @@ def segment_starts(raw: np.ndarray, offsets: np.ndarray, joined: np.ndarray) ->
     """
     if not len(raw):
         return np.zeros(0, np.int64)
-    space = SPACES[raw]
-    back = [np.concatenate([np.zeros(k, np.uint8), raw[:-k]])[: len(raw)] for k in (1, 2, 3)]
-    wide = (back[0] >= 128) & (
-        ((back[1] == 0xC2) & ((back[0] == 0x85) | (back[0] == 0xA0)))
-        | ((back[2] == 0xE1) & (back[1] == 0x9A)) | ((back[2] == 0xE2) & ((back[1] == 0x80) | (back[1] == 0x81))) | ((back[2] == 0xE3) & (back[1] == 0x80))
+    at = np.flatnonzero(SPACES[raw])
+    one, two, three = (np.where(at >= k, raw[np.maximum(at - k, 0)], 0) for k in (1, 2, 3))
+    wide = (one >= 128) & (
+        ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+        | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
     )
-    cut = space & (back[0] > 0x20) & (back[0] != 0x7F) & ~wide & ~joined[back[0], raw]
-    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-    return np.flatnonzero(cut)
+    cuts = at[(one > 0x20) & (one != 0x7F) & ~wide & ~joined[one, raw[at]]]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    return np.union1d(cuts, firsts)
 
 
 def string_array(raw: np.ndarray, starts: np.ndarray) -> pa.Array:
