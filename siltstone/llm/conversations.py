@@ -419,10 +419,10 @@ damaged AS (
 convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
 seen AS (
   SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
-         row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
          rtrim(text, {space}) AS bare, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS own
   FROM damaged d JOIN convs ON convs.conv_id IS NOT DISTINCT FROM d.conv_id),
-judged AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS repeated, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS short, lag(own) OVER (PARTITION BY c ORDER BY i) AS last FROM seen),
+marked AS (SELECT *, i > min(i) OVER (PARTITION BY c, role, text) AS again FROM seen),
+judged AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS repeated, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS short, lag(own) OVER (PARTITION BY c ORDER BY i) AS last FROM marked),
 told AS (
   SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE repeated) AS duplicate,
          count(*) FILTER (WHERE short) AS truncated, count(*) FILTER (WHERE last || own NOT IN ('su', 'ua', 'au')) AS illegal
