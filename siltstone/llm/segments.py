@@ -35,14 +35,18 @@ def segment_starts(raw: np.ndarray, offsets: np.ndarray, joined: np.ndarray) ->
     if not len(raw):
         return np.zeros(0, np.int64)
     at = np.flatnonzero(SPACES[raw])
-    one, two, three = (np.where(at >= k, raw[np.maximum(at - k, 0)], 0) for k in (1, 2, 3))
-    wide = (one >= 128) & (
+    before = raw.take(at - 1, mode="clip")
+    fine = (before > 0x20) & (before != 0x7F) & ~joined[before, raw[at]]
+    high = np.flatnonzero(fine & (before >= 128))
+    one, two, three = before[high], raw.take(at[high] - 2, mode="clip"), raw.take(at[high] - 3, mode="clip")
+    fine[high] = ~(
         ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
         | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
     )
-    cuts = at[(one > 0x20) & (one != 0x7F) & ~wide & ~joined[one, raw[at]]]
-    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    return np.union1d(cuts, firsts)
+    cut = np.zeros(len(raw), bool)
+    cut[at[fine]] = True
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(cut)
 
 
 def string_array(raw: np.ndarray, starts: np.ndarray) -> pa.Array:
