@@ -29,14 +29,14 @@ from siltstone.llm.tokens import ByteLevel, Pieces, sizes, vocabulary
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Documents are numbered in slices of about this many bytes.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 12 << 20
 #: Segments go to the tokenizers in blocks of about this many bytes.
 BLOCK_BYTES = 1 << 20
 #: Counts of up to this many id pairs (17 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_PAIRS = 4_000_000
 
 _NUMBERED = pa.schema([("slice", pa.int64()), ("code", pa.int32()), ("segment", pa.large_string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.large_binary())])
-_ALIGNED = pa.schema([("slice", pa.int64()), ("code", pa.int32()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.large_string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+_ALIGNED = pa.schema([("slice", pa.int64()), ("code", pa.int32()), ("n", pa.int64()), ("n_a", pa.int32()), ("groups", pa.large_string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 _DIGEST = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
 
 
@@ -104,7 +104,7 @@ def _batches(columns: list[pa.Array], rows: int = 1 << 15) -> Iterator[pa.Record
 
 
 def aligned(segments: DataFrame, a: bytes, b: bytes) -> DataFrame:
-    """Rows (slice, code, segment, n) with their segment's token counts, groups as text, and linked ids a and b.
+    """Rows (slice, code, segment, n) with their segment's count of A tokens, groups as text, and linked ids a and b.
 
     A group ends where tokens of both end; its last two tokens are the link.  Ids that do not spell
     their segment are an error: numbered() leaves out the characters that could make some.
@@ -129,7 +129,7 @@ def aligned(segments: DataFrame, a: bytes, b: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=_ALIGNED)
 
     spread = segments.select("slice", "code", "n", "segment").repartition("segment").sortWithinPartitions("segment")
-    return spread.mapInArrow(align, "slice bigint, code int, n bigint, n_a int, n_b int, groups string, a array<int>, b array<int>")
+    return spread.mapInArrow(align, "slice bigint, code int, n bigint, n_a int, groups string, a array<int>, b array<int>")
 
 
 def _blocks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -142,7 +142,7 @@ def _blocks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _aligned_block(segments: list[str], raw: bytes, offsets: np.ndarray, left: ByteLevel, right: Pieces, size_a: np.ndarray, size_b: np.ndarray) -> list[tuple]:
-    """(n_a, n_b, groups, a, b) of each segment, from the ends of all their tokens at once."""
+    """(n_a, groups, a, b) of each segment, from the ends of all their tokens at once."""
     by_a, by_b = left.encode(segments), right.encode(segments)
     ids_a, ids_b = (np.fromiter((t for s in x for t in s), np.int64) for x in (by_a, by_b))
     if b"".join(left.entries[t] for t in ids_a) != raw or b"".join(right.entries[t] for t in ids_b) != raw:
@@ -152,7 +152,7 @@ def _aligned_block(segments: list[str], raw: bytes, offsets: np.ndarray, left: B
     links = np.searchsorted(both, offsets, "right").tolist()  # the bounds of each segment
     texts = _group_texts(ids_a.tolist(), ids_b.tolist(), at_a.tolist(), at_b.tolist(), links)
     link_a, link_b = ids_a[at_a].tolist(), ids_b[at_b].tolist()
-    return [(len(x), len(y), text, link_a[i:j], link_b[i:j]) for x, y, text, i, j in zip(by_a, by_b, texts, links, links[1:], strict=False)]
+    return [(len(x), text, link_a[i:j], link_b[i:j]) for x, text, i, j in zip(by_a, texts, links, links[1:], strict=False)]
 
 
 def _group_texts(ids_a: list, ids_b: list, at_a: list, at_b: list, links: list) -> list[str]:
@@ -177,11 +177,11 @@ def with_best(pairs: DataFrame) -> DataFrame:
 
 
 def with_counts(alignments: DataFrame, pairs: DataFrame) -> DataFrame:
-    """alignments (slice, code, n_a, n_b, groups, a, b) with n_groups, n_best and count_sum in place of a and b.
+    """alignments (slice, code, n_a, groups, a, b) with n_best and count_sum in place of a and b.
 
     The pairs' counts go to every executor up to BROADCAST_PAIRS; more are joined to the exploded links.
     """
-    kept = alignments.select("slice", "code", "n_a", "n_b", "groups", F.size("a").alias("n_groups"), "a", "b")
+    kept = alignments.select("slice", "code", "n_a", "groups", "a", "b")
     if pairs.count() > BROADCAST_PAIRS:
         rows = kept.withColumn("key", F.struct("slice", "code"))
         links = rows.select("key", F.explode(F.arrays_zip("a", "b")).alias("l")).select("key", "l.a", "l.b").join(pairs, ["a", "b"])
@@ -191,15 +191,15 @@ def with_counts(alignments: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n_groups").to_numpy()
+            n = pc.list_value_length(batch.column("a")).to_numpy()
             key = (batch.column("a").flatten().to_numpy().astype(np.int64) << 32) + batch.column("b").flatten().to_numpy()
             at, ends = np.searchsorted(keys, key), np.cumsum(n)
             sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (best, counts)]
             more = [pa.array(s[ends] - s[ends - n]) for s in sums]
-            names = ["slice", "code", "n_a", "n_b", "groups", "n_groups"]
+            names = ["slice", "code", "n_a", "groups"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + more, names=[*names, "n_best", "count_sum"])
 
-    return kept.mapInArrow(look_up, "slice bigint, code int, n_a int, n_b int, groups string, n_groups int, n_best bigint, count_sum bigint")
+    return kept.mapInArrow(look_up, "slice bigint, code int, n_a int, groups string, n_best bigint, count_sum bigint")
 
 
 def align_tokenizers(spark: SparkSession, docs: DataFrame, path_a: str | None = None, path_b: str | None = None, keep_groups: bool = False) -> DataFrame:
@@ -224,7 +224,6 @@ def align_tokenizers(spark: SparkSession, docs: DataFrame, path_a: str | None =
 
 
 def _composer(keep_groups: bool):
-    names = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 
     def compose(documents: pa.Table, segments: pa.Table) -> pa.Table:
         """The documents of a slice from the alignments of its distinct segments."""
@@ -236,8 +235,12 @@ def _composer(keep_groups: bool):
         at = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)])
         ends = np.cumsum(n_codes)
         out = {"doc_id": documents["doc_id"]}
-        for name in names:
-            total = np.concatenate([[0], np.cumsum(segments[name].to_numpy().astype(np.int64)[at])])
+        # a group has one | and, among its tokens, one comma less on either side
+        n_groups = pc.count_substring(segments["groups"], "|").to_numpy().astype(np.int64)
+        tokens = pc.count_substring(segments["groups"], ",").to_numpy().astype(np.int64) + 2 * n_groups
+        own = {c: segments[c].to_numpy().astype(np.int64) for c in ("n_a", "n_best", "count_sum")}
+        for name, each in (own | {"n_b": tokens - own["n_a"], "n_groups": n_groups}).items():
+            total = np.concatenate([[0], np.cumsum(each[at])])
             out[name] = pa.array(total[ends] - total[ends - n_codes])
         groups = segments["groups"].to_pylist()
         hashes, told = [], []
