@@ -7,6 +7,8 @@ without Cyrillic letters are left alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,30 +40,53 @@ def _off(c: Column, lists: tuple[str, str]) -> Column:
     return F.regexp_replace(c, ending(lists), "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _first_step(region: Column) -> Column:
+    """The region without a gerund's ending, or else without a reflexive and then an adjective's, verb's or noun's."""
+
+    def without_reflexive(bare: Column) -> Column:
+        verb = lambda v: F.when(v != bare, v).otherwise(_off(bare, NOUN))
+        adjective = lambda a: F.when(a != bare, _off(a, PARTICIPLE)).otherwise(_let(_off(bare, VERB), verb))
+        return _let(_off(bare, ADJECTIVE), adjective)
+
+    return _let(_off(region, GERUND), lambda g: F.when(g != region, g).otherwise(_let(_off(region, REFLEXIVE), without_reflexive)))
+
+
 def russian_stem(word: Column) -> Column:
     """The stem of a lower-case word; null stays null."""
-    plain = F.translate(word, "ё", "е")
-    start = F.regexp_extract(plain, f"^[^{VOWEL}]*(?:[{VOWEL}]|$)", 0)
-    region = F.substr(plain, F.length(start) + 1)
-    # where R2 begins: after two vowels that a consonant follows; beyond the end if there are not two
-    second = F.regexp_extract(plain, f"^(?:.*?[{VOWEL}][^{VOWEL}]){{2}}", 0)
-    r2 = F.when(second == "", F.length(plain) + 1).otherwise(F.length(second))
-
-    gerund = _off(region, GERUND)
-    bare = _off(region, REFLEXIVE)
-    adjective, verb = _off(bare, ADJECTIVE), _off(bare, VERB)
-    first = F.when(gerund != region, gerund).when(adjective != bare, _off(adjective, PARTICIPLE)).when(verb != bare, verb).otherwise(_off(bare, NOUN))
-    second_step = F.regexp_replace(first, "и$", "")
-    derived = F.regexp_extract(second_step, "ость?$", 0)
-    inside = (derived != "") & (F.length(start) + F.length(second_step) - F.length(derived) >= r2)
-    third = F.when(inside, F.regexp_replace(second_step, "ость?$", "")).otherwise(second_step)
-    superlative = F.regexp_replace(third, "ейше?$", "")
-    last = F.when((superlative != third) | third.endswith("нн"), F.regexp_replace(superlative, "нн$", "н")).otherwise(F.regexp_replace(third, "ь$", ""))
-    return F.when(word.rlike("[а-яё]"), F.concat(start, last)).otherwise(word)
+
+    def derivational(plain: Column, start: Column, rest: Column) -> Column:
+        """Without an ending ость that lies in R2, which begins after two vowels that a consonant follows."""
+        second = F.length(F.regexp_extract(plain, f"^(?:.*?[{VOWEL}][^{VOWEL}]){{2}}", 0))
+        ending_ = F.length(F.regexp_extract(rest, "ость?$", 0))
+        inside = (ending_ > 0) & (second > 0) & (F.length(start) + F.length(rest) - ending_ >= second)
+        return F.when(inside, F.regexp_replace(rest, "ость?$", "")).otherwise(rest)
+
+    def last_step(rest: Column) -> Column:
+        """Without a superlative's ending, a second н or a soft sign."""
+        tidy = lambda bare: F.when((bare != rest) | rest.endswith("нн"), F.regexp_replace(bare, "нн$", "н")).otherwise(F.regexp_replace(rest, "ь$", ""))
+        return _let(F.regexp_replace(rest, "ейше?$", ""), tidy)
+
+    def whole(plain: Column) -> Column:
+        def stem(start: Column) -> Column:
+            steps = lambda region: _let(F.regexp_replace(_first_step(region), "и$", ""), lambda rest: _let(derivational(plain, start, rest), last_step))
+            return F.concat(start, _let(F.substr(plain, F.length(start) + 1), steps))
+
+        return _let(F.regexp_extract(plain, f"^[^{VOWEL}]*(?:[{VOWEL}]|$)", 0), stem)
+
+    return F.when(word.rlike("[а-яё]"), _let(F.replace(word, F.lit("ё"), F.lit("е")), whole)).otherwise(word)
+
+
+def russian_words(text: Column) -> Column:
+    """The words of a text in order, without stop words."""
+    words = F.regexp_extract_all(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.filter(words, lambda w: ~w.isin(*(s.replace("ё", "е") for s in STOP_WORDS)))
 
 
 def russian_terms(text: Column) -> Column:
     """The stems of a text's words in order, without stop words; the same for documents and queries."""
-    words = F.regexp_extract_all(F.translate(F.lower(text), "ё", "е"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(*(s.replace("ё", "е") for s in STOP_WORDS)))
-    return F.transform(kept, russian_stem)
+    return F.transform(russian_words(text), russian_stem)

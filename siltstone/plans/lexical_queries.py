@@ -57,7 +57,7 @@ def bm25_stemmed(t: Tables):
     """BM25 by Russian stems without stop words, on texts and queries alike."""
     docs = t.documents.select("doc_id", cyrillic(F.col("text")).alias("text"))
     asked = t.benchmark.select("item_id", cyrillic(F.col("text")).alias("asked_text"))
-    return R.bm25(docs, asked, "doc_id", "text", "item_id", "asked_text", 60, analyzer=M.russian_terms).select("item_id", "doc_id", "score", "rank")
+    return R.bm25(docs, asked, "doc_id", "text", "item_id", "asked_text", 60, analyzer=M.russian_words, stem=M.russian_stem).select("item_id", "doc_id", "score", "rank")
 
 
 _KEPT = "(SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
@@ -72,7 +72,7 @@ def _index_sql() -> str:
 @query(_index_sql())
 def lexical_index_deltas(t: Tables):
     """The index after all texts were put in, some were changed and some deleted: as if built anew."""
-    lexical = LexicalIndex(t.spark, new_folder(t.spark, "lexical"))
+    lexical = LexicalIndex(t.spark, new_folder(t.spark, "lexical"), buckets=8)
     docs = t.documents.select(F.col("doc_id").alias("key"), "text")
     lexical.update(1, docs)
     lexical.update(2, docs.where("key % 5 = 1").withColumn("text", F.reverse("text")), docs.where("key % 7 = 3").select("key"))

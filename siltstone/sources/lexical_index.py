@@ -19,22 +19,22 @@ from pyspark.sql import functions as F
 from siltstone.operators import retrieval
 from siltstone.sources.files import get, names, put_new
 
-#: Postings are laid out by hash ranges of their term, documents by those of their key.
+#: Postings are laid out by so many hash ranges of their term, documents by those of their key; an index keeps its number.
 BUCKETS = 64
 _DOCS = "key bigint, dl bigint, counts map<string,int>, hash string"
 _POSTINGS = "term string, key bigint, tf bigint, dl bigint, sign int"
 _STATS = "term string, df bigint"
 
 
-def _bucket(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-
 @dataclass
 class LexicalIndex:
     spark: SparkSession
     root: str
     analyzer: Callable[[Column], Column] = retrieval.terms
+    buckets: int = BUCKETS
+
+    def _bucket(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _entries(self) -> dict[int, dict]:
         return {int(n[:-5]): json.loads(get(self.spark, f"{self.root}/ledger/{n}")) for n in names(self.spark, f"{self.root}/ledger")}
@@ -79,11 +79,11 @@ class LexicalIndex:
         folder = f"{self.root}/changes/batch={batch}"
         changed.write.mode("overwrite").parquet(folder)
         changed = self.spark.read.parquet(folder)
-        self._write("documents", batch, changed.select("key", "dl", F.when(~F.col("gone"), F.col("counts")).alias("counts"), "hash", _bucket("key")))
-        side = lambda counts, dl, sign: changed.select("key", F.col(dl).alias("dl"), F.explode(counts).alias("term", "tf")).select("term", "key", F.col("tf").cast("bigint").alias("tf"), "dl", F.lit(sign).alias("sign"), _bucket("term"))
+        self._write("documents", batch, changed.select("key", "dl", F.when(~F.col("gone"), F.col("counts")).alias("counts"), "hash", self._bucket("key")))
+        side = lambda counts, dl, sign: changed.select("key", F.col(dl).alias("dl"), F.explode(counts).alias("term", "tf")).select("term", "key", F.col("tf").cast("bigint").alias("tf"), "dl", F.lit(sign).alias("sign"), self._bucket("term"))
         self._write("postings", batch, side("old_counts", "old_dl", -1).unionByName(side("counts", "dl", 1)))
         delta = self._read("postings", _POSTINGS, {batch: {}}).groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
-        self._write("stats", batch, delta.select("term", "df", _bucket("term")))
+        self._write("stats", batch, delta.select("term", "df", self._bucket("term")))
         n, length = changed.agg(
             F.coalesce(F.sum((~F.col("gone")).cast("long") - F.col("old_hash").isNotNull().cast("long")), F.lit(0)),
             F.coalesce(F.sum(F.when(F.col("gone"), 0).otherwise(F.col("dl")) - F.coalesce("old_dl", F.lit(0))), F.lit(0)),
@@ -116,7 +116,7 @@ class LexicalIndex:
     def search(self, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
         """query, key, score, rank of the k best documents, as bm25() gives them; only buckets of asked terms are read."""
         asked = queries.select(query, F.explode(F.array_distinct(self.analyzer(F.col(text)))).alias("term"))
-        buckets = [r["bucket"] for r in asked.select(_bucket("term")).distinct().collect()]  # BUCKETS at most
+        buckets = [r["bucket"] for r in asked.select(self._bucket("term")).distinct().collect()]  # ``buckets`` at most
         wanted = asked.select("term").distinct()
         n, avgdl = self.size()
         postings = self.postings(buckets).join(wanted, "term", "left_semi")
@@ -129,7 +129,7 @@ class LexicalIndex:
             raise ValueError("a compaction needs a number above all batches")
         n, avgdl = self.size()
         documents = self.documents()
-        self._write("documents", batch, documents.select("key", "dl", "counts", "hash", _bucket("key")))
-        self._write("postings", batch, self.postings().select("term", "key", "tf", "dl", F.lit(1).alias("sign"), _bucket("term")))
-        self._write("stats", batch, self.frequencies().select("term", "df", _bucket("term")))
+        self._write("documents", batch, documents.select("key", "dl", "counts", "hash", self._bucket("key")))
+        self._write("postings", batch, self.postings().select("term", "key", "tf", "dl", F.lit(1).alias("sign"), self._bucket("term")))
+        self._write("stats", batch, self.frequencies().select("term", "df", self._bucket("term")))
         return put_new(self.spark, f"{self.root}/ledger/{batch:012d}.json", json.dumps({"n": n, "length": round(n * avgdl), "compacted": True}))

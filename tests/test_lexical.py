@@ -23,11 +23,12 @@ def test_stems_of_known_words(spark):
 def test_terms_of_queries_and_texts(spark):
     texts = [("Все ВАЖНЕЙШИЕ вагоны и Wagons 42, ёлка_1",), ("",), (None,), ("и в не",), ("ь ы нн",)]
     got = [r[0] for r in spark.createDataFrame(texts, "text string").select(stemming.russian_terms(F.col("text"))).collect()]
-    assert got == [["важн", "вагон", "wagons", "42", "елка_1"], [], None, [], ["ь", "ы", "н" if got[4][2] == "н" else "нн"]]
+    assert got == [["важн", "вагон", "wagons", "42", "елка_1"], [], None, [], ["ь", "ы", "нн"]]
 
 
 def test_endings_take_the_longest_first():
-    assert stemming.ending(("б аб", "")) == "(?:(?<=[ая])(?:аб|б)|(?:))$" or stemming.ending(("", "а ба")) == "(?:(?:ба|а))$"
+    assert stemming.ending(("", "а ба")) == "(?:(?:ба|а))$"
+    assert stemming.ending(("б аб", "в")) == "(?:(?<=[ая])(?:аб|б)|(?:в))$"
 
 
 def rows(df, *names):
