@@ -29,7 +29,7 @@ from siltstone.llm.tokens import ByteLevel, Pieces, sizes, vocabulary
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Documents are numbered in slices of about this many bytes.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 1 << 23
 #: Segments go to the tokenizers in blocks of about this many bytes.
 BLOCK_BYTES = 1 << 20
 #: Counts of up to this many id pairs (17 bytes each) are sent to every executor; more are joined by a shuffle.
@@ -80,6 +80,8 @@ def numbered(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
                 yield from _batches([pa.array(np.full(n, at)), pa.array(np.arange(n, dtype=np.int32)), values.take(pa.array(order[:n])), pa.array(counts[order[:n]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.large_binary())])
                 yield from _batches([pa.array(np.full(m, at)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.large_string()), pa.nulls(m, pa.int64()), ids, packed])
                 at += 1
+            # the next slice, and whatever the worker does next, starts without this one
+            del spaced, raw, starts, coded, values, codes, packed
             pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(number, "slice bigint, code int, segment string, n bigint, doc_id bigint, codes binary")
