@@ -182,15 +182,16 @@ def mixed(docs: DataFrame, schedule: Schedule = Schedule()) -> DataFrame:
     plan = scratch.keep("plan", _runs(rows.drop("row", "__part"), docs.count(), schedule).drop("__id"))
     joined = rows.drop("__id").join(plan, ["__key", "__u", "__size"])
     key = ["__key", "__u", "__size"]
-    repeated = joined.where("__n > 1")
-    if not plan.where("__n > 1").isEmpty():
-        repeated = scratch.keep("repeated", repeated)
-    parts = repeated.groupBy(*key, "__part").agg(F.count("*").alias("__rows"))
-    ahead = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))).drop("__rows")
-    inside = Window.partitionBy(*key, "__part").orderBy(F.lit(0))
-    numbered = repeated.withColumn("__in", F.row_number().over(inside) - 1).join(parts, [*key, "__part"]).withColumn("__k", F.col("__ahead") + F.col("__in")).drop("__ahead", "__in")
-    placed = _drawn(joined.where("__n = 1").withColumn("__k", F.lit(0).cast("long")).unionByName(numbered), schedule, whole=True)
+    if plan.where("__n > 1").isEmpty():
+        placed = _drawn(joined.withColumn("__k", F.lit(0).cast("long")), schedule, whole=True)
+    else:
+        repeated = scratch.keep("repeated", joined.where("__n > 1"))
+        parts = repeated.groupBy(*key, "__part").agg(F.count("*").alias("__rows"))
+        ahead = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))).drop("__rows")
+        inside = Window.partitionBy(*key, "__part").orderBy(F.lit(0))
+        numbered = repeated.withColumn("__in", F.row_number().over(inside) - 1).join(parts, [*key, "__part"]).withColumn("__k", F.col("__ahead") + F.col("__in")).drop("__ahead", "__in")
+        placed = _drawn(joined.where("__n = 1").withColumn("__k", F.lit(0).cast("long")).unionByName(numbered), schedule, whole=True)
     return beside(placed.select("row", F.explode("__draws").alias("at"), "__u").orderBy("at", "__u"))
 
 
