@@ -115,13 +115,23 @@ class LexicalIndex:
 
     def search(self, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
         """query, key, score, rank of the k best documents, as bm25() gives them; only buckets of asked terms are read."""
-        asked = queries.select(query, F.explode(F.array_distinct(self.analyzer(F.col(text)))).alias("term"))
-        buckets = [r["bucket"] for r in asked.select(self._bucket("term")).distinct().collect()]  # ``buckets`` at most
-        wanted = asked.select("term").distinct()
+        asked = queries.select(F.col(query).cast("bigint").alias(query), F.explode(F.array_distinct(self.analyzer(F.col(text)))).alias("term"))
         n, avgdl = self.size()
-        postings = self.postings(buckets).join(wanted, "term", "left_semi")
-        scored = retrieval.scores(postings, self.frequencies(buckets).join(wanted, "term", "left_semi"), asked, query, "key", n, avgdl)
-        return retrieval.top_k(scored, query, "key", "score", k)
+        out = None
+        for block in retrieval.blocks_asked(asked, query):
+            places = F.broadcast(self.spark.createDataFrame(list(enumerate(block.terms)), "place int, term string"))
+            buckets = [r["bucket"] for r in places.select(self._bucket("term")).distinct().collect()]  # ``buckets`` at most
+            df = {r["place"]: r["df"] for r in self.frequencies(buckets).join(places, "term").collect()}  # a row an asked term
+            found = self._by_key(buckets, places)
+            best = retrieval.best_of(found, block, df, n, avgdl, query, "key", k)
+            out = best if out is None else out.unionByName(best)
+        return out
+
+    def _by_key(self, buckets: list[int], places: DataFrame) -> DataFrame:
+        """A row of each document that is there with the counts of some terms (term, place), after one shuffle by key."""
+        rows = self._read("postings", _POSTINGS).where(F.col("bucket").isin(buckets)).join(places, "term").select("key", "place", "tf", "dl", "sign").repartition("key")
+        sums = rows.groupBy("key", "place").agg(F.sum("sign").alias("here"), *(F.sum(F.col(c) * F.col("sign")).alias(c) for c in ("tf", "dl"))).where("here > 0")
+        return sums.groupBy("key").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("place", F.col("tf").cast("double").alias("tf"))).alias("x")).select("key", "dl", F.col("x.place").alias("terms"), F.col("x.tf").alias("counts"))
 
     def compact(self, batch: int) -> bool:
         """Writes the sums of all deltas as one batch, from which reading then starts."""

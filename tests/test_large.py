@@ -19,3 +19,18 @@ def test_documents_without_index_meets_by_key(spark, tmp_path, orders, lines):
     want = con.execute(registry.ORACLE_SQL["documents_without_index"]).fetchall()
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
     assert "ExistenceJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_keeps_only_the_best_before_it_shuffles(spark, tmp_path):
+    """Pairs of queries and documents stay in their tasks; keys that come twice and null keys are as in SQL."""
+    words = ["red", "fox", "dog", "Blue", "and", "x1"]
+    docs = [(i, " ".join(words[(i * j) % 6] for j in range(1, 2 + i % 9))) for i in range(300)] + [(7, "red red dog"), (8, ""), (None, "red fox"), (None, "blue")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "red fox"), (2, "DOG"), (3, "nothing"), (4, ""), (5, "and x1 blue and")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = registry.QUERIES["bm25_topk"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(registry.ORACLE_SQL["bm25_topk"]).fetchall())
+    once = registry.QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
