@@ -32,6 +32,8 @@ FORMAT = "siltstone_pages"
 #: Server errors and throttling are worth another attempt.
 RETRYABLE = frozenset({429, 500, 502, 503, 504})
 LONGEST_WAIT = 60.0
+#: Saved items are dealt to chains of about so many pages, so that the batches of a stream do not grow in number with the items.
+CHAIN_PAGES = 50
 
 
 class PageError(RuntimeError):
@@ -152,10 +154,10 @@ class PageReader(DataSourceReader):
 
 @dataclass
 class Span(InputPartition):
+    """Pages of a chain, each with its first item and the end of its items."""
+
     chain: int
-    page: int
-    first: int
-    end: int
+    pages: list[tuple[int, int, int]]
 
 
 class PageStream(DataSourceStreamReader):
@@ -166,7 +168,8 @@ class PageStream(DataSourceStreamReader):
             raise ValueError("a stream needs a spool: a folder that the driver and all executors share")
         self.options = options
         self.files, self.root = _open(options.spool)
-        self.known: dict[tuple[int, int], int] = {}  # items of spooled pages
+        self.known: dict[tuple[int, int], tuple[int, bool]] = {}  # number of items, and whether more follow, of spooled pages
+        self.last: dict[int, int] = {}  # the last spooled page of a chain
 
     def initialOffset(self) -> dict:
         return {str(i): [self.options.start_page, 0] for i in range(len(self.options.urls))}
@@ -177,10 +180,12 @@ class PageStream(DataSourceStreamReader):
 
     def _extended(self, chain: int) -> list[int]:
         o = self.options
-        page = max(self._spooled(chain), default=o.start_page)
+        if chain not in self.last:
+            self.last[chain] = max(self._spooled(chain), default=o.start_page)
+        page = self.last[chain]
         for _ in range(o.pages_per_batch):
-            before = self._items(chain, page)
-            if before is not None and before["has_more"]:
+            before = self._told(chain, page)
+            if before is not None and before[1]:
                 if page + 1 >= o.start_page + o.max_pages:
                     break
                 page, before = page + 1, None
@@ -192,8 +197,8 @@ class PageStream(DataSourceStreamReader):
                 break
             if not envelope.get("items") or not envelope.get("has_more"):
                 break
-        held = self._items(chain, page)
-        return [page, len(held["items"]) if held else 0]
+        held = self._told(chain, page)
+        return [page, held[0] if held else 0]
 
     def _path(self, chain: int, page: int) -> str:
         return f"{self.root}/{chain}/{page:09d}.json"
@@ -206,32 +211,44 @@ class PageStream(DataSourceStreamReader):
         data = _saved_in(self.files, self._path(chain, page))
         return None if data is None else json.loads(data)
 
+    def _told(self, chain: int, page: int) -> tuple[int, bool] | None:
+        """The number of a spooled page's items and whether more follow; read once."""
+        if (chain, page) not in self.known and (held := self._items(chain, page)) is not None:
+            self.known[chain, page] = len(held["items"]), held["has_more"]
+        return self.known.get((chain, page))
+
     def _keep(self, chain: int, page: int, envelope: dict) -> None:
         """Spools a page; one that was there only ever grows, so that offsets into it stay true."""
         items, old = envelope.get("items") or [], self._items(chain, page)
         if old is not None:
             items = old["items"] + items[len(old["items"]) :]
+        more = bool(envelope.get("has_more")) and bool(items)
         self.files.create_dir(f"{self.root}/{chain}")
         new = f"{self._path(chain, page)}.new"
         with self.files.open_output_stream(new) as f:
-            f.write(json.dumps({"items": items, "has_more": bool(envelope.get("has_more")) and bool(items)}).encode())
+            f.write(json.dumps({"items": items, "has_more": more}).encode())
         self.files.move(new, self._path(chain, page))
+        self.known[chain, page] = len(items), more
+        self.last[chain] = page
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        """A task a page; the first begins and the last ends where the offsets say."""
+        """A task a chain; its first page begins and its last ends where the offsets say."""
         out = []
         for chain, (last_page, last_item) in end.items():
             page, item = start.get(chain, [self.options.start_page, 0])
+            pages = []
             while (page, item) < (last_page, last_item):
-                stop = last_item if page == last_page else len(self._items(int(chain), page)["items"])
+                stop = last_item if page == last_page else self._told(int(chain), page)[0]
                 if stop > item:
-                    out.append(Span(int(chain), page, item, stop))
+                    pages.append((page, item, stop))
                 page, item = page + 1, 0
+            if pages:
+                out.append(Span(int(chain), pages))
         return out
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        items = self._items(partition.chain, partition.page)["items"]
-        return _rows(partition.chain, partition.page, items, partition.first, partition.end)
+        for page, first, end in partition.pages:
+            yield from _rows(partition.chain, page, self._items(partition.chain, page)["items"], first, end)
 
 
 def _saved_in(files: fs.FileSystem, path: str) -> bytes | None:
@@ -257,9 +274,10 @@ class PageSource(DataSource):
 
 
 def save_pages(items: DataFrame, order: list[str], body: Column, root: str, size: int) -> str:
-    """Saves items in order as pages of a server would be, a chain for each partition; returns the templates."""
+    """Saves items in order as pages of a server would be, in chains of about CHAIN_PAGES; returns the templates."""
     place = F.monotonically_increasing_id()
-    ranged = items.select(*order, body.alias("body")).repartitionByRange(*order).sortWithinPartitions(*order, "body")
+    chains = max(1, -(-items.count() // (size * CHAIN_PAGES)))
+    ranged = items.select(*order, body.alias("body")).repartitionByRange(chains, *order).sortWithinPartitions(*order, "body")
     ranged = ranged.withColumns({"chain": F.shiftright(place, 33), "at": place.bitwiseAND(F.lit((1 << 33) - 1))}).withColumn("page", F.expr(f"at div {size} + 1"))
     pages = ranged.groupBy("chain", "page").agg(F.sort_array(F.collect_list(F.struct("at", "body"))).alias("items"))  # ``size`` items a page
     more = F.col("page") < F.max("page").over(Window.partitionBy("chain"))

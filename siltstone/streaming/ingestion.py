@@ -75,7 +75,7 @@ class Store:
         columns = self._columns()
         bucket = F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(BUCKETS)).cast("int")
         last = rows.select(*columns, order.alias("__order"), F.sha2(content, 256).alias("content_hash")).where(F.col(self.key).isNotNull())
-        last = last.groupBy(self.key).agg(F.max_by(F.struct(*(c for c in last.columns if c not in (self.key, "__order"))), "__order").alias("r")).select(self.key, "r.*").withColumn("bucket", bucket)
+        last = last.groupBy(self.key).agg(F.max_by(F.struct(*(c for c in last.columns if c not in (self.key, "__order"))), "__order").alias("r")).select(self.key, "r.*").withColumn("bucket", bucket).persist()
         touched = [r["bucket"] for r in last.select("bucket").distinct().collect()]  # BUCKETS at most
         stored = self._written(touched).groupBy(self.key).agg(F.max_by("content_hash", "version").alias("__hash"), F.max("version").alias("__version"))
         both = last.join(stored, self.key, "left")
@@ -83,7 +83,10 @@ class Store:
         seen = Observation()
         judged = both.withColumn("__outcome", outcome).observe(seen, F.count(F.lit(1)).alias("READ"), *(F.count(F.when(F.col("__outcome") == o, 1)).alias(o) for o in OUTCOMES))
         changed = judged.where("__outcome <> 'UNCHANGED'").select(*columns, "content_hash", (F.coalesce("__version", F.lit(0)) + 1).cast("long").alias("version"), "bucket")
-        changed.write.mode("overwrite").partitionBy("bucket").parquet(self._folder(batch))
+        try:
+            changed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._folder(batch))
+        finally:
+            last.unpersist()
         counts = {o: int(seen.get[o]) for o in OUTCOMES}
         entry = {"counts": counts, "folder": counts["INSERTED"] + counts["UPDATED"] > 0}
         put_new(self.spark, f"{self.root}/ledger/{batch}.json", json.dumps(entry))
@@ -95,7 +98,7 @@ class Store:
         rows = self._written()
         packed = F.struct(*(c for c in rows.columns if c != self.key))
         last = rows.groupBy(self.key).agg(F.max_by(packed, "version").alias("r")).select(self.key, "r.*")
-        last.write.mode("overwrite").partitionBy("bucket").parquet(self._folder(name))
+        last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._folder(name))
         put_new(self.spark, f"{self.root}/ledger/{name}.json", json.dumps({"counts": dict.fromkeys(OUTCOMES, 0), "folder": bool(entries), "replaces": sorted(entries)}))
 
     def sweep(self) -> list[str]:

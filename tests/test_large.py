@@ -1,5 +1,7 @@
 """Queries that once did work that grew faster than their tables."""
 
+import json
+
 import duckdb
 import pytest
 
@@ -34,3 +36,17 @@ def test_bm25_keeps_only_the_best_before_it_shuffles(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(registry.ORACLE_SQL["bm25_topk"]).fetchall())
     once = registry.QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")
     assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_saved_pages_make_chains_of_bounded_length(spark, tmp_path):
+    """Batches take some pages of every chain, so longer chains would mean more batches, and pages beyond max_pages would be lost."""
+    from pyspark.sql import functions as F
+
+    from siltstone.sources import pages
+
+    items = spark.range(600).select("id", F.to_json(F.struct("id")).alias("body"))
+    urls = pages.save_pages(items, ["id"], F.col("body"), f"file://{tmp_path}/pages", 2).split()
+    assert len(urls) == 600 // 2 // pages.CHAIN_PAGES
+    rows = spark.read.format(pages.register(spark)).option("url", " ".join(urls)).load()
+    assert rows.agg(F.max("page")).first()[0] <= 2 * pages.CHAIN_PAGES
+    assert sorted(json.loads(r["body"])["id"] for r in rows.collect()) == list(range(600))
