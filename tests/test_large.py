@@ -50,3 +50,89 @@ def test_saved_pages_make_chains_of_bounded_length(spark, tmp_path):
     rows = spark.read.format(pages.register(spark)).option("url", " ".join(urls)).load()
     assert rows.agg(F.max("page")).first()[0] <= 2 * pages.CHAIN_PAGES
     assert sorted(json.loads(r["body"])["id"] for r in rows.collect()) == list(range(600))
+
+
+class Calls(dict):
+    """A processor's state without Spark: values and maps that count how often they are asked."""
+
+    def __init__(self):
+        super().__init__()
+        self.n = 0
+
+    def getValueState(self, name, *schema):
+        return Kept(self, name)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.n += 1
+        self["timer"] = at
+
+
+class Kept:
+    def __init__(self, calls, name):
+        self.calls, self.held = calls, calls.setdefault(name, {})
+
+    def _do(self, value=None):
+        self.calls.n += 1
+        return value
+
+    def get(self):
+        return self._do(self.held.get(None))
+
+    def exists(self):
+        return self._do(bool(self.held))
+
+    def update(self, value):
+        self.held[None] = self._do(value)
+
+    def clear(self):
+        self._do(self.held.clear())
+
+    def containsKey(self, key):
+        return self._do(key in self.held)
+
+    def getValue(self, key):
+        return self._do(self.held[key])
+
+    def updateValue(self, key, value):
+        self.held[key] = self._do(value)
+
+    def removeKey(self, key):
+        del self.held[self._do(key)]
+
+    def keys(self):
+        return self._do(iter(list(self.held)))
+
+
+@pytest.mark.parametrize("near", [0, 5, 1_000])
+def test_rows_of_a_small_key_wait_beside_its_state(near):
+    """A batch costs a small key three calls, whatever its rows' times; a larger key's rows wait in slots and come out alike."""
+    import pandas as pd
+
+    from siltstone.streaming import events
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    hour, told, costs, clock, calls = 3_600_000_000, [], [], Clock(), Calls()
+    limit = events.RateLimit(2, 4 * 3_600)
+    limit.near = near
+    limit.init(calls)
+    for batch in (range(0, 40), range(20, 60)):
+        before = calls.n
+        assert not list(limit.handleInputRows((7,), iter([pd.DataFrame({"us": [(i * 37 % 60) * hour + i for i in batch], "event_id": list(batch)})]), clock))
+        costs.append(calls.n - before)
+    for clock.now in (10 * hour // 1_000, 33 * hour // 1_000 + 1, 100 * hour // 1_000):
+        told += [tuple(r) for frame in limit.handleExpiredTimer((7,), clock, None) for r in frame.itertuples(index=False)]
+    rows, recent, want = sorted(((i * 37 % 60) * hour + i, i) for batch in (range(0, 40), range(20, 60)) for i in batch), [], []
+    for at, i in rows:
+        recent = [x for x in recent if x > at - 4 * hour]
+        want.append((7, i, len(recent) < 2))
+        if want[-1][2]:
+            recent.append(at)
+    assert told == want and not calls["pending"] and not calls["state"]
+    assert near < 1_000 or max(costs) <= 3
