@@ -38,6 +38,24 @@ def test_bm25_keeps_only_the_best_before_it_shuffles(spark, tmp_path):
     assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_only_found_documents_are_shuffled(spark, monkeypatch, most):
+    """The ids of lists go to the documents; too many of them still meet their documents."""
+    from siltstone.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "MOST_IDS", most)
+    docs = spark.range(1_000).selectExpr("id AS doc_id", "repeat('x', 10) AS text").union(spark.sql("SELECT 5, 'again' UNION ALL SELECT null, 'none'"))
+    rows = spark.createDataFrame([(1, 5), (1, 7), (2, 5), (2, 5_000), (3, None)], "item_id long, doc_id long")
+    df = retrieval.documents_of(rows, docs, "doc_id", "left")
+    assert sorted(map(str, df.select("item_id", "doc_id", "text").collect())) == sorted(map(str, rows.join(docs, "doc_id", "left").select("item_id", "doc_id", "text").collect()))
+    assert ("LeftSemi" in df._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+
+
+def test_lists_send_their_ids_to_the_documents(spark):
+    for name in ("source_projection", "hydrate_visible", "hybrid_rrf"):
+        assert "LeftSemi" in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_saved_pages_make_chains_of_bounded_length(spark, tmp_path):
     """Batches take some pages of every chain, so longer chains would mean more batches, and pages beyond max_pages would be lost."""
     from pyspark.sql import functions as F
