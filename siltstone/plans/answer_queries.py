@@ -13,35 +13,16 @@ from siltstone.operators import rag as G
 from siltstone.operators import retrieval as R
 from siltstone.plans.registry import Tables, query
 from siltstone.plans.search_queries import _BM25, _FUSED, _bm25, _dense, _final, _fused
+from siltstone.sources.shared import kept
 
-#: Items of one or two words that a task looks for at a time.
-SHORT_BLOCK = 200
 _EST = "greatest(1, (length(text) + 3) // 4)"
 _REL = "rel AS (SELECT item_id, doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text))"
 
 
 def _relevant(t: Tables):
-    """(item_id, doc_id) pairs; candidates meet by the item's rarest word, not all by all.
-
-    The words at the ends of a contained text may be parts of longer words there, so that only
-    those between them count.  Items of fewer than three words are looked for in every text, in
-    blocks that are sent to the tasks: a stated set against all rows.
-    """
-    items = t.benchmark.select("item_id", F.col("text").alias("asked"), R.terms(F.col("text")).alias("terms"))
-    inner = items.where("size(terms) > 2")
-    words = inner.select("item_id", F.explode(F.array_distinct(F.slice("terms", 2, F.size("terms") - 2))).alias("term"))
-    wanted = words.select("term").distinct()
-    found = t.documents.select("doc_id", F.explode(F.array_distinct(R.terms(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = words.join(df, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = found.join(rarest, "term").join(inner.select("item_id", "asked"), "item_id").join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "asked")).select("item_id", "doc_id")
-    short = items.where("size(terms) <= 2").select("item_id", "asked")
-    for block in range(-(-short.count() // SHORT_BLOCK)):
-        told = short.where(F.pmod(F.xxhash64("item_id"), F.lit(-(-short.count() // SHORT_BLOCK))) == block).collect()
-        listed = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["asked"]).alias("asked")) for r in told))
-        met = t.documents.select("doc_id", F.explode(F.filter(listed, lambda i: F.contains(F.col("text"), i["asked"]))).alias("i"))
-        pairs = pairs.unionByName(met.select("i.item_id", "doc_id"))
-    return t.benchmark.select("item_id").join(pairs, "item_id", "left")
+    """(item_id, doc_id) of the items and the texts that contain them, written once, and a row without a document for each item."""
+    pairs = R.containing(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
+    return kept(t.benchmark.select("item_id", F.lit(None).cast("bigint").alias("doc_id")).unionByName(pairs), "relevant")
 
 
 def _context(t: Tables):
@@ -74,8 +55,8 @@ walk AS (
   FROM walk w JOIN listed l ON l.item_id = w.item_id AND l.i = w.i + 1, LATERAL (SELECT len(list_filter(xs, lambda y: y = l.x OR (length(y) >= 80 AND contains(l.x, y)) OR (length(l.x) >= 80 AND contains(y, l.x)))) > 0 AS rep))
 SELECT item_id, array_to_string(arg_max(ids, i), ',') AS ids FROM walk GROUP BY item_id""")
 def overlap_dedup(t: Tables):
-    kept = _context(t).select("item_id", G.drop_contained(F.col("ps"), 80).alias("kept"))
-    return kept.select("item_id", F.array_join(F.transform("kept", lambda p: p["id"].cast("string")), ",").alias("ids"))
+    alone = _context(t).select("item_id", G.drop_contained(F.col("ps"), 80).alias("kept"))
+    return alone.select("item_id", F.array_join(F.transform("kept", lambda p: p["id"].cast("string")), ",").alias("ids"))
 
 
 def _answers(t: Tables):
@@ -116,9 +97,10 @@ def context_texts(t: Tables):
     """Whole contexts; a golden and a plain Python version hold the rules."""
     from siltstone.operators import retrieval as R
 
-    listed = _final(t).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").alias("id"), "text"))).alias("ps"))  # 80 passages at most
-    kept = listed.select("item_id", F.explode(F.transform(G.drop_contained(F.col("ps"), 80), lambda p: p["id"])).alias("doc_id"))
-    rows = R.group_by(_final(t).join(kept, ["item_id", "doc_id"], "left_semi"), "item_id", "source", "rank", 2).where("group_rank <= 12")
+    found = _final(t, lists=_fused(t))
+    listed = found.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").alias("id"), "text"))).alias("ps"))  # 80 passages at most
+    whole = listed.select("item_id", F.explode(F.transform(G.drop_contained(F.col("ps"), 80), lambda p: p["id"])).alias("doc_id"))
+    rows = R.group_by(found.join(whole, ["item_id", "doc_id"], "left_semi"), "item_id", "source", "rank", 2).where("group_rank <= 12")
     passage = F.struct("group_rank", "in_group", F.col("doc_id").alias("id"), F.col("source").alias("title"), T.strip(F.col("text")).alias("text")).alias("p")
     groups = rows.select("item_id", "group_rank", passage).groupBy("item_id", "group_rank").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     joined = groups.select("item_id", F.struct("group_rank", F.col("ps")[0]["id"].alias("id"), F.col("ps")[0]["title"].alias("title"), F.array_join(F.transform("ps", lambda p: p["text"]), "\n\n").alias("text")).alias("g"))
@@ -155,10 +137,11 @@ def recall_at_5(t: Tables):
 @query(f"""{_FUSED}, {_REL}, reranked AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS rank FROM final), modes AS (SELECT 'bm25' AS mode, * FROM ({_MEASURE.format(k=10, ranked='bm')}) UNION ALL SELECT 'vector', * FROM ({_MEASURE.format(k=10, ranked='de')}) UNION ALL SELECT 'hybrid', * FROM ({_MEASURE.format(k=10, ranked='fused')}) UNION ALL SELECT 'hybrid+reranker', * FROM ({_MEASURE.format(k=10, ranked='reranked')}))
 SELECT mode, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM modes GROUP BY mode""")
 def mode_comparison(t: Tables):
-    relevant = _relevant(t)
-    reranked = lambda t: _final(t).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("final"), "doc_id")))
-    modes = (("bm25", _bm25), ("vector", _dense), ("hybrid", _fused), ("hybrid+reranker", reranked))
-    rows = [E.ranking_measures(f(t), relevant, "item_id", "doc_id", 10).withColumn("mode", F.lit(mode)) for mode, f in modes]
+    relevant, lexical, near = _relevant(t), kept(_bm25(t), "lexical"), kept(_dense(t), "near")
+    fused = kept(R.fuse(lexical, near, "item_id", "doc_id", 80), "fused")
+    reranked = _final(t, lists=fused).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("final"), "doc_id")))
+    modes = (("bm25", lexical), ("vector", near), ("hybrid", fused), ("hybrid+reranker", reranked))
+    rows = [E.ranking_measures(ranked, relevant, "item_id", "doc_id", 10).withColumn("mode", F.lit(mode)) for mode, ranked in modes]
     return reduce(DataFrame.unionByName, rows).groupBy("mode").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("recall", "mrr", "ndcg")))
 
 

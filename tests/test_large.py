@@ -38,6 +38,26 @@ def test_bm25_keeps_only_the_best_before_it_shuffles(spark, tmp_path):
     assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_that_contain_items_stay_in_their_tasks(spark, tmp_path):
+    """Repeated ids, null ids, short items and items that begin or end within a word are as in SQL, and no text is shuffled."""
+    from siltstone.operators import retrieval
+
+    docs = [(1, "a red fox runs home"), (2, "the hundred foxes run red"), (2, "RED fox runs"), (3, "dog, red fox runs; red fox runs"), (3, "a red fox runs"), (4, None), (5, ""), (None, "red fox runs"), (6, "fox red runs")]
+    items = [(1, "red fox runs"), (2, "red fox"), (3, "ed fox run"), (4, "dog, red fox runs; red"), (5, ""), (6, None), (7, "none of these at all"), (1, "fox"), (None, "red"), (8, "dog"), (9, ", ")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    df = retrieval.containing(read("documents"), read("benchmark"), "doc_id", "text", "item_id", "text")
+    want = con.execute("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)").fetchall()
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want)) and len(want) > 20
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = registry.QUERIES["ranking_measures_at_10"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(registry.ORACLE_SQL["ranking_measures_at_10"]).fetchall()))
+
+
 @pytest.mark.parametrize("most", [0, 1_000_000])
 def test_only_found_documents_are_shuffled(spark, monkeypatch, most):
     """The ids of lists go to the documents; too many of them still meet their documents."""
