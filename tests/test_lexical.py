@@ -95,3 +95,15 @@ def test_search_equals_bm25_over_the_texts(spark, index):
     asked = spark.createDataFrame([(1, "red fox"), (2, "dog"), (3, "nothing")], "item bigint, text string")
     want = retrieval.bm25(frame(spark, docs), asked.withColumnRenamed("text", "q"), "key", "text", "item", "q", 3)
     assert rows(index.search(asked, "item", "text", 3), "item", "key", "score", "rank") == rows(want, "item", "key", "score", "rank")
+
+
+def test_an_update_shuffles_no_words_of_new_texts(spark, index):
+    """Terms are counted in a text's row, and a term's documents are laid down together."""
+    docs = {i: f"alpha beta w{i % 7} alpha" for i in range(70)}
+    index.update(1, frame(spark, docs).coalesce(1))
+    blocks = index._read("postings", lexical_index._POSTINGS)
+    assert blocks.count() == 9 and {r["n"] for r in blocks.where("term LIKE 'w%'").collect()} == {10}
+    assert rows(index.postings().where("term = 'alpha'"), "key", "tf", "dl") == [(i, 2, 4) for i in range(70)]
+    index.update(2, frame(spark, {0: "beta", 1: docs[1]}), spark.createDataFrame([(2,), (99,)], "key bigint"))
+    assert rows(index._read("postings", lexical_index._POSTINGS).where("batch = 2"), "term", "n", "sign") == [("alpha", 2, -1), ("beta", 1, 1), ("beta", 2, -1), ("w0", 1, -1), ("w2", 1, -1)]
+    assert index.size() == (69, (68 * 4 + 1) / 69)
