@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import retrieval
+from siltstone.operators.retrieval import TEXT_BLOCK
 from siltstone.sources.files import get, names, put_new
 
 #: Postings are laid out by so many hash ranges of their term; an index keeps its number.
@@ -36,8 +37,8 @@ _STATS = "term string, df bigint, bucket int"
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_DOCS of key, hash and words."""
     for batch in batches:
-        for i in range(0, len(batch), retrieval.TEXT_BLOCK):
-            part = batch.slice(i, retrieval.TEXT_BLOCK)
+        for i in range(0, len(batch), TEXT_BLOCK):
+            part = batch.slice(i, TEXT_BLOCK)
             size, known = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False).astype(np.int64), part.column(2).flatten().dictionary_encode()
             most = max(1, len(known.dictionary))
             cell, n = np.unique(np.repeat(np.arange(len(part)), size) * most + known.indices.to_numpy(zero_copy_only=False), return_counts=True)
